@@ -8,8 +8,6 @@ counted, and the few rows inside it are collapsed to (value, count) and ranked.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,10 +16,12 @@ ACCURACY = 20_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantiles(df, by, value, quantiles):
+def exact_quantiles(df, by, value, quantiles, few_groups=True):
     """One row per group with linear-interpolated quantiles.
 
     ``quantiles``: {output column: probability}.  Groups without values are absent.
+    ``few_groups`` says the groups are a fixed list (windows, specs, rules), which bounds
+    the sketch table that is broadcast; otherwise the join strategy is left to Spark.
     """
     by = list(by)
     names, probs = list(quantiles), [float(p) for p in quantiles.values()]
@@ -40,8 +40,10 @@ def exact_quantiles(df, by, value, quantiles):
         hi = F.when(F.ceil(k) >= F.col("_n") * (1 - MARGIN) - 1, F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
         pieces.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), k.alias("k")))
     sketch = sketch.select(*by, F.array(*pieces).alias("_b"))
-    # the sketch has one row per group; a single group is one row
-    rows = v.join(sketch, by, "left") if by else v.join(F.broadcast(sketch))
+    if by:
+        rows = v.join(F.broadcast(sketch) if few_groups else sketch, by)
+    else:
+        rows = v.withColumn("_b", sketch.select("_b").scalar())
     hit = rows.select(*by, "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_x"))
     # below the bracket only the count matters, so those rows collapse on the map side
     point = F.when(F.col("_v") >= F.col("_x.lo"), F.col("_v"))
@@ -87,6 +89,3 @@ def running_before(df, by, value, sums, n=256):
     d = d.withColumns({"_i" + c: F.coalesce(F.sum(c).over(wi), F.lit(0)) for c in sums}).join(tot, [*by, "_bk"])
     return d.select(*by, value, *sums, *[(F.col("_t" + c) + F.col("_i" + c)).alias(c + "_before") for c in sums])
 
-
-def all_of(conditions):
-    return reduce(lambda a, b: a & b, conditions)

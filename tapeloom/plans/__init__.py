@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import q_features, q_labels, q_rules  # noqa: F401
+from . import q_features, q_labels, q_rules, q_trades  # noqa: F401
 
 
 def flagship(spark, folder):

@@ -177,7 +177,7 @@ add_cte(
 @query(
     "u3_canonical_rules",
     "SELECT rule, count(*) AS n_paths, max(n) AS n_conditions FROM (SELECT path, string_agg(feature || op || CAST(CAST(threshold AS BIGINT) AS VARCHAR), ' & ' ORDER BY feature, op) AS rule, count(*) AS n "
-    "FROM (SELECT path, feature, op, CASE WHEN op = '>=' THEN max(threshold) ELSE min(threshold) END AS threshold FROM paths GROUP BY ALL) GROUP BY path) GROUP BY rule",
+    "FROM (SELECT path, feature, op, CASE WHEN op = '>=' THEN max(threshold) ELSE min(threshold) END AS threshold FROM paths GROUP BY path, feature, op) GROUP BY path) GROUP BY rule",
 )
 def u3(spark, sf):
     b = Tables(spark, sf).bars().groupBy("symbol").agg(
@@ -558,8 +558,8 @@ add_cte("scored_w", "SELECT * FROM scored JOIN wf_windows ON date BETWEEN lo AND
 TAUS = (0.2, 0.3, 0.45)
 
 
-def scored(t):
-    d = rule_frame(t).where(F.col("is_winner").isNotNull())
+def scored(t, prepare=lambda d: d):
+    d = prepare(rule_frame(t)).where(F.col("is_winner").isNotNull())
     n = F.size(ru.fired_keys(LIVE, d.columns)) / F.lit(float(len(LIVE)))
     return d.withColumn("score", n).withColumn("window_id", ru.window_id(WINDOWS).cast("long"))
 
@@ -605,7 +605,7 @@ add_cte(
 )
 def u15(spark, sf):
     t = Tables(spark, sf)
-    d = lb.first_touch_return(scored(t), 60, 200.0).where(F.col("bsq_realized_gain_pct").isNotNull())
+    d = scored(t, lambda x: lb.first_touch_return(x, 60, 200.0)).where(F.col("bsq_realized_gain_pct").isNotNull())
     taus = F.array(*[F.when(F.col("score") >= x, F.lit(float(x))) for x in TAUS])
     d = d.select("date", F.col("bsq_realized_gain_pct").alias("g"), F.col("bsq_hold_trading_days").alias("h"), F.explode(F.array_compact(taus)).alias("threshold"))
     g = F.col("g")

@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 ACCURACY = 20_000
 MARGIN = 4.0 / ACCURACY
 
@@ -26,6 +28,7 @@ def exact_quantiles(df, by, value, quantiles, few_groups=True):
     by = list(by)
     names, probs = list(quantiles), [float(p) for p in quantiles.values()]
     v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    v = staged(v)
     grid = [x for p in probs for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = v.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -81,7 +84,8 @@ def running_before(df, by, value, sums, n=256):
     group.  Output columns: by, value, each sum, and ``<sum>_before``.
     """
     by = list(by)
-    d = order_bucket(df, value, "_bk", n).groupBy(*by, "_bk", value).agg(*[F.sum(c).alias(c) for c in sums])
+    d = staged(df.groupBy(*by, value).agg(*[F.sum(c).alias(c) for c in sums]))
+    d = order_bucket(d, value, "_bk", n)
     tot = d.groupBy(*by, "_bk").agg(*[F.sum(c).alias(c) for c in sums])
     wt = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*by, "_bk", *[F.coalesce(F.sum(c).over(wt), F.lit(0)).alias("_t" + c) for c in sums])

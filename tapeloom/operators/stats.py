@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, running_before
 from ..functions.windows import Series, ratio
+from ..session import staged
 
 
 def unpivot(df, keep, columns, name="feature", value="value"):
@@ -46,7 +47,7 @@ def cohens_d(df, features, label, least=100):
 
 def quartile_bins(df, features, keep):
     """Quartile 0-3 of each value against the whole frame's quartiles; null stays null."""
-    long = unpivot(df, keep, features).where(F.col("value").isNotNull())
+    long = staged(unpivot(df, keep, features).where(F.col("value").isNotNull()))
     q = exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     v = F.col("value")
     binned = long.join(F.broadcast(q), "feature")  # one row per feature
@@ -84,7 +85,7 @@ def pairwise_scan(df, features, label, min_share=0.005):
     Each row contributes one cell per pair, combined on the map side: the shuffle holds
     at most sixteen partial rows per pair and task whatever the row count.
     """
-    data = df.where(F.col(label).isNotNull())
+    data = staged(df.where(F.col(label).isNotNull()).select(label, *features))
     cuts = feature_cuts(data, features)
     d = quartile_columns(data, features, cuts)
     total = data.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base"))
@@ -132,7 +133,7 @@ def top_share(df, score, ties, divisor=10):
     The score at the cut is found as an order statistic; rows above it are in, and only
     rows equal to it are counted off by the tie keys, key by key.
     """
-    d = df.where(F.col(score).isNotNull())
+    d = staged(df.where(F.col(score).isNotNull()))
     n = d.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / divisor)).alias("k"), F.count(F.lit(1)).alias("n"))
     k = n.select("k").scalar()
     # distinct scores with the number of rows above each: a two-level prefix
@@ -184,7 +185,7 @@ def average_rank(df, column, out):
 
 
 def spearman(df, target, columns):
-    d = average_rank(df, target, "_rt")
+    d = average_rank(staged(df.select(target, *columns)), target, "_rt")
     for c in columns:
         d = average_rank(d, c, f"_r_{c}")
     wide = d.agg(*[F.corr(F.col("_rt"), F.col(f"_r_{c}")).alias(c) for c in columns])

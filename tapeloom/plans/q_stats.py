@@ -460,8 +460,8 @@ def q5(spark, sf):
     "q6_conditional_recovery",
     E(
         "symbol f:p_recovery n_attempts",
-        "SELECT symbol, avg(CAST(list_max(f[at:at + 19]) >= close AS INT)) AS p_recovery, count(*) AS n_attempts FROM (SELECT *, list_position(list_transform(f[1:100], lambda x: x <= close * 0.95), true) AS at FROM "
-        f"(SELECT *, list(close) OVER {win('1 FOLLOWING', '120 FOLLOWING')} AS f, count(*) OVER {win('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS lft FROM bars) WHERE lft >= 100) WHERE at IS NOT NULL GROUP BY symbol",
+        "SELECT symbol, avg(CAST(list_max(list_slice(f, pos, pos + 19)) >= close AS INT)) AS p_recovery, count(*) AS n_attempts FROM (SELECT *, list_position(list_transform(f[1:100], lambda x: x <= close * 0.95), true) AS pos FROM "
+        f"(SELECT *, list(close) OVER {win('1 FOLLOWING', '120 FOLLOWING')} AS f, count(*) OVER {win('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS lft FROM bars) WHERE lft >= 100) WHERE pos IS NOT NULL GROUP BY symbol",
     ),
 )
 def q6(spark, sf):

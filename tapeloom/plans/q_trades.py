@@ -104,12 +104,12 @@ def barrier_trades(t):
     return tr.barrier_exits(t.bars(), best_signals(t))
 
 
-B_SPEC = "symbol d:signal_date rule_key d:entry_date g:entry_price d:exit_date g:exit_price exit_reason"
+B_SPEC = "symbol d:signal_date rule_key d:entry_date f:entry_price d:exit_date g:exit_price exit_reason"
 
 
 @query("x3_barrier_exits", E(B_SPEC, "SELECT * FROM barrier"))
 def x3(spark, sf):
-    return emit(barrier_trades(Tables(spark, sf)), coarse=("entry_price", "exit_price"))
+    return emit(barrier_trades(Tables(spark, sf)), coarse=("exit_price",))
 
 
 # --- non-overlapping trades ------------------------------------------------------------

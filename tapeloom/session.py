@@ -1,9 +1,10 @@
-"""Session factory and checkpoint-folder helper."""
+"""Session factory and staging of shared intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,22 +34,36 @@ def build_session(master: str | None = None, app: str = "tapeloom", shuffle_part
     return spark
 
 
-def checkpointed(df):
-    """Cut lineage through ``checkpoint()`` in the folder the cluster names.
+def stage_folder(spark) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a folder of its own;
-    anywhere else the setting has to name shared storage.
+    Only a local session without that setting gets a folder of its own; anywhere else it
+    has to name storage that every executor sees.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tapeloom-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-stage-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def stage_path(spark, name: str) -> str:
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df):
+    """Write ``df`` to the shared folder once and read it back.
+
+    For frames that several passes read: the upstream plan runs once, every pass sees the
+    same values bit for bit, lineage is cut, and the size on disk lets Spark choose its
+    join strategy.
+    """
+    path = stage_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def input_dir(default: str = "/root/testdata/sf0.1") -> str:

@@ -57,9 +57,10 @@ def next_row_after(left, bars, keys, left_date, bar_date, values):
     a = left.select(*keys, F.col(left_date).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(kind).alias("_v"))
     none = F.lit(None).cast(rkind if rkind is not None else "int")
     b = bars.select(*keys, F.col(bar_date).alias("_t"), F.lit(0).alias("_side"), none.alias("_row"), payload.alias("_v"))
-    # bars of the same date sort before the left row, so only later bars follow it
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(1, Window.unboundedFollowing)
-    out = a.unionByName(b).withColumn("_n", F.first("_v", True).over(w)).where(F.col("_side") == 1)
+    # backwards in time: a left row sorts before the bars of its own date, which do not count
+    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").desc())
+    w = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = a.unionByName(b).withColumn("_n", F.last("_v", True).over(w)).where(F.col("_side") == 1)
     cols = ["_row.*"] if extra else []
     return out.select(*keys, F.col("_t").alias(left_date), *cols, "_n.*")
 

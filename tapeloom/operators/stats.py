@@ -284,7 +284,7 @@ def conditional_recovery(bars, s: Series, drop=0.05, bars_ahead=20):
     d = bars.withColumns(
         {
             "_f": F.collect_list("close").over(frame),
-            "_left": F.count(F.lit(1)).over(s.w.rowsBetween(1, Window.unboundedFollowing)),
+            "_left": F.count(F.lit(1)).over(Window.partitionBy(*s.keys)) - F.row_number().over(s.w),
         }
     ).where(F.col("_left") >= look)
     first = F.array_position(

@@ -456,7 +456,7 @@ def i8(spark, sf):
     return emit(d, "event_id", "volume_30d", "maker_rate", "taker_rate", "maker_cost", "taker_cost")
 
 
-@query("j10_tier_join", f"SELECT taker, count(*) AS n FROM (SELECT round({_tier_sql(2)}, 6) AS taker FROM rolling_fills) GROUP BY 1")
+@query("j10_tier_join", f"SELECT taker, count(*) AS n FROM (SELECT round(CAST({_tier_sql(2)} AS DOUBLE), 6) AS taker FROM rolling_fills) GROUP BY 1")
 def j10(spark, sf):
     d = fills(Tables(spark, sf)).withColumn("taker", F.round(jn.tier_lookup("volume_30d", it.FEE_TIERS, 2), 6))
     return d.groupBy("taker").agg(F.count(F.lit(1)).alias("n"))
@@ -466,7 +466,7 @@ def j10(spark, sf):
     "j8_next_bar_after",
     E(
         "order_id symbol d:day d:next_date f:open",
-        "SELECT o_orderkey AS order_id, symbol, day, n.date AS next_date, n.open FROM (SELECT o_orderkey, CAST(o_custkey % 97 + 1 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders) o ASOF LEFT JOIN bars n ON o.symbol = n.symbol AND o.day < n.date",
+        "SELECT o_orderkey AS order_id, o.symbol, day, n.date AS next_date, n.open FROM (SELECT o_orderkey, CAST(o_custkey % 97 + 1 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders) o ASOF LEFT JOIN bars n ON o.symbol = n.symbol AND o.day < n.date",
     ),
 )
 def j8(spark, sf):

@@ -39,8 +39,11 @@ def exact_quantiles(df, by, value, quantiles, few_groups=True):
     pieces = []
     for i, p in enumerate(probs):
         k = (F.col("_n") - 1) * F.lit(p)
-        lo = F.when(F.floor(k) <= F.col("_n") * MARGIN, F.col("_min")).otherwise(F.col("_q")[2 * i])
-        hi = F.when(F.ceil(k) >= F.col("_n") * (1 - MARGIN) - 1, F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
+        # the margin has to span several ranks; a group too small for that is ranked whole
+        room = F.col("_n") * MARGIN
+        small = room < 4
+        lo = F.when(small | (F.floor(k) <= room), F.col("_min")).otherwise(F.col("_q")[2 * i])
+        hi = F.when(small | (F.ceil(k) >= F.col("_n") - 1 - room), F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
         pieces.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), k.alias("k")))
     sketch = sketch.select(*by, F.array(*pieces).alias("_b"))
     if by:

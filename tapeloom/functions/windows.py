@@ -76,8 +76,18 @@ def ratio(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def r6(c) -> Column:
-    return F.round(_c(c), 6)
+def safe_corr(x, y, over=None) -> Column:
+    """Pearson correlation over complete pairs; null for a constant side, where the built-in raises."""
+    x, y = _c(x).cast("double"), _c(y).cast("double")
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+
+    def ov(c):
+        return c if over is None else c.over(over)
+
+    return F.when(
+        ov(F.max(a)) > ov(F.min(a)),
+        F.try_divide(ov(F.covar_pop(a, b)), ov(F.stddev_pop(a)) * ov(F.stddev_pop(b))),
+    )
 
 
 def ema(df, value, span, out, keys=("symbol",), order=("date",), warmup=False):

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, running_before
-from ..functions.windows import Series, ratio
+from ..functions.windows import Series, ratio, safe_corr
 from ..session import staged
 
 
@@ -172,7 +172,7 @@ def hash_sample(df, by, keys, n):
 
 
 def pearson(df, target, columns):
-    wide = df.agg(*[F.corr(F.col(target), F.col(c)).alias(c) for c in columns])
+    wide = df.agg(*[safe_corr(target, c).alias(c) for c in columns])
     return unpivot(wide, [], columns, "metric", "rho")
 
 
@@ -188,7 +188,7 @@ def spearman(df, target, columns):
     d = average_rank(staged(df.select(target, *columns)), target, "_rt")
     for c in columns:
         d = average_rank(d, c, f"_r_{c}")
-    wide = d.agg(*[F.corr(F.col("_rt"), F.col(f"_r_{c}")).alias(c) for c in columns])
+    wide = d.agg(*[safe_corr("_rt", f"_r_{c}").alias(c) for c in columns])
     return unpivot(wide, [], columns, "metric", "rho")
 
 
@@ -212,7 +212,7 @@ def autocorrelation(returns, s: Series, lags=(1, 5, 60)):
     d = returns.where(F.col("r").isNotNull())
     d = d.withColumns({f"_l{k}": s.lag("r", k) for k in lags})
     return d.groupBy(*s.keys).agg(
-        *[F.corr(F.when(F.col(f"_l{k}").isNotNull(), F.col("r")), F.col(f"_l{k}")).alias(f"autocorr_{k}") for k in lags]
+        *[safe_corr("r", f"_l{k}").alias(f"autocorr_{k}") for k in lags]
     )
 
 
@@ -411,6 +411,6 @@ def calendar_sum(dense, day, value, days, out):
 
 def rolling_corr(a, b, w, n):
     """Correlation over ``n`` complete pairs."""
-    return F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(w) == n, F.corr(a, b).over(w))
+    return F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(w) == n, safe_corr(a, b, w))
 
 

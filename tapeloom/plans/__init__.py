@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import q_features, q_labels, q_rules, q_trades, q_stats, q_time, q_regime  # noqa: F401
+from . import q_features, q_labels, q_rules, q_trades, q_stats, q_time, q_regime, q_vectors  # noqa: F401
 
 
 def flagship(spark, folder):

@@ -25,6 +25,52 @@ def lag0(x, n=1):
     return f"lag({x}, {n}) OVER (ORDER BY date)"
 
 
+_KN = "drawdown_60d IS NULL OR r_30d IS NULL OR r_60d IS NULL OR sma_ratio IS NULL OR vol_ratio IS NULL"
+
+
+def _pick(scores):
+    best = "greatest(b, c, s, q)"
+    return (
+        f"SELECT date, CASE WHEN {_KN} THEN 'sideways_range' WHEN b = {best} THEN 'bear_trend' WHEN c = {best} THEN 'choppy_recovery' WHEN s = {best} THEN 'steady_bull' ELSE 'sideways_range' END AS regime_label, "
+        f"CASE WHEN {_KN} THEN 0.5 ELSE {best} END AS regime_confidence FROM ({scores})"
+    )
+
+
+def _disc(t):
+    b, c, s, q = t["bear"], t["chop"], t["steady"], t["sideways"]
+    st_ = [f"sma_ratio >= {s['sma']}", f"r_60d >= {s['r60']}", f"vol_ratio < {s['vol']}", f"drawdown_60d > {s['dd60']}"]
+    if "r30" in s:
+        st_.append(f"r_30d >= {s['r30']}")
+
+    def mean(xs):
+        return "(" + " + ".join(f"CAST({x} AS INT)" for x in xs) + f") / {float(len(xs))}"
+
+    return (
+        f"SELECT *, {mean([f'drawdown_60d <= {b['dd60']}', f'r_30d <= {b['r30']}', f'sma_ratio < {b['sma']}'])} AS b, {mean([f'drawdown_60d <= {c['dd60']}', f'r_30d >= {c['r30']}', f'vol_ratio > {c['vol']}'])} AS c, "
+        f"{mean(st_)} AS s, {mean([f'abs(r_30d) < {q['r30']}', f'(sma_ratio > {q['sma'][0]} AND sma_ratio < {q['sma'][1]})', f'drawdown_60d > {q['dd60']}'])} AS q FROM panel"
+    )
+
+
+def _cont(t):
+    b, c, s = t["bear"], t["chop"], t["steady"]
+
+    def sig(x, k):
+        return f"1 / (1 + exp(-({x}) * {k}.0))"
+
+    def mean(xs):
+        return "(" + " + ".join(xs) + f") / {float(len(xs))}"
+
+    st_ = [sig(f"sma_ratio - {s['sma']}", 20), sig(f"r_60d - {s['r60']}", 10), sig(f"{s['vol']} - vol_ratio", 10), sig(f"drawdown_60d - ({s['dd60']})", 20)]
+    if "r30" in s:
+        st_.append(sig(f"r_30d - {s['r30']}", 20))
+    return (
+        f"SELECT *, greatest(0.0, 1 - greatest(b, c, s)) AS q FROM (SELECT *, {mean([sig(f'{b['dd60']} - drawdown_60d', 10), sig(f'{b['r30']} - r_30d', 20), sig(f'{b['sma']} - sma_ratio', 20)])} AS b, "
+        f"{mean([sig(f'{c['dd60']} - drawdown_60d', 10), sig(f'r_30d - {c['r30']}', 20), sig(f'vol_ratio - {c['vol']}', 10)])} AS c, {mean(st_)} AS s FROM panel)"
+    )
+
+
+add_cte("heur", _pick(_disc(pr.LOOSE)))
+
 # Roles of the panel: the market stands for the coin, listed symbols for the indices.
 for _name, _sym in (("spy", "1"), ("vix", "2"), ("hyg", "3"), ("lqd", "4"), ("dxy", "5"), ("gold", "6")):
     add_cte(_name, f"SELECT date, close FROM bars WHERE symbol = '{_sym}'")
@@ -443,51 +489,6 @@ def p8(spark, sf):
     return d.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
-_KN = "drawdown_60d IS NULL OR r_30d IS NULL OR r_60d IS NULL OR sma_ratio IS NULL OR vol_ratio IS NULL"
-
-
-def _pick(scores):
-    best = "greatest(b, c, s, q)"
-    return (
-        f"SELECT date, CASE WHEN {_KN} THEN 'sideways_range' WHEN b = {best} THEN 'bear_trend' WHEN c = {best} THEN 'choppy_recovery' WHEN s = {best} THEN 'steady_bull' ELSE 'sideways_range' END AS regime_label, "
-        f"CASE WHEN {_KN} THEN 0.5 ELSE {best} END AS regime_confidence FROM ({scores})"
-    )
-
-
-def _disc(t):
-    b, c, s, q = t["bear"], t["chop"], t["steady"], t["sideways"]
-    st_ = [f"sma_ratio >= {s['sma']}", f"r_60d >= {s['r60']}", f"vol_ratio < {s['vol']}", f"drawdown_60d > {s['dd60']}"]
-    if "r30" in s:
-        st_.append(f"r_30d >= {s['r30']}")
-
-    def mean(xs):
-        return "(" + " + ".join(f"CAST({x} AS INT)" for x in xs) + f") / {float(len(xs))}"
-
-    return (
-        f"SELECT *, {mean([f'drawdown_60d <= {b['dd60']}', f'r_30d <= {b['r30']}', f'sma_ratio < {b['sma']}'])} AS b, {mean([f'drawdown_60d <= {c['dd60']}', f'r_30d >= {c['r30']}', f'vol_ratio > {c['vol']}'])} AS c, "
-        f"{mean(st_)} AS s, {mean([f'abs(r_30d) < {q['r30']}', f'(sma_ratio > {q['sma'][0]} AND sma_ratio < {q['sma'][1]})', f'drawdown_60d > {q['dd60']}'])} AS q FROM panel"
-    )
-
-
-def _cont(t):
-    b, c, s = t["bear"], t["chop"], t["steady"]
-
-    def sig(x, k):
-        return f"1 / (1 + exp(-({x}) * {k}.0))"
-
-    def mean(xs):
-        return "(" + " + ".join(xs) + f") / {float(len(xs))}"
-
-    st_ = [sig(f"sma_ratio - {s['sma']}", 20), sig(f"r_60d - {s['r60']}", 10), sig(f"{s['vol']} - vol_ratio", 10), sig(f"drawdown_60d - ({s['dd60']})", 20)]
-    if "r30" in s:
-        st_.append(sig(f"r_30d - {s['r30']}", 20))
-    return (
-        f"SELECT *, greatest(0.0, 1 - greatest(b, c, s)) AS q FROM (SELECT *, {mean([sig(f'{b['dd60']} - drawdown_60d', 10), sig(f'{b['r30']} - r_30d', 20), sig(f'{b['sma']} - sma_ratio', 20)])} AS b, "
-        f"{mean([sig(f'{c['dd60']} - drawdown_60d', 10), sig(f'r_30d - {c['r30']}', 20), sig(f'vol_ratio - {c['vol']}', 10)])} AS c, {mean(st_)} AS s FROM panel)"
-    )
-
-
-add_cte("heur", _pick(_disc(pr.LOOSE)))
 H_SPEC = "d:date regime_label f:regime_confidence"
 
 
@@ -576,7 +577,7 @@ def p17(spark, sf):
 @query(
     "p18_cap_bucket",
     E(
-        "symbol d:date f:market_cap cap_bucket",
+        "symbol d:date g:market_cap cap_bucket",
         "SELECT *, CASE WHEN market_cap < 1e9 THEN 'micro' WHEN market_cap < 3e9 THEN 'small' WHEN market_cap < 6e9 THEN 'mid' WHEN market_cap < 1.2e10 THEN 'large' WHEN market_cap IS NOT NULL THEN 'mega' END AS cap_bucket FROM "
         "(SELECT b.symbol, date, close * shares AS market_cap FROM bars b LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, floor(abs(s_acctbal)) * 30 AS shares FROM supplier WHERE s_acctbal > 0) USING (symbol))",
     ),
@@ -586,30 +587,6 @@ def p18(spark, sf):
     s = t.read("supplier").where("s_acctbal > 0").select(
         F.col("s_suppkey").cast("string").alias("symbol"), (F.floor(F.abs("s_acctbal")) * 30).alias("shares_outstanding")
     )
-    return emit(pr.cap_bucket(t.bars(), s), "symbol", "date", "market_cap", "cap_bucket")
-
-
-@query(
-    "v12_concept_importance",
-    E(
-        "concept f:correlation f:mean_winners f:mean_losers f:gap",
-        " UNION ALL ".join(
-            f"SELECT '{n}' AS concept, corr({n}, CAST(is_winner AS INT)) AS correlation, avg({n}) FILTER (is_winner) AS mean_winners, avg({n}) FILTER (NOT is_winner) AS mean_losers, abs(avg({n}) FILTER (is_winner) - avg({n}) FILTER (NOT is_winner)) AS gap FROM cw"
-            for n, *_ in _CONCEPTS
-            if n not in ("low_atr_regime", "bb_squeeze_tight", "high_atr_regime", "bb_expansion", "ad_line_negative_distribution")
-        ),
-    ).replace("SELECT concept", "WITH cw AS (SELECT * FROM concepts JOIN winners USING (symbol, date) WHERE is_winner IS NOT NULL) SELECT concept", 1),
-)
-def v12(spark, sf):
-    t = Tables(spark, sf)
-    # concepts that never or always hold in these prices have no correlation
-    names = [n for n, *_ in _CONCEPTS if n not in ("low_atr_regime", "bb_squeeze_tight", "high_atr_regime", "bb_expansion", "ad_line_negative_distribution")]
-    d = lb.forward_winner(concepts_of(t), 30, 2.0, "close_adj").where("is_winner IS NOT NULL")
-    y = F.col("is_winner").cast("int")
-    stats = [F.struct(F.corr(F.col(n).cast("double"), y.cast("double")).alias("correlation"), F.avg(F.when(y == 1, F.col(n))).alias("mean_winners"), F.avg(F.when(y == 0, F.col(n))).alias("mean_losers")).alias(n) for n in names]
-    wide = d.agg(*stats)
-    cells = F.array(*[F.struct(F.lit(n).alias("concept"), F.col(f"{n}.correlation").alias("correlation"), F.col(f"{n}.mean_winners").alias("mean_winners"), F.col(f"{n}.mean_losers").alias("mean_losers")) for n in names])
-    out = wide.select(F.inline(cells))
-    return emit(out.withColumn("gap", F.abs(F.col("mean_winners") - F.col("mean_losers"))))
+    return emit(pr.cap_bucket(t.bars(), s), "symbol", "date", "market_cap", "cap_bucket", coarse=("market_cap",))
 
 

@@ -1,8 +1,19 @@
 """All registered queries."""
 
+from . import (  # noqa: F401
+    q_features,
+    q_labels,
+    q_regime,
+    q_rules,
+    q_stats,
+    q_stream,
+    q_time,
+    q_trades,
+    q_vectors,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import q_features, q_labels, q_rules, q_trades, q_stats, q_time, q_regime, q_vectors  # noqa: F401
 
 
 def flagship(spark, folder):
-    return QUERIES["f1_sma_distance"](spark, folder)
+    """Features, forward label and rules in one pass: coverage, precision and lift per rule."""
+    return QUERIES["u4_rule_evaluation"](spark, folder)

@@ -18,17 +18,18 @@ ACCURACY = 20_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantiles(df, by, value, quantiles, few_groups=True):
+def exact_quantiles(df, by, value, quantiles, few_groups=True, stage=True):
     """One row per group with linear-interpolated quantiles.
 
     ``quantiles``: {output column: probability}.  Groups without values are absent.
     ``few_groups`` says the groups are a fixed list (windows, specs, rules), which bounds
     the sketch table that is broadcast; otherwise the join strategy is left to Spark.
+    ``stage=False`` when ``df`` is already a written table.
     """
     by = list(by)
     names, probs = list(quantiles), [float(p) for p in quantiles.values()]
     v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    v = staged(v)
+    v = staged(v) if stage else v
     grid = [x for p in probs for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = v.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -90,45 +90,103 @@ def safe_corr(x, y, over=None) -> Column:
     )
 
 
-def ema(df, value, span, out, keys=("symbol",), order=("date",), warmup=False):
-    """Exponential mean, alpha = 2/(span+1), started at the first non-null value.
+def with_means(df, wanted, s=None):
+    """Rolling means as differences of one running sum: linear in rows whatever the window.
+
+    ``wanted``: {output: (column, window)}.  A sliding frame re-adds its whole window on
+    every row, which dominates long averages; the difference does not, and it is exact
+    where a window sums to zero, because adding zero leaves the running sum unchanged.
+    """
+    s = s or DAILY
+    cols = {}
+    for c, _ in wanted.values():
+        cols.setdefault(c, f"_{len(cols)}")
+    base = {}
+    for c, tag in cols.items():
+        base["_cum" + tag] = F.sum(F.col(c).cast("double")).over(s.running())
+        base["_cnt" + tag] = F.count(F.col(c)).over(s.running())
+    df = df.withColumns(base)
+    out = {}
+    for name, (c, n) in wanted.items():
+        cum, cnt = "_cum" + cols[c], "_cnt" + cols[c]
+        total = F.col(cum) - F.coalesce(s.lag(cum, n), F.lit(0.0))
+        have = F.col(cnt) - F.coalesce(s.lag(cnt, n), F.lit(0))
+        out[name] = F.when(have == n, total / n)
+    return df.withColumns(out).drop(*base)
+
+
+def with_extremes(df, wanted, s=None):
+    """Rolling maxima and minima over long windows from short ones.
+
+    ``wanted``: {output: (agg, column, window)}.  A window of N rows is covered by about
+    sqrt(N) shorter windows of sqrt(N) rows each, read back with ``lag``, so a row costs
+    2 sqrt(N) steps instead of N.  The covers may overlap, which an extreme allows.
+    """
+    s = s or DAILY
+    short, plan = {}, {}
+    for name, (agg, c, n) in wanted.items():
+        b = math.isqrt(n - 1) + 1
+        tag = f"_x_{agg.__name__}_{c}_{b}"
+        short[tag] = s.roll(agg, c, b)
+        plan[name] = (agg, tag, sorted({*range(0, n - b, b), n - b}))
+    df = df.withColumns(short)
+    out = {}
+    for name, (agg, tag, offsets) in plan.items():
+        parts = [F.col(tag) if k == 0 else s.lag(tag, k) for k in offsets]
+        pick = F.greatest if agg is F.max else F.least
+        whole = parts[0].isNotNull()
+        for x in parts[1:]:
+            whole = whole & x.isNotNull()
+        out[name] = F.when(whole, pick(*parts) if len(parts) > 1 else parts[0])
+    return df.withColumns(out).drop(*short)
+
+
+def row_of(df) -> Column:
+    """A one-row frame as one struct-valued scalar subquery; its fields share a single run."""
+    return df.select(F.struct(*df.columns).alias("r")).scalar()
+
+
+def emas(df, wanted, keys=("symbol",), order=("date",), warmup=False):
+    """Exponential means, alpha = 2/(span+1), started at the first non-null value.
+
+    ``wanted``: {output: (column, span)}; the columns share their null pattern.
 
     y[t] = (1-a) y[t-1] + a x[t] is linear, so each key's series is cut into blocks of L
     rows: inside a block the mean is a scaled running sum, and a block's start needs only
-    the closing values of the two blocks before it, because L is chosen so that the
-    weight of anything older ((1-a)^2L = 1e-24) is below double precision.  The whole
-    thing is running windows over one partitioning: no Python, linear in rows.
+    the closing value of the block before it, because L is chosen so that the weight of
+    anything older, (1-a)^L = 1e-17, is below double precision.  The whole thing is
+    running windows over one partitioning: no Python, linear in rows.
 
     ``warmup`` leaves the first ``span - 1`` values null.
     """
-    a = 2.0 / (span + 1.0)
-    d = 1.0 - a
-    block = max(2, int(math.ceil(27.631 / -math.log(d))))
     s = Series(keys, order)
-    p = "_" + out
-    n, pos, blk, term, inner, close1, carry = (
-        p + x for x in ("_n", "_pos", "_blk", "_term", "_in", "_c1", "_cc")
-    )
-    df = df.withColumn(n, F.count(_c(value)).over(s.running()) - 1)
-    df = df.withColumn(blk, F.floor(F.col(n) / block)).withColumn(pos, F.col(n) % block)
-    # a null input repeats the previous position and must not enter the sum again
-    df = df.withColumn(
-        term,
-        F.when(
-            _c(value).isNotNull(),
-            F.when(F.col(n) == 0, 1.0).otherwise(a) * _c(value) * F.pow(F.lit(d), -F.col(pos).cast("double")),
-        ),
-    )
-    inside = Window.partitionBy(*s.keys, blk).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(inner, F.sum(term).over(inside) * F.pow(F.lit(d), F.col(pos).cast("double")))
-    is_end = (F.col(pos) == block - 1) & _c(value).isNotNull()
-    df = df.withColumn(close1, F.last(F.when(is_end, F.col(inner)), True).over(s.before()))
-    y_end = F.when(is_end, F.col(inner) + F.pow(F.lit(d), F.lit(float(block))) * F.coalesce(F.col(close1), F.lit(0.0)))
-    df = df.withColumn(carry, F.last(y_end, True).over(s.before()))
-    y = F.col(inner) + F.pow(F.lit(d), F.col(pos) + 1.0) * F.coalesce(F.col(carry), F.lit(0.0))
-    ok = F.col(n) >= ((span - 1) if warmup else 0)
-    df = df.withColumn(out, F.when(ok, y))
-    return df.drop(n, pos, blk, term, inner, close1, carry)
+    lead = _c(next(iter(wanted.values()))[0])
+    widest = max(span for _, span in wanted.values())
+    block = max(2, math.ceil(39.2 / -math.log(1.0 - 2.0 / (widest + 1.0))))
+    df = df.withColumn("_en", F.count(lead).over(s.running()) - 1)
+    df = df.withColumns({"_eb": F.floor(F.col("_en") / block), "_ep": (F.col("_en") % block).cast("double")})
+    inside = Window.partitionBy(*s.keys, "_eb").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = {}
+    for name, (c, span) in wanted.items():
+        a = 2.0 / (span + 1.0)
+        d = F.lit(1.0 - a)
+        # a null input repeats the previous position and adds nothing
+        term = F.when(F.col("_en") == 0, 1.0).otherwise(a) * _c(c) * F.pow(d, -F.col("_ep"))
+        inner["_ei_" + name] = F.sum(term).over(inside) * F.pow(d, F.col("_ep"))
+    df = df.withColumns(inner)
+    ends = (F.col("_ep") == block - 1) & lead.isNotNull()
+    carry = {"_ec_" + n: F.last(F.when(ends, F.col("_ei_" + n)), True).over(s.before()) for n in wanted}
+    df = df.withColumns(carry)
+    out = {}
+    for name, (_, span) in wanted.items():
+        d = F.lit(1.0 - 2.0 / (span + 1.0))
+        y = F.col("_ei_" + name) + F.pow(d, F.col("_ep") + 1.0) * F.coalesce(F.col("_ec_" + name), F.lit(0.0))
+        out[name] = F.when(F.col("_en") >= ((span - 1) if warmup else 0), y)
+    return df.withColumns(out).drop("_en", "_eb", "_ep", *inner, *carry)
+
+
+def ema(df, value, span, out, keys=("symbol",), order=("date",), warmup=False):
+    return emas(df, {out: (value, span)}, keys, order, warmup)
 
 
 def true_range(s: Series = DAILY) -> Column:

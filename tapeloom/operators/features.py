@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import DAILY, ema, full, ratio, true_range
+from ..functions.windows import DAILY, emas, full, ratio, true_range, with_extremes, with_means
 
 
 def sma_distance(df, windows=(10, 20, 50, 200)):
-    return df.withColumns(
-        {f"close_over_sma_{n}": ratio("close", DAILY.roll(F.avg, "close", n)) for n in windows}
-    )
+    df = with_means(df, {f"_sma{n}": ("close", n) for n in windows})
+    df = df.withColumns({f"close_over_sma_{n}": ratio("close", f"_sma{n}") for n in windows})
+    return df.drop(*[f"_sma{n}" for n in windows])
 
 
 def sma_slope(df, window=50, lookback=5):
-    df = df.withColumn("_sma", DAILY.roll(F.avg, "close", window))
+    df = with_means(df, {"_sma": ("close", window)})
     prev = DAILY.lag("_sma", lookback)
     return df.withColumn(f"sma{window}_slope_{lookback}d", ratio(F.col("_sma") - prev, prev)).drop("_sma")
 
@@ -34,20 +34,18 @@ def band_position(df, window=20):
 
 
 def n_day_high_low(df, windows=(20, 60, 252)):
-    cols = {}
-    for n in windows:
-        cols[f"pct_of_{n}d_high"] = ratio("close", DAILY.roll(F.max, "high", n))
-        cols[f"pct_of_{n}d_low"] = ratio("close", DAILY.roll(F.min, "low", n))
-    return df.withColumns(cols)
+    wanted = {f"_hi{n}": (F.max, "high", n) for n in windows} | {f"_lo{n}": (F.min, "low", n) for n in windows}
+    df = with_extremes(df, wanted)
+    cols = {f"pct_of_{n}d_high": ratio("close", f"_hi{n}") for n in windows}
+    cols |= {f"pct_of_{n}d_low": ratio("close", f"_lo{n}") for n in windows}
+    return df.withColumns(cols).drop(*wanted)
 
 
 def vol_mult(df, windows=(5, 10, 30, 60)):
     v = F.col("volume").cast("double")
-    cols = {}
-    for n in windows:
-        mean = DAILY.roll(F.avg, v, n)
-        cols[f"vol_mult_{n}"] = F.when(mean > 0, ratio(v, mean))
-    return df.withColumns(cols)
+    df = with_means(df, {f"_vm{n}": ("volume", n) for n in windows})
+    df = df.withColumns({f"vol_mult_{n}": F.when(F.col(f"_vm{n}") > 0, ratio(v, f"_vm{n}")) for n in windows})
+    return df.drop(*[f"_vm{n}" for n in windows])
 
 
 def obv_slope(df, lookback=20):
@@ -55,9 +53,9 @@ def obv_slope(df, lookback=20):
     step = F.col("close") - DAILY.lag("close")
     df = df.withColumn("_sv", F.coalesce(F.signum(step), F.lit(0.0)) * v)
     df = df.withColumn("_obv", F.sum("_sv").over(DAILY.running()))
-    mean = DAILY.roll(F.avg, v, lookback)
+    df = with_means(df, {"_vm": ("volume", lookback)})
     change = F.col("_obv") - DAILY.lag("_obv", lookback)
-    return df.withColumn(f"obv_slope_{lookback}d", ratio(change, mean * lookback)).drop("_sv", "_obv")
+    return df.withColumn(f"obv_slope_{lookback}d", ratio(change, F.col("_vm") * lookback)).drop("_sv", "_obv", "_vm")
 
 
 def accumulation_distribution(df):
@@ -67,8 +65,8 @@ def accumulation_distribution(df):
 
 
 def atr_pct(df, window=14):
-    df = df.withColumn("_tr", true_range())
-    return df.withColumn(f"atr_pct_{window}", ratio(DAILY.roll(F.avg, "_tr", window), "close")).drop("_tr")
+    df = with_means(df.withColumn("_tr", true_range()), {"_atr": ("_tr", window)})
+    return df.withColumn(f"atr_pct_{window}", ratio("_atr", "close")).drop("_tr", "_atr")
 
 
 def bb_squeeze(df, window=20):
@@ -102,20 +100,19 @@ def hv_ratio(df, short_window=10, long_window=60):
 def rsi(df, windows=(2, 5, 14)):
     step = F.col("close") - DAILY.lag("close")
     df = df.withColumn("_d", F.coalesce(step, F.lit(0.0)))
-    gain = F.greatest(F.col("_d"), F.lit(0.0))
-    loss = F.greatest(-F.col("_d"), F.lit(0.0))
+    df = df.withColumns({"_g": F.greatest(F.col("_d"), F.lit(0.0)), "_l": F.greatest(-F.col("_d"), F.lit(0.0))})
+    # short windows are summed directly, so that a tiny mean loss keeps all its digits
     cols = {}
     for n in windows:
-        ag, al = DAILY.roll(F.avg, gain, n), DAILY.roll(F.avg, loss, n)
+        ag, al = DAILY.roll(F.avg, "_g", n), DAILY.roll(F.avg, "_l", n)
         cols[f"rsi_{n}"] = F.when(al == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + ratio(ag, al)))
-    return df.withColumns(cols).drop("_d")
+    return df.withColumns(cols).drop("_d", "_g", "_l")
 
 
 def macd(df, fast=12, slow=26, signal=9):
-    df = ema(df, "close", fast, "_ef", warmup=True)
-    df = ema(df, "close", slow, "_es", warmup=True)
+    df = emas(df, {"_ef": ("close", fast), "_es": ("close", slow)}, warmup=True)
     df = df.withColumn("macd_line", F.col("_ef") - F.col("_es")).drop("_ef", "_es")
-    df = ema(df, "macd_line", signal, "macd_signal", warmup=True)
+    df = emas(df, {"macd_signal": ("macd_line", signal)}, warmup=True)
     return df.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
 
 
@@ -218,68 +215,142 @@ def market_regime(benchmark):
     s50 = full(F.avg, "close", w.rowsBetween(-49, 0), 50)
     s200 = full(F.avg, "close", w.rowsBetween(-199, 0), 200)
     m = benchmark.select("date", "close", s50.alias("_a"), s200.alias("_b"))
-    up = (F.col("close") > F.col("_a")) & (F.col("_a") > F.col("_b"))
-    down = (F.col("close") < F.col("_a")) & (F.col("_a") < F.col("_b"))
-    return m.select("date", F.when(up, "uptrend").when(down, "downtrend").otherwise("chop").alias("market_regime"))
+    return m.select("date", _regime("close", "_a", "_b").alias("market_regime"))
 
 
 def build_features(bars: DataFrame, benchmark: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every trailing feature in one pass over the bars."""
-    out = bars
-    for step in (
-        sma_distance,
-        lambda d: sma_slope(d, 20, 5),
-        lambda d: sma_slope(d, 50, 5),
-        band_position,
-        n_day_high_low,
-        vol_mult,
-        obv_slope,
-        accumulation_distribution,
-        atr_pct,
-        bb_squeeze,
-        nr4_nr7,
-        hv_ratio,
-        rsi,
-        macd,
-        roc,
-        consecutive_run,
-        gap_pct,
-        range_expansion,
-        body_range_ratio,
-        inside_bar,
-        days_since_last_20pct,
-    ):
-        out = step(out)
-    out = out.withColumn("_s", ratio("close", DAILY.lag("close", 20)) - 1.0)
+    """Every trailing feature in one pass over the bars.
+
+    The same definitions as the single functions, laid out in three steps of windows over
+    one sort: everything that reads the bars, then what reads those, then what reads that.
+    """
+    s, c = DAILY, F.col
+    zero = F.lit(0.0)
+    sma, vols = (10, 20, 50, 200), (5, 10, 20, 30, 60)
+    spans = (20, 60, 252)
+    vol = c("volume").cast("double")
+    first = {
+        "_pc": s.lag("close"),
+        "_ph": s.lag("high"),
+        "_pl": s.lag("low"),
+        "_i": F.row_number().over(s.w),
+        "_cc": F.sum("close").over(s.running()),
+        "_cv": F.sum(vol).over(s.running()),
+        "_sd": s.roll(F.stddev_samp, "close", 20),
+        "_low30": s.roll_prior(F.min, "close", 30),
+        **{f"roc_{n}": ratio("close", s.lag("close", n)) - 1.0 for n in (5, 10, 20, 60)},
+    }
+    # the averages sort once more by block, so they run first, while rows are narrow
+    out = n_day_high_low(macd(bars).withColumns(first), spans)
+    step = F.coalesce(c("close") - c("_pc"), zero)
+    span = c("high") - c("low")
+    flow = F.when(span > 0, ((c("close") - c("low")) - (c("high") - c("close"))) / span).otherwise(0.0)
+    out = out.withColumns(
+        {
+            "_tr": F.greatest(span, F.abs(c("high") - c("_pc")), F.abs(c("low") - c("_pc"))),
+            "_g": F.greatest(step, zero),
+            "_l": F.greatest(-step, zero),
+            "_sv": F.signum(step) * vol,
+            "_mf": flow * vol,
+            "_lr": F.ln(ratio("close", "_pc")),
+            "_hit": F.coalesce(ratio("close", "_low30") >= 1.2, F.lit(False)),
+            "_up": F.when(step <= 0, c("_i")),
+            "_dn": F.when(step >= 0, c("_i")),
+        }
+    )
+
+    def mean(cum, n):
+        return F.when(c("_i") >= n, (c(cum) - F.coalesce(s.lag(cum, n), zero)) / n)
+
+    out = out.withColumns(
+        {
+            **{f"_s{n}": mean("_cc", n) for n in sma},
+            **{f"_v{n}": mean("_cv", n) for n in vols},
+            "_ct": F.sum("_tr").over(s.running()),
+            "_obv": F.sum("_sv").over(s.running()),
+            "ad_line": F.sum("_mf").over(s.running()),
+            "is_nr4": c("_tr") == s.roll(F.min, "_tr", 4),
+            "is_nr7": c("_tr") == s.roll(F.min, "_tr", 7),
+            "hv_ratio_10_60": ratio(s.roll(F.stddev_samp, "_lr", 10), s.roll(F.stddev_samp, "_lr", 60)),
+            "consec_up": (c("_i") - F.last("_up", True).over(s.running())).cast("long"),
+            "consec_down": (c("_i") - F.last("_dn", True).over(s.running())).cast("long"),
+            "_ev": F.when(c("_hit") & ~F.coalesce(s.lag("_hit"), F.lit(False)), c("_i")),
+            **{f"_ag{n}": s.roll(F.avg, "_g", n) for n in (2, 5, 14)},
+            **{f"_al{n}": s.roll(F.avg, "_l", n) for n in (2, 5, 14)},
+        }
+    )
+
+    def slope(n):
+        prev = s.lag(f"_s{n}", 5)
+        return ratio(c(f"_s{n}") - prev, prev)
+
+    tr_before = s.lag("_ct")
+    tr_mean5 = F.when(c("_i") > 5, (tr_before - F.coalesce(s.lag("_ct", 6), zero)) / 5)
+    out = out.withColumns(
+        {
+            **{f"close_over_sma_{n}": ratio("close", f"_s{n}") for n in sma},
+            "sma20_slope_5d": slope(20),
+            "sma50_slope_5d": slope(50),
+            "bb_position_20": F.when(c("_sd") > 0, (c("close") - c("_s20")) / (2 * c("_sd"))),
+            "bb_squeeze_20": ratio(4.0 * c("_sd"), "_s20"),
+            **{f"vol_mult_{n}": F.when(c(f"_v{n}") > 0, ratio(vol, f"_v{n}")) for n in (5, 10, 30, 60)},
+            "obv_slope_20d": ratio(c("_obv") - s.lag("_obv", 20), c("_v20") * 20),
+            "atr_pct_14": ratio(mean("_ct", 14), "close"),
+            "range_expansion_5d": ratio("_tr", tr_mean5),
+            **{
+                f"rsi_{n}": F.when(c(f"_al{n}") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + ratio(f"_ag{n}", f"_al{n}")))
+                for n in (2, 5, 14)
+            },
+            "gap_pct": ratio(c("open") - c("_pc"), "_pc"),
+            "body_range_ratio": F.when(span > 0, F.abs(c("close") - c("open")) / span),
+            "is_inside_bar": (c("high") < c("_ph")) & (c("low") > c("_pl")),
+            "days_since_last_20pct": (c("_i") - F.last("_ev", True).over(s.running())).cast("long"),
+        }
+    )
+    out = out.drop(*[n for n in out.columns if n.startswith("_")])
+    # both peer statistics come from one aggregate of (date, group), joined back
     out = _with_group(out, groups)
-    # both peer statistics come from one aggregate of (date, group)
-    z = F.col("close_over_sma_20")
+    z = c("close_over_sma_20")
     stats = (
-        out.where(F.col("_g").isNotNull())
+        out.where(c("_g").isNotNull())
         .groupBy("date", "_g")
         .agg(
-            F.avg("_s").alias("_m"),
+            F.avg("roc_20").alias("_m"),
             F.avg(z).alias("_zm"),
             F.stddev_samp(z).alias("_zs"),
             F.count(F.lit(1)).alias("_n"),
         )
     )
     out = out.join(stats, ["date", "_g"], "left")
+    out = out.join(_benchmark_days(benchmark, 20), "date", "left")
     out = out.withColumns(
         {
-            "rs_sector_20d": ratio("_s", "_m"),
-            "close_over_sma_20_peer_z": F.when(
-                (F.col("_zs") > 0) & (F.col("_n") >= 2), (z - F.col("_zm")) / F.col("_zs")
-            ),
+            "rs_sector_20d": ratio("roc_20", "_m"),
+            "rs_spy_20d": ratio("roc_20", "_b"),
+            "close_over_sma_20_peer_z": F.when((c("_zs") > 0) & (c("_n") >= 2), (z - c("_zm")) / c("_zs")),
         }
     )
+    return out.drop("_g", "_m", "_zm", "_zs", "_n", "_b")
+
+
+def _benchmark_days(benchmark, lookback):
+    """Benchmark return and regime per day, from one read of the benchmark."""
     from pyspark.sql import Window
 
     w = Window.orderBy("date")
-    bench = benchmark.select("date", (ratio("close", F.lag("close", 20).over(w)) - 1.0).alias("_b"))
-    by_day = bench.join(market_regime(benchmark), "date")
-    out = out.join(by_day, "date", "left").withColumn("rs_spy_20d", ratio("_s", "_b"))
-    return out.drop("_s", "_g", "_m", "_zm", "_zs", "_n", "_b")
+    m = benchmark.select(
+        "date",
+        "close",
+        (ratio("close", F.lag("close", lookback).over(w)) - 1.0).alias("_b"),
+        full(F.avg, "close", w.rowsBetween(-49, 0), 50).alias("_x"),
+        full(F.avg, "close", w.rowsBetween(-199, 0), 200).alias("_y"),
+    )
+    return m.select("date", "_b", _regime("close", "_x", "_y").alias("market_regime"))
+
+
+def _regime(px, short, long):
+    px, a, b = F.col(px), F.col(short), F.col(long)
+    return F.when((px > a) & (a > b), "uptrend").when((px < a) & (a < b), "downtrend").otherwise("chop")
 
 
 SCAN_FEATURES = (
@@ -307,25 +378,26 @@ def scan_features(df, threshold=0.20, require_history=True):
         }
     )
     fmax = F.when(F.col("_row") >= 30, F.col("_fmax")) if require_history else F.col("_fmax")
+    means = {"atr_pct_14": ("hl_pct", 14), "_vol20": ("volume", 20)}
+    means |= {f"_sma{n}": (px, n) for n in (20, 50, 200)}
+    tops = {"_top252": (F.max, px, 252), "_low252": (F.min, px, 252), "_top30": (F.max, px, 30), "_low30": (F.min, px, 30)}
+    df = with_extremes(with_means(df, means), tops)
     df = df.withColumns(
         {
-            "atr_pct_14": s.roll(F.avg, "hl_pct", 14),
-            "pct_of_252d_high": ratio(px, s.roll(F.max, px, 252)),
-            "pct_of_252d_low": ratio(px, s.roll(F.min, px, 252)),
-            "close_over_sma_20": ratio(px, s.roll(F.avg, px, 20)),
-            "close_over_sma_50": ratio(px, s.roll(F.avg, px, 50)),
-            "close_over_sma_200": ratio(px, s.roll(F.avg, px, 200)),
-            "vol_ratio_20": ratio(F.col("volume").cast("double"), s.roll(F.avg, "volume", 20)),
+            "pct_of_252d_high": ratio(px, "_top252"),
+            "pct_of_252d_low": ratio(px, "_low252"),
+            **{f"close_over_sma_{n}": ratio(px, f"_sma{n}") for n in (20, 50, 200)},
+            "vol_ratio_20": ratio(F.col("volume").cast("double"), "_vol20"),
             "rvol_20": s.roll(F.stddev_samp, "_r1", 20),
             "ret_5d": ratio(px, s.lag(px, 5)) - 1.0,
             "ret_20d": ratio(px, s.lag(px, 20)) - 1.0,
             "ret_60d": ratio(px, s.lag(px, 60)) - 1.0,
-            "distance_from_max_30": ratio(px, s.roll(F.max, px, 30)),
-            "distance_from_min_30": ratio(px, s.roll(F.min, px, 30)),
+            "distance_from_max_30": ratio(px, "_top30"),
+            "distance_from_min_30": ratio(px, "_low30"),
             "winner": (ratio(fmax, px) >= 1.0 + threshold).cast("int"),
         }
     )
-    return df.drop("_r1", "_fmax", "_row")
+    return df.drop("_r1", "_fmax", "_row", *[n for n in (*means, *tops) if n.startswith("_")])
 
 
 def panel_features(daily):

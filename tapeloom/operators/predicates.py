@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import ratio
+from ..functions.windows import ratio, row_of
 
 _OPS = {
     "<": operator.lt,
@@ -259,17 +259,17 @@ def cap_bucket(df, shares, bounds=(1e9, 3e9, 6e9, 1.2e10)):
 
 def standardise(df, features, medians, moments):
     """Median impute, then population z.  ``medians``/``moments`` are one-row frames."""
-    cols = {}
+    cols, med, mom = {}, row_of(medians), row_of(moments)
     for f in features:
-        x = F.coalesce(finite(f), medians.select(f).scalar(), F.lit(0.0))
-        mean, sd = moments.select(f"{f}_mean").scalar(), moments.select(f"{f}_sd").scalar()
+        x = F.coalesce(finite(f), med[f], F.lit(0.0))
+        mean, sd = mom[f"{f}_mean"], mom[f"{f}_sd"]
         cols[f"{f}_z"] = ratio(x - mean, sd)
     return df.withColumns(cols)
 
 
 def impute_moments(df, features, medians):
-    aggs = []
+    aggs, med = [], row_of(medians)
     for f in features:
-        x = F.coalesce(finite(f), medians.select(f).scalar(), F.lit(0.0))
+        x = F.coalesce(finite(f), med[f], F.lit(0.0))
         aggs += [F.avg(x).alias(f"{f}_mean"), F.stddev_pop(x).alias(f"{f}_sd")]
     return df.agg(*aggs)

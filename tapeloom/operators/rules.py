@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, running_before
 from ..functions.windows import ratio
+from ..session import staged
 from .predicates import all_hold, range_label
 
 
@@ -46,23 +47,35 @@ def firings(df, rules, keep=("symbol", "date")):
     return df.select(*keep, F.explode(fired_keys(rules, df.columns)).alias("rule_key"))
 
 
-def evaluate(df, rules, label="is_winner", by=()):
-    """Coverage, precision and lift of every rule, optionally per group.
+ALL = "*"
+
+
+def rule_counts(df, rules, label="is_winner", by=()):
+    """Rows and positives per (group, rule), with the group's own totals beside them.
 
-    Firings are combined on the map side to one partial row per (group, rule), so the
-    shuffle does not grow with coverage.  Groups are fixed lists (windows, regimes).
+    One scan: every row counts for each rule it fires and for the group itself (key
+    ``*``), and is combined on the map side, so the shuffle holds one partial row per
+    (group, rule) and task whatever the coverage.
     """
     by = list(by)
-    y = F.col(label).cast("int")
-    data = df.where(F.col(label).isNotNull())
-    base = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(y).alias("n_pos"))
-    hits = firings(data, rules, (*by, label)).groupBy(*by, "rule_key").agg(
-        F.count(F.lit(1)).alias("coverage_n"), F.sum(y).alias("n_hit")
+    y = F.col(label).cast("int").alias("_y")
+    keys = F.array_append(fired_keys(rules, df.columns), F.lit(ALL))
+    d = df.where(F.col(label).isNotNull()).select(*by, y, F.explode(keys).alias("rule_key"))
+    d = d.groupBy(*by, "rule_key").agg(F.count(F.lit(1)).alias("coverage_n"), F.sum("_y").alias("n_hit"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    own = F.col("rule_key") == ALL
+    return d.withColumns(
+        {
+            "n_rows": F.max(F.when(own, F.col("coverage_n"))).over(w),
+            "n_pos": F.max(F.when(own, F.col("n_hit"))).over(w),
+        }
     )
-    if by:
-        hits = hits.join(F.broadcast(base), by)
-    else:
-        hits = hits.withColumns({c: base.select(c).scalar() for c in ("n_rows", "n_pos")})
+
+
+def evaluate(df, rules, label="is_winner", by=()):
+    """Coverage, precision and lift of every rule that fires, optionally per group."""
+    by = list(by)
+    hits = rule_counts(df, rules, label, by).where(F.col("rule_key") != ALL)
     return hits.select(
         *by,
         "rule_key",
@@ -135,20 +148,27 @@ def window_id(windows, date_col="date"):
 def walk_forward(df, rules, windows, label="is_winner"):
     """Rule metrics per window, zero rows included where a rule never fires."""
     data = df.withColumn("window_id", window_id(windows)).where(F.col("window_id").isNotNull())
-    got = evaluate(data, rules, label, ["window_id"])
-    base = data.where(F.col(label).isNotNull()).groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
-    keys = F.array(*[F.lit(r.key) for r in rules])
-    grid = base.select("window_id", "n", F.explode(keys).alias("rule_key"))
-    full = grid.join(got, ["window_id", "rule_key"], "left")
-    return full.select(
+    got = rule_counts(data, rules, label, ["window_id"])
+    # one map per window over the fixed rule list, read once per rule
+    cell = F.struct("coverage_n", "n_hit")
+    per = got.groupBy("window_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("rule_key", cell))).alias("m"),
+        F.max("n_rows").alias("n"),
+        F.max("n_pos").alias("p"),
+    )
+    d = per.select("window_id", "n", "p", "m", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule_key"))
+    got = F.try_element_at("m", F.col("rule_key"))
+    match, hit = F.coalesce(got["coverage_n"], F.lit(0)), F.coalesce(got["n_hit"], F.lit(0))
+    prec = F.coalesce(F.try_divide(hit, match), F.lit(0.0))
+    return d.select(
         "rule_key",
         "window_id",
-        F.coalesce("lift", F.lit(0.0)).alias("val_lift"),
-        F.coalesce("precision", F.lit(0.0)).alias("val_precision"),
-        F.coalesce(F.col("coverage_n") / F.col("n"), F.lit(0.0)).alias("val_coverage"),
-        F.coalesce("n_hit", F.lit(0)).alias("val_n_winners"),
+        F.coalesce(ratio(prec, F.col("p") / F.col("n")), F.lit(0.0)).alias("val_lift"),
+        prec.alias("val_precision"),
+        (match / F.col("n")).alias("val_coverage"),
+        hit.alias("val_n_winners"),
         F.col("n").alias("val_n_samples"),
-        F.coalesce("coverage_n", F.lit(0)).alias("n_match"),
+        match.alias("n_match"),
     )
 
 
@@ -225,6 +245,7 @@ def cooldown(fired, days, keys=("symbol", "rule_key")):
 
 def trade_economics(fired, endpoint="forward_endpoint_pct", hold=20):
     """Fires, distinct dates, win rate, mean gain and loss, expected value per rule."""
+    fired = staged(fired.select("rule_key", "date", endpoint))
     x = F.col(endpoint)
     win = x > 0
     agg = fired.groupBy("rule_key").agg(
@@ -235,7 +256,7 @@ def trade_economics(fired, endpoint="forward_endpoint_pct", hold=20):
         F.coalesce(F.avg(F.when(~win, x)), F.lit(0.0)).alias("mean_loss_pct"),
         F.avg(win.cast("double")).alias("win_rate"),
     )
-    med = exact_quantiles(fired, ["rule_key"], endpoint, {"median_endpoint_pct": 0.5})
+    med = exact_quantiles(fired, ["rule_key"], endpoint, {"median_endpoint_pct": 0.5}, stage=False)
     ev = F.col("win_rate") * F.col("mean_gain_pct") + (1.0 - F.col("win_rate")) * F.col("mean_loss_pct")
     agg = agg.join(med, "rule_key").withColumn("ev_per_trade_pct", ev)
     grow = 1.0 + F.col("ev_per_trade_pct") / 100.0

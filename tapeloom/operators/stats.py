@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, running_before
-from ..functions.windows import Series, ratio, safe_corr
+from ..functions.windows import Series, ratio, row_of, safe_corr
 from ..session import staged
 
 
@@ -48,7 +48,7 @@ def cohens_d(df, features, label, least=100):
 def quartile_bins(df, features, keep):
     """Quartile 0-3 of each value against the whole frame's quartiles; null stays null."""
     long = staged(unpivot(df, keep, features).where(F.col("value").isNotNull()))
-    q = exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, stage=False)
     v = F.col("value")
     binned = long.join(F.broadcast(q), "feature")  # one row per feature
     quart = F.when(v < F.col("q25"), 0).when(v < F.col("q50"), 1).when(v < F.col("q75"), 2).otherwise(3)
@@ -58,9 +58,9 @@ def quartile_bins(df, features, keep):
 def quartile_columns(df, features, cuts):
     """The same bins as one int column per feature (``cuts`` is one row per feature)."""
     wide = cuts.agg(*[F.max(F.when(F.col("feature") == f, F.struct("q25", "q50", "q75"))).alias(f) for f in features])
-    cols = {}
+    cols, row = {}, row_of(wide)
     for f in features:
-        c, v = wide.select(f).scalar(), F.col(f)
+        c, v = row[f], F.col(f)
         cols[f"q_{f}"] = F.when(
             v.isNotNull(), F.when(v < c["q25"], 0).when(v < c["q50"], 1).when(v < c["q75"], 2).otherwise(3)
         )
@@ -69,7 +69,7 @@ def quartile_columns(df, features, cuts):
 
 def feature_cuts(df, features):
     long = unpivot(df, [], features).where(F.col("value").isNotNull())
-    return exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, stage=False)
 
 
 def best_quartile(binned, label):
@@ -79,31 +79,68 @@ def best_quartile(binned, label):
     return cells.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def pairwise_scan(df, features, label, min_share=0.005):
-    """Best 4 x 4 quartile cell of every feature pair and its synergy over single features.
+def pair_cells(df, features, label):
+    """Winner sum and row count of every 4 x 4 quartile cell of every feature pair.
 
-    Each row contributes one cell per pair, combined on the map side: the shuffle holds
-    at most sixteen partial rows per pair and task whatever the row count.
+    ``df`` has one ``q_<feature>`` column (0-3 or null) per feature.  Features go in
+    blocks of three; a row adds to one cell per pair of blocks, which is a ninth of the
+    feature pairs, and the feature pairs are read off the block cells.  Cells combine on
+    the map side, so the shuffle is bounded by the number of cells, not of rows.  The
+    diagonal pair (x, x) holds the single feature.
     """
-    data = staged(df.where(F.col(label).isNotNull()).select(label, *features))
-    cuts = feature_cuts(data, features)
-    d = quartile_columns(data, features, cuts)
-    total = data.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base"))
-    n_all, base = total.select("n").scalar(), total.select("base").scalar()
-
-    def cell(x, y):
-        return F.struct(
-            F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"q_{x}").alias("qx"), F.col(f"q_{y}").alias("qy")
-        )
+    blocks = [list(features[i : i + 3]) for i in range(0, len(features), 3)]
+    duos = list(combinations(range(len(blocks)), 2)) or [(0, 0)]
+
+    def members(duo):
+        a, b = duo
+        return blocks[a] + (blocks[b] if a != b else [])
+
+    # digits in base 5: a quartile, or 4 where the value is missing
+    def code(n, duo):
+        total = F.lit(n)
+        for f in members(duo) + [None] * (6 - len(members(duo))):
+            digit = F.lit(4) if f is None else F.coalesce(F.col(f"q_{f}"), F.lit(4))
+            total = total * 5 + digit
+        return total
+
+    codes = F.array(*[code(n, d) for n, d in enumerate(duos)])
+    got = df.select(F.col(label).alias("_y"), F.explode(codes).alias("_c")).groupBy("_c")
+    got = got.agg(F.sum("_y").alias("_w"), F.count("_y").alias("_n"))
+
+    def digit(pos):
+        return F.floor(F.col("_c") / 5 ** (5 - pos)).cast("int") % 5
+
+    seen, choices = set(), []
+    for n, duo in enumerate(duos):
+        names, cells = members(duo), []
+        for i, x in enumerate(names):
+            for j, y in enumerate(names):
+                key = (x, y) if features.index(x) <= features.index(y) else None
+                if key is None or key in seen:
+                    continue
+                seen.add(key)
+                cells.append(
+                    F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), digit(i).alias("qx"), digit(j).alias("qy"))
+                )
+        choices.append((n, F.array(*cells)))
+    pick = None
+    for n, cells in choices:
+        hit = F.floor(F.col("_c") / 5**6) == n
+        pick = F.when(hit, cells) if pick is None else pick.when(hit, cells)
+    long = got.select("_w", "_n", F.inline(pick)).where("qx < 4 AND qy < 4")
+    return long.groupBy("x", "y", "qx", "qy").agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"))
 
-    pairs = F.array(*[cell(x, y) for x, y in combinations(features, 2)], *[cell(x, x) for x in features])
-    cells = (
-        d.select(label, F.inline(pairs))
-        .where("qx IS NOT NULL AND qy IS NOT NULL")
-        .groupBy("x", "y", "qx", "qy")
-        .agg(F.avg(label).alias("rate"), F.count(label).alias("n"))
-        .withColumn("lift", ratio("rate", base))
-    )
+
+def pairwise_scan(df, features, label, min_share=0.005):
+    """Best 4 x 4 quartile cell of every feature pair and its synergy over single features."""
+    features = list(features)
+    data = staged(df.where(F.col(label).isNotNull()).select(label, *features))
+    cuts = staged(feature_cuts(data, features))
+    total = row_of(data.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base")))
+    n_all, base = total["n"], total["base"]
+    cells = pair_cells(quartile_columns(data, features, cuts), features, label)
+    cells = cells.withColumn("rate", F.col("w") / F.col("n"))
+    cells = staged(cells.withColumn("lift", ratio("rate", base)))  # sixteen rows per pair, read three times
     single = cells.where("x = y").groupBy(F.col("x").alias("f")).agg(F.max("lift").alias("best"))
     w = Window.partitionBy("x", "y").orderBy(F.round("lift", 9).desc(), "qx", "qy")
     top = (
@@ -140,7 +177,8 @@ def top_share(df, score, ties, divisor=10):
     flip = d.withColumn("_neg", -F.col(score)).withColumn("_one", F.lit(1))
     ranks = running_before(flip, [], "_neg", ["_one"])
     cut = ranks.where(F.col("_one_before") < k).agg(F.max("_neg").alias("s"), F.max("_one_before").alias("above"))
-    s, above = cut.select("s").scalar(), cut.select("above").scalar()
+    cut = row_of(staged(cut))
+    s, above = cut["s"], cut["above"]
     flip = flip.withColumns({"_s": s, "_left": k - above})
     sure = flip.where(F.col("_neg") < F.col("_s"))
     tied = flip.where(F.col("_neg") == F.col("_s"))
@@ -379,7 +417,7 @@ def ols(df, y, xs):
 
     m = df.agg(*[F.avg(x).alias(f"m_{x}") for x in xs], *[F.stddev_pop(x).alias(f"s_{x}") for x in xs])
     z = df.withColumns(
-        {f"z_{x}": F.coalesce(ratio(F.col(x) - m.select(f"m_{x}").scalar(), m.select(f"s_{x}").scalar()), F.lit(0.0)) for x in xs}
+        {f"z_{x}": F.coalesce(ratio(F.col(x) - row_of(m)[f"m_{x}"], row_of(m)[f"s_{x}"]), F.lit(0.0)) for x in xs}
     )
     z = z.na.drop(subset=[y])
     v = VectorAssembler(inputCols=[f"z_{x}" for x in xs], outputCol="features").transform(z)

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.windows import DAILY, ratio
+from ..functions.windows import DAILY, ratio, row_of
+from ..session import staged
 from .joins import interval_join
 
 
@@ -39,7 +40,7 @@ def equity_curve(trades, by, day, order, pnl, start):
     """
     by = list(by)
     wd = Window.partitionBy(*by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = trades.withColumn("_in", F.sum(pnl).over(wd)).withColumn("_mx", F.max("_in").over(wd))
+    d = staged(trades.withColumn("_in", F.sum(pnl).over(wd)).withColumn("_mx", F.max("_in").over(wd)))
     days = d.groupBy(*by, day).agg(F.sum(pnl).alias("_p"), F.max("_in").alias("_m"))
     wb = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_b", F.coalesce(F.sum("_p").over(wb), F.lit(0.0)))
@@ -68,14 +69,14 @@ def curve_stats(curve, by):
 
 def window_stats(trades, window_col, position_usd, start):
     """Per window: count, win rate, mean and median return, Sharpe and drawdown of the curve."""
-    t = trades.withColumn("usd", F.col("gross_pnl_pct") / 100.0 * position_usd)
+    t = staged(trades.withColumn("usd", F.col("gross_pnl_pct") / 100.0 * position_usd))
     g = F.col("gross_pnl_pct")
     agg = t.groupBy(window_col).agg(
         F.avg((g > 0).cast("double")).alias("win_rate"),
         F.avg(g).alias("mean_gross_pnl_pct"),
         F.sum("usd").alias("total_gross_pnl_usd"),
     )
-    med = exact_quantiles(t, [window_col], "gross_pnl_pct", {"median_gross_pnl_pct": 0.5})
+    med = exact_quantiles(t, [window_col], "gross_pnl_pct", {"median_gross_pnl_pct": 0.5}, stage=False)
     st = curve_stats(equity_curve(t, [window_col], "exit_date", ["symbol", "entry_date"], "usd", start), [window_col])
     return agg.join(med, window_col).join(st, window_col)
 
@@ -336,6 +337,7 @@ def attribution(trades, labels):
     j = trades.join(lab, "entry_date", "left").withColumn(
         "regime_label", F.coalesce("regime_label", F.lit("unlabeled"))
     )
+    j = staged(j)
     x, by = F.col("net_pnl_pct"), ["strategy_id", "regime_label"]
     mean_hold = F.coalesce(F.avg("hold_days"), F.lit(1.0))
     n = F.count(F.lit(1))
@@ -351,7 +353,7 @@ def attribution(trades, labels):
         F.when(n >= 30, "high").when(n >= 10, "medium").otherwise("low").alias("confidence"),
         F.count(x).alias("_has"),
     )
-    med = exact_quantiles(j, by, "net_pnl_pct", {"median_pnl_pct": 0.5})
+    med = exact_quantiles(j, by, "net_pnl_pct", {"median_pnl_pct": 0.5}, stage=False)
     sid = F.lower("strategy_id")
     tight = sid.startswith("stream_2c_grid") | sid.contains("dca")
     return (
@@ -494,7 +496,8 @@ def deal_metrics(deals, equity, starting):
         F.count_if(F.col("reason") == "horizon").alias("n_horizon"),
         F.count_if(F.col("reason") == "data_end").alias("n_data_end"),
     ).withColumn("rr_realized", ratio("mean_loss_usd", "mean_win_usd"))
-    return ds.withColumns({c: es.select(c).scalar() for c in es.columns})
+    row = row_of(es)
+    return ds.withColumns({c: row[c] for c in es.columns})
 
 
 def peak_capital(deals, open_col, close_col, cost):

@@ -316,7 +316,7 @@ MATRIX_MACD = " f:macd_line f:macd_signal f:macd_hist i:consec_up i:consec_down"
 )
 def f26(spark, sf):
     cols = [x.rpartition(":")[2] for x in (MATRIX_SPEC + MATRIX_MACD).split()]
-    return emit(feature_matrix(Tables(spark, sf)), "symbol", "date", *cols, coarse=("rs_sector_20d", "rs_spy_20d"))
+    return emit(feature_matrix(Tables(spark, sf, share=True)), "symbol", "date", *cols, coarse=("rs_sector_20d", "rs_spy_20d"))
 
 
 _P = "close_adj"

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..functions.windows import row_of
 from ..operators import labels as lb
+from ..session import staged
 from .common import E, Tables, emit
 from .registry import add_cte, div, fwd, lag, lead, query, roll, prior, win
 
@@ -229,6 +231,7 @@ def l12(spark, sf):
 def l13(spark, sf):
     y = F.col(SPEC.label_column())
     d = lb.sustained_winner(Tables(spark, sf).bars(), SPEC).where(y.isNotNull())
+    d = staged(d.select(SPEC.label_column(), "forward_max_pct", "forward_endpoint_pct"))
     one = d.agg(
         F.count(F.lit(1)).alias("n_labelable_rows"),
         F.count_if(y).alias("n_winners"),
@@ -244,9 +247,10 @@ def l13(spark, sf):
         ("median_end_winners", F.when(y, F.col("forward_endpoint_pct"))),
     ]
     long = d.select(F.inline(F.array(*[F.struct(F.lit(n).alias("m"), x.alias("v")) for n, x in pieces])))
-    med = exact_quantiles(long, ["m"], "v", {"q": 0.5})
+    med = exact_quantiles(long, ["m"], "v", {"q": 0.5}, stage=False)
     med = med.agg(*[F.max(F.when(F.col("m") == n, F.col("q"))).alias(n) for n, _ in pieces])
-    return emit(one.withColumns({n: med.select(n).scalar() for n, _ in pieces}))
+    row = row_of(med)
+    return emit(one.withColumns({n: row[n] for n, _ in pieces}))
 
 
 @query(

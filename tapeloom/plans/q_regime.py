@@ -147,7 +147,7 @@ def panel_of(t):
     ),
 )
 def g1(spark, sf):
-    d = rg.sma_spread_slope(Tables(spark, sf).market_ohlcv(), "slope")
+    d = rg.sma_spread_slope(Tables(spark, sf, share=True).market_ohlcv(), "slope")
     return emit(
         d.select(
             "date",
@@ -163,18 +163,18 @@ def g1(spark, sf):
 
 @query("g2_rolling_correlation", E("d:date f:crypto_equity_30d_corr", "SELECT * FROM cross_asset"))
 def g2(spark, sf):
-    f = Feeds(Tables(spark, sf))
+    f = Feeds(Tables(spark, sf, share=True))
     return emit(rg.cross_asset_block(f.market(), f.one("1")), "date", "crypto_equity_30d_corr")
 
 
 @query("g3_crypto_block", E("d:date " + fs(C_COLS), "SELECT * FROM crypto"))
 def g3(spark, sf):
-    return emit(rg.crypto_block(Tables(spark, sf).market_ohlcv()), "date", *C_COLS)
+    return emit(rg.crypto_block(Tables(spark, sf, share=True).market_ohlcv()), "date", *C_COLS)
 
 
 @query("g4_equity_block", E("d:date " + fs(E_COLS), "SELECT * FROM equity"))
 def g4(spark, sf):
-    f = Feeds(Tables(spark, sf))
+    f = Feeds(Tables(spark, sf, share=True))
     return emit(rg.equity_block(f.one("1"), f.one("2"), f.one("3"), f.one("4")), "date", *E_COLS)
 
 
@@ -183,23 +183,23 @@ def g4(spark, sf):
     E("d:date " + fs(E_COLS), "SELECT date, spx_sma50_200_position, spx_6mo_return, NULL AS spx_vix_level, NULL AS spx_vix_pct_30d_rank, NULL AS spx_credit_spread_proxy FROM equity"),
 )
 def g4b(spark, sf):
-    return emit(rg.equity_block(Feeds(Tables(spark, sf)).one("1")), "date", *E_COLS)
+    return emit(rg.equity_block(Feeds(Tables(spark, sf, share=True)).one("1")), "date", *E_COLS)
 
 
 @query("g5_cross_asset_block", E("d:date " + fs(X_COLS), "SELECT * FROM cross_asset"))
 def g5(spark, sf):
-    f = Feeds(Tables(spark, sf))
+    f = Feeds(Tables(spark, sf, share=True))
     return emit(rg.cross_asset_block(f.market(), f.one("1"), f.alts(), f.one("5"), f.one("6")), "date", *X_COLS)
 
 
 @query("g6_regime_panel", E("d:date " + fs(C_COLS + E_COLS + X_COLS), "SELECT * FROM rpanel"))
 def g6(spark, sf):
-    return emit(panel_of(Tables(spark, sf)), "date", *C_COLS, *E_COLS, *X_COLS)
+    return emit(panel_of(Tables(spark, sf, share=True)), "date", *C_COLS, *E_COLS, *X_COLS)
 
 
 @query("j5_full_outer_on_date", E("d:date f:a f:b", "SELECT date, a.close AS a, b.close AS b FROM spy a FULL JOIN vix b USING (date)"))
 def j5(spark, sf):
-    f = Feeds(Tables(spark, sf))
+    f = Feeds(Tables(spark, sf, share=True))
     d = f.one("1").withColumnRenamed("close", "a").join(f.one("2").withColumnRenamed("close", "b"), "date", "full_outer")
     return emit(d, "date", "a", "b")
 
@@ -248,7 +248,7 @@ def labels_of(t):
     E("d:date regime_label_rule b:was_unlabeled", "SELECT *, regime_label_rule = 'unlabeled' AS was_unlabeled FROM rlabels"),
 )
 def g7(spark, sf):
-    return emit(labels_of(Tables(spark, sf)), "date", "regime_label_rule", "was_unlabeled")
+    return emit(labels_of(Tables(spark, sf, share=True)), "date", "regime_label_rule", "was_unlabeled")
 
 
 @query(
@@ -259,12 +259,12 @@ def g7(spark, sf):
     ),
 )
 def g8(spark, sf):
-    return emit(rg.coverage(labels_of(Tables(spark, sf))))
+    return emit(rg.coverage(labels_of(Tables(spark, sf, share=True))))
 
 
 @query("g8_year_by_regime", "SELECT year(date) AS year, regime_label_rule, count(*) AS n FROM rlabels GROUP BY 1, 2")
 def g8b(spark, sf):
-    d = labels_of(Tables(spark, sf))
+    d = labels_of(Tables(spark, sf, share=True))
     return d.groupBy(F.year("date").cast("long").alias("year"), "regime_label_rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -273,7 +273,7 @@ def g8b(spark, sf):
     "SELECT regime_label_rule, count(*) FILTER (vol_tercile = 'low') AS low, count(*) FILTER (vol_tercile = 'mid') AS mid, count(*) FILTER (vol_tercile = 'high') AS high FROM rlabels JOIN terciles USING (date) GROUP BY 1",
 )
 def g8c(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     j = labels_of(t).join(fx.vol_terciles(t.market()).select("date", "vol_tercile"), "date")
     cells = j.groupBy("regime_label_rule").pivot("vol_tercile", ["low", "mid", "high"]).agg(F.count(F.lit(1)))
     return cells.na.fill(0)
@@ -293,7 +293,7 @@ def labelled_of(t):
 
 @query("g9_walk_forward_folds", E("i:fold d:train_start d:train_end d:val_start d:val_end", "SELECT * FROM folds"))
 def g9(spark, sf):
-    d = rg.folds(labelled_of(Tables(spark, sf)))
+    d = rg.folds(labelled_of(Tables(spark, sf, share=True)))
     return emit(d.withColumn("fold", F.col("fold").cast("long")))
 
 
@@ -302,7 +302,7 @@ def g9(spark, sf):
     E("regime_label_rule n_class f:class_weight", "SELECT regime_label_rule, count(*) AS n_class, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS class_weight FROM labelled GROUP BY 1"),
 )
 def g10(spark, sf):
-    return emit(rg.class_weights(labelled_of(Tables(spark, sf)), "regime_label_rule"), "regime_label_rule", "n_class", "class_weight")
+    return emit(rg.class_weights(labelled_of(Tables(spark, sf, share=True)), "regime_label_rule"), "regime_label_rule", "n_class", "class_weight")
 
 
 # a prediction to score: yesterday's label
@@ -336,12 +336,12 @@ add_cte("fmets", metrics_sql("pred_fold", "fold"))
 
 @query("g11_class_metrics", E("class f:precision f:recall f:f1 i:support", "SELECT * FROM mets"))
 def g11(spark, sf):
-    return emit(rg.class_metrics(pred_of(Tables(spark, sf)), "y", "p"))
+    return emit(rg.class_metrics(pred_of(Tables(spark, sf, share=True)), "y", "p"))
 
 
 @query("g11_f1_summary", E("f:macro_f1 f:weighted_f1 i:n_val", "SELECT avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, sum(support) AS n_val FROM mets"))
 def g11b(spark, sf):
-    return emit(rg.f1_summary(rg.class_metrics(pred_of(Tables(spark, sf)), "y", "p")))
+    return emit(rg.f1_summary(rg.class_metrics(pred_of(Tables(spark, sf, share=True)), "y", "p")))
 
 
 @query(
@@ -349,7 +349,7 @@ def g11b(spark, sf):
     "SELECT a.regime_label_rule AS label_a, b.regime_label AS label_b, count(*) AS n, CAST(a.regime_label_rule = b.regime_label AS INTEGER) AS agrees FROM rlabels a JOIN heur b USING (date) GROUP BY ALL",
 )
 def g12(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     a = labels_of(t).select("date", F.col("regime_label_rule").alias("label_a"))
     b = pr.heuristic_regime(fx.panel_features(t.market())).select("date", F.col("regime_label").alias("label_b"))
     return rg.agreement(a, b)
@@ -360,7 +360,7 @@ REG_FEATS = C_COLS
 
 @query("g13_classifier_scores")
 def g13(spark, sf):
-    d = staged(labels_of(Tables(spark, sf)).select("date", "regime_label_rule", *REG_FEATS))
+    d = staged(labels_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
     train = d.where("regime_label_rule <> 'unlabeled' AND date <= DATE '1999-12-31'")
     _, out = rg.fit_and_score(train, d, REG_FEATS)
     return emit(out)
@@ -374,7 +374,7 @@ def g13(spark, sf):
     ),
 )
 def g14(spark, sf):
-    d = labels_of(Tables(spark, sf)).select("date", "regime_label_rule")
+    d = labels_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule")
     lab = d.where("regime_label_rule <> 'unlabeled'")
     return emit(rg.point_in_time_sets(d.select("date"), lab.select("date"), 30), "date", "train_set_size", "train_end_date", "is_refit")
 
@@ -388,7 +388,7 @@ def g14(spark, sf):
     ),
 )
 def g15(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     lab = staged(labelled_of(t).select("date", "regime_label_rule"))
     from pyspark.sql import Window
 
@@ -400,7 +400,7 @@ def g15(spark, sf):
 
 @query("g16_feature_importance")
 def g16(spark, sf):
-    d = staged(labelled_of(Tables(spark, sf)).select("date", "regime_label_rule", *REG_FEATS))
+    d = staged(labelled_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
     model, _ = rg.fit_and_score(d, d, REG_FEATS)
     return md.importances(spark, model, REG_FEATS, 5)
 
@@ -415,7 +415,7 @@ def g16(spark, sf):
 def p1(spark, sf):
     from datetime import date
 
-    d = pr.split_by_date(Tables(spark, sf).bars(), date(1998, 12, 31), date(1999, 12, 31))
+    d = pr.split_by_date(Tables(spark, sf, share=True).bars(), date(1998, 12, 31), date(1999, 12, 31))
     return emit(d.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")))
 
 
@@ -424,7 +424,7 @@ def p1(spark, sf):
     "SELECT symbol, CAST(date AS VARCHAR) AS date FROM bars WHERE date BETWEEN DATE '1998-07-01' AND DATE '1998-12-31' OR date BETWEEN DATE '2000-01-01' AND DATE '2000-08-31'",
 )
 def p2(spark, sf):
-    d = Tables(spark, sf).bars().where(pr.in_ranges([("1998-07-01", "1998-12-31"), ("2000-01-01", "2000-08-31")]))
+    d = Tables(spark, sf, share=True).bars().where(pr.in_ranges([("1998-07-01", "1998-12-31"), ("2000-01-01", "2000-08-31")]))
     return emit(d, "symbol", "date")
 
 
@@ -436,7 +436,7 @@ def p4(spark, sf):
     # a bare division of doubles outside strict mode would give infinities; make them here
     span = F.col("high") - F.col("low")
     raw = F.when(span == 0, F.when(F.col("volume") > 25, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).otherwise((F.col("close") - F.col("low")) / span)
-    d = Tables(spark, sf).bars().select("symbol", pr.finite(raw).alias("x"))
+    d = Tables(spark, sf, share=True).bars().select("symbol", pr.finite(raw).alias("x"))
     return d.groupBy("symbol").agg(F.count("x").alias("n_finite"), F.sum(F.col("x").isNull().cast("long")).alias("n_missing"))
 
 
@@ -446,12 +446,12 @@ _LV = ("chop", "downtrend", "uptrend", "sideways")
 @query("p5_one_hot", "SELECT CAST(date AS VARCHAR) AS date, " + ", ".join(f"CAST(regime_label = '{v}' AS INTEGER) AS market_regime_{v}" for v in _LV) + " FROM regimes")
 def p5(spark, sf):
     # a level that never occurs gives a column of zeros
-    return emit(pr.one_hot(fx.market_regime(Tables(spark, sf).market()), "market_regime", _LV))
+    return emit(pr.one_hot(fx.market_regime(Tables(spark, sf, share=True).market()), "market_regime", _LV))
 
 
 @query("p6_complete_cases", "SELECT symbol, CAST(date AS VARCHAR) AS date FROM rf WHERE atr_pct_14 IS NOT NULL AND pct_of_60d_high IS NOT NULL AND is_winner IS NOT NULL")
 def p6(spark, sf):
-    d = rule_frame(Tables(spark, sf)).na.drop(subset=["atr_pct_14", "pct_of_60d_high", "is_winner"])
+    d = rule_frame(Tables(spark, sf, share=True)).na.drop(subset=["atr_pct_14", "pct_of_60d_high", "is_winner"])
     return emit(d, "symbol", "date")
 
 
@@ -475,7 +475,7 @@ def concepts_of(t):
 
 @query("p7_concepts", "SELECT symbol, CAST(date AS VARCHAR) AS date, " + ", ".join(n for n, *_ in _CONCEPTS) + " FROM concepts")
 def p7(spark, sf):
-    return emit(concepts_of(Tables(spark, sf)), "symbol", "date", *[n for n, *_ in _CONCEPTS])
+    return emit(concepts_of(Tables(spark, sf, share=True)), "symbol", "date", *[n for n, *_ in _CONCEPTS])
 
 
 @query(
@@ -485,7 +485,7 @@ def p7(spark, sf):
 def p8(spark, sf):
     c = F.col
     ladder = [("oversold", c("rsi_14") < 30.3), ("overbought", c("rsi_14") > 70.3), ("active", c("vol_mult_30") > 1.503)]
-    d = rule_frame(Tables(spark, sf)).select(pr.first_match(ladder, "none").alias("band"))
+    d = rule_frame(Tables(spark, sf, share=True)).select(pr.first_match(ladder, "none").alias("band"))
     return d.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -494,22 +494,22 @@ H_SPEC = "d:date regime_label f:regime_confidence"
 
 @query("p9_discrete_regime_score", E(H_SPEC, "SELECT * FROM heur"))
 def p9(spark, sf):
-    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf).market())), "date", "regime_label", "regime_confidence")
+    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf, share=True).market())), "date", "regime_label", "regime_confidence")
 
 
 @query("p9_discrete_regime_score_strict", E(H_SPEC, _pick(_disc(pr.STRICT))))
 def p9b(spark, sf):
-    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf).market()), True), "date", "regime_label", "regime_confidence")
+    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf, share=True).market()), True), "date", "regime_label", "regime_confidence")
 
 
 @query("p10_continuous_regime_score", E(H_SPEC, _pick(_cont(pr.LOOSE))))
 def p10(spark, sf):
-    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf).market()), False, True), "date", "regime_label", "regime_confidence")
+    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf, share=True).market()), False, True), "date", "regime_label", "regime_confidence")
 
 
 @query("p10_continuous_regime_score_strict", E(H_SPEC, _pick(_cont(pr.STRICT))))
 def p10b(spark, sf):
-    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf).market()), True, True), "date", "regime_label", "regime_confidence")
+    return emit(pr.heuristic_regime(fx.panel_features(Tables(spark, sf, share=True).market()), True, True), "date", "regime_label", "regime_confidence")
 
 
 _MX = " ".join(
@@ -519,7 +519,7 @@ _MX = " ".join(
 
 @query("p13_size_multiplier", E("d:date f:m", f"SELECT date, CASE {_MX} ELSE 1.0 END AS m FROM (SELECT date, CASE WHEN year(date) = 1999 THEN 'unknown' ELSE regime_label END AS regime_label, vol_tercile FROM heur JOIN terciles USING (date))"))
 def p13(spark, sf):
-    m = Tables(spark, sf).market()
+    m = Tables(spark, sf, share=True).market()
     d = pr.heuristic_regime(fx.panel_features(m)).join(fx.vol_terciles(m).select("date", "vol_tercile"), "date")
     # one year without a known regime, so that the fallback has rows
     d = d.withColumn("regime_label", F.when(F.year("date") == 1999, "unknown").otherwise(F.col("regime_label")))
@@ -531,7 +531,7 @@ def p13(spark, sf):
     E("symbol d:date f:size_multiplier", "SELECT symbol, b.date, CASE regime_label WHEN 'uptrend' THEN 1.5 WHEN 'downtrend' THEN 0.5 ELSE 1.0 END AS size_multiplier FROM bars b LEFT JOIN regimes r ON r.date = b.date AND year(r.date) <> 1997"),
 )
 def p14(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     r = fx.market_regime(t.market()).withColumnRenamed("market_regime", "regime_label").where("year(date) <> 1997")
     return emit(pr.regime_multiplier(t.bars(), r, {"uptrend": 1.5, "downtrend": 0.5}), "symbol", "date", "size_multiplier")
 
@@ -548,7 +548,7 @@ ZF = ("close_over_sma_20", "rsi_14", "roc_20")
     ),
 )
 def p16(spark, sf):
-    d = staged(rule_frame(Tables(spark, sf)).select("symbol", "date", *ZF))
+    d = staged(rule_frame(Tables(spark, sf, share=True)).select("symbol", "date", *ZF))
     long = st.unpivot(d, [], ZF)
     q = exact_quantiles(long, ["feature"], "value", {"m": 0.5})
     med = staged(q.agg(*[F.max(F.when(F.col("feature") == f, F.col("m"))).alias(f) for f in ZF]))
@@ -567,7 +567,7 @@ _HL = "greatest(0.1, 1 + greatest(-0.5, least(0.5, vol_slope_yr)))"
     ),
 )
 def p17(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     atr = fx.atr_pct(t.bars()).groupBy("symbol").agg(F.avg("atr_pct_14").alias("atr"))
     d = sym_metrics(t).join(atr, "symbol").withColumn("base", pr.liquidity_score("atr", "mean_dv", 1.6, 800_000.0))
     d = d.withColumns({k: F.col("base") * pr.volume_health("vol_slope_yr", k) for k in ("linear", "hard", "sigmoid")})
@@ -583,7 +583,7 @@ def p17(spark, sf):
     ),
 )
 def p18(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     s = t.read("supplier").where("s_acctbal > 0").select(
         F.col("s_suppkey").cast("string").alias("symbol"), (F.floor(F.abs("s_acctbal")) * 30).alias("shares_outstanding")
     )

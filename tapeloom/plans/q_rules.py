@@ -80,7 +80,7 @@ EVAL_SPEC = "rule_key coverage_n n_hit f:coverage_pct f:precision f:lift"
 
 @query("u4_rule_evaluation", E(EVAL_SPEC, "SELECT * FROM eval_all"))
 def u4(spark, sf):
-    d = ru.evaluate(rule_frame(Tables(spark, sf)), RULES)
+    d = ru.evaluate(rule_frame(Tables(spark, sf, share=True)), RULES)
     return emit(d, "rule_key", "coverage_n", "n_hit", "coverage_pct", "precision", "lift")
 
 
@@ -90,7 +90,7 @@ def u4(spark, sf):
     "AS example_symbol_dates_json FROM (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY symbol, date) AS r FROM fired) WHERE r <= 10 GROUP BY rule_key",
 )
 def u4x(spark, sf):
-    return ru.examples(rule_frame(Tables(spark, sf)), RULES)
+    return ru.examples(rule_frame(Tables(spark, sf, share=True)), RULES)
 
 
 @query(
@@ -99,7 +99,7 @@ def u4x(spark, sf):
     "count(*) FILTER (rsi_14 >= 40) AS ge, count(*) FILTER (volume = 25) AS eq, count(*) FILTER (volume <> 25) AS ne FROM rf",
 )
 def p3(spark, sf):
-    d = rule_frame(Tables(spark, sf))
+    d = rule_frame(Tables(spark, sf, share=True))
     cs = [("rsi_14", "<", 40), ("rsi_14", "<=", 40), ("rsi_14", ">", 40), ("rsi_14", ">=", 40)]
     cs += [("volume", "==", 25), ("volume", "!=", 25)]
     return d.agg(*[F.count_if(pr.condition(*c)).alias(n) for c, n in zip(cs, ("lt", "le", "gt", "ge", "eq", "ne"))])
@@ -110,7 +110,7 @@ def p3(spark, sf):
     "SELECT symbol, CAST(date AS VARCHAR) AS date, rule_key FROM fired",
 )
 def j9(spark, sf):
-    return emit(ru.firings(rule_frame(Tables(spark, sf)), RULES), "symbol", "date", "rule_key")
+    return emit(ru.firings(rule_frame(Tables(spark, sf, share=True)), RULES), "symbol", "date", "rule_key")
 
 
 @query(
@@ -118,7 +118,7 @@ def j9(spark, sf):
     "SELECT symbol, CAST(date AS VARCHAR) AS date, rule_key FROM fired WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'",
 )
 def u10(spark, sf):
-    d = rule_frame(Tables(spark, sf)).where(pr.in_ranges([("2000-01-01", "2000-12-31")]))
+    d = rule_frame(Tables(spark, sf, share=True)).where(pr.in_ranges([("2000-01-01", "2000-12-31")]))
     return emit(ru.firings(d, RULES), "symbol", "date", "rule_key")
 
 
@@ -129,7 +129,7 @@ def u10(spark, sf):
 def u1(spark, sf):
     from ..operators import models
 
-    d = rule_frame(Tables(spark, sf))
+    d = rule_frame(Tables(spark, sf, share=True))
     feats = ["close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30"]
     return models.tree_paths(d.where(F.col("is_winner").isNotNull()), feats, "is_winner")
 
@@ -148,7 +148,7 @@ def u1(spark, sf):
 )
 def u2(spark, sf):
     # one symbol's bars are bounded by the calendar, so the built-in percentile serves
-    d = Tables(spark, sf).bars().groupBy("symbol").agg(
+    d = Tables(spark, sf, share=True).bars().groupBy("symbol").agg(
         F.percentile("close", 0.5).alias("p"), F.percentile(F.col("close") / F.col("high"), 0.5).alias("q")
     )
     d = d.select(
@@ -180,7 +180,7 @@ add_cte(
     "FROM (SELECT path, feature, op, CASE WHEN op = '>=' THEN max(threshold) ELSE min(threshold) END AS threshold FROM paths GROUP BY path, feature, op) GROUP BY path) GROUP BY rule",
 )
 def u3(spark, sf):
-    b = Tables(spark, sf).bars().groupBy("symbol").agg(
+    b = Tables(spark, sf, share=True).bars().groupBy("symbol").agg(
         F.percentile("close", F.array(F.lit(0.25), F.lit(0.4), F.lit(0.75))).alias("p"),
         F.percentile(F.col("volume").cast("double"), F.array(F.lit(0.6), F.lit(0.7))).alias("v"),
     )
@@ -207,7 +207,7 @@ def u3(spark, sf):
     ),
 )
 def u5(spark, sf):
-    d = ru.evaluate(rule_frame(Tables(spark, sf)), RULES)
+    d = ru.evaluate(rule_frame(Tables(spark, sf, share=True)), RULES)
     d = ru.filter_and_rank(d, 1.05, 1.0, 0.3)
     return emit(d.withColumn("rule_id", F.col("rule_id").cast("long")), "rule_id", "rule_key", "lift", "coverage_pct")
 
@@ -236,7 +236,7 @@ WF_SPEC = "rule_key i:window_id f:val_lift f:val_precision f:val_coverage i:val_
 
 @query("u6_walk_forward", E(WF_SPEC, "SELECT * FROM wf"))
 def u6(spark, sf):
-    d = ru.walk_forward(rule_frame(Tables(spark, sf)), RULES, WINDOWS)
+    d = ru.walk_forward(rule_frame(Tables(spark, sf, share=True)), RULES, WINDOWS)
     d = d.withColumn("window_id", F.col("window_id").cast("long"))
     return emit(d, "rule_key", "window_id", "val_lift", "val_precision", "val_coverage", "val_n_winners", "val_n_samples")
 
@@ -269,7 +269,7 @@ def train_and_walk(t):
 
 @query("u7_survivors_absolute_decay", E(SURV_SPEC, "SELECT * FROM surv"))
 def u7(spark, sf):
-    _, train, wf = train_and_walk(Tables(spark, sf))
+    _, train, wf = train_and_walk(Tables(spark, sf, share=True))
     return emit(ru.survivors(wf, train, 1.02, 0.5), *SURV_COLS)
 
 
@@ -278,7 +278,7 @@ def u7(spark, sf):
     E(SURV_SPEC, surv_sql("CASE WHEN train_lift > 0 THEN 1 - mean_val_lift / train_lift END", 1.2, "(lift_decay IS NULL OR lift_decay < 0.5)")),
 )
 def u7b(spark, sf):
-    _, train, wf = train_and_walk(Tables(spark, sf))
+    _, train, wf = train_and_walk(Tables(spark, sf, share=True))
     return emit(ru.survivors(wf, train, 1.2, 0.5, True), *SURV_COLS)
 
 
@@ -320,7 +320,7 @@ def regime_eval(t):
     E("rule_key regime_label coverage_n f:lift f:coverage_pct f:precision", "SELECT * FROM regime_eval"),
 )
 def u8(spark, sf):
-    return emit(regime_eval(Tables(spark, sf)), "rule_key", "regime_label", "coverage_n", "lift", "coverage_pct", "precision")
+    return emit(regime_eval(Tables(spark, sf, share=True)), "rule_key", "regime_label", "coverage_n", "lift", "coverage_pct", "precision")
 
 
 @query(
@@ -333,7 +333,7 @@ def u8(spark, sf):
     ),
 )
 def u8b(spark, sf):
-    return emit(ru.durability(regime_eval(Tables(spark, sf)), list(RANGES), 1.05, 3))
+    return emit(ru.durability(regime_eval(Tables(spark, sf, share=True)), list(RANGES), 1.05, 3))
 
 
 LABEL_NAMES = ("lbl_L1", "lbl_L2", "lbl_L3")
@@ -358,7 +358,7 @@ _RULE_FEATURES = ", ".join(f"('{r.key}', '{f}')" for r in LIVE for f in dict.fro
     f"FROM label_ranked JOIN (VALUES {_RULE_FEATURES}) v(rule_key, feature_name) USING (rule_key) WHERE rule_id < 5 GROUP BY 1",
 )
 def u9(spark, sf):
-    d = lb.label_family(rule_frame(Tables(spark, sf)), 10.0)
+    d = lb.label_family(rule_frame(Tables(spark, sf, share=True)), 10.0)
     ranked = None
     table = sg.rule_table(spark, LIVE)
     for n in LABEL_NAMES:
@@ -389,7 +389,7 @@ COOL = COOL.replace(
 
 @query("u11_cooldown_dedup", COOL + "SELECT symbol, rule_key, CAST(date AS VARCHAR) AS date FROM c")
 def u11(spark, sf):
-    fired = ru.firings(rule_frame(Tables(spark, sf)), RULES)
+    fired = ru.firings(rule_frame(Tables(spark, sf, share=True)), RULES)
     return emit(ru.cooldown(fired, 30), "symbol", "rule_key", "date")
 
 
@@ -422,7 +422,7 @@ add_cte(
 
 @query("p12_contract_rows_lift", E(ENTRY_COLS, "SELECT * FROM entry_signals"))
 def p12(spark, sf):
-    return emit(entry_signals(Tables(spark, sf)))
+    return emit(entry_signals(Tables(spark, sf, share=True)))
 
 
 def ev_signals(t):
@@ -453,7 +453,7 @@ def ev_signals(t):
     ),
 )
 def p12b(spark, sf):
-    return emit(ev_signals(Tables(spark, sf)))
+    return emit(ev_signals(Tables(spark, sf, share=True)))
 
 
 @query(
@@ -464,7 +464,7 @@ def p12b(spark, sf):
     "(SELECT * FROM entry_signals UNION ALL SELECT * FROM entry_signals WHERE pattern = 'r03')) GROUP BY 1",
 )
 def p11(spark, sf):
-    s = entry_signals(Tables(spark, sf))
+    s = entry_signals(Tables(spark, sf, share=True))
     s = s.unionByName(s.where(F.col("pattern") == "r03"))
     # spoil three patterns, one rule each, so that the checks have something to find
     p = F.col("pattern")
@@ -505,7 +505,7 @@ def fired_returns(t):
 
 @query("u12_trade_economics", E(ECO_SPEC + " f:log_annualized", "SELECT *, ln(1 + annualized_return_est) AS log_annualized FROM economics"))
 def u12(spark, sf):
-    d = ru.trade_economics(fired_returns(Tables(spark, sf)))
+    d = ru.trade_economics(fired_returns(Tables(spark, sf, share=True)))
     d = d.withColumn("log_annualized", F.ln(1 + F.col("annualized_return_est")))
     return emit(d, *ECO_COLS, "log_annualized")
 
@@ -521,7 +521,7 @@ GATE_SQL = (
     E("rule_key b:passes_ev b:passes_median_gain b:passes_win_rate b:passes_all", GATE_SQL),
 )
 def u13(spark, sf):
-    d = ru.gates(ru.trade_economics(fired_returns(Tables(spark, sf))), 150.0, 10.0, 0.55)
+    d = ru.gates(ru.trade_economics(fired_returns(Tables(spark, sf, share=True))), 150.0, 10.0, 0.55)
     return emit(d, "rule_key", "passes_ev", "passes_median_gain", "passes_win_rate", "passes_all")
 
 
@@ -534,7 +534,7 @@ def u13(spark, sf):
     ),
 )
 def a4(spark, sf):
-    d = ru.trade_economics(fired_returns(Tables(spark, sf)))
+    d = ru.trade_economics(fired_returns(Tables(spark, sf, share=True)))
     n = F.col("n_fires")
     return emit(
         d.agg(
@@ -578,7 +578,7 @@ def scored(t, prepare=lambda d: d):
     ),
 )
 def u14(spark, sf):
-    d = scored(Tables(spark, sf)).where(F.col("window_id").isNotNull())
+    d = scored(Tables(spark, sf, share=True)).where(F.col("window_id").isNotNull())
     return emit(ru.threshold_sweep(d, "score", "is_winner", TAUS, ["window_id"]))
 
 
@@ -604,7 +604,7 @@ add_cte(
     ),
 )
 def u15(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     d = scored(t, lambda x: lb.first_touch_return(x, 60, 200.0)).where(F.col("bsq_realized_gain_pct").isNotNull())
     taus = F.array(*[F.when(F.col("score") >= x, F.lit(float(x))) for x in TAUS])
     d = d.select("date", F.col("bsq_realized_gain_pct").alias("g"), F.col("bsq_hold_trading_days").alias("h"), F.explode(F.array_compact(taus)).alias("threshold"))
@@ -640,12 +640,12 @@ def auc_sql(src, part=""):
 
 @query("u16_auc_overall", E("n_pos n_neg f:auc", auc_sql("scored")))
 def u16(spark, sf):
-    return emit(ru.auc(scored(Tables(spark, sf)), "score", "is_winner"))
+    return emit(ru.auc(scored(Tables(spark, sf, share=True)), "score", "is_winner"))
 
 
 @query("u16_auc_by_window", E("i:window_id n_pos n_neg f:auc", auc_sql("scored_w", "window_id")))
 def u16b(spark, sf):
-    d = scored(Tables(spark, sf)).where(F.col("window_id").isNotNull())
+    d = scored(Tables(spark, sf, share=True)).where(F.col("window_id").isNotNull())
     return emit(ru.auc(d, "score", "is_winner", ["window_id"]))
 
 
@@ -655,7 +655,7 @@ def u16b(spark, sf):
     "(SELECT rule_key FROM surv WHERE is_survivor AND min_val_lift >= 1.04 AND lift_decay <= 0.05)",
 )
 def u17(spark, sf):
-    d, train, wf = train_and_walk(Tables(spark, sf))
+    d, train, wf = train_and_walk(Tables(spark, sf, share=True))
     good = ru.survivors(wf, train, 1.02, 0.5).where("is_survivor AND min_val_lift >= 1.04 AND lift_decay <= 0.05")
     return emit(ru.firings(d, LIVE).join(good, "rule_key", "left_semi"), "symbol", "date", "rule_key")
 
@@ -695,7 +695,7 @@ add_cte(
     ),
 )
 def u20(spark, sf):
-    d = rule_frame(Tables(spark, sf)).withColumn("window_id", ru.window_id(WINDOWS)).where("window_id IS NOT NULL")
+    d = rule_frame(Tables(spark, sf, share=True)).withColumn("window_id", ru.window_id(WINDOWS)).where("window_id IS NOT NULL")
     # every spec is a label on the same row: one scan, then one partial row per (spec, window, rule)
     d = d.withColumn("fk", ru.fired_keys(LIVE, d.columns))
     specs = F.array(*[F.struct(F.lit(s.name).alias("spec"), lb.sustained_label(s).alias("y")) for s in SPECS])
@@ -731,7 +731,7 @@ def u20(spark, sf):
     ),
 )
 def u21(spark, sf):
-    d, train, wf = train_and_walk(Tables(spark, sf))
+    d, train, wf = train_and_walk(Tables(spark, sf, share=True))
     good = ru.survivors(wf, train, 1.02, 0.5).where("is_survivor").select("rule_key", "mean_val_lift")
     return emit(sg.historical_entries(d, LIVE, good, "1999-12-31", "2000-10-31", 30, 0.35), "symbol", "date", "signal_strength", "pattern")
 
@@ -747,7 +747,7 @@ def u21(spark, sf):
     ),
 )
 def u22(spark, sf):
-    d = ru.evaluate(rule_frame(Tables(spark, sf)), RULES)
+    d = ru.evaluate(rule_frame(Tables(spark, sf, share=True)), RULES)
     ms = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("lift", "precision", "coverage_pct")])
     # one value per rule and metric
     q = d.select(F.inline(ms)).groupBy("metric").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
@@ -762,7 +762,7 @@ def u22(spark, sf):
     ),
 )
 def u23(spark, sf):
-    d = rule_frame(Tables(spark, sf)).where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    d = rule_frame(Tables(spark, sf, share=True)).where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
     wide = d.agg(*[F.count_if(lb.sustained_label(s)).alias(s.name) for s in SPECS])
     cells = F.array(*[F.struct(F.lit(s.name).alias("spec"), F.col(s.name).alias("n_train_positive")) for s in SPECS])
     out = wide.select(F.inline(cells))

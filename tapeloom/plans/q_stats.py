@@ -5,12 +5,13 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.windows import DAILY, ratio
+from ..functions.windows import DAILY, ratio, row_of
 from ..operators import features as fx
 from ..operators import joins as jn
 from ..operators import labels as lb
 from ..operators import rules as ru
 from ..operators import stats as st
+from ..session import staged
 from .common import E, Tables, emit
 from .q_rules import TAUS, WINDOWS, rule_frame, scored
 from .q_trades import best_signals, bull_trades, trades_of
@@ -253,10 +254,11 @@ def a13(spark, sf):
     ),
 )
 def k1(spark, sf):
-    d = scored(Tables(spark, sf)).select("symbol", "date", "score", F.col("is_winner").cast("int").alias("y"))
+    d = staged(scored(Tables(spark, sf)).select("symbol", "date", "score", F.col("is_winner").cast("int").alias("y")))
     top = st.top_share(d, "score", ["symbol", "date"], 10)
     a = d.agg(F.sum("y").alias("p"), F.avg("y").alias("b"))
-    p, b = a.select("p").scalar(), a.select("b").scalar()
+    a = row_of(a)
+    p, b = a["p"], a["b"]
     out = top.agg(F.count(F.lit(1)).alias("n_top"), F.avg("y").alias("precision"), F.sum("y").alias("hit"))
     return emit(
         out.withColumns({"recall": F.col("hit") / p, "lift": F.col("precision") / b}), "n_top", "precision", "recall", "lift"

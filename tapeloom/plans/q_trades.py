@@ -9,6 +9,7 @@ from ..operators import joins as jn
 from ..operators import labels as lb
 from ..operators import rules as ru
 from ..operators import trades as tr
+from ..session import staged
 from .common import E, Tables, emit
 from .q_labels import MOM
 from .q_rules import LIVE, WINDOWS, rule_frame
@@ -34,7 +35,7 @@ T_SPEC = "symbol d:entry_date f:entry_price d:exit_date f:exit_price f:gross_pnl
 
 @query("x1_momentum_trades", E(T_SPEC, "SELECT * FROM trades"))
 def x1(spark, sf):
-    return emit(trades_of(Tables(spark, sf)))
+    return emit(trades_of(Tables(spark, sf, share=True)))
 
 
 def curve_sql(src, by, day, pnl, order, start=START):
@@ -59,7 +60,7 @@ add_cte("trades_w", "SELECT * FROM trades JOIN wf_windows ON entry_date BETWEEN
     ),
 )
 def x2(spark, sf):
-    t = trades_of(Tables(spark, sf)).withColumn("window_id", ru.window_id(WINDOWS, "entry_date").cast("long"))
+    t = trades_of(Tables(spark, sf, share=True)).withColumn("window_id", ru.window_id(WINDOWS, "entry_date").cast("long"))
     d = tr.window_stats(t.where("window_id IS NOT NULL"), "window_id", POS, START)
     return emit(d, "window_id", "n_trades", "win_rate", "mean_gross_pnl_pct", "median_gross_pnl_pct", "total_gross_pnl_usd", "sharpe", "max_drawdown")
 
@@ -109,7 +110,7 @@ B_SPEC = "symbol d:signal_date rule_key d:entry_date f:entry_price d:exit_date g
 
 @query("x3_barrier_exits", E(B_SPEC, "SELECT * FROM barrier"))
 def x3(spark, sf):
-    return emit(barrier_trades(Tables(spark, sf)), coarse=("exit_price",))
+    return emit(barrier_trades(Tables(spark, sf, share=True)), coarse=("exit_price",))
 
 
 # --- non-overlapping trades ------------------------------------------------------------
@@ -141,7 +142,7 @@ def bull_trades(t):
     E("symbol d:entry_date d:exit_date f:entry_price f:exit_price f:gross_pnl_pct f:net_pnl_pct i:hold_days exit_reason", "SELECT * FROM bull"),
 )
 def x4(spark, sf):
-    return emit(bull_trades(Tables(spark, sf)))
+    return emit(bull_trades(Tables(spark, sf, share=True)))
 
 
 add_cte("market_reg", "SELECT date, close, regime_label FROM market JOIN regimes USING (date)")
@@ -163,7 +164,7 @@ add_cte(
     ),
 )
 def x5(spark, sf):
-    m = Tables(spark, sf).market()
+    m = Tables(spark, sf, share=True).market()
     d = m.join(fx.market_regime(m), "date").withColumnRenamed("market_regime", "regime_label")
     return emit(tr.streak_summary(tr.regime_streaks(d, "uptrend")))
 
@@ -178,7 +179,7 @@ add_cte(
 
 @query("x6_liquidity_filter", E("symbol d:entry_date f:entry_price f:avg_volume_30d b:price_fail b:volume_fail b:is_kept", "SELECT * FROM liquid"))
 def x6(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     return emit(tr.liquidity_tags(trades_of(t), t.bars(), 20000.0, 30.0), "symbol", "entry_date", "entry_price", "avg_volume_30d", "price_fail", "volume_fail", "is_kept")
 
 
@@ -187,7 +188,7 @@ def x6(spark, sf):
     "SELECT count(*) AS n_trades, count(*) FILTER (is_kept) AS n_kept, count(*) FILTER (price_fail) AS n_price_fail, count(*) FILTER (volume_fail) AS n_volume_fail, count(avg_volume_30d) AS n_with_volume FROM liquid",
 )
 def x6b(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     d = tr.liquidity_tags(trades_of(t), t.bars(), 20000.0, 30.0)
     return d.agg(
         F.count(F.lit(1)).alias("n_trades"),
@@ -213,7 +214,7 @@ FR_COLS = [x.rpartition(":")[2] for x in FR_SPEC.split()]
 
 @query("x7_flat_friction", E(FR_SPEC, "SELECT * FROM flat"))
 def x7(spark, sf):
-    return emit(tr.flat_friction(barrier_trades(Tables(spark, sf))), *FR_COLS)
+    return emit(tr.flat_friction(barrier_trades(Tables(spark, sf, share=True))), *FR_COLS)
 
 
 add_cte("atr14", f"SELECT symbol, date, {div(roll('avg', 'tr', 14), 'close')} AS atr FROM bars_tr")
@@ -228,7 +229,7 @@ add_cte(
 
 @query("x8_atr_friction", E(FR_SPEC, "SELECT * FROM atrfric"))
 def x8(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     atr = fx.atr_pct(t.bars()).select("symbol", F.col("date").alias("signal_date"), F.col("atr_pct_14").alias("entry_atr"))
     return emit(tr.atr_friction(barrier_trades(t).join(atr, ["symbol", "signal_date"]), "entry_atr"), *FR_COLS)
 
@@ -241,7 +242,7 @@ def x8(spark, sf):
     ),
 )
 def x9(spark, sf):
-    d = tr.haircut(tr.flat_friction(barrier_trades(Tables(spark, sf))), 0.25)
+    d = tr.haircut(tr.flat_friction(barrier_trades(Tables(spark, sf, share=True))), 0.25)
     return emit(d, "symbol", "signal_date", "net_pnl_pct_after_haircut", "net_pnl_usd_after_haircut", "haircut_pct")
 
 
@@ -254,7 +255,7 @@ def x9(spark, sf):
     ),
 )
 def x10(spark, sf):
-    d = tr.flat_friction(barrier_trades(Tables(spark, sf)))
+    d = staged(tr.flat_friction(barrier_trades(Tables(spark, sf, share=True))))
     c = tr.equity_curve(d, ["rule_key"], "exit_date", ["symbol", "signal_date"], "net_pnl_usd", START * 100)
     end = c.groupBy("rule_key").agg((F.lit(START * 100) + F.sum("net_pnl_usd")).alias("final_equity"))
     return emit(tr.curve_stats(c, ["rule_key"]).join(end, "rule_key"), "rule_key", "n_trades", "sharpe", "max_drawdown", "final_equity")
@@ -289,7 +290,7 @@ def norm_trades(t):
 
 @query("p15_normalised_trades", E("strategy_id d:entry_date f:net_pnl_pct i:hold_days", "SELECT * FROM norm_trades"))
 def p15(spark, sf):
-    return emit(norm_trades(Tables(spark, sf)))
+    return emit(norm_trades(Tables(spark, sf, share=True)))
 
 
 PTS = "CASE WHEN count(net_pnl_pct) >= 2 AND stddev_pop(net_pnl_pct) > 0 THEN avg(net_pnl_pct) / stddev_pop(net_pnl_pct) * sqrt(252.0 / greatest(coalesce(avg(hold_days), 1), 1)) ELSE 0 END"
@@ -297,7 +298,7 @@ PTS = "CASE WHEN count(net_pnl_pct) >= 2 AND stddev_pop(net_pnl_pct) > 0 THEN av
 
 @query("x11_per_trade_sharpe", E("strategy_id f:per_trade_sharpe", f"SELECT strategy_id, {PTS} AS per_trade_sharpe FROM norm_trades GROUP BY 1"))
 def x11(spark, sf):
-    return emit(tr.per_trade_sharpe(norm_trades(Tables(spark, sf)), ["strategy_id"]))
+    return emit(tr.per_trade_sharpe(norm_trades(Tables(spark, sf, share=True)), ["strategy_id"]))
 
 
 add_cte("nt_reg", "SELECT t.*, coalesce(regime_label, 'unlabeled') AS regime_label FROM norm_trades t LEFT JOIN (SELECT date AS entry_date, regime_label FROM regimes WHERE regime_label <> 'downtrend') USING (entry_date)")
@@ -324,7 +325,7 @@ def attr(t):
 
 @query("x12_attribution_matrix", E(AT_SPEC, "SELECT * FROM attr"))
 def x12(spark, sf):
-    return emit(attr(Tables(spark, sf)), *AT_COLS)
+    return emit(attr(Tables(spark, sf, share=True)), *AT_COLS)
 
 
 add_cte(
@@ -340,7 +341,7 @@ def curve_of(t):
 
 @query("x17_daily_portfolio_curve", E("d:date strategy_id f:daily_return_pct i:open_deal_count f:active_capital_pct", "SELECT * FROM curve_all"))
 def x17(spark, sf):
-    return emit(curve_of(Tables(spark, sf)))
+    return emit(curve_of(Tables(spark, sf, share=True)))
 
 
 @query(
@@ -349,7 +350,7 @@ def x17(spark, sf):
     "ON p.symbol = t.symbol AND p.date >= t.entry_date + 1 AND p.date <= t.exit_date GROUP BY 1, 2",
 )
 def j6(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     s = trades_of(t).select("symbol", "entry_date", F.date_add("entry_date", 1).alias("lo"), F.col("exit_date").alias("hi"))
     j = jn.interval_join(s, t.bars().select("symbol", "date"), "symbol", "lo", "hi", "date")
     return emit(j.groupBy("symbol", "entry_date").agg(F.count(F.lit(1)).alias("n_days"), F.max("date").alias("last_day")))
@@ -368,7 +369,7 @@ PD_SPEC = "strategy_id regime_label n_active_days f:mean_daily_return_pct f:annu
     ),
 )
 def x13(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     return emit(tr.per_day_attribution(curve_of(t), regime_days(t)), *[x.rpartition(":")[2] for x in PD_SPEC.split()])
 
 
@@ -392,7 +393,7 @@ add_cte(
     ),
 )
 def x14(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     c = curve_of(t).join(regime_days(t), "date")
     r = F.col("daily_return_pct") * 0.001
     chop = F.col("regime_label") == "chop"
@@ -422,7 +423,7 @@ def x14(spark, sf):
     ),
 )
 def x15(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     return emit(tr.regime_cagr(bull_trades(t), regime_days(t)))
 
 
@@ -434,7 +435,7 @@ def x15(spark, sf):
     ),
 )
 def x16(spark, sf):
-    d = tr.best_per_regime(attr(Tables(spark, sf))).withColumn("rank", F.col("rank").cast("long"))
+    d = tr.best_per_regime(attr(Tables(spark, sf, share=True))).withColumn("rank", F.col("rank").cast("long"))
     return emit(d, "regime_label", "strategy_id", "rank", "comparable_yield_pct")
 
 
@@ -460,7 +461,7 @@ def deals_of(t):
     ),
 )
 def x18(spark, sf):
-    d = deals_of(Tables(spark, sf))
+    d = deals_of(Tables(spark, sf, share=True))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     day = d.groupBy(F.col("exit_date").alias("date")).agg(F.sum("pnl_usd").alias("p"))
     eq = day.select("date", (F.lit(START) + F.sum("p").over(w)).alias("equity"))
@@ -476,4 +477,4 @@ def x18(spark, sf):
     ),
 )
 def x19(spark, sf):
-    return emit(tr.peak_capital(bull_trades(Tables(spark, sf)), "entry_date", "exit_date", "entry_price"))
+    return emit(tr.peak_capital(bull_trades(Tables(spark, sf, share=True)), "entry_date", "exit_date", "entry_price"))

@@ -54,12 +54,12 @@ for _m in ("euclidean", "cosine", "manhattan"):
 
     @query(f"v5_nearest_losers_{_m}", E(K_SPEC, knn_sql(_m).replace("FROM vw a, vl b", "FROM vw a CROSS JOIN vl b")))
     def v5(spark, sf, metric=_m):
-        return emit(knn(Tables(spark, sf), metric), "winner_id", "neighbor_id", "distance", "neighbor_rank")
+        return emit(knn(Tables(spark, sf, share=True), metric), "winner_id", "neighbor_id", "distance", "neighbor_rank")
 
 
 @query("j11_nearest_neighbour_join", E(K_SPEC, "SELECT * FROM nn5"))
 def j11(spark, sf):
-    return emit(knn(Tables(spark, sf), "euclidean"), "winner_id", "neighbor_id", "distance", "neighbor_rank")
+    return emit(knn(Tables(spark, sf, share=True), "euclidean"), "winner_id", "neighbor_id", "distance", "neighbor_rank")
 
 
 add_cte("vl_long", "SELECT neighbor_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS component FROM vl")
@@ -76,7 +76,7 @@ add_cte("vw_long", "SELECT winner_id, unnest(v) AS x, generate_subscripts(v, 1)
     ),
 )
 def v6(spark, sf):
-    w, lo = split(Tables(spark, sf))
+    w, lo = split(Tables(spark, sf, share=True))
     pairs = vx.knn_join(w, lo, 5, "winner_id", "neighbor_id").select("winner_id", "neighbor_id")
     d = vx.neighbour_deltas(w, lo, pairs, "winner_id", "neighbor_id").withColumn("component", F.col("component").cast("long"))
     return emit(d, "component", "mean_delta", "std_delta", "z_delta", "rank", "direction")
@@ -88,7 +88,7 @@ add_cte("centv", "SELECT label, list(value ORDER BY component) AS c FROM cent GR
 
 @query("v8_centroids", E("i:label i:component f:value", "SELECT * FROM cent"))
 def v8(spark, sf):
-    d = vx.centroids(vecs(Tables(spark, sf)), "label", "vec")
+    d = vx.centroids(vecs(Tables(spark, sf, share=True)), "label", "vec")
     return emit(d.withColumn("component", F.col("component").cast("long")))
 
 
@@ -100,7 +100,7 @@ def v8(spark, sf):
     ),
 )
 def v8b(spark, sf):
-    v = vecs(Tables(spark, sf)).withColumn("o", F.col("vec")[0].cast("double"))
+    v = vecs(Tables(spark, sf, share=True)).withColumn("o", F.col("vec")[0].cast("double"))
     return emit(vx.radii(v, "label", "vec", 0.9, "o"), "label", "n_members", "radius", "mean_outcome")
 
 
@@ -124,7 +124,7 @@ def proto_knn(t, k):
     ),
 )
 def v9(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf, share=True)
     n = proto_knn(t, 10).join(vecs(t).select("vec_id", "label"), "vec_id")
     return n.groupBy("prototype").agg(
         F.min_by("vec_id", "neighbor_rank").alias("archetype"),
@@ -141,7 +141,7 @@ add_cte(
 
 @query("v10_predict_cluster", E("vec_id i:predicted f:distance", "SELECT * FROM assigned"))
 def v10(spark, sf):
-    v = vecs(Tables(spark, sf))
+    v = vecs(Tables(spark, sf, share=True))
     c = vx.centroid_arrays(vx.centroids(v, "label", "vec"), "label")
     return emit(vx.predict(v, "vec", c, "label"), "vec_id", "predicted", "distance")
 
@@ -159,7 +159,7 @@ add_cte("new_part", "SELECT vec_id AS winner_id, CAST(embedding AS DOUBLE[]) AS
 )
 def v11(spark, sf):
     """Cluster labels known on a fitted fifth spread to all other rows by the nearest fitted row."""
-    v = vecs(Tables(spark, sf))
+    v = vecs(Tables(spark, sf, share=True))
     fit = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("fit_id"), "vec", "label")
     new = v.where("vec_id % 5 <> 0").select("vec_id", "vec")
     n = vx.knn_join(new, fit, 1, "vec_id", "fit_id")
@@ -188,7 +188,7 @@ def clus(t):
     ),
 )
 def v7(spark, sf):
-    return emit(vx.cluster_lift(clus(Tables(spark, sf)), "split", "cluster_id", "is_winner"))
+    return emit(vx.cluster_lift(clus(Tables(spark, sf, share=True)), "split", "cluster_id", "is_winner"))
 
 
 ZF = ("close_over_sma_20", "roc_20", "vol_mult_30", "pct_of_60d_low")
@@ -204,7 +204,7 @@ ZF = ("close_over_sma_20", "roc_20", "vol_mult_30", "pct_of_60d_low")
     ).replace("SELECT cluster_id, feature", "WITH cz AS (SELECT cluster_id, rf.* FROM clus JOIN rf USING (symbol, date) WHERE close_over_sma_20 IS NOT NULL AND roc_20 IS NOT NULL AND vol_mult_30 IS NOT NULL AND pct_of_60d_low IS NOT NULL) SELECT cluster_id, feature", 1),
 )
 def v4(spark, sf):
-    d = staged(clus(Tables(spark, sf)).na.drop(subset=list(ZF)).select("cluster_id", *ZF))
+    d = staged(clus(Tables(spark, sf, share=True)).na.drop(subset=list(ZF)).select("cluster_id", *ZF))
     m = d.agg(*[F.avg(f).alias(f"{f}_mean") for f in ZF], *[F.stddev_pop(f).alias(f"{f}_sd") for f in ZF])
     zero = d.agg(*[F.lit(0.0).alias(f) for f in ZF])
     z = pr.standardise(d, ZF, zero, m).select("cluster_id", *[F.col(f"{f}_z").alias(f) for f in ZF])
@@ -228,7 +228,7 @@ add_cte("cw", "SELECT * FROM concepts JOIN winners USING (symbol, date) WHERE is
 )
 def v12(spark, sf):
     names = [n for n, *_ in _CONCEPTS]
-    d = lb.forward_winner(concepts_of(Tables(spark, sf)), 30, 2.0, "close_adj").where("is_winner IS NOT NULL")
+    d = lb.forward_winner(concepts_of(Tables(spark, sf, share=True)), 30, 2.0, "close_adj").where("is_winner IS NOT NULL")
     y = F.col("is_winner").cast("int")
     # long form combines on the map side to one partial row per concept
     long = st.unpivot(d.withColumn("y", y), ["y"], names, "concept")
@@ -249,7 +249,7 @@ def v12(spark, sf):
     ),
 )
 def v13(spark, sf):
-    return emit(vx.hybrid(vecs(Tables(spark, sf)), "vec", 4), "vec_id", "label", "emb_0", "emb_1", "emb_2", "emb_3")
+    return emit(vx.hybrid(vecs(Tables(spark, sf, share=True)), "vec", 4), "vec_id", "label", "emb_0", "emb_1", "emb_2", "emb_3")
 
 
 MF = ["close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30"]
@@ -263,14 +263,14 @@ def train_sets(t):
 
 @query("v1_boosted_model_scores")
 def v1(spark, sf):
-    train, hold = train_sets(Tables(spark, sf))
+    train, hold = train_sets(Tables(spark, sf, share=True))
     model = md.fit_gbt(md.assemble(train, MF, "is_winner"))
     return emit(md.score(model, md.assemble(hold, MF, "is_winner", False)), "symbol", "date", "score", "label")
 
 
 @query("v2_feature_attribution")
 def v2(spark, sf):
-    train, hold = train_sets(Tables(spark, sf))
+    train, hold = train_sets(Tables(spark, sf, share=True))
     model = md.fit_gbt(md.assemble(train, MF, "is_winner"))
     scored = md.score(model, md.assemble(hold, MF, "is_winner", False))
     return emit(md.importances(spark, model, MF, len(MF)).join(md.direction(scored, MF), "feature"))
@@ -286,9 +286,9 @@ def v2(spark, sf):
     ),
 )
 def v2b(spark, sf):
-    return emit(md.direction(rule_frame(Tables(spark, sf)), MF, "forward_endpoint_pct"))
+    return emit(md.direction(rule_frame(Tables(spark, sf, share=True)), MF, "forward_endpoint_pct"))
 
 
 @query("v3_cluster_choice")
 def v3(spark, sf):
-    return emit(vx.cluster_choice(staged(vecs(Tables(spark, sf))), "vec", (3, 5, 8)))
+    return emit(vx.cluster_choice(staged(vecs(Tables(spark, sf, share=True))), "vec", (3, 5, 8)))

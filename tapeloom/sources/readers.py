@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.windows import row_of
+
 MAX_SYMBOLS = 5000
 
 # Types of the contract's flag columns; any other column is text.
@@ -110,7 +112,8 @@ def snapshot_cursor(bars, flags, groups):
     f = flags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("max_id"), F.count(F.lit(1)).alias("flag_rows"))
     g = groups.agg(F.count_distinct("peer_group").alias("group_count"), F.count(F.lit(1)).alias("entry_count"))
     for side in (f, g):
-        b = b.withColumns({c: side.select(c).scalar() for c in side.columns})
+        row = row_of(side)
+        b = b.withColumns({c: row[c] for c in side.columns})
     return b
 
 

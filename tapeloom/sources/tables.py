@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def bars_from_sales(lineitem: DataFrame) -> DataFrame:
     """Daily bars: one row per (symbol, date).
@@ -45,15 +47,26 @@ def bars_from_sales(lineitem: DataFrame) -> DataFrame:
 class Tables:
     """The given parquet tables, and the frames derived from them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, share: bool = False):
+        """``share``: write the bar table once and let every later use read that copy.
+
+        For plans that read the bars several times (rules, trades, panels); a plan that
+        reads them once streams straight from the sales.
+        """
         self.spark = spark
         self.folder = folder
+        self.share = share
+        self._bars = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def bars(self) -> DataFrame:
-        return bars_from_sales(self.read("lineitem"))
+        if not self.share:
+            return bars_from_sales(self.read("lineitem"))
+        if self._bars is None:
+            self._bars = staged(bars_from_sales(self.read("lineitem")))
+        return self._bars
 
     def ticks(self) -> DataFrame:
         return self.read("events").select(

@@ -10,11 +10,15 @@ TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}
 add_cte("bars_tr", f"SELECT *, {TR} AS tr, {lag('close')} AS pc FROM bars")
 
 
+# in units of price, where two places already are nine digits
+MACD_COLS = ("macd_line", "macd_signal", "macd_hist")
+
+
 def _simple(name, step, spec, body):
     @query(name, E("symbol d:date " + spec, body))
     def run(spark, sf):
         cols = [x.rpartition(":")[2] for x in spec.split()]
-        return emit(step(Tables(spark, sf).bars()), "symbol", "date", *cols)
+        return emit(step(Tables(spark, sf).bars()), "symbol", "date", *cols, coarse=MACD_COLS)
 
     return run
 
@@ -142,7 +146,7 @@ MACD_WITH = """WITH RECURSIVE e AS (
 _simple(
     "f14_macd",
     fx.macd,
-    "f:macd_line f:macd_signal f:macd_hist",
+    "g:macd_line g:macd_signal g:macd_hist",
     MACD_WITH + "SELECT symbol, date, CASE WHEN i >= 26 THEN f - s END AS macd_line, "
     "CASE WHEN i >= 34 THEN sg END AS macd_signal, CASE WHEN i >= 34 THEN f - s - sg END AS macd_hist FROM e",
 )
@@ -297,7 +301,7 @@ def feature_matrix(t: Tables):
     return fx.build_features(bars, t.market(bars), t.peers())
 
 
-MATRIX_MACD = " f:macd_line f:macd_signal f:macd_hist i:consec_up i:consec_down"
+MATRIX_MACD = " g:macd_line g:macd_signal g:macd_hist i:consec_up i:consec_down"
 
 
 @query(
@@ -316,7 +320,7 @@ MATRIX_MACD = " f:macd_line f:macd_signal f:macd_hist i:consec_up i:consec_down"
 )
 def f26(spark, sf):
     cols = [x.rpartition(":")[2] for x in (MATRIX_SPEC + MATRIX_MACD).split()]
-    return emit(feature_matrix(Tables(spark, sf, share=True)), "symbol", "date", *cols, coarse=("rs_sector_20d", "rs_spy_20d"))
+    return emit(feature_matrix(Tables(spark, sf, share=True)), "symbol", "date", *cols, coarse=("rs_sector_20d", "rs_spy_20d", *MACD_COLS))
 
 
 _P = "close_adj"

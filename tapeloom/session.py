@@ -63,7 +63,20 @@ def staged(df):
     """
     path = stage_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames):
+    """Delete staged tables that no later plan reads; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "staged_path", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            df.staged_path = None
 
 
 def input_dir(default: str = "/root/testdata/sf0.1") -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, simhash
+from . import langid, media, mixing, packing, simhash
 
 
 def tokenizer_path() -> str:
@@ -75,11 +75,16 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(_documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL}

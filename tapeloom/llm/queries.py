@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, simhash
+from . import langid, lines, media, mixing, packing, simhash
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,37 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    got = lines.dedup_lines(_documents(spark, folder))
+    return got.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), "lines_in", "lines_removed", "blocks_removed")
+
+
+OP1_SQL = f"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM a),
+n AS (
+  SELECT doc_id, pos, trim(line) AS x, lead(trim(line)) OVER p AS y, lead(pos) OVER p AS pos2
+  FROM l WHERE trim(line) <> '' WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (
+  SELECT doc_id, pos, pos2, 2 AS lines, x || chr(10) || y AS content FROM n WHERE y IS NOT NULL
+  UNION ALL SELECT doc_id, pos, pos, 1, x FROM n WHERE length(x) - length(replace(x, ' ', '')) >= {lines.LONG_WORDS - 1}),
+later AS (
+  SELECT doc_id, pos, pos2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY lines, content ORDER BY doc_id, pos) AS k FROM runs) q WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos2 FROM later) q),
+m AS (
+  SELECT l.doc_id, l.line, l.pos, g.pos IS NOT NULL AS gone,
+         g.pos IS NOT NULL AND lag(g.pos) OVER (PARTITION BY l.doc_id ORDER BY l.pos) IS NULL AS starts
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.gone), '') END AS text,
+       count(m.pos) AS lines_in,
+       count(m.pos) FILTER (WHERE m.gone) AS lines_removed,
+       count(m.pos) FILTER (WHERE m.starts) AS blocks_removed
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+"""
+
+
 def op3_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     got = media.stored_text_media(_documents(spark, folder))
     return got.select(
@@ -80,6 +111,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_media_columns": op3_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
@@ -87,4 +119,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL}

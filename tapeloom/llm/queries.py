@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, mixing, packing, simhash
+from . import langid, licenses, lines, media, mixing, packing, pii, simhash
 
 
 def tokenizer_path() -> str:
@@ -101,6 +101,48 @@ FROM c
 """
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_notices(_documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def _op7_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = []
+    for rank, (name, text) in enumerate(licenses.TEMPLATES):
+        pairs = licenses.bigrams(text)
+        rows.append(f"({rank}, {quoted(name)}, {len(pairs)}, [{', '.join(map(quoted, pairs))}])")
+    return f"""
+WITH t(rank, license, n, pairs) AS (VALUES {", ".join(rows)}),
+p AS (
+  SELECT doc_id, 'line' AS kind, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, 'block', regexp_split_to_array(text, '\n[ \t\r]*\n') FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, kind, unnest(parts) AS x, unnest(range(len(parts))) AS unit FROM p),
+w AS (
+  SELECT doc_id, kind, unit,
+         string_split(trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
+  FROM u WHERE kind = 'line' OR contains(x, chr(10))),
+a AS (
+  SELECT doc_id, kind, unit, len(words) - 1 AS a,
+         list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs
+  FROM w WHERE len(words) > 1),
+s AS (
+  SELECT a.doc_id, a.kind, a.unit, t.license, t.rank,
+         2 * len(list_intersect(t.pairs, a.pairs)) / CAST(t.n + a.a AS DOUBLE) AS dice
+  FROM a JOIN t ON 2 * least(t.n, a.a) >= {licenses.THRESHOLD} * (t.n + a.a))
+SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, license, dice FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, kind, unit ORDER BY dice DESC, rank) AS k FROM s WHERE dice >= {licenses.THRESHOLD}) q
+WHERE k = 1
+"""
+
+
+PSEUDONYM_KEY = "corpus-pseudonyms-1"  # a deployment passes its own secret
+
+
+def op8_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymised(_documents(spark, folder), PSEUDONYM_KEY).withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     got = simhash.near_duplicates(_documents(spark, folder))
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -115,8 +157,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op7_license_scan": op7_license_scan,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL, "op7_license_scan": _op7_sql()}

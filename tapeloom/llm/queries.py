@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, media, mixing, packing, pii, simhash
+from . import langid, licenses, lines, media, mixing, packing, pii, repeats, simhash
 
 
 def tokenizer_path() -> str:
@@ -51,6 +51,15 @@ FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.text
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    got = repeats.without_repeats(_documents(spark, folder))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["begin"]))
+    return got.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     got = media.stored_text_media(_documents(spark, folder))
     return got.select(
@@ -154,6 +163,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_columns": op3_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,

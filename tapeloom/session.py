@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -69,7 +70,12 @@ def staged(df):
 
 
 def discard(*frames):
-    """Delete staged tables that no later plan reads; other frames are left alone."""
+    """Delete staged tables that no later plan reads; other frames are left alone.
+
+    The JVM's garbage goes too, so that Spark's cleaner drops the shuffle files of the steps
+    that are done.
+    """
+    sc = None
     for df in frames:
         path = getattr(df, "staged_path", None)
         if path is not None:
@@ -77,6 +83,9 @@ def discard(*frames):
             target = sc._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
             df.staged_path = None
+    if sc is not None:
+        gc.collect()
+        sc._jvm.System.gc()
 
 
 def input_dir(default: str = "/root/testdata/sf0.1") -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, media, mixing, packing, pii, repeats, simhash
+from . import embeddings, langid, licenses, lines, media, mixing, packing, pii, repeats, simhash
 
 
 def tokenizer_path() -> str:
@@ -68,6 +68,11 @@ def op3_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    got = embeddings.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     got = packing.pack(_documents(spark, folder), tokenizer_path())
     return got.withColumnRenamed("id", "doc_id")
@@ -165,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_columns": op3_media_columns,
+    "op4_embedding_neardup": op4_embedding_neardup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_license_scan": op7_license_scan,

@@ -100,7 +100,8 @@ def dedup_lines(
     later = repeated_runs(docs, id_col, text_col, run, long_words)
     gone = later.groupBy(F.col("id").alias("gid"), F.col("tag").alias("gtag")).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("gone"))
     text = F.col(text_col).cast("string")
-    rest = F.struct(F.lit(True).alias("row"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")
+    mark = "_".join(docs.columns) + "_"  # a struct needs a field, and no column has this name
+    rest = F.struct(F.lit(True).alias(mark), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), _lines(text).alias("lines"), rest)
     got = src.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("tag") == F.col("gtag")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")

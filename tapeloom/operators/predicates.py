@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import ratio, row_of
 
-_OPS = {
+OPS = {
     "<": operator.lt,
     "<=": operator.le,
     ">": operator.gt,
@@ -19,12 +19,16 @@ _OPS = {
 }
 
 
+def check_op(op):
+    if op not in OPS:
+        raise ValueError(f"unknown op: {op}")
+
+
 def condition(feature, op, threshold):
     """One comparison that is false, never null, for a missing or non-finite value."""
-    if op not in _OPS:
-        raise ValueError(f"unknown op: {op}")
+    check_op(op)
     x = F.col(feature).cast("double")
-    return F.coalesce(_OPS[op](finite(x), F.lit(float(threshold))), F.lit(False))
+    return F.coalesce(OPS[op](finite(x), F.lit(float(threshold))), F.lit(False))
 
 
 def finite(c):
@@ -146,44 +150,46 @@ STRICT = {
 }
 
 
-def heuristic_regime(df, strict=False, continuous=False):
-    """Share of conditions met, or mean of sigmoids, per regime; label by the largest."""
-    t = STRICT if strict else LOOSE
-    dd, r30, r60, sma, vol = (F.col(c) for c in ("drawdown_60d", "r_30d", "r_60d", "sma_ratio", "vol_ratio"))
-    b, c, s, q = t["bear"], t["chop"], t["steady"], t["sideways"]
+# What each regime asks of a measure, with the steepness of its graded form; the thresholds
+# are those of LOOSE or STRICT, and a term that a set has no threshold for is left out.
+TERMS = (
+    ("bear_trend", "bear", "dd60", "drawdown_60d", "<=", 10),
+    ("bear_trend", "bear", "r30", "r_30d", "<=", 20),
+    ("bear_trend", "bear", "sma", "sma_ratio", "<", 20),
+    ("choppy_recovery", "chop", "dd60", "drawdown_60d", "<=", 10),
+    ("choppy_recovery", "chop", "r30", "r_30d", ">=", 20),
+    ("choppy_recovery", "chop", "vol", "vol_ratio", ">", 10),
+    ("steady_bull", "steady", "sma", "sma_ratio", ">=", 20),
+    ("steady_bull", "steady", "r60", "r_60d", ">=", 10),
+    ("steady_bull", "steady", "vol", "vol_ratio", "<", 10),
+    ("steady_bull", "steady", "dd60", "drawdown_60d", ">", 20),
+    ("steady_bull", "steady", "r30", "r_30d", ">=", 20),
+)
 
-    def mean(parts):
-        return reduce(lambda x, y: x + y, parts) / F.lit(float(len(parts)))
 
+def heuristic_regime(df, strict=False, continuous=False):
+    """Per regime the mean of its terms, met or not, or graded by a sigmoid; label by the largest.
+
+    Sideways has a band of its own, or in the graded form what the others leave.
+    """
+    limits = STRICT if strict else LOOSE
+    terms: dict = {}
+    for regime, group, name, column, op, steep in TERMS:
+        if name not in limits[group]:
+            continue
+        x, t = F.col(column), F.lit(float(limits[group][name]))
+        above = (x - t) if op in (">", ">=") else (t - x)
+        term = 1.0 / (1.0 + F.exp(-above * float(steep))) if continuous else OPS[op](x, t).cast("double")
+        terms.setdefault(regime, []).append(term)
+    scores = {regime: reduce(operator.add, parts) / float(len(parts)) for regime, parts in terms.items()}
     if continuous:
-
-        def sig(x, k):
-            return F.lit(1.0) / (F.lit(1.0) + F.exp(-x * F.lit(float(k))))
-
-        bear = mean([sig(b["dd60"] - dd, 10), sig(b["r30"] - r30, 20), sig(b["sma"] - sma, 20)])
-        chop = mean([sig(c["dd60"] - dd, 10), sig(r30 - c["r30"], 20), sig(vol - c["vol"], 10)])
-        parts = [sig(sma - s["sma"], 20), sig(r60 - s["r60"], 10), sig(s["vol"] - vol, 10), sig(dd - s["dd60"], 20)]
-        if "r30" in s:
-            parts.append(sig(r30 - s["r30"], 20))
-        steady = mean(parts)
-        side = F.greatest(F.lit(0.0), F.lit(1.0) - F.greatest(bear, chop, steady))
+        side = F.greatest(F.lit(0.0), 1.0 - F.greatest(*scores.values()))
     else:
-
-        def met(conds):
-            return mean([x.cast("double") for x in conds])
-
-        bear = met([dd <= b["dd60"], r30 <= b["r30"], sma < b["sma"]])
-        chop = met([dd <= c["dd60"], r30 >= c["r30"], vol > c["vol"]])
-        conds = [sma >= s["sma"], r60 >= s["r60"], vol < s["vol"], dd > s["dd60"]]
-        if "r30" in s:
-            conds.append(r30 >= s["r30"])
-        steady = met(conds)
-        lo, hi = q["sma"]
-        side = met([F.abs(r30) < q["r30"], (sma > lo) & (sma < hi), dd > q["dd60"]])
-    label, score = _argmax(
-        [("bear_trend", bear), ("choppy_recovery", chop), ("steady_bull", steady), ("sideways_range", side)]
-    )
-    known = dd.isNotNull() & r30.isNotNull() & r60.isNotNull() & sma.isNotNull() & vol.isNotNull()
+        q, sma = limits["sideways"], F.col("sma_ratio")
+        band = [F.abs("r_30d") < q["r30"], (sma > q["sma"][0]) & (sma < q["sma"][1]), F.col("drawdown_60d") > q["dd60"]]
+        side = reduce(operator.add, [b.cast("double") for b in band]) / float(len(band))
+    label, score = _argmax([*scores.items(), ("sideways_range", side)])
+    known = reduce(operator.and_, [F.col(c).isNotNull() for c in dict.fromkeys(t[3] for t in TERMS)])
     return df.withColumns(
         {
             "regime_label": F.when(known, label).otherwise("sideways_range"),

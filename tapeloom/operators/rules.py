@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, running_before
 from ..functions.windows import ratio
 from ..session import staged
-from .predicates import all_hold, range_label
+from .predicates import OPS, check_op, range_label
 
 
 @dataclass(frozen=True)
@@ -25,22 +28,61 @@ class Rule:
         return json.dumps([{"feature": f, "op": o, "threshold": t} for f, o, t in self.conditions])
 
 
-def fired_keys(rules, columns):
-    """Array of the keys of all rules that hold on the row.
+class RuleTable:
+    """Rules as data: distinct conditions, and for every rule which of them it joins.
 
-    One expression per rule inside one projection, so a single scan serves every rule
-    and Catalyst shares repeated conditions.  A rule on an absent column never fires.
+    A batch of rows is one bit vector per condition, and a rule the conjunction of a few of
+    them, so the plan is the same for ten rules and for tens of thousands.  A rule on an
+    absent column never fires; a missing or non-finite value meets no condition.
     """
-    known = set(columns)
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(all_hold(r.conditions), F.lit(r.key))
-                for r in rules
-                if all(f in known for f, _, _ in r.conditions)
-            ]
-        )
-    )
+
+    def __init__(self, rules, columns):
+        known = set(columns)
+        live = [r for r in rules if all(f in known for f, _, _ in r.conditions)]
+        self.keys = np.array([r.key for r in live], object)
+        self.features = sorted({f for r in live for f, _, _ in r.conditions})
+        place: dict = {}
+        self.parts = [[place.setdefault((f, o, float(t)), len(place)) for f, o, t in r.conditions] for r in live]
+        self.conditions = list(place)
+        for _, op, _ in self.conditions:
+            check_op(op)
+
+    def columns(self):
+        return [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(self.features)]
+
+    def fired(self, values):
+        """Packed bits of the rows on which each rule holds, rule by rule."""
+        n = len(values[0]) if values else 0
+        at = {f: i for i, f in enumerate(self.features)}
+        usable = [np.isfinite(v) for v in values]
+        with np.errstate(invalid="ignore"):
+            bits = [np.packbits(OPS[o](values[at[f]], t) & usable[at[f]]) for f, o, t in self.conditions]
+        for part in self.parts:
+            yield reduce(np.bitwise_and, [bits[k] for k in part]) if part else np.packbits(np.ones(n, bool))
+
+    def pairs(self, values):
+        """(row, rule) of every firing, by row and then by rule."""
+        n = len(values[0]) if values else 0
+        rows = [np.flatnonzero(np.unpackbits(b, count=n)) for b in self.fired(values)]
+        rule = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        order = np.argsort(row, kind="stable")
+        return row[order], rule[order]
+
+
+def fired_keys(rules, columns):
+    """Array of the keys of all rules that hold on the row."""
+    table = RuleTable(rules, columns)
+    if not table.features:
+        return F.array().cast("array<string>")
+
+    def keys(*features: pd.Series) -> pd.Series:
+        values = [f.to_numpy(np.float64) for f in features]
+        row, rule = table.pairs(values)
+        cuts = np.searchsorted(row, np.arange(1, len(values[0])))
+        return pd.Series([list(k) for k in np.split(table.keys[rule], cuts)][: len(values[0])], dtype=object)
+
+    return F.pandas_udf(keys, "array<string>")(*table.columns())
 
 
 def firings(df, rules, keep=("symbol", "date")):
@@ -53,15 +95,49 @@ ALL = "*"
 def rule_counts(df, rules, label="is_winner", by=()):
     """Rows and positives per (group, rule), with the group's own totals beside them.
 
-    One scan: every row counts for each rule it fires and for the group itself (key
-    ``*``), and is combined on the map side, so the shuffle holds one partial row per
-    (group, rule) and task whatever the coverage.
+    One scan: a task counts bits for every rule and group it meets, the group itself under the
+    key ``*``, and the shuffle holds one partial row per (group, rule) and task.
     """
     by = list(by)
-    y = F.col(label).cast("int").alias("_y")
-    keys = F.array_append(fired_keys(rules, df.columns), F.lit(ALL))
-    d = df.where(F.col(label).isNotNull()).select(*by, y, F.explode(keys).alias("rule_key"))
-    d = d.groupBy(*by, "rule_key").agg(F.count(F.lit(1)).alias("coverage_n"), F.sum("_y").alias("n_hit"))
+    table = RuleTable(rules, df.columns)
+    src = df.where(F.col(label).isNotNull()).select(*by, F.col(label).cast("int").alias("_y"), *table.columns())
+    types = ", ".join(f"`{c}` {t}" for c, t in src.select(*by).dtypes)
+    held = max(1, 2_000_000 // (len(table.keys) + 1))  # groups whose counts a task keeps before it sends them
+
+    def count(batches):
+        sums: dict = {}
+        for b in batches:
+            y = np.packbits(b["_y"].to_numpy(np.int64) == 1)
+            fired = list(table.fired([b[f"f{i}"].to_numpy(np.float64) for i in range(len(table.features))]))
+            fired.append(np.packbits(np.ones(len(b), bool)))
+            for group, rows in b.groupby(by, dropna=False, sort=False).indices.items() if by else [((), None)]:
+                own = None
+                if rows is not None:
+                    inside = np.zeros(len(b), bool)
+                    inside[rows] = True
+                    own = np.packbits(inside)
+                hit = np.empty((len(fired), 2), np.int64)
+                for i, bits in enumerate(fired):
+                    bits = bits if own is None else bits & own
+                    hit[i] = np.bitwise_count(bits).sum(), np.bitwise_count(bits & y).sum()
+                key = group if isinstance(group, tuple) else (group,)
+                sums[key] = sums.get(key, 0) + hit
+            if len(sums) > held:
+                yield from sent(sums)
+                sums = {}
+        yield from sent(sums)
+
+    def sent(sums):
+        names = np.append(table.keys, ALL)
+        for group, hit in sums.items():
+            some = hit[:, 0] > 0
+            out = pd.DataFrame({"rule_key": names[some], "n": hit[some, 0], "h": hit[some, 1]})
+            for c, v in zip(reversed(by), reversed(group)):
+                out.insert(0, c, v)
+            yield out
+
+    d = src.mapInPandas(count, f"{types}, rule_key string, n long, h long".lstrip(", "))
+    d = d.groupBy(*by, "rule_key").agg(F.sum("n").alias("coverage_n"), F.sum("h").alias("n_hit"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     own = F.col("rule_key") == ALL
     return d.withColumns(

@@ -122,6 +122,55 @@ def u10(spark, sf):
     return emit(ru.firings(d, RULES), "symbol", "date", "rule_key")
 
 
+GRID_FEATURES = ("close_over_sma_20", "roc_20", "rsi_14", "vol_mult_30", "pct_of_60d_high")
+# ten cut points per feature; every pair of features and of cuts is a rule: 2,000 in all
+GRID_CUTS = {
+    "close_over_sma_20": (0.5, 0.153), "roc_20": (-0.7, 0.305), "rsi_14": (30.5, 4.3), "vol_mult_30": (0.3, 0.203), "pct_of_60d_high": (0.1, 0.093)
+}
+
+
+def grid_rules():
+    cut = {f: [round(a + b * i, 6) for i in range(10)] for f, (a, b) in GRID_CUTS.items()}
+    return [
+        Rule(f"{f}>={cut[f][i]:.6f} & {g}<{cut[g][j]:.6f}", ((f, ">=", cut[f][i]), (g, "<", cut[g][j])))
+        for f in GRID_FEATURES
+        for g in GRID_FEATURES
+        if f != g
+        for i in range(10)
+        for j in range(10)
+    ]
+
+
+add_cte(
+    "grid_cuts",
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS f, round(CAST({a} AS DOUBLE) + CAST({b} AS DOUBLE) * i, 6) AS c FROM range(10) r(i)" for f, (a, b) in GRID_CUTS.items()
+    ),
+)
+add_cte(
+    "grid_rows",
+    "SELECT row_number() OVER () AS rid, is_winner, " + ", ".join(GRID_FEATURES) + " FROM rf WHERE is_winner IS NOT NULL",
+)
+_GRID = " UNION ALL ".join(f"SELECT '{f}' AS f, rid, is_winner, {f} AS v FROM grid_rows" for f in GRID_FEATURES)
+
+
+@query(
+    "u4_rule_table",
+    E(
+        EVAL_SPEC,
+        "WITH g AS (" + _GRID + "), cutrow AS (SELECT g.rid, g.is_winner, g.f, c.c, g.v >= c.c AS over FROM g JOIN grid_cuts c ON c.f = g.f WHERE g.v IS NOT NULL) "
+        "SELECT rule_key, m AS coverage_n, h AS n_hit, 100.0 * m / n AS coverage_pct, h / m AS precision, (h / m) / (p / n) AS lift FROM ("
+        "SELECT printf('%s>=%.6f & %s<%.6f', a.f, a.c, b.f, b.c) AS rule_key, count(*) AS m, count(*) FILTER (a.is_winner) AS h "
+        "FROM cutrow a JOIN cutrow b ON a.rid = b.rid AND a.f <> b.f WHERE a.over AND NOT b.over GROUP BY 1) z, "
+        "(SELECT count(*) AS n, count(*) FILTER (is_winner) AS p FROM grid_rows) t",
+    ),
+)
+def u4t(spark, sf):
+    """Two thousand rules at once, as a table."""
+    d = ru.evaluate(rule_frame(Tables(spark, sf)), grid_rules())
+    return emit(d, "rule_key", "coverage_n", "n_hit", "coverage_pct", "precision", "lift")
+
+
 # --- model paths and canonical rules ---------------------------------------------------
 
 

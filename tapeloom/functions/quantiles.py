@@ -18,7 +18,7 @@ ACCURACY = 20_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantiles(df, by, value, quantiles, few_groups=True, stage=True):
+def exact_quantiles(df, by, value, quantiles, few_groups=False, stage=True):
     """One row per group with linear-interpolated quantiles.
 
     ``quantiles``: {output column: probability}.  Groups without values are absent.
@@ -72,18 +72,25 @@ def exact_quantiles(df, by, value, quantiles, few_groups=True, stage=True):
     return got.groupBy(*by).agg(*wide)
 
 
-def order_bucket(df, value, out, n=256):
-    """Cut ``value`` at sketch quantiles, keeping order: equal values share a bucket."""
-    cuts = sorted(set(df.stat.approxQuantile(value, [i / n for i in range(1, n)], 1.0 / (4 * n))))
+BUCKET_ROWS = 20_000
+
+
+def order_bucket(df, value, out, n=None):
+    """Cut ``value`` at sketch quantiles, keeping order: equal values share a bucket.
+
+    Without ``n`` there are as many buckets as the number of rows asks for.
+    """
+    n = n or max(8, df.count() // BUCKET_ROWS)
+    cuts = sorted(set(df.stat.approxQuantile(value, [i / n for i in range(1, n)], 1.0 / (4 * n)))) or [0.0]
     return Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol=out, handleInvalid="keep"
     ).transform(df)
 
 
-def running_before(df, by, value, sums, n=256):
+def running_before(df, by, value, sums, n=None):
     """For every distinct (by, value): the sums, and the sums over all smaller values.
 
-    Rows collapse to distinct values first, then a prefix over at most ``n`` bucket
+    Rows collapse to distinct values first, then a prefix over the bucket
     totals per group is added to a prefix inside the bucket, so no task sees a whole
     group.  Output columns: by, value, each sum, and ``<sum>_before``.
     """

@@ -65,6 +65,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def finite(c) -> Column:
+    """Not-a-number and infinities become null."""
+    c = _c(c)
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
 def full(agg, c, frame, n) -> Column:
     """``agg(c)`` over ``frame`` when all ``n`` values are there, else null."""
     c = _c(c)
@@ -103,8 +109,10 @@ def with_means(df, wanted, s=None):
         cols.setdefault(c, f"_{len(cols)}")
     base = {}
     for c, tag in cols.items():
-        base["_cum" + tag] = F.sum(F.col(c).cast("double")).over(s.running())
-        base["_cnt" + tag] = F.count(F.col(c)).over(s.running())
+        # what is not finite counts as missing: one such value would spoil every later difference
+        x = finite(F.col(c).cast("double"))
+        base["_cum" + tag] = F.sum(x).over(s.running())
+        base["_cnt" + tag] = F.count(x).over(s.running())
     df = df.withColumns(base)
     out = {}
     for name, (c, n) in wanted.items():
@@ -160,18 +168,29 @@ def emas(df, wanted, keys=("symbol",), order=("date",), warmup=False):
     ``warmup`` leaves the first ``span - 1`` values null.
     """
     s = Series(keys, order)
-    lead = _c(next(iter(wanted.values()))[0])
-    widest = max(span for _, span in wanted.values())
+    rest = sorted(wanted.items(), key=lambda item: -item[1][1])
+    while rest:
+        # a block as long as a wide span needs would overflow the powers of a much narrower one
+        widest = rest[0][1][1]
+        now = {n: cs for n, cs in rest if cs[1] * 8 >= widest}
+        rest = [(n, cs) for n, cs in rest if n not in now]
+        df = _emas_of_like_spans(df, now, s, widest, warmup)
+    return df
+
+
+def _emas_of_like_spans(df, wanted, s, widest, warmup):
+    value = {n: finite(_c(c).cast("double")) for n, (c, _) in wanted.items()}
+    lead = next(iter(value.values()))
     block = max(2, math.ceil(39.2 / -math.log(1.0 - 2.0 / (widest + 1.0))))
     df = df.withColumn("_en", F.count(lead).over(s.running()) - 1)
     df = df.withColumns({"_eb": F.floor(F.col("_en") / block), "_ep": (F.col("_en") % block).cast("double")})
     inside = Window.partitionBy(*s.keys, "_eb").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
     inner = {}
-    for name, (c, span) in wanted.items():
+    for name, (_, span) in wanted.items():
         a = 2.0 / (span + 1.0)
         d = F.lit(1.0 - a)
-        # a null input repeats the previous position and adds nothing
-        term = F.when(F.col("_en") == 0, 1.0).otherwise(a) * _c(c) * F.pow(d, -F.col("_ep"))
+        # a missing input repeats the previous position and adds nothing
+        term = F.when(F.col("_en") == 0, 1.0).otherwise(a) * value[name] * F.pow(d, -F.col("_ep"))
         inner["_ei_" + name] = F.sum(term).over(inside) * F.pow(d, F.col("_ep"))
     df = df.withColumns(inner)
     ends = (F.col("_ep") == block - 1) & lead.isNotNull()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import DAILY, emas, full, ratio, true_range, with_extremes, with_means
+from ..functions.windows import DAILY, emas, finite, full, ratio, true_range, with_extremes, with_means
 
 
 def sma_distance(df, windows=(10, 20, 50, 200)):
@@ -52,7 +52,7 @@ def obv_slope(df, lookback=20):
     v = F.col("volume").cast("double")
     step = F.col("close") - DAILY.lag("close")
     df = df.withColumn("_sv", F.coalesce(F.signum(step), F.lit(0.0)) * v)
-    df = df.withColumn("_obv", F.sum("_sv").over(DAILY.running()))
+    df = df.withColumn("_obv", F.sum(finite("_sv")).over(DAILY.running()))
     df = with_means(df, {"_vm": ("volume", lookback)})
     change = F.col("_obv") - DAILY.lag("_obv", lookback)
     return df.withColumn(f"obv_slope_{lookback}d", ratio(change, F.col("_vm") * lookback)).drop("_sv", "_obv", "_vm")
@@ -61,7 +61,7 @@ def obv_slope(df, lookback=20):
 def accumulation_distribution(df):
     span = F.col("high") - F.col("low")
     mfm = F.when(span > 0, ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / span).otherwise(0.0)
-    return df.withColumn("ad_line", F.sum(mfm * F.col("volume").cast("double")).over(DAILY.running()))
+    return df.withColumn("ad_line", F.sum(finite(mfm * F.col("volume").cast("double"))).over(DAILY.running()))
 
 
 def atr_pct(df, window=14):
@@ -234,7 +234,8 @@ def build_features(bars: DataFrame, benchmark: DataFrame, groups: DataFrame) ->
         "_ph": s.lag("high"),
         "_pl": s.lag("low"),
         "_i": F.row_number().over(s.w),
-        "_cc": F.sum("close").over(s.running()),
+        "_cc": F.sum(finite("close")).over(s.running()),
+        "_nc": F.count(finite("close")).over(s.running()),
         "_cv": F.sum(vol).over(s.running()),
         "_sd": s.roll(F.stddev_samp, "close", 20),
         "_low30": s.roll_prior(F.min, "close", 30),
@@ -259,16 +260,18 @@ def build_features(bars: DataFrame, benchmark: DataFrame, groups: DataFrame) ->
         }
     )
 
-    def mean(cum, n):
-        return F.when(c("_i") >= n, (c(cum) - F.coalesce(s.lag(cum, n), zero)) / n)
+    def mean(cum, n, count="_i"):
+        have = c(count) - F.coalesce(s.lag(count, n), F.lit(0))
+        return F.when(have == n, (c(cum) - F.coalesce(s.lag(cum, n), zero)) / n)
 
     out = out.withColumns(
         {
-            **{f"_s{n}": mean("_cc", n) for n in sma},
+            **{f"_s{n}": mean("_cc", n, "_nc") for n in sma},
             **{f"_v{n}": mean("_cv", n) for n in vols},
-            "_ct": F.sum("_tr").over(s.running()),
-            "_obv": F.sum("_sv").over(s.running()),
-            "ad_line": F.sum("_mf").over(s.running()),
+            "_ct": F.sum(finite("_tr")).over(s.running()),
+            "_nt": F.count(finite("_tr")).over(s.running()),
+            "_obv": F.sum(finite("_sv")).over(s.running()),
+            "ad_line": F.sum(finite("_mf")).over(s.running()),
             "is_nr4": c("_tr") == s.roll(F.min, "_tr", 4),
             "is_nr7": c("_tr") == s.roll(F.min, "_tr", 7),
             "hv_ratio_10_60": ratio(s.roll(F.stddev_samp, "_lr", 10), s.roll(F.stddev_samp, "_lr", 60)),
@@ -295,7 +298,7 @@ def build_features(bars: DataFrame, benchmark: DataFrame, groups: DataFrame) ->
             "bb_squeeze_20": ratio(4.0 * c("_sd"), "_s20"),
             **{f"vol_mult_{n}": F.when(c(f"_v{n}") > 0, ratio(vol, f"_v{n}")) for n in (5, 10, 30, 60)},
             "obv_slope_20d": ratio(c("_obv") - s.lag("_obv", 20), c("_v20") * 20),
-            "atr_pct_14": ratio(mean("_ct", 14), "close"),
+            "atr_pct_14": ratio(mean("_ct", 14, "_nt"), "close"),
             "range_expansion_5d": ratio("_tr", tr_mean5),
             **{
                 f"rsi_{n}": F.when(c(f"_al{n}") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + ratio(f"_ag{n}", f"_al{n}")))

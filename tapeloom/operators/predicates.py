@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import ratio, row_of
+from ..functions.windows import finite, ratio, row_of
 
 OPS = {
     "<": operator.lt,
@@ -31,12 +31,6 @@ def condition(feature, op, threshold):
     return F.coalesce(OPS[op](finite(x), F.lit(float(threshold))), F.lit(False))
 
 
-def finite(c):
-    """Not-a-number and infinities become null."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-
-
 def all_hold(conditions):
     return reduce(lambda a, b: a & b, [condition(*c) for c in conditions])
 

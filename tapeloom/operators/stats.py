@@ -270,18 +270,15 @@ def variance_ratio(returns, s: Series, lag):
     return d.groupBy(*s.keys).agg(vr.alias(f"vr_{lag}"))
 
 
-# The distinct whole lags of fifteen geometric steps from 2 to 100.
-HURST_LAGS = (2, 3, 4, 6, 8, 10, 14, 18, 24, 32, 43, 57, 75, 100)
+def hurst_lags(most=100, steps=15):
+    """The distinct whole lags of geometric steps from 2 to ``most``."""
+    return sorted({int(2 * (most / 2) ** (k / (steps - 1)) + 1e-9) for k in range(steps)})
 
 
-def hurst(bars, s: Series, lags=HURST_LAGS, tail=5000):
-    """Rescaled-range exponent: slope of ln(mean R/S) on ln(lag)."""
+def hurst(bars, s: Series, lags=None):
+    """Rescaled-range exponent of the whole series: slope of ln(mean R/S) on ln(lag)."""
+    lags = lags or hurst_lags()
     d = bars.withColumns(
-        {
-            "_back": F.row_number().over(Window.partitionBy(*s.keys).orderBy(*[F.col(c).desc() for c in s.order])),
-        }
-    ).where(F.col("_back") <= tail)
-    d = d.withColumns(
         {
             "_i": F.row_number().over(s.w) - 1,
             "_n": F.count(F.lit(1)).over(Window.partitionBy(*s.keys)),

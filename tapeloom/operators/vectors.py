@@ -30,12 +30,38 @@ def distance(a, b, metric="euclidean"):
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def _pairwise(a, b, metric):
-    """Distances of two small blocks of vectors."""
-    if metric == "manhattan":
-        return np.stack([np.abs(b - row).sum(axis=1) for row in a]) if len(a) else np.empty((0, len(b)))
-    sq = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0.0))
+def _distances(a, b, metric):
+    """Distances of the rows of ``a`` to a few vectors, from direct differences."""
+    out = np.empty((len(a), len(b)))
+    for i, row in enumerate(b):
+        d = a - row
+        out[:, i] = np.abs(d).sum(axis=1) if metric == "manhattan" else np.sqrt(np.einsum("nd,nd->n", d, d))
+    return out
+
+
+def _nearest(a, b, ids, k, metric):
+    """(row of a, row of b, distance) of the ``k`` nearest, ties by id.
+
+    Euclidean candidates come from the centred Gram form, kept as far as its rounding could
+    matter; what is returned is measured by direct differences.
+    """
+    if metric != "manhattan":
+        centre = b.mean(axis=0)
+        x, y = a - centre, b - centre
+        xx, yy = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", y, y)
+        rough = xx[:, None] + yy[None, :] - 2.0 * (x @ y.T)
+        m = min(k, len(b))
+        room = 1e-12 * (xx + yy.max()) * np.sqrt(a.shape[1])
+        reach = np.partition(rough, m - 1, axis=1)[:, m - 1] + 2.0 * room
+    rows, cols, dist = [], [], []
+    for i, row in enumerate(a):
+        near = np.arange(len(b)) if metric == "manhattan" else np.flatnonzero(rough[i] <= reach[i])
+        d = _distances(b[near], row[None, :], metric)[:, 0]
+        best = np.lexsort((ids[near], d))[:k]
+        rows.append(np.full(len(best), i))
+        cols.append(near[best])
+        dist.append(d[best])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
 def pivots(points, vec, n):
@@ -51,21 +77,23 @@ def _assign(df, vec, centers, metric, out, dist):
     def nearest(v: pd.Series) -> pd.DataFrame:
         if not len(v):
             return pd.DataFrame({"c": pd.Series([], dtype="int32"), "d": pd.Series([], dtype="float64")})
-        m = _pairwise(np.stack(v.to_numpy()).astype("float64"), centers, metric)
+        m = _distances(np.stack(v.to_numpy()).astype("float64"), centers, metric)
         c = m.argmin(axis=1)
         return pd.DataFrame({"c": c.astype("int32"), "d": m[np.arange(len(c)), c]})
 
     return df.withColumn("_a", nearest(vec)).withColumns({out: F.col("_a.c"), dist: F.col("_a.d")}).drop("_a")
 
 
-def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", n_pivots=16, salt_rows=20_000):
+def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", block_rows=20_000):
     """The exact ``k`` nearest points of every query, without comparing every pair.
 
-    Points are split into cells around pivots, and a large cell into salted blocks, so a
-    cell that holds a third of all points is many tasks.  A query first searches its own
-    cell; the k-th distance found there bounds the answer, and by the triangle inequality
-    only cells whose ring [near, far] can hold something closer are searched next.  Each
-    (query, block) gives back at most ``k`` rows.  Ties go to the smaller point id.
+    Points are split into cells around pivots, as many as the number of points asks for.  In a
+    cell both sides are dealt into blocks by their counts, so neither a cell of a third of all
+    points nor one that most queries visit is one task; a side is repeated only for the blocks
+    of the other.  A query first searches its own cell; the k-th distance found there bounds
+    the answer, and by the triangle inequality only cells whose ring [near, far] can hold
+    something closer are searched next.  Each (query, block) gives back at most ``k`` rows.
+    Ties go to the smaller point id.
 
     Cosine distance is half the squared Euclidean distance of unit vectors, so it is
     searched as Euclidean and converted.
@@ -73,44 +101,40 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     inner = "euclidean" if metric == "cosine" else metric
     prep = unit(F.col(vec)) if metric == "cosine" else F.transform(vec, lambda x: x.cast("double"))
     q = queries.select(F.col(query_id).alias("_q"), prep.alias("_qv"))
-    p = points.select(F.col(point_id).alias("_p"), prep.alias("_pv"))
-    p = staged(p)
-    centers = pivots(p, "_pv", n_pivots)
-    p = _assign(p, "_pv", centers, inner, "_cell", "_pd")
-    size = p.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pd").alias("_near"), F.max("_pd").alias("_far")
-    )
-    cells = staged(size.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / salt_rows)).cast("int")))
-    p = p.join(F.broadcast(cells.select("_cell", "_blocks")), "_cell")  # one row per pivot
-    p = staged(p.withColumn("_block", F.pmod(F.xxhash64("_p"), F.col("_blocks"))))
+    p = staged(points.select(F.col(point_id).alias("_p"), prep.alias("_pv")))
+    centers = pivots(p, "_pv", min(256, max(16, int(p.count() ** 0.5) // 8)))
+    p = staged(_assign(p, "_pv", centers, inner, "_cell", "_pd"))
+    cells = staged(p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_pd").alias("_near"), F.max("_pd").alias("_far")))
     q = staged(_assign(q, "_qv", centers, inner, "_home", "_qd"))
     types = {n: t for n, t in q.dtypes} | {n: t for n, t in p.dtypes}
     schema = f"_q {types['_q']}, _p {types['_p']}, _d double"
-    kind = inner
 
     def search(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"_q": left["_q"][:0], "_p": right["_p"][:0], "_d": pd.Series([], dtype="float64")})
-        b = np.stack(right["_pv"].to_numpy())
-        ids = right["_p"].to_numpy()
+        a, b, ids, names = np.stack(left["_qv"].to_numpy()), np.stack(right["_pv"].to_numpy()), right["_p"].to_numpy(), left["_q"].to_numpy()
         out = []
         # queries go through in slices, so the distance block stays small
-        for s in range(0, len(left), 256):
-            part = left.iloc[s : s + 256]
-            m = _pairwise(np.stack(part["_qv"].to_numpy()), b, kind)
-            for i, name in enumerate(part["_q"].to_numpy()):
-                best = np.lexsort((ids, m[i]))[:k]
-                out.append(pd.DataFrame({"_q": name, "_p": ids[best], "_d": m[i][best]}))
-        return pd.concat(out, ignore_index=True)
+        for s in range(0, len(a), 256):
+            row, col, dist = _nearest(a[s : s + 256], b, ids, k, inner)
+            out.append((names[s + row], ids[col], dist))
+        return pd.DataFrame(dict(zip(("_q", "_p", "_d"), map(np.concatenate, zip(*out)))))
 
     def probe(who):
-        """``who``: (_q, _qv, _cell), spread over the cell's blocks; queries are salted too."""
-        blocks = who.join(F.broadcast(cells.select("_cell", "_blocks")), "_cell")
-        blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks").cast("bigint") - 1)))
-        blocks = blocks.withColumn("_qs", F.pmod(F.xxhash64("_q"), F.lit(4)))
-        spread = p.withColumn("_qs", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])))
-        a = blocks.select("_cell", "_block", "_qs", "_q", "_qv").groupBy("_cell", "_block", "_qs")
-        return a.cogroup(spread.select("_cell", "_block", "_qs", "_p", "_pv").groupBy("_cell", "_block", "_qs")).applyInPandas(search, schema)
+        """``who``: a written table (_q, _qv, _cell)."""
+        many = who.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"))
+        parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block_rows)).cast("long")
+        deal = staged(cells.join(many, "_cell").select("_cell", parts("_n").alias("_pb"), parts("_m").alias("_qb")))
+
+        def dealt(df, key, own, other, mine, theirs):
+            d = df.join(F.broadcast(deal), "_cell")  # one row per pivot
+            d = d.withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)))
+            return d.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+
+        a = dealt(who, "_q", "_qb", "_pb", "_qblock", "_pblock").select("_cell", "_pblock", "_qblock", "_q", "_qv")
+        b = dealt(p, "_p", "_pb", "_qb", "_pblock", "_qblock").select("_cell", "_pblock", "_qblock", "_p", "_pv")
+        keys = ("_cell", "_pblock", "_qblock")
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, schema)
 
     first = staged(probe(q.select("_q", "_qv", F.col("_home").alias("_cell"))))
     kth = top_per_group(first, ["_q"], ["_d", "_p"], k, "_r").groupBy("_q").agg(
@@ -121,15 +145,16 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     def to_centers(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series(list(_pairwise(np.stack(v.to_numpy()).astype("float64"), centers, kind)))
+        return pd.Series(list(_distances(np.stack(v.to_numpy()).astype("float64"), centers, inner)))
 
     rings = cells.agg(F.collect_list(F.struct("_cell", "_near", "_far")).alias("r")).scalar()  # one entry per pivot
     more = q.join(kth, "_q", "left").withColumns({"_dc": to_centers("_qv"), "_cells": rings})
-    slack = F.coalesce("_tau", F.lit(float("inf"))) + 1e-9
-    more = more.select("_q", "_qv", "_home", "_dc", slack.alias("_t"), F.explode("_cells").alias("_c"))
-    gap = F.greatest(F.col("_dc")[F.col("_c._cell")] - F.col("_c._far"), F.col("_c._near") - F.col("_dc")[F.col("_c._cell")])
-    more = more.where((F.col("_c._cell") != F.col("_home")) & (gap <= F.col("_t")))
-    rest = probe(more.select("_q", "_qv", F.col("_c._cell").alias("_cell")))
+    more = more.select("_q", "_qv", "_home", "_dc", F.coalesce("_tau", F.lit(float("inf"))).alias("_t"), F.explode("_cells").alias("_c"))
+    away = F.col("_dc")[F.col("_c._cell")]
+    gap = F.greatest(away - F.col("_c._far"), F.col("_c._near") - away)
+    # distances are exact to rounding, which is relative to their size
+    more = more.where((F.col("_c._cell") != F.col("_home")) & (gap <= F.col("_t") + 1e-9 * (away + F.col("_c._far"))))
+    rest = probe(staged(more.select("_q", "_qv", F.col("_c._cell").alias("_cell"))))
     top = top_per_group(first.unionByName(rest), ["_q"], ["_d", "_p"], k, "neighbor_rank")
     d = F.col("_d") * F.col("_d") / 2.0 if metric == "cosine" else F.col("_d")
     return top.select(
@@ -164,25 +189,33 @@ def to_ml(df, vec, out="features"):
     return df.withColumn(out, array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
 
 
-def cluster_choice(df, vec, ks, seed=42):
+def cluster_choice(df, vec, ks, seed=42, max_iter=100):
     """K-means and mixture per k with their silhouette.
 
-    The mixture estimates full covariances, so both run on the leading components.
+    K-means runs on all components.  A mixture estimates a full covariance per cluster, which
+    is singular on few rows, so it runs on as many leading components as the rows support.
     """
     from pyspark.ml.clustering import GaussianMixture, KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import PCA
 
     spark = df.sparkSession
-    raw = to_ml(df, vec, "raw")
-    d = staged(PCA(k=4, inputCol="raw", outputCol="features").fit(raw).transform(raw).select("features"))
-    rows = []
+    d = staged(to_ml(df, vec).select("features", F.size(vec).alias("n")))
+    rows, width = d.agg(F.count(F.lit(1)), F.max("n")).first()
+    leading = max(2, min(width, rows // (5 * max(ks))))
+    less = d if leading == width else staged(
+        PCA(k=leading, inputCol="features", outputCol="lead").fit(d).transform(d).select(F.col("lead").alias("features"))
+    )
+    out = []
     for k in ks:
-        for name, algo in (("kmeans", KMeans(k=k, seed=seed)), ("gmm", GaussianMixture(k=k, seed=seed, maxIter=10))):
-            got = algo.fit(d).transform(d)
+        for name, data, algo in (
+            ("kmeans", d, KMeans(k=k, seed=seed, maxIter=max_iter)),
+            ("gmm", less, GaussianMixture(k=k, seed=seed, maxIter=max_iter)),
+        ):
+            got = algo.fit(data).transform(data)
             sil = ClusteringEvaluator().evaluate(got) if got.select("prediction").distinct().limit(2).count() > 1 else 0.0
-            rows.append((name, k, float(sil)))
-    return spark.createDataFrame(rows, "algorithm string, k int, silhouette double")
+            out.append((name, k, float(sil)))
+    return spark.createDataFrame(out, "algorithm string, k int, silhouette double")
 
 
 def centroids(df, cluster, vec):

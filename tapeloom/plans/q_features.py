@@ -301,6 +301,10 @@ def feature_matrix(t: Tables):
     return fx.build_features(bars, t.market(bars), t.peers())
 
 
+add_cte(
+    "macd",
+    MACD_WITH + "SELECT symbol, date, CASE WHEN i >= 34 THEN f - s - sg END AS macd_hist FROM e",
+)
 MATRIX_MACD = " g:macd_line g:macd_signal g:macd_hist i:consec_up i:consec_down"
 
 

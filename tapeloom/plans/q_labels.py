@@ -31,9 +31,9 @@ FAMILY = (
 )
 
 
-@query("l2_label_family", E("symbol d:date b:lbl_L1 b:lbl_L2 b:lbl_L3", FAMILY))
+@query("l2_label_family", E("symbol d:date b:lbl_L1 b:lbl_L2 b:lbl_L3 b:lbl_L4 b:lbl_L5", FAMILY))
 def l2(spark, sf):
-    return emit(lb.label_family(Tables(spark, sf).bars(), 10.0), "symbol", "date", "lbl_L1", "lbl_L2", "lbl_L3")
+    return emit(lb.label_family(Tables(spark, sf).bars(), 10.0), "symbol", "date", "lbl_L1", "lbl_L2", "lbl_L3", "lbl_L4", "lbl_L5")
 
 
 @query(

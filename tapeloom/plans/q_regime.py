@@ -456,7 +456,7 @@ def p6(spark, sf):
 
 
 _SQL_REGIME = {f"market_regime_{v}": f"CAST(market_regime = '{v}' AS INTEGER)" for v in _LV[:3]}
-_CONCEPTS = [c for c in pr.CONCEPTS if not c[1].startswith("macd")]
+_CONCEPTS = list(pr.CONCEPTS)
 
 
 def _concept_sql(f, op, thr):
@@ -465,7 +465,7 @@ def _concept_sql(f, op, thr):
     return f"CAST(coalesce({x} {'=' if op == '==' else op} {thr}, false) AS INTEGER)"
 
 
-add_cte("concepts", "SELECT symbol, date, " + ", ".join(f"{_concept_sql(f, o, t)} AS {n}" for n, f, o, t in _CONCEPTS) + " FROM features")
+add_cte("concepts", "SELECT symbol, date, " + ", ".join(f"{_concept_sql(f, o, t)} AS {n}" for n, f, o, t in _CONCEPTS) + " FROM features JOIN macd USING (symbol, date)")
 
 
 def concepts_of(t):
@@ -517,22 +517,20 @@ _MX = " ".join(
 )
 
 
-@query("p13_size_multiplier", E("d:date f:m", f"SELECT date, CASE {_MX} ELSE 1.0 END AS m FROM (SELECT date, CASE WHEN year(date) = 1999 THEN 'unknown' ELSE regime_label END AS regime_label, vol_tercile FROM heur JOIN terciles USING (date))"))
+@query("p13_size_multiplier", E("d:date f:m", f"SELECT date, CASE {_MX} ELSE 1.0 END AS m FROM (SELECT date, regime_label, vol_tercile FROM heur JOIN terciles USING (date))"))
 def p13(spark, sf):
     m = Tables(spark, sf, share=True).market()
     d = pr.heuristic_regime(fx.panel_features(m)).join(fx.vol_terciles(m).select("date", "vol_tercile"), "date")
-    # one year without a known regime, so that the fallback has rows
-    d = d.withColumn("regime_label", F.when(F.year("date") == 1999, "unknown").otherwise(F.col("regime_label")))
     return emit(d.select("date", pr.size_multiplier("regime_label", "vol_tercile").alias("m")))
 
 
 @query(
     "p14_regime_multiplier",
-    E("symbol d:date f:size_multiplier", "SELECT symbol, b.date, CASE regime_label WHEN 'uptrend' THEN 1.5 WHEN 'downtrend' THEN 0.5 ELSE 1.0 END AS size_multiplier FROM bars b LEFT JOIN regimes r ON r.date = b.date AND year(r.date) <> 1997"),
+    E("symbol d:date f:size_multiplier", "SELECT symbol, b.date, CASE regime_label WHEN 'uptrend' THEN 1.5 WHEN 'downtrend' THEN 0.5 ELSE 1.0 END AS size_multiplier FROM bars b LEFT JOIN regimes r ON r.date = b.date"),
 )
 def p14(spark, sf):
     t = Tables(spark, sf, share=True)
-    r = fx.market_regime(t.market()).withColumnRenamed("market_regime", "regime_label").where("year(date) <> 1997")
+    r = fx.market_regime(t.market()).withColumnRenamed("market_regime", "regime_label")
     return emit(pr.regime_multiplier(t.bars(), r, {"uptrend": 1.5, "downtrend": 0.5}), "symbol", "date", "size_multiplier")
 
 

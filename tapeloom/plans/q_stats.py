@@ -443,7 +443,7 @@ def q3(spark, sf):
         "symbol f:hurst",
         "SELECT symbol, regr_slope(ln(rs), ln(lag)) AS hurst FROM (SELECT symbol, lag, avg(rs) AS rs FROM (SELECT symbol, lag, seg, (max(cum) - min(cum)) / nullif(stddev_pop(close), 0) AS rs FROM "
         "(SELECT *, sum(dev) OVER (PARTITION BY symbol, lag, seg ORDER BY i ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT *, close - avg(close) OVER (PARTITION BY symbol, lag, seg) AS dev FROM "
-        f"(SELECT symbol, close, i, lag, (i - 1) // lag AS seg FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars_n), (SELECT unnest([{', '.join(map(str, st.HURST_LAGS))}]) AS lag) WHERE n >= 2 * lag AND i <= (n // lag) * lag))) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY symbol",
+        f"(SELECT symbol, close, i, lag, (i - 1) // lag AS seg FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars_n), (SELECT unnest([{', '.join(map(str, st.hurst_lags()))}]) AS lag) WHERE n >= 2 * lag AND i <= (n // lag) * lag))) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY symbol",
     ),
 )
 def q4(spark, sf):

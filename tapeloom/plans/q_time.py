@@ -236,7 +236,7 @@ def b4(spark, sf):
     return emit(tb.daily_dollar_volume(hourly(Tables(spark, sf))), "symbol", "day", "dv")
 
 
-add_cte("big_days", "SELECT CAST(ts AS DATE) AS day, sum(close) AS pnl FROM hourly WHERE close > 60 AND symbol = 'view' AND hour(ts) = 3 GROUP BY 1")
+add_cte("big_days", "SELECT CAST(ts AS DATE) AS day, sum(close) AS pnl FROM hourly WHERE close > 0 GROUP BY 1")
 add_cte(
     "dense_big",
     "SELECT day, coalesce(pnl, 0) AS pnl FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM big_days), (SELECT max(day) FROM big_days), INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN big_days USING (day)",
@@ -244,7 +244,7 @@ add_cte(
 
 
 def dense_big(t):
-    h = hourly(t).where((F.col("close") > 60) & (F.col("symbol") == "view") & (F.hour("ts") == 3))
+    h = hourly(t).where("close > 0")
     return st.dense_days(h.groupBy(F.to_date("ts").alias("day")).agg(F.sum("close").alias("pnl")), "day", "pnl")
 
 
@@ -429,7 +429,7 @@ def i7(spark, sf):
 
 add_cte(
     "rolling_fills",
-    "SELECT event_id, user_id, value * 10 AS notional, coalesce(sum(value * 10) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), 0) AS volume_30d FROM events",
+    "SELECT event_id, user_id, value * 10 AS notional, coalesce(sum(value * 10) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), 0) AS volume_30d FROM events",
 )
 
 
@@ -439,8 +439,7 @@ def _tier_sql(i):
 
 def fills(t):
     e = t.read("events").select(F.col("event_id").alias("fill_id"), "user_id", "ts", (F.col("value") * 10).alias("notional"))
-    # ten days instead of thirty: the given events span one month
-    v = it.rolling_notional(e, "user_id", "notional", days=10)
+    v = it.rolling_notional(e, "user_id", "notional")
     return e.join(v, ["user_id", "fill_id"])
 
 

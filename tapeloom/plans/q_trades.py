@@ -301,7 +301,7 @@ def x11(spark, sf):
     return emit(tr.per_trade_sharpe(norm_trades(Tables(spark, sf, share=True)), ["strategy_id"]))
 
 
-add_cte("nt_reg", "SELECT t.*, coalesce(regime_label, 'unlabeled') AS regime_label FROM norm_trades t LEFT JOIN (SELECT date AS entry_date, regime_label FROM regimes WHERE regime_label <> 'downtrend') USING (entry_date)")
+add_cte("nt_reg", "SELECT t.*, coalesce(regime_label, 'unlabeled') AS regime_label FROM norm_trades t LEFT JOIN (SELECT date AS entry_date, regime_label FROM regimes) USING (entry_date)")
 add_cte(
     "attr",
     f"SELECT strategy_id, regime_label, count(*) AS n_trades, count(DISTINCT entry_date) AS n_unique_entry_days, avg(net_pnl_pct) AS mean_pnl_pct, median(net_pnl_pct) AS median_pnl_pct, {PTS} AS per_trade_sharpe, "
@@ -319,8 +319,7 @@ def regime_days(t):
 
 
 def attr(t):
-    # days of one regime are left out so that the "unlabeled" path has rows
-    return tr.attribution(norm_trades(t), regime_days(t).where("regime_label <> 'downtrend'"))
+    return tr.attribution(norm_trades(t), regime_days(t))
 
 
 @query("x12_attribution_matrix", E(AT_SPEC, "SELECT * FROM attr"))

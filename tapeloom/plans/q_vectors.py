@@ -191,7 +191,7 @@ def v7(spark, sf):
     return emit(vx.cluster_lift(clus(Tables(spark, sf, share=True)), "split", "cluster_id", "is_winner"))
 
 
-ZF = ("close_over_sma_20", "roc_20", "vol_mult_30", "pct_of_60d_low")
+ZF = ("close_over_sma_20", "roc_20", "vol_mult_30", "pct_of_60d_low", "pct_of_60d_high", "atr_pct_14", "rsi_14")
 
 
 @query(
@@ -200,15 +200,15 @@ ZF = ("close_over_sma_20", "roc_20", "vol_mult_30", "pct_of_60d_low")
         "i:cluster_id feature f:mean_z direction size",
         "SELECT *, CASE WHEN mean_z > 0 THEN '+' ELSE '-' END AS direction FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(abs(mean_z), 9) DESC, feature) AS r FROM (SELECT cluster_id, feature, avg(z) AS mean_z, count(*) AS size FROM ("
         + " UNION ALL ".join(f"SELECT cluster_id, '{f}' AS feature, ({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS z FROM cz" for f in ZF)
-        + ") GROUP BY 1, 2)) WHERE r <= 3 AND abs(mean_z) > 0.1",
-    ).replace("SELECT cluster_id, feature", "WITH cz AS (SELECT cluster_id, rf.* FROM clus JOIN rf USING (symbol, date) WHERE close_over_sma_20 IS NOT NULL AND roc_20 IS NOT NULL AND vol_mult_30 IS NOT NULL AND pct_of_60d_low IS NOT NULL) SELECT cluster_id, feature", 1),
+        + ") GROUP BY 1, 2)) WHERE r <= 8 AND abs(mean_z) > 0.1",
+    ).replace("SELECT cluster_id, feature", "WITH cz AS (SELECT cluster_id, rf.* FROM clus JOIN rf USING (symbol, date) WHERE " + " AND ".join(f"{f} IS NOT NULL" for f in ZF) + ") SELECT cluster_id, feature", 1),
 )
 def v4(spark, sf):
     d = staged(clus(Tables(spark, sf, share=True)).na.drop(subset=list(ZF)).select("cluster_id", *ZF))
     m = d.agg(*[F.avg(f).alias(f"{f}_mean") for f in ZF], *[F.stddev_pop(f).alias(f"{f}_sd") for f in ZF])
     zero = d.agg(*[F.lit(0.0).alias(f) for f in ZF])
     z = pr.standardise(d, ZF, zero, m).select("cluster_id", *[F.col(f"{f}_z").alias(f) for f in ZF])
-    return emit(vx.signatures(z, "cluster_id", ZF, 3), "cluster_id", "feature", "mean_z", "direction", "size")
+    return emit(vx.signatures(z, "cluster_id", ZF), "cluster_id", "feature", "mean_z", "direction", "size")
 
 
 add_cte("names", "SELECT unnest([" + ", ".join(f"'{n}'" for n, *_ in _CONCEPTS) + "]) AS concept")
@@ -241,18 +241,27 @@ def v12(spark, sf):
     return emit(out.withColumn("gap", F.abs(F.col("mean_winners") - F.col("mean_losers"))))
 
 
+DIM = 64
+HYBRID = ("close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30", "pct_of_60d_high", "pct_of_60d_low")
+
+
 @query(
     "v13_hybrid_matrix",
     E(
-        "vec_id i:label f:emb_0 f:emb_1 f:emb_2 f:emb_3",
-        "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}] AS emb_{i}" for i in range(4)) + " FROM embeddings",
+        "symbol d:date " + " ".join(f"f:{f}" for f in HYBRID) + " " + " ".join(f"f:emb_{i}" for i in range(DIM)),
+        "SELECT rf.symbol, rf.date, " + ", ".join(HYBRID) + ", " + ", ".join(f"embedding[{i + 1}] AS emb_{i}" for i in range(DIM))
+        + " FROM rf JOIN embeddings ON CAST(vec_id AS VARCHAR) = rf.symbol",
     ),
 )
 def v13(spark, sf):
-    return emit(vx.hybrid(vecs(Tables(spark, sf, share=True)), "vec", 4), "vec_id", "label", "emb_0", "emb_1", "emb_2", "emb_3")
+    """Features of every (symbol, day) beside all components of the symbol's vector."""
+    t = Tables(spark, sf, share=True)
+    v = vecs(t).select(F.col("vec_id").cast("string").alias("symbol"), "vec")
+    d = rule_frame(t).select("symbol", "date", *HYBRID).join(v, "symbol")
+    return emit(vx.hybrid(d, "vec", DIM))
 
 
-MF = ["close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30"]
+MF = list(HYBRID)
 
 
 def train_sets(t):
@@ -291,4 +300,4 @@ def v2b(spark, sf):
 
 @query("v3_cluster_choice")
 def v3(spark, sf):
-    return emit(vx.cluster_choice(staged(vecs(Tables(spark, sf, share=True))), "vec", (3, 5, 8)))
+    return emit(vx.cluster_choice(staged(vecs(Tables(spark, sf, share=True))), "vec", (5, 8, 12, 20)))

@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 from ..functions.windows import DAILY
 
 
-def bars_from_ticks(ticks, minutes, extra_order=("event_id",), volume=None):
+def bars_from_ticks(ticks, minutes, extra_order="event_id", volume=None):
     """First / max / min / last / sum per (symbol, slot); empty slots do not appear.
 
-    Ticks combine on the map side, so a symbol with a third of all ticks still shuffles
-    as one partial row per slot and task.
+    Ticks combine on the map side by hashing, so a symbol with a third of all ticks still
+    shuffles as one partial row per slot and task, and no raw tick is sorted: time and the
+    whole number ``extra_order`` that breaks its ties are one decimal.
     """
-    key = F.struct("ts", *extra_order, "price")
     vol = F.count(F.lit(1)) if volume is None else F.sum(volume)
     slot = F.window("ts", f"{minutes} minutes")["start"]
-    d = ticks.groupBy("symbol", slot.alias("ts")).agg(
-        F.min(key).alias("_f"),
+    epoch = F.lit("1970-01-01").cast(dict(ticks.dtypes)["ts"])
+    whole = lambda c: c.cast("long").cast("decimal(20,0)")
+    micros = whole(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
+    place = (micros * F.expr("9223372036854775808") + whole(F.col(extra_order))).cast("decimal(38,0)")
+    d = ticks.select("*", slot.alias("_slot"), place.alias("_place")).groupBy("symbol", F.col("_slot").alias("ts")).agg(
+        F.min_by("price", "_place").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max(key).alias("_l"),
+        F.max_by("price", "_place").alias("close"),
         vol.alias("volume"),
     )
-    return d.select(
-        "symbol", "ts", F.col("_f.price").alias("open"), "high", "low", F.col("_l.price").alias("close"), "volume"
-    )
+    return d.select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 def resample(bars, minutes):

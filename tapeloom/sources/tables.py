@@ -11,36 +11,30 @@ from ..session import staged
 def bars_from_sales(lineitem: DataFrame) -> DataFrame:
     """Daily bars: one row per (symbol, date).
 
-    The group-by combines on the map side, so a symbol that owns a third of all sales
-    reaches the shuffle as one partial row per day and task.
+    The group-by combines on the map side by hashing, so a symbol that owns a third of all
+    sales reaches the shuffle as one partial row per day and task, and no raw row is sorted.
+    For that the order inside a day is one number, the order key and the line number, which
+    identify a sale; a line number that doesn't fit is an error.
     """
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    line, order = F.col("l_linenumber").cast("long"), F.col("l_orderkey").cast("long")
+    fits = line.between(0, 255) & order.between(0, (1 << 54) - 1)
+    place = F.when(fits, F.shiftleft(order, 8) + line).otherwise(F.raise_error(F.lit("order key or line number out of range")).cast("long"))
     px = F.col("l_extendedprice")
-    adj = (px * (1 - F.col("l_discount"))).alias("adj")
-    first = F.min(F.struct(*key))
-    last = F.max(F.struct(*key, adj))
-    return (
-        lineitem.groupBy(
-            F.col("l_suppkey").cast("string").alias("symbol"),
-            F.to_date("l_shipdate").alias("date"),
-        )
-        .agg(
-            first.alias("f"),
-            F.max(px).alias("high"),
-            F.min(px).alias("low"),
-            last.alias("l"),
-            F.sum("l_quantity").cast("long").alias("volume"),
-        )
-        .select(
-            "symbol",
-            "date",
-            F.col("f.l_extendedprice").alias("open"),
-            "high",
-            "low",
-            F.col("l.l_extendedprice").alias("close"),
-            F.col("l.adj").alias("close_adj"),
-            "volume",
-        )
+    sales = lineitem.select(
+        F.col("l_suppkey").cast("string").alias("symbol"),
+        F.to_date("l_shipdate").alias("date"),
+        px.alias("px"),
+        (px * (1 - F.col("l_discount"))).alias("adj"),
+        F.col("l_quantity").alias("quantity"),
+        place.alias("place"),
+    )
+    return sales.groupBy("symbol", "date").agg(
+        F.min_by("px", "place").alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", "place").alias("close"),
+        F.max_by("adj", "place").alias("close_adj"),
+        F.sum("quantity").cast("long").alias("volume"),
     )
 
 

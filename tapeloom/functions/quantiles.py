@@ -18,8 +18,8 @@ ACCURACY = 20_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantiles(df, by, value, quantiles, few_groups=False, stage=True):
-    """One row per group with linear-interpolated quantiles.
+def exact_quantiles(df, by, value, quantiles, few_groups=False, stage=True, nearest=False):
+    """One row per group with linear-interpolated quantiles, or the values of the nearest ranks.
 
     ``quantiles``: {output column: probability}.  Groups without values are absent.
     ``few_groups`` says the groups are a fixed list (windows, specs, rules), which bounds
@@ -40,6 +40,7 @@ def exact_quantiles(df, by, value, quantiles, few_groups=False, stage=True):
     pieces = []
     for i, p in enumerate(probs):
         k = (F.col("_n") - 1) * F.lit(p)
+        k = F.floor(k + 0.5).cast("double") if nearest else k
         # the margin has to span several ranks; a group too small for that is ranked whole
         room = F.col("_n") * MARGIN
         small = room < 4

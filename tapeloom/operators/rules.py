@@ -110,17 +110,14 @@ def rule_counts(df, rules, label="is_winner", by=()):
             y = np.packbits(b["_y"].to_numpy(np.int64) == 1)
             fired = list(table.fired([b[f"f{i}"].to_numpy(np.float64) for i in range(len(table.features))]))
             fired.append(np.packbits(np.ones(len(b), bool)))
-            for group, rows in b.groupby(by, dropna=False, sort=False).indices.items() if by else [((), None)]:
-                own = None
-                if rows is not None:
-                    inside = np.zeros(len(b), bool)
-                    inside[rows] = True
-                    own = np.packbits(inside)
+            place = b.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(b), np.int64)
+            for g, first in zip(*np.unique(place, return_index=True)):
+                own = np.packbits(place == g)
                 hit = np.empty((len(fired), 2), np.int64)
                 for i, bits in enumerate(fired):
-                    bits = bits if own is None else bits & own
+                    bits = bits & own
                     hit[i] = np.bitwise_count(bits).sum(), np.bitwise_count(bits & y).sum()
-                key = group if isinstance(group, tuple) else (group,)
+                key = tuple(None if pd.isna(v) else v for v in b[by].iloc[first]) if by else ()
                 sums[key] = sums.get(key, 0) + hit
             if len(sums) > held:
                 yield from sent(sums)
@@ -399,7 +396,7 @@ def auc(df, score, label, by=()):
     )
     r = running_before(d, by, "_s", ["_pos", "_neg"])
     wins = F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0))
-    out = r.groupBy(*by).agg(wins.alias("_w"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    out = r.groupBy(*by).agg(wins.alias("_w"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg")).where("n_pos IS NOT NULL")
     return out.select(
         *by, "n_pos", "n_neg", ratio("_w", (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, running_before
-from ..functions.windows import Series, ratio, row_of, safe_corr
+from ..functions.windows import Series, ema, ratio, row_of, safe_corr, true_range
 from ..session import staged
 
 
@@ -270,6 +270,12 @@ def variance_ratio(returns, s: Series, lag):
     return d.groupBy(*s.keys).agg(vr.alias(f"vr_{lag}"))
 
 
+def mean_atr_pct(bars, period=14):
+    """Mean over a symbol's bars of the exponential mean true range in percent of the close."""
+    d = ema(bars.withColumn("_tr", true_range()), "_tr", period, "_atr")
+    return d.groupBy("symbol").agg(F.avg(100.0 * ratio("_atr", "close")).alias("mean_atr_pct"))
+
+
 def hurst_lags(most=100, steps=15):
     """The distinct whole lags of geometric steps from 2 to ``most``."""
     return sorted({int(2 * (most / 2) ** (k / (steps - 1)) + 1e-9) for k in range(steps)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import DAILY, ratio, row_of
 from ..session import staged
-from .joins import interval_join
+from .joins import interval_join, next_row_after
 
 
 def momentum_trades(labelled, horizon):
@@ -158,6 +159,82 @@ def barrier_exits(bars, entries, exits=None, slippage=0.001):
     )
 
 
+def exit_flags(scored, score, share):
+    """True where the score is in its top ``share``, the cut being the interpolated quantile."""
+    cut = exact_quantiles(scored, [], score, {"q": 1.0 - share}).scalar()
+    return scored.withColumn("would_exit", F.coalesce(F.col(score) >= cut, F.lit(False)))
+
+
+def two_stage_exits(bars, entries, eligibility=60, cap=60):
+    """One row per entry: out at the first exit flag after the fill, else at a cap, else at the data's end.
+
+    ``bars``: open, close_adj and ``would_exit`` per (symbol, date); ``entries``: (symbol, date,
+    signal_strength), of which the strongest per (symbol, date) counts.  The fill is the open of
+    the next row, and entries on a fill at or below zero are dropped.  Every bar knows the next
+    flagged row and the rows at the caps from windows over one partitioning, so an entry only
+    looks up its fill row.
+    """
+    s = DAILY
+    back = Window.partitionBy("symbol").orderBy(F.col("date").desc())
+    end = F.struct("date", "close_adj", "i")
+    d = bars.select("symbol", "date", "open", "close_adj", "would_exit").withColumn("i", F.row_number().over(s.w))
+    d = d.withColumns(
+        {
+            "flag": F.last(F.when(F.col("would_exit"), end), True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+            "late": F.lead(end, eligibility + 1).over(s.w),
+            "capped": F.lead(end, cap).over(s.w),
+            "final": F.first(end).over(back.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    fill = F.struct("open", "i", "flag", "late", "capped", "final").alias("f")
+    strongest = entries.groupBy("symbol", "date").agg(F.max("signal_strength").alias("signal_strength"))
+    e = next_row_after(strongest, d.select("symbol", "date", fill), ["symbol"], "date", "date", ["f"]).where("f.open > 0")
+    signalled = F.col("f.flag").isNotNull() & (F.col("f.flag.i") - F.col("f.i") <= min(eligibility, cap))
+    late = F.lit(eligibility < cap) & F.col("f.late").isNotNull()
+    reason = (
+        F.when(signalled, "exit_signal").when(late, "eligibility_cap").when(F.col("f.capped").isNotNull(), "hard_cap").otherwise("end_of_data")
+    )
+    out = F.when(signalled, F.col("f.flag")).when(late, F.col("f.late")).otherwise(F.coalesce("f.capped", "f.final"))
+    return e.withColumns({"exit_reason": reason, "x": out}).select(
+        "symbol",
+        F.col("date").alias("entry_date"),
+        F.col("x.date").alias("exit_date"),
+        (F.col("x.i") - F.col("f.i")).cast("long").alias("days_held"),
+        F.col("f.open").alias("entry_price"),
+        F.col("x.close_adj").alias("exit_price"),
+        ((F.col("x.close_adj") / F.col("f.open") - 1.0) * 100.0).alias("realized_gain_pct"),
+        "exit_reason",
+        "signal_strength",
+    )
+
+
+# The gates of an exit variant.
+EXIT_GATES = {"mean_hold_days": 30.0, "median_gain_pct": 20.0, "win_rate": 0.5}
+
+
+def compare_exits(pairs, by="variant"):
+    """Per variant: counts by reason, coverage, hold and gain quartiles (nearest rank), win rate and gates."""
+    pairs = staged(pairs)
+    gain, hold = F.col("realized_gain_pct"), F.col("days_held")
+    a = pairs.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_entries"),
+        F.count_if(F.col("exit_reason") == "exit_signal").alias("n_with_exit"),
+        F.count_if(F.col("exit_reason") == "hard_cap").alias("n_hard_cap"),
+        F.avg(hold).alias("mean_hold_days"),
+        F.min(hold).alias("min_hold_days"),
+        F.max(hold).alias("max_hold_days"),
+        F.avg(gain).alias("mean_gain_pct"),
+        F.avg((gain > 0).cast("double")).alias("win_rate"),
+        F.min(gain).alias("worst_gain_pct"),
+    )
+    for name, c in (("hold_days", "days_held"), ("gain_pct", "realized_gain_pct")):
+        a = a.join(exact_quantiles(pairs, [by], c, {f"median_{name}": 0.5}, stage=False), by)
+        a = a.join(exact_quantiles(pairs, [by], c, {f"p25_{name}": 0.25, f"p75_{name}": 0.75}, stage=False, nearest=True), by)
+    a = a.withColumn("exit_coverage_pct", 100.0 * F.col("n_with_exit") / F.col("n_entries"))
+    gates = {f"passes_{k}": F.col(k) >= v for k, v in EXIT_GATES.items()}
+    return a.withColumns(gates).withColumn("passes_all", reduce(lambda x, y: x & y, [F.col(g) for g in gates]))
+
+
 def non_overlapping(bars, breakout=60, horizon=120, target=0.50, friction_pct=0.35):
     """Per symbol: enter at the first breakout after the last exit, leave at target or horizon.
 

@@ -84,7 +84,7 @@ def _assign(df, vec, centers, metric, out, dist):
     return df.withColumn("_a", nearest(vec)).withColumns({out: F.col("_a.c"), dist: F.col("_a.d")}).drop("_a")
 
 
-def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", block_rows=20_000):
+def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", n_pivots=None, block_rows=20_000):
     """The exact ``k`` nearest points of every query, without comparing every pair.
 
     Points are split into cells around pivots, as many as the number of points asks for.  In a
@@ -102,7 +102,7 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     prep = unit(F.col(vec)) if metric == "cosine" else F.transform(vec, lambda x: x.cast("double"))
     q = queries.select(F.col(query_id).alias("_q"), prep.alias("_qv"))
     p = staged(points.select(F.col(point_id).alias("_p"), prep.alias("_pv")))
-    centers = pivots(p, "_pv", min(256, max(16, int(p.count() ** 0.5) // 8)))
+    centers = pivots(p, "_pv", n_pivots or min(256, max(16, int(p.count() ** 0.5) // 8)))
     p = staged(_assign(p, "_pv", centers, inner, "_cell", "_pd"))
     cells = staged(p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_pd").alias("_near"), F.max("_pd").alias("_far")))
     q = staged(_assign(q, "_qv", centers, inner, "_home", "_qd"))

@@ -502,6 +502,25 @@ def q9(spark, sf):
     return emit(st.trailing_sharpe(day, "symbol", "r"))
 
 
+add_cte(
+    "ranged",
+    "SELECT symbol, close, row_number() OVER w AS i, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars "
+    "WINDOW w AS (PARTITION BY symbol ORDER BY date)",
+)
+
+
+@query(
+    "q10_mean_atr_pct",
+    E(
+        "symbol f:mean_atr_pct",
+        "SELECT symbol, avg(y / nullif(close, 0) * 100) AS mean_atr_pct FROM (WITH RECURSIVE e AS (SELECT symbol, i, close, tr AS y FROM ranged WHERE i = 1 UNION ALL "
+        "SELECT b.symbol, b.i, b.close, e.y + (2.0 / 15) * (b.tr - e.y) FROM e JOIN ranged b ON b.symbol = e.symbol AND b.i = e.i + 1) SELECT * FROM e) q GROUP BY symbol",
+    ),
+)
+def q10(spark, sf):
+    return emit(st.mean_atr_pct(Tables(spark, sf).bars()))
+
+
 @query("q11_ols")
 def q11(spark, sf):
     return st.ols(sym_metrics(Tables(spark, sf)), "mean_log_dv", ["n_days", "vol_z_late", "vol_slope_yr"])

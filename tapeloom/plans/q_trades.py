@@ -1,5 +1,7 @@
 """Trades, friction, performance."""
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,86 @@ def x3(spark, sf):
     return emit(barrier_trades(Tables(spark, sf, share=True)), coarse=("exit_price",))
 
 
+# --- two-stage exits -----------------------------------------------------------------------
+
+EXIT_VARIANTS = {"e60_c60": (60, 60), "e30_c60": (30, 60), "e20_c40": (20, 40)}
+add_cte(
+    "exit_rows",
+    "SELECT symbol, date, open, close_adj, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, "
+    "coalesce(rsi_14 >= (SELECT quantile_cont(rsi_14, 0.98) FROM rf), false) AS would_exit FROM rf",
+)
+add_cte(
+    "entry_rows",
+    "SELECT symbol, date, max(strength) AS signal_strength FROM fired JOIN (VALUES "
+    + ", ".join(f"('{r.key}', 1.0 / {i + 1})" for i, r in enumerate(LIVE))
+    + ") v(rule_key, strength) USING (rule_key) GROUP BY 1, 2",
+)
+add_cte(
+    "entry_fills",
+    "SELECT e.symbol, e.date, e.signal_strength, b.i, b.open, (SELECT max(z.i) FROM exit_rows z WHERE z.symbol = e.symbol) AS last FROM entry_rows e "
+    "JOIN exit_rows a USING (symbol, date) JOIN exit_rows b ON b.symbol = a.symbol AND b.i = a.i + 1 WHERE b.open > 0",
+)
+
+
+def _exit_sql(variant):
+    far, cap = EXIT_VARIANTS[variant]
+    late = f"i + {far + 1}" if far < cap else "last + 1"
+    return (
+        f"SELECT '{variant}' AS variant, o.symbol, o.date AS entry_date, x.date AS exit_date, o.at - o.i AS days_held, o.open AS entry_price, x.close_adj AS exit_price, "
+        "(x.close_adj / o.open - 1) * 100 AS realized_gain_pct, exit_reason, signal_strength FROM ("
+        f"SELECT *, CASE WHEN sig IS NOT NULL THEN sig WHEN {late} <= last THEN {late} ELSE least(i + {cap}, last) END AS at, "
+        f"CASE WHEN sig IS NOT NULL THEN 'exit_signal' WHEN {late} <= last THEN 'eligibility_cap' WHEN i + {cap} <= last THEN 'hard_cap' ELSE 'end_of_data' END AS exit_reason FROM ("
+        "SELECT f.symbol, f.date, f.i, f.open, f.last, f.signal_strength, min(q.i) AS sig FROM entry_fills f "
+        f"LEFT JOIN exit_rows q ON q.symbol = f.symbol AND q.would_exit AND q.i > f.i AND q.i <= f.i + {min(far, cap)} GROUP BY ALL) u) o "
+        "JOIN exit_rows x ON x.symbol = o.symbol AND x.i = o.at"
+    ).replace(" at,", " pos,").replace("o.at", "o.pos").replace("AS at", "AS pos")
+
+
+def exit_pairs(t, *variants):
+    rank = F.create_map(*[x for i, r in enumerate(LIVE) for x in (F.lit(r.key), F.lit(1.0 / (i + 1)))])
+    frame = staged(rule_frame(t).select("symbol", "date", "open", "close_adj", *sorted({c[0] for r in LIVE for c in r.conditions})))
+    entries = ru.firings(frame, LIVE).select("symbol", "date", rank[F.col("rule_key")].alias("signal_strength"))
+    bars = tr.exit_flags(frame, "rsi_14", 0.02)
+    out = [tr.two_stage_exits(bars, entries, *EXIT_VARIANTS[v]).withColumn("variant", F.lit(v)) for v in variants]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query(
+    "u18_two_stage_exits",
+    E("symbol d:entry_date d:exit_date i:days_held f:entry_price f:exit_price f:realized_gain_pct exit_reason f:signal_strength", _exit_sql("e30_c60")),
+)
+def u18(spark, sf):
+    d = exit_pairs(Tables(spark, sf, share=True), "e30_c60").drop("variant")
+    return emit(d)
+
+
+def _rank_sql(c, q):
+    return f"list_sort(list({c}))[1 + CAST(floor((count(*) - 1) * {q} + 0.5) AS INTEGER)]"
+
+
+@query(
+    "u19_exit_variants",
+    E(
+        "variant n_entries n_with_exit n_hard_cap f:exit_coverage_pct f:mean_hold_days f:median_hold_days f:p25_hold_days f:p75_hold_days i:min_hold_days i:max_hold_days "
+        "g:mean_gain_pct g:median_gain_pct g:p25_gain_pct g:p75_gain_pct f:win_rate g:worst_gain_pct b:passes_mean_hold_days b:passes_median_gain_pct b:passes_win_rate b:passes_all",
+        "SELECT *, mean_hold_days >= 30 AS passes_mean_hold_days, median_gain_pct >= 20 AS passes_median_gain_pct, win_rate >= 0.5 AS passes_win_rate, "
+        "mean_hold_days >= 30 AND median_gain_pct >= 20 AND win_rate >= 0.5 AS passes_all FROM (SELECT variant, count(*) AS n_entries, "
+        "count(*) FILTER (exit_reason = 'exit_signal') AS n_with_exit, count(*) FILTER (exit_reason = 'hard_cap') AS n_hard_cap, "
+        "100.0 * count(*) FILTER (exit_reason = 'exit_signal') / count(*) AS exit_coverage_pct, avg(days_held) AS mean_hold_days, median(days_held) AS median_hold_days, "
+        f"{_rank_sql('days_held', 0.25)} AS p25_hold_days, {_rank_sql('days_held', 0.75)} AS p75_hold_days, min(days_held) AS min_hold_days, max(days_held) AS max_hold_days, "
+        "avg(realized_gain_pct) AS mean_gain_pct, median(realized_gain_pct) AS median_gain_pct, "
+        f"{_rank_sql('realized_gain_pct', 0.25)} AS p25_gain_pct, {_rank_sql('realized_gain_pct', 0.75)} AS p75_gain_pct, "
+        "avg(CASE WHEN realized_gain_pct > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, min(realized_gain_pct) AS worst_gain_pct FROM ("
+        + " UNION ALL ".join(_exit_sql(v) for v in EXIT_VARIANTS)
+        + ") GROUP BY variant)",
+    ),
+)
+def u19(spark, sf):
+    d = tr.compare_exits(exit_pairs(Tables(spark, sf, share=True), *EXIT_VARIANTS))
+    cols = "mean_gain_pct median_gain_pct p25_gain_pct p75_gain_pct worst_gain_pct".split()
+    return emit(d, *[c for c in d.columns], coarse=tuple(cols))
+
+
 # --- non-overlapping trades ------------------------------------------------------------
 
 _F120 = win("1 FOLLOWING", "120 FOLLOWING")

@@ -81,7 +81,7 @@ def test_nearest_neighbours_equal_brute_force_with_a_hot_cell(spark, metric):
     p = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(pts)], "pid long, vec array<double>")
     q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qs)], "qid long, vec array<double>")
     got = {}
-    for r in vx.knn_join(q, p, 4, "qid", "pid", metric=metric, n_pivots=5, salt_rows=40).collect():
+    for r in vx.knn_join(q, p, 4, "qid", "pid", metric=metric, n_pivots=5, block_rows=40).collect():
         got.setdefault(r["qid"], {})[r["neighbor_rank"]] = (r["pid"], r["distance"])
     for i, v in enumerate(qs):
         if metric == "manhattan":
@@ -135,3 +135,22 @@ def test_group_file_and_symbol_limit(spark):
     assert got == {("tech", "A"), ("tech", "B"), ("oil", "C")}
     with pytest.raises(ValueError):
         rd.select_bars(spark.range(1), symbols=["x"] * 5001)
+
+
+def test_neighbours_far_from_the_origin_and_many_queries_in_a_cell(spark):
+    rng = np.random.default_rng(8)
+    for offset in (0.0, 1e6):
+        pts = rng.normal(size=(400, 6)) + offset
+        qs = np.concatenate([pts[:20], pts[7] + rng.normal(size=(300, 6)) * 1e-3])  # exact copies, and most of one place
+        p = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(pts)], "p long, vec array<double>")
+        q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qs)], "q long, vec array<double>")
+        got = {}
+        for r in vx.knn_join(q, p, 5, "q", "p", block_rows=50).collect():
+            got.setdefault(r["q"], []).append((r["neighbor_rank"], r["p"], r["distance"]))
+        for i, v in enumerate(qs):
+            d = np.sqrt(((pts - v) ** 2).sum(axis=1))
+            best = np.lexsort((np.arange(400), d))[:5]
+            mine = sorted(got[i])
+            assert [m[1] for m in mine] == best.tolist()
+            assert np.allclose([m[2] for m in mine], d[best], rtol=1e-9, atol=0)
+            assert i >= 20 or mine[0][2] == 0.0

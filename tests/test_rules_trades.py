@@ -135,3 +135,59 @@ def test_non_overlapping_equals_a_loop(path_bars):
 def test_peak_capital(spark):
     d = spark.createDataFrame([(day(0), day(3), 10.0), (day(3), day(5), 5.0), (day(4), day(6), 1.0)], "o date, c date, cost double")
     assert tr.peak_capital(d, "o", "c", "cost").first()["peak_capital"] == 15.0
+
+
+def test_many_rules_cost_no_more_plan_than_few(spark):
+    rng = random.Random(2)
+    d = spark.createDataFrame([(i, *[rng.choice([None, float("nan"), rng.random()]) for _ in range(3)], i % 3 == 0) for i in range(500)],
+                              "id long, a double, b double, c double, is_winner boolean")
+    rules = [Rule(f"r{i}", tuple((rng.choice("abc"), rng.choice(["<", "<=", ">", ">=", "==", "!="]), rng.random()) for _ in range(rng.randint(1, 4)))) for i in range(3000)]
+    plan = lambda n: len(ru.evaluate(d, rules[:n])._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(3000) < 1.2 * plan(10)
+    got = {r["rule_key"]: (r["coverage_n"], r["n_hit"]) for r in ru.evaluate(d, rules).collect()}
+    import operator as o
+
+    ops = {"<": o.lt, "<=": o.le, ">": o.gt, ">=": o.ge, "==": o.eq, "!=": o.ne}
+    rows = d.collect()
+    for rule in rules[::37]:
+        hit = [r["is_winner"] for r in rows if all(r[f] is not None and not math.isnan(r[f]) and ops[op](r[f], t) for f, op, t in rule.conditions)]
+        assert got.get(rule.key, (0, 0)) == (len(hit), sum(hit))
+
+
+def test_rule_counts_by_group_with_null_group(spark):
+    d = spark.createDataFrame([(g, float(i), i % 2 == 0) for i, g in enumerate(["x", None, "x", "y", None])], "g string, f double, is_winner boolean")
+    got = {(r["g"], r["rule_key"]): (r["coverage_n"], r["n_hit"], r["n_rows"]) for r in ru.rule_counts(d, [Rule("r", (("f", ">=", 1.0),))], by=["g"]).collect()}
+    assert got == {("x", "r"): (1, 1, 2), ("x", "*"): (2, 2, 2), (None, "r"): (2, 1, 2), (None, "*"): (2, 1, 2), ("y", "r"): (1, 0, 1), ("y", "*"): (1, 0, 1)}
+
+
+def test_no_rows_and_no_rules(spark):
+    d = spark.createDataFrame([], "symbol string, date date, f double, is_winner boolean")
+    assert ru.evaluate(d, [Rule("r", (("f", ">", 0.0),))]).count() == 0
+    assert ru.auc(d.withColumn("score", F.col("f")), "score", "is_winner").count() == 0
+    full = spark.createDataFrame([("S", day(1), 1.0, True)], d.schema)
+    assert ru.firings(full, [Rule("x", (("absent", ">", 0.0),))]).count() == 0
+
+
+def test_two_stage_exit_by_hand(spark):
+    bars = [("A", day(i), 10.0 + i, 10.5 + i, i in (4, 9)) for i in range(12)] + [("B", day(i), 5.0, 5.0, False) for i in range(4)] + [("C", day(i), 0.0, 1.0, False) for i in range(4)]
+    df = spark.createDataFrame(bars, "symbol string, date date, open double, close_adj double, would_exit boolean")
+    entries = spark.createDataFrame(
+        [("A", day(0), 0.1), ("A", day(0), 0.9), ("A", day(4), 0.5), ("A", day(11), 0.5), ("B", day(0), 0.5), ("C", day(0), 0.5), ("Z", day(0), 0.5)],
+        "symbol string, date date, signal_strength double",
+    )
+    got = {(r["symbol"], r["entry_date"]): r for r in tr.two_stage_exits(df, entries, 3, 6).collect()}
+    assert set(got) == {("A", day(0)), ("A", day(4)), ("B", day(0))}
+    a, b, c = got[("A", day(0))], got[("A", day(4))], got[("B", day(0))]
+    assert (a["exit_reason"], a["exit_date"], a["days_held"], a["signal_strength"]) == ("exit_signal", day(4), 3, 0.9)
+    assert (b["exit_reason"], b["exit_date"], b["days_held"]) == ("eligibility_cap", day(9), 4)
+    assert (c["exit_reason"], c["days_held"], c["realized_gain_pct"]) == ("end_of_data", 2, 0.0)
+    capped = {(r["symbol"], r["entry_date"]): r for r in tr.two_stage_exits(df, entries, 2, 2).collect()}
+    assert (capped[("A", day(0))]["exit_reason"], capped[("A", day(0))]["days_held"]) == ("hard_cap", 2)
+
+
+def test_spoiled_signals_are_named(spark):
+    good = ("i1", "A", "2024-01-01", "ENTRY", 0.5)
+    rows = [good, ("i2", "A", "2024-01-01", "HOLD", 0.5), ("i3", "A", "01/02/2024", "EXIT", 0.5), ("i4", "A", "2024-01-01", "EXIT", 1.5), good]
+    s = spark.createDataFrame(rows, "signal_id string, symbol string, signal_date string, signal_type string, signal_strength double")
+    assert sorted(r["invalid_reason"] or "" for r in sg.validate(s).collect()) == ["", "", "date", "strength", "type"]
+    assert [r["signal_id"] for r in sg.duplicate_ids(s).collect()] == ["i1"]

@@ -128,3 +128,27 @@ def test_pair_cells_equal_plain_counts(spark, n):
                     w, c = want.get(k, (0, 0))
                     want[k] = (w + row[0], c + 1)
     assert got == want
+
+
+def test_ema_of_spans_far_apart(path_bars):
+    rng = random.Random(4)
+    xs = [100 + rng.gauss(0, 20) for _ in range(3000)]
+    d = emas(path_bars({"A": xs}), {"e3": ("close", 3), "e60": ("close", 60), "e500": ("close", 500)})
+    for span in (3, 60, 500):
+        assert np.allclose(column(d, f"e{span}"), loop_ema(xs, span, False), rtol=1e-10)
+
+
+def test_one_bad_value_leaves_later_windows_alone(path_bars):
+    xs = [float(i % 17 + 1) for i in range(300)]
+    d = path_bars({"A": xs}).withColumn("x", F.when(F.col("close") == 5, F.lit(float("nan"))).when(F.col("close") == 9, float("inf")).otherwise(F.col("close")))
+    d = d.withColumn("x", F.when(F.datediff("date", F.lit("2024-01-01")) > 40, F.col("close")).otherwise(F.col("x")))
+    got = column(emas(with_means(d, {"m": ("x", 10)}), {"e": ("x", 5)}), "m")
+    assert got[55:] == pytest.approx([sum(xs[i - 9 : i + 1]) / 10 for i in range(55, 300)])
+    clean = [None if i <= 40 and x in (5.0, 9.0) else x for i, x in enumerate(xs)]
+    assert column(emas(d, {"e": ("x", 5)}), "e") == pytest.approx(loop_ema(clean, 5, False))
+
+
+def test_order_statistics_of_an_empty_frame(spark):
+    d = spark.createDataFrame([], "g string, v double, n long")
+    assert running_before(d, ["g"], "v", ["n"]).count() == 0
+    assert exact_quantiles(d, ["g"], "v", {"q": 0.5}).count() == 0

@@ -12,9 +12,9 @@ from ..functions.windows import DAILY, ratio
 
 def forward_winner(df, lookahead=30, threshold=0.20, price_col="close", out="is_winner"):
     if lookahead < 1:
-        raise ValueError(f"lookahead must be >= 1, got {lookahead}")
+        raise ValueError(f"a label needs at least one row ahead, not {lookahead}")
     if threshold <= 0:
-        raise ValueError(f"threshold must be > 0, got {threshold}")
+        raise ValueError(f"a winner has to gain something: {threshold}")
     top = DAILY.roll_forward(F.max, price_col, lookahead)
     return df.withColumn(out, ratio(top, price_col) >= 1.0 + threshold)
 
@@ -57,7 +57,7 @@ class SustainedSpec:
 def sweep_specs(g_max=20.0, g_min=1.0, step=1.0, endpoint_ratio=0.5, horizon=20, min_price=1.0):
     """Specs by falling gain, each with its endpoint at a share of the touch gain."""
     if not 0 <= endpoint_ratio <= 1:
-        raise ValueError(f"endpoint_ratio must be in [0, 1], got {endpoint_ratio}")
+        raise ValueError(f"the endpoint is a share of the touch gain, from 0 to 1: {endpoint_ratio}")
     n = int((g_max - g_min) / step + 1e-9) + 1
     gains = [g_max - i * step for i in range(n)]
     return [SustainedSpec(f"g{int(round(g)):02d}", g, g * endpoint_ratio, horizon, min_price) for g in gains]

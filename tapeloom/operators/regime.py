@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import full, ratio
+from ..session import staged
 from .predicates import first_match
 from .stats import rolling_corr
 
@@ -285,7 +286,26 @@ def point_in_time_sets(days, labelled, buffer_days=30, warmup=None, least=30):
     )
 
 
-def fit_and_score(train, score, features, label="regime_label_rule", trees=20, depth=5):
+def refit_by_fold(days, fold_table, features, label="regime_label_rule", trees=200, depth=4):
+    """One model per fold, fitted on its labelled training days: (models, scores of its validation days).
+
+    The folds are a fixed list by year.
+    """
+    members = staged(fold_members(days, fold_table))
+    models, scores = [], None
+    for (fold,) in sorted(tuple(r) for r in members.select("fold").distinct().collect()):
+        own = members.where(F.col("fold") == fold)
+        train = own.where((F.col("role") == "train") & (F.col(label) != "unlabeled"))
+        if train.isEmpty():
+            continue
+        model, out = fit_and_score(train.drop("fold", "role"), own.where("role = 'val'").select("fold", "date", *features), features, label, trees, depth)
+        models.append(model)
+        out = out.select("fold", "date", "regime_label", "regime_confidence")
+        scores = out if scores is None else scores.unionByName(out)
+    return models, scores
+
+
+def fit_and_score(train, score, features, label="regime_label_rule", trees=200, depth=4):
     """Multi-class forest with inverse-frequency weights; label, confidence and class shares per day."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler

@@ -30,7 +30,7 @@ def score_strength(score):
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
 
 
-def contract_rows(deduped, strength, pattern, conditions_json, run_id, horizon=30, expected=F.lit):
+def contract_rows(deduped, strength, pattern, conditions_json, run_id, horizon=30, expected=None):
     """The nine-column signal contract; ``strength``, ``pattern`` etc. are columns."""
     day = F.date_format("date", "yyyy-MM-dd")
     return deduped.select(
@@ -41,7 +41,7 @@ def contract_rows(deduped, strength, pattern, conditions_json, run_id, horizon=3
         strength.cast("double").alias("signal_strength"),
         pattern.alias("pattern"),
         F.lit(horizon).cast("long").alias("expected_horizon_days"),
-        (expected(20.0) if expected is F.lit else expected).cast("double").alias("expected_return_pct"),
+        (F.lit(20.0) if expected is None else expected).cast("double").alias("expected_return_pct"),
         conditions_json.alias("conditions_json"),
     )
 

@@ -188,7 +188,7 @@ def top_share(df, score, ties, divisor=10):
     by_key = by_key.withColumn(
         "_b", F.coalesce(F.sum("_c").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    inner = Window.partitionBy(first).orderBy(*ties[1:])
+    inner = Window.partitionBy(first).orderBy(*(ties[1:] or ties))
     kept = tied.join(by_key, first).withColumn("_r", F.row_number().over(inner) + F.col("_b"))
     kept = kept.where(F.col("_r") <= F.col("_left"))
     return sure.select(*df.columns).unionByName(kept.select(*df.columns))
@@ -231,10 +231,15 @@ def spearman(df, target, columns):
 
 
 def halves(df, order, columns, tie):
-    """Mean of each column in the high and the low half; the high half is the smaller."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).select(F.floor(F.col("n") / 2).alias("h")).scalar()
-    w = Window.orderBy(F.col(order).desc(), tie)
-    d = df.withColumn("half", F.when(F.row_number().over(w) <= n, "high").otherwise("low"))
+    """Mean of each column in the high and the low half; the high half is the smaller.
+
+    ``tie`` is a key of the rows.  The half is cut off at an order statistic, without a sort
+    of all rows in one task; a row without a value for ``order`` is low.
+    """
+    df = staged(df)
+    high = top_share(df, order, [tie], 2).select(F.col(tie).alias("_k"), F.lit(True).alias("_high"))
+    n = df.agg((F.floor(F.count(F.lit(1)) / 2) > 0).alias("some")).scalar()  # of a single row none is high
+    d = df.join(high, F.col(tie) == F.col("_k"), "left").withColumn("half", F.when(F.col("_high") & n, "high").otherwise("low"))
     return d.groupBy("half").agg(*[F.avg(c).alias(c) for c in columns])
 
 

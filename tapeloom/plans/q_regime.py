@@ -1,5 +1,7 @@
 """Regime panel, labels, folds, predicates."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
@@ -356,14 +358,13 @@ def g12(spark, sf):
 
 
 REG_FEATS = C_COLS
+LABELLED = "regime_label_rule <> 'unlabeled'"
 
 
 @query("g13_classifier_scores")
 def g13(spark, sf):
     d = staged(labels_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
-    train = d.where("regime_label_rule <> 'unlabeled' AND date <= DATE '1999-12-31'")
-    _, out = rg.fit_and_score(train, d, REG_FEATS)
-    return emit(out)
+    return emit(rg.refit_by_fold(d, rg.folds(d.where(LABELLED)), REG_FEATS, trees=20)[1])
 
 
 @query(
@@ -400,9 +401,12 @@ def g15(spark, sf):
 
 @query("g16_feature_importance")
 def g16(spark, sf):
+    """Mean importance over the models of all folds, each fitted on its own training days."""
     d = staged(labelled_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
-    model, _ = rg.fit_and_score(d, d, REG_FEATS)
-    return md.importances(spark, model, REG_FEATS, 5)
+    models, _ = rg.refit_by_fold(d, rg.folds(d), REG_FEATS, trees=20)
+    each = reduce(lambda a, b: a.unionByName(b), [md.importances(spark, m, REG_FEATS, len(REG_FEATS)) for m in models])
+    mean = each.groupBy("feature").agg(F.avg("importance").alias("importance"))
+    return mean.orderBy(F.desc("importance"), "feature").limit(5)
 
 
 # --- predicates --------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from ..operators import predicates as pr
 from ..operators import rules as ru
 from ..operators import signals as sg
 from ..operators.rules import Rule
+from ..session import staged
 from .common import E, Tables, emit
 from .registry import add_cte, query
 
@@ -122,6 +123,7 @@ def u10(spark, sf):
     return emit(ru.firings(d, RULES), "symbol", "date", "rule_key")
 
 
+MINED_FEATURES = ["close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30", "pct_of_60d_high", "pct_of_60d_low"]
 GRID_FEATURES = ("close_over_sma_20", "roc_20", "rsi_14", "vol_mult_30", "pct_of_60d_high")
 # ten cut points per feature; every pair of features and of cuts is a rule: 2,000 in all
 GRID_CUTS = {
@@ -179,8 +181,18 @@ def u1(spark, sf):
     from ..operators import models
 
     d = rule_frame(Tables(spark, sf))
-    feats = ["close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30"]
-    return models.tree_paths(d.where(F.col("is_winner").isNotNull()), feats, "is_winner")
+    return models.tree_paths(d.where(F.col("is_winner").isNotNull()), MINED_FEATURES, "is_winner", 20)
+
+
+@query("u1_mined_rule_evaluation")
+def u1e(spark, sf):
+    """From trees to evaluated rules: fit on the training days, read the rules out, measure them on the rest."""
+    from ..operators import models
+
+    d = staged(rule_frame(Tables(spark, sf)).where("is_winner IS NOT NULL").select("symbol", "date", "is_winner", *MINED_FEATURES))
+    cut = F.lit(TRAIN_END).cast("date")
+    mined = models.mined_rules(d.where(F.col("date") <= cut), MINED_FEATURES, "is_winner", 20)
+    return emit(ru.evaluate(d.where(F.col("date") > cut), mined), "rule_key", "coverage_n", "n_hit", "coverage_pct", "precision", "lift")
 
 
 @query(
@@ -407,7 +419,8 @@ _RULE_FEATURES = ", ".join(f"('{r.key}', '{f}')" for r in LIVE for f in dict.fro
     f"FROM label_ranked JOIN (VALUES {_RULE_FEATURES}) v(rule_key, feature_name) USING (rule_key) WHERE rule_id < 20 GROUP BY 1",
 )
 def u9(spark, sf):
-    d = lb.label_family(rule_frame(Tables(spark, sf, share=True)), 10.0)
+    d = lb.label_family(rule_frame(Tables(spark, sf)), 10.0)
+    d = staged(d.select("symbol", "date", *LABEL_NAMES, *sorted({c[0] for r in LIVE for c in r.conditions})))
     ranked = None
     table = sg.rule_table(spark, LIVE)
     for n in LABEL_NAMES:

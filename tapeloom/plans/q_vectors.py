@@ -273,14 +273,14 @@ def train_sets(t):
 @query("v1_boosted_model_scores")
 def v1(spark, sf):
     train, hold = train_sets(Tables(spark, sf, share=True))
-    model = md.fit_gbt(md.assemble(train, MF, "is_winner"))
+    model = md.fit_gbt(md.assemble(train, MF, "is_winner"), 20, 4)
     return emit(md.score(model, md.assemble(hold, MF, "is_winner", False)), "symbol", "date", "score", "label")
 
 
 @query("v2_feature_attribution")
 def v2(spark, sf):
     train, hold = train_sets(Tables(spark, sf, share=True))
-    model = md.fit_gbt(md.assemble(train, MF, "is_winner"))
+    model = md.fit_gbt(md.assemble(train, MF, "is_winner"), 20, 4)
     scored = md.score(model, md.assemble(hold, MF, "is_winner", False))
     return emit(md.importances(spark, model, MF, len(MF)).join(md.direction(scored, MF), "feature"))
 

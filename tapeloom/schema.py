@@ -14,53 +14,3 @@ BARS = T.StructType(
         T.StructField("volume", T.LongType()),
     ]
 )
-
-SIGNALS = T.StructType(
-    [
-        T.StructField("signal_id", T.StringType(), False),
-        T.StructField("symbol", T.StringType(), False),
-        T.StructField("signal_date", T.StringType(), False),
-        T.StructField("signal_type", T.StringType(), False),
-        T.StructField("signal_strength", T.DoubleType(), False),
-        T.StructField("pattern", T.StringType(), False),
-        T.StructField("expected_horizon_days", T.LongType()),
-        T.StructField("expected_return_pct", T.DoubleType()),
-        T.StructField("conditions_json", T.StringType()),
-    ]
-)
-
-CONDITION = T.StructType(
-    [
-        T.StructField("feature", T.StringType(), False),
-        T.StructField("op", T.StringType(), False),
-        T.StructField("threshold", T.DoubleType(), False),
-    ]
-)
-
-FLAGS_REQUIRED = {
-    "id": T.LongType(),
-    "symbol": T.StringType(),
-    "flag_date": T.DateType(),
-    "fire_date": T.TimestampType(),
-    "pivot_price": T.DoubleType(),
-    "tier": T.StringType(),
-    "status": T.StringType(),
-}
-
-# Columns that are never model features: raw bars and the label.
-NON_FEATURE_COLUMNS = (
-    "symbol",
-    "date",
-    "open",
-    "high",
-    "low",
-    "close",
-    "close_adj",
-    "volume",
-    "is_winner",
-)
-
-
-def feature_columns(df):
-    """Every column that is not a raw bar column or the label."""
-    return [c for c in df.columns if c not in NON_FEATURE_COLUMNS]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,7 +49,9 @@ def stage_folder(spark) -> str:
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-stage-"))
+        own = tempfile.mkdtemp(prefix="tapeloom-stage-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         folder = sc.getCheckpointDir()
     return folder
 
@@ -66,9 +71,27 @@ def staged(df):
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list] = []
+
+
+@contextmanager
+def staging():
+    """Owns the tables staged inside and deletes them at the end.
+
+    A result is lazy, so use it up inside: ``with staging(): query(spark, folder).write...``.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
 def discard(*frames):
     """Delete staged tables that no later plan reads; other frames are left alone.
 

@@ -96,28 +96,28 @@ def barrier_exits(bars, entries, exits=None, slippage=0.001):
     """Stop, target or time exit for every entry, each on its own.
 
     ``entries``: (symbol, date, rule_key, label).  The fill is the next row's open; the
-    stop is read before the target on the same row.  The forward rows come from one
-    bounded frame, so the bars are sorted once and nothing is joined by range.
+    stop is read before the target on the same row.  A symbol's bars, which the calendar
+    bounds, are one sorted array, and only its entries slice forward rows out of it.
     """
     exits = exits or LABEL_EXITS
     longest = max(t for _, _, t in exits.values())
-    ahead = DAILY.w.rowsBetween(2, longest + 1)
-    whole = Window.partitionBy("symbol").orderBy("date").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    paths = bars.select(
-        "symbol",
-        "date",
-        F.lead("open").over(DAILY.w).alias("_fill"),
-        F.lead("date").over(DAILY.w).alias("entry_date"),
-        F.collect_list("low").over(ahead).alias("_low"),
-        F.collect_list("high").over(ahead).alias("_high"),
-        F.collect_list("date").over(ahead).alias("_dates"),
-        F.collect_list("close_adj").over(ahead).alias("_adj"),
-        F.last("date").over(whole).alias("_end"),
-        F.last("close_adj").over(whole).alias("_end_close"),
-    )
-    d = entries.join(paths, ["symbol", "date"]).where(F.col("_fill") > 0)
+    days = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "open", "low", "high", "close_adj"))).alias("bs"))
+    days = days.withColumn("dates", F.transform("bs", lambda b: b["date"]))
+    asked = entries.groupBy("symbol").agg(F.collect_list(F.struct("date", "rule_key", "label")).alias("es"))
+    placed = F.transform("es", lambda x: F.struct(x.alias("x"), F.array_position("dates", x["date"]).cast("int").alias("i")))
+    placed = F.filter(placed, lambda p: (p["i"] > 0) & (p["i"] < F.size("bs")))
+    paths = F.transform(
+        placed,
+        lambda p: F.struct(
+            p["x"]["date"].alias("date"),
+            p["x"]["rule_key"].alias("rule_key"),
+            p["x"]["label"].alias("label"),
+            F.get("bs", p["i"]).alias("_fill_row"),
+            F.slice("bs", p["i"] + 2, longest).alias("_ahead"),
+        ),
+    )
+    d = asked.join(days, "symbol").select("symbol", F.element_at("bs", -1).alias("_last"), F.inline(paths))
+    d = d.withColumns({"_fill": F.col("_fill_row.open"), "entry_date": F.col("_fill_row.date")}).where("_fill > 0")
     pick = {k: F.create_map(*[x for n, v in exits.items() for x in (F.lit(n), F.lit(v[i]))]) for i, k in enumerate("tsd")}
     lab = F.col("label")
     d = d.withColumns(
@@ -131,22 +131,22 @@ def barrier_exits(bars, entries, exits=None, slippage=0.001):
     d = d.withColumns({"_tp": F.col("entry_price") * (1 + F.col("_t")), "_sl": F.col("entry_price") * (1 - F.col("_s"))})
     d = d.withColumns(
         {
-            "_is": F.array_position(F.transform(F.slice("_low", F.lit(1), F.col("_d")), lambda x: x <= F.col("_sl")), F.lit(True)),
-            "_it": F.array_position(F.transform(F.slice("_high", F.lit(1), F.col("_d")), lambda x: x >= F.col("_tp")), F.lit(True)),
+            "_is": F.array_position(F.transform(F.slice("_ahead", F.lit(1), F.col("_d")), lambda x: x["low"] <= F.col("_sl")), F.lit(True)),
+            "_it": F.array_position(F.transform(F.slice("_ahead", F.lit(1), F.col("_d")), lambda x: x["high"] >= F.col("_tp")), F.lit(True)),
         }
     )
     stop = (F.col("_is") > 0) & ((F.col("_it") == 0) | (F.col("_is") <= F.col("_it")))
     target = ~stop & (F.col("_it") > 0)
-    timed = ~stop & ~target & (F.size("_adj") >= F.col("_d"))
+    timed = ~stop & ~target & (F.size("_ahead") >= F.col("_d"))
     reason = F.when(stop, "stop").when(target, "target").when(timed, "time").otherwise("end_of_period")
     at = F.when(stop, F.col("_is")).when(target, F.col("_it")).otherwise(F.col("_d"))
     gross = (
         F.when(stop, F.col("_sl"))
         .when(target, F.col("_tp"))
-        .when(timed, F.get("_adj", F.col("_d") - 1))
-        .otherwise(F.col("_end_close"))
+        .when(timed, F.get("_ahead", F.col("_d") - 1)["close_adj"])
+        .otherwise(F.col("_last.close_adj"))
     )
-    exit_date = F.when(reason != "end_of_period", F.get("_dates", (at - 1).cast("int"))).otherwise(F.col("_end"))
+    exit_date = F.when(reason != "end_of_period", F.get("_ahead", (at - 1).cast("int"))["date"]).otherwise(F.col("_last.date"))
     return d.select(
         "symbol",
         F.col("date").alias("signal_date"),
@@ -241,15 +241,12 @@ def non_overlapping(bars, breakout=60, horizon=120, target=0.50, friction_pct=0.
     Each breakout row first gets its own exit row; choosing rows is then a fold over the
     symbol's breakouts, which its bars bound.
     """
-    s = DAILY
-    d = bars.select("symbol", "date", "close").withColumns(
-        {
-            "i": F.row_number().over(s.w),
-            "_hi": s.roll_prior(F.max, "close", breakout),
-            "_f": F.collect_list(F.struct("close", "date")).over(s.forward(horizon)),
-        }
-    )
-    d = d.where((F.col("close") > F.col("_hi")))
+    high = DAILY.roll_prior(F.max, "close", breakout)
+    d = bars.select("symbol", "date", "close", F.coalesce(F.col("close") > high, F.lit(False)).alias("up"))
+    d = d.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "close", "up"))).alias("bs"))
+    found = F.filter(F.transform("bs", lambda b, i: F.struct(b.alias("b"), (i + 1).alias("i"))), lambda x: x["b"]["up"])
+    ahead = F.transform(found, lambda x: F.struct(x["b"].alias("b"), x["i"].alias("i"), F.slice("bs", x["i"] + 1, horizon).alias("_f")))
+    d = d.select("symbol", F.inline(ahead)).select("symbol", "i", "b.date", "b.close", "_f")
     hit = F.array_position(F.transform("_f", lambda x: x["close"] >= F.col("close") * (1 + target)), F.lit(True))
     d = d.withColumn("_h", hit).withColumn("_n", F.size("_f").cast("long"))
     at = F.when(F.col("_h") > 0, F.col("_h")).otherwise(F.col("_n"))

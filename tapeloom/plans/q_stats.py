@@ -521,9 +521,38 @@ def q10(spark, sf):
     return emit(st.mean_atr_pct(Tables(spark, sf).bars()))
 
 
-@query("q11_ols")
+_ZX = {"a": "n_days", "b": "vol_z_late", "c": "vol_slope_yr"}
+add_cte(
+    "ols_z",
+    "SELECT mean_log_dv AS y, " + ", ".join(f"coalesce(({x} - avg({x}) OVER ()) / nullif(stddev_pop({x}) OVER (), 0), 0) AS {n}" for n, x in _ZX.items())
+    + " FROM sym_metrics WHERE mean_log_dv IS NOT NULL",
+)
+# normal equations of three centred regressors: the inverse of their covariances, written out
+add_cte(
+    "ols_fit",
+    "SELECT *, (g11 * ya + g12 * yb + g13 * yc) AS ba, (g12 * ya + g22 * yb + g23 * yc) AS bb, (g13 * ya + g23 * yb + g33 * yc) AS bc FROM ("
+    "SELECT *, (bb2 * cc - bc2 * bc2) / d AS g11, (ac * bc2 - ab * cc) / d AS g12, (ab * bc2 - ac * bb2) / d AS g13, "
+    "(aa * cc - ac * ac) / d AS g22, (ab * ac - aa * bc2) / d AS g23, (aa * bb2 - ab * ab) / d AS g33 FROM ("
+    "SELECT *, aa * (bb2 * cc - bc2 * bc2) - ab * (ab * cc - ac * bc2) + ac * (ab * bc2 - ac * bb2) AS d FROM ("
+    "SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(y) AS yy, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb2, covar_pop(c, c) AS cc, "
+    "covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc2, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb, covar_pop(c, y) AS yc FROM ols_z) s) t) u",
+)
+_TERMS = {"n_days": ("ba", "g11"), "vol_z_late": ("bb", "g22"), "vol_slope_yr": ("bc", "g33")}
+
+
+@query(
+    "q11_ols",
+    E(
+        "term f:coefficient f:std_error f:t_value f:r2 f:adj_r2",
+        "SELECT *, coefficient / std_error AS t_value, 1 - (1 - r2) * (n - 1) / (n - 4) AS adj_r2 FROM ("
+        + " UNION ALL ".join(f"SELECT '{x}' AS term, {b} AS coefficient, sqrt((yy - ba * ya - bb * yb - bc * yc) * {g} / (n - 4)) AS std_error, (ba * ya + bb * yb + bc * yc) / yy AS r2, n FROM ols_fit" for x, (b, g) in _TERMS.items())
+        + " UNION ALL SELECT 'intercept', my - ba * ma - bb * mb - bc * mc, "
+        "sqrt((yy - ba * ya - bb * yb - bc * yc) / (n - 4) * (1 + g11 * ma * ma + g22 * mb * mb + g33 * mc * mc + 2 * (g12 * ma * mb + g13 * ma * mc + g23 * mb * mc))), "
+        "(ba * ya + bb * yb + bc * yc) / yy, n FROM ols_fit)",
+    ),
+)
 def q11(spark, sf):
-    return st.ols(sym_metrics(Tables(spark, sf)), "mean_log_dv", ["n_days", "vol_z_late", "vol_slope_yr"])
+    return emit(st.ols(sym_metrics(Tables(spark, sf)), "mean_log_dv", ["n_days", "vol_z_late", "vol_slope_yr"]))
 
 
 @query(

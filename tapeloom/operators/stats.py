@@ -164,11 +164,29 @@ def pairwise_scan(df, features, label, min_share=0.005):
 # --- ranking -----------------------------------------------------------------------------
 
 
+def positions(df, by, order, out="position"):
+    """Adds each row's place inside its group and the group's size ``n_group``, however large a group is.
+
+    A range sort deals the rows out by group and order; places are local to a task's range and
+    start at the counts of the ranges before, one small row per group and range.
+    """
+    by, order = list(by), list(order)
+    d = staged(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = d.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_c").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_range", earlier.alias("_before"), F.sum("_c").over(w).alias("n_group"))
+    local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return d.withColumn("_local", local).join(counts, [*by, "_range"]).withColumn(out, (F.col("_before") + F.col("_local")).cast("long")).select(
+        *df.columns, out, "n_group"
+    )
+
+
 def top_share(df, score, ties, divisor=10):
     """The ``max(1, n div divisor)`` best rows by score, exactly, without ranking them all.
 
     The score at the cut is found as an order statistic; rows above it are in, and only
-    rows equal to it are counted off by the tie keys, key by key.
+    rows equal to it are counted off by the tie keys.
     """
     d = staged(df.where(F.col(score).isNotNull()))
     n = d.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / divisor)).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -182,15 +200,7 @@ def top_share(df, score, ties, divisor=10):
     flip = flip.withColumns({"_s": s, "_left": k - above})
     sure = flip.where(F.col("_neg") < F.col("_s"))
     tied = flip.where(F.col("_neg") == F.col("_s"))
-    # count tied rows off by the first key, then inside the one key where the cut falls
-    first = ties[0]
-    by_key = tied.groupBy(first).agg(F.count(F.lit(1)).alias("_c"))
-    by_key = by_key.withColumn(
-        "_b", F.coalesce(F.sum("_c").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    inner = Window.partitionBy(first).orderBy(*(ties[1:] or ties))
-    kept = tied.join(by_key, first).withColumn("_r", F.row_number().over(inner) + F.col("_b"))
-    kept = kept.where(F.col("_r") <= F.col("_left"))
+    kept = positions(tied, [], ties, "_r").where(F.col("_r") <= F.col("_left"))
     return sure.select(*df.columns).unionByName(kept.select(*df.columns))
 
 

@@ -60,12 +60,7 @@ def a3(spark, sf):
     "SELECT CAST(date AS VARCHAR) AS date, row_number() OVER (PARTITION BY date ORDER BY symbol) AS position, count(*) OVER (PARTITION BY date) AS n_day, symbol, rule_key FROM best_signal",
 )
 def a5(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("date")
-    d = best_signals(Tables(spark, sf)).withColumns(
-        {"position": F.row_number().over(w.orderBy("symbol")).cast("long"), "n_day": F.count(F.lit(1)).over(w)}
-    )
+    d = st.positions(best_signals(Tables(spark, sf)), ["date"], ["symbol"]).withColumnRenamed("n_group", "n_day")
     return emit(d, "date", "position", "n_day", "symbol", "rule_key")
 
 

@@ -1,5 +1,7 @@
 """Sources, time bars, alignment, intraday indicators (S, B, I, J7, J8, J10)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.windows import TICKBARS
@@ -392,26 +394,56 @@ def i5(spark, sf):
     return emit(it.atr_pct(hourly(Tables(spark, sf))), "symbol", "ts", "atr_pct")
 
 
-add_cte("m5", "SELECT symbol, time_bucket(INTERVAL '5 minutes', ts) AS ts, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2")
-add_cte("m10", ohlcv_sql(10, "m5", "volume"))
-for _n in ("m5", "m10"):
-    add_cte(
-        f"{_n}n",
-        f"SELECT *, row_number() OVER ({HW}) AS i, greatest(high - low, abs(high - lag(close) OVER ({HW})), abs(low - lag(close) OVER ({HW}))) AS tr FROM {_n}",
+def _frames(minutes, slow):
+    """Bars of a version and its slow bars, numbered and with their true range."""
+    bucket = "time_bucket(INTERVAL '{} minutes', ts, TIMESTAMP '1970-01-01')"
+    base = (
+        f"SELECT symbol, {bucket.format(minutes)} AS ts, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, "
+        "last(price ORDER BY ts, event_id) AS close FROM ticks GROUP BY 1, 2"
+    )
+    over = (
+        f"SELECT symbol, {bucket.format(slow)} AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close "
+        f"FROM v{minutes} GROUP BY 1, 2"
+    )
+    numbered = f"SELECT *, row_number() OVER ({HW}) AS i, greatest(high - low, abs(high - lag(close) OVER ({HW})), abs(low - lag(close) OVER ({HW}))) AS tr FROM "
+    add_cte(f"v{minutes}", base)
+    add_cte(f"v{minutes}s", over)
+    add_cte(f"v{minutes}n", numbered + f"v{minutes}")
+    add_cte(f"v{minutes}sn", numbered + f"v{minutes}s")
+    lo, hi = troll("min", "close", 14), troll("max", "close", 14)
+    add_cte(f"v{minutes}m0", f"SELECT *, close - ({lo} + {hi}) / 2 AS m, {hi} - {lo} AS s FROM v{minutes}n")
+    add_cte(f"v{minutes}m1", f"SELECT *, 100 * {div(troll('avg', 'm', 3), troll('avg', 's', 3))} AS smi FROM v{minutes}m0")
+    add_cte(f"v{minutes}m2", f"SELECT *, coalesce(smi, 0) AS f FROM v{minutes}m1")
+
+
+def _version_sql(version):
+    c = it.VERSIONS[version]
+    n = c["tf"]
+    _frames(n, n * c["slow_mult"])
+    gate = f"atr_pct >= {c['atr_min']}" if version != 1 else f"atr_pct > {c['atr_min']}"
+    gate += f" AND atr_pct < {c['atr_max']}" if c["atr_max"] is not None else ""
+    trigger = f"trend = 1 AND lag(trend) OVER ({HW}) = -1" if c["fresh"] else f"smi > smi_mean AND lag(smi) OVER ({HW}) <= lag(smi_mean) OVER ({HW}) AND smi_mean < 0"
+    smi = f" JOIN v{n}m2 m ON m.symbol = a.symbol AND m.ts = a.ts JOIN {ema_rec(f'v{n}m2', 'f', 2, 'smi_mean')} e ON e.symbol = a.symbol AND e.ts = a.ts" if c["smi"] else ""
+    more = ", m.smi, e.smi_mean" if c["smi"] else ""
+    return (
+        f"SELECT '{version}' AS version, symbol, ts, close, coalesce(slow = 1 AND {gate} AND ({trigger}) AND conf = 1, false) AS entry FROM ("
+        f"SELECT a.symbol, a.ts, a.close, a.trend, b.trend AS conf, c.trend AS slow, d.atr_pct{more} FROM {st_rec(f'v{n}n', *it.INNER)} a "
+        f"JOIN {st_rec(f'v{n}n', *it.CONFIRM)} b ON a.symbol = b.symbol AND a.ts = b.ts{smi} "
+        f"ASOF LEFT JOIN {st_rec(f'v{n}sn', c['slow_ema'], it.INNER[1], it.INNER[2])} c ON a.symbol = c.symbol AND a.ts >= c.ts "
+        "ASOF LEFT JOIN atrp d ON a.symbol = d.symbol AND a.ts >= d.ts)"
     )
 
 
-@query(
-    "i6_entry_signals",
-    E(
-        "symbol d:ts f:close b:entry",
-        f"SELECT symbol, ts, close, coalesce(slow = 1 AND atr_pct > 1.0 AND trend = 1 AND lag(trend) OVER ({HW}) = -1 AND conf = 1, false) AS entry FROM (SELECT a.symbol, a.ts, a.close, a.trend, b.trend AS conf, c.trend AS slow, d.atr_pct FROM {st_rec('m5n', 75, 14, 0.5)} a "
-        f"JOIN {st_rec('m5n', 100, 10, 0.5)} b ON a.symbol = b.symbol AND a.ts = b.ts ASOF LEFT JOIN {st_rec('m10n', 75, 14, 0.5)} c ON a.symbol = c.symbol AND a.ts >= c.ts ASOF LEFT JOIN atrp d ON a.symbol = d.symbol AND a.ts >= d.ts)",
-    ),
-)
+@query("i6_entry_signals", E("version symbol d:ts f:close b:entry", " UNION ALL ".join(_version_sql(v) for v in it.VERSIONS)))
 def i6(spark, sf):
+    """Entry signals of all six configurations."""
     t = Tables(spark, sf)
-    return emit(it.entry_signals(tb.bars_from_ticks(t.ticks(), 5), 1, hourly(t)), "symbol", "ts", "close", "entry")
+    hours = hourly(t)
+    parts = []
+    for v, c in it.VERSIONS.items():
+        d = it.entry_signals(tb.bars_from_ticks(t.ticks(), c["tf"]), v, hours)
+        parts.append(d.select(F.lit(str(v)).alias("version"), "symbol", "ts", "close", "entry"))
+    return emit(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions.quantiles import exact_quantiles, running_before
 from tapeloom.functions.windows import DAILY, emas, safe_corr, with_extremes, with_means
 from tapeloom.operators.rules import auc
-from tapeloom.operators.stats import pair_cells, top_share
+from tapeloom.operators.stats import pair_cells, positions, top_share
+from tapeloom.session import staged, staging
 
 
 def loop_ema(xs, span, warm):
@@ -152,3 +153,27 @@ def test_order_statistics_of_an_empty_frame(spark):
     d = spark.createDataFrame([], "g string, v double, n long")
     assert running_before(d, ["g"], "v", ["n"]).count() == 0
     assert exact_quantiles(d, ["g"], "v", {"q": 0.5}).count() == 0
+
+
+def test_positions_in_groups_of_any_size(spark):
+    rng = random.Random(7)
+    rows = [(g, rng.randint(0, 50), i) for i, g in enumerate(["hot"] * 300 + ["a", "b", "b", None])]
+    d = spark.createDataFrame(rows, "g string, v int, id int")
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((v, i) for x, v, i in rows if x == g)
+        want |= {i: (k + 1, len(own)) for k, (_, i) in enumerate(own)}
+    got = {r["id"]: (r["position"], r["n_group"]) for r in positions(d.where("g IS NOT NULL"), ["g"], ["v", "id"]).collect()}
+    assert got == {i: p for i, p in want.items() if rows[i][0] is not None}
+    whole = {r["id"]: r["position"] for r in positions(d, [], ["v", "id"]).collect()}
+    assert whole == {i: k + 1 for k, (_, i) in enumerate(sorted((v, i) for _, v, i in rows))}
+
+
+def test_staged_tables_go_with_their_owner(spark):
+    import os
+
+    with staging():
+        a = staged(spark.range(5))
+        path = a.staged_path.removeprefix("file:")
+        assert os.path.isdir(path) and a.count() == 5
+    assert not os.path.exists(path)

@@ -232,7 +232,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     src = src.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("language"), F.col(text_col).cast("string").alias("text"))
     total = src.groupBy("language").agg(F.sum(F.length("text")).alias("chars"))
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sampled = src.join(total, "language").withColumn("at", draw * F.greatest("chars", F.lit(1)))
+    # one row per label, and the model that the driver holds has every label too
+    sampled = src.join(F.broadcast(total), "language").withColumn("at", draw * F.greatest("chars", F.lit(1)))
     fitted = sampled.where(F.col("at") < SAMPLE_CHARS).select("language", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

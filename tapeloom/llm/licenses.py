@@ -75,10 +75,10 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def _normal(x):
-    """Lower case of A to Z only, so that the result does not depend on a locale."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.trim(F.regexp_replace(F.translate(x, upper, lower), "[^a-z0-9]+", " "))
+def _once(c, name: str):
+    """The value as a column that later expressions read: without a generator between them Spark
+    would write it out again inside each lambda, once per template."""
+    return F.explode(F.array(c)).alias(name)
 
 
 def license_notices(
@@ -105,11 +105,13 @@ def license_notices(
 
     blocks = F.filter(units(F.split(text, r"\n[ \t\r]*\n"), "block"), lambda u: F.contains(u["x"], F.lit("\n")))
     src = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(units(F.split(text, "\n"), "line"), blocks)).alias("u"))
-    src = src.select("id", "u.kind", "u.unit", F.split(_normal(F.col("u.x")), " ").alias("words"))
+    normal = F.trim(F.regexp_replace(F.lower("u.x"), "[^a-z0-9]+", " "))
+    src = src.select("id", "u.kind", "u.unit", _once(F.split(normal, " "), "words"))
     a = F.size("words") - 1
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
     src = src.where(a.between(low, high)).withColumn("a", a)
-    src = src.withColumn("pairs", F.zip_with(F.slice("words", 1, F.col("a")), F.slice("words", 2, F.col("a")), lambda x, y: F.concat(x, F.lit(" "), y)))
+    joined = F.zip_with(F.slice("words", 1, F.col("a")), F.slice("words", 2, F.col("a")), lambda x, y: F.concat(x, F.lit(" "), y))
+    src = src.select("id", "kind", "unit", "a", _once(joined, "pairs"))
     near = F.filter(known, lambda t: 2 * F.least(t["n"], F.col("a")) >= threshold * (t["n"] + F.col("a")))
     scored = F.transform(
         near,

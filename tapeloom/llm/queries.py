@@ -134,7 +134,7 @@ p AS (
 u AS (SELECT doc_id, kind, unnest(parts) AS x, unnest(range(len(parts))) AS unit FROM p),
 w AS (
   SELECT doc_id, kind, unit,
-         string_split(trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
+         string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
   FROM u WHERE kind = 'line' OR contains(x, chr(10))),
 a AS (
   SELECT doc_id, kind, unit, len(words) - 1 AS a,

@@ -76,7 +76,8 @@ def cuts(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LI
     Prefix sums are taken inside a bucket of keys and added to the sums of the buckets before,
     so a source that holds a third of all rows is spread over many tasks.
     """
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
+    # one row per source; its size as a written table lets Spark broadcast it instead of dealing rows out by source
+    goals = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     buckets = max(1, sized.count() // ROWS_A_BUCKET * 4)
@@ -119,7 +120,7 @@ def mix(
     if the larger half of it fits.  Repeated rows on the border share its part evenly.
     """
     sized = staged(measured(docs, id_col, text_col, source_col))
-    got = _decided(sized, cuts(sized, weights, limit))
+    got = _decided(sized, staged(cuts(sized, weights, limit)))
     return got.select("id", "source", "size", "source_size", "target", "whole", "taken")
 
 

@@ -1,9 +1,11 @@
 """Near-duplicate embeddings: a small-world graph per shard, every shard queried, cosine verified.
 
 Equal vectors are one node with a count.  Nodes are spread over shards of bounded size by
-hash; each shard becomes a graph, and each (shard, block of queries) is one task.  Beams widen
-per task until the recall of a brute-force audit passes, and per query while all of the beam
-are links.  Only pairs whose cosine in double precision reaches the threshold are links.
+hash; each shard becomes a graph, and each pair of shards is one task, in which the vectors of
+either query the other's graph.  Beams widen per task until the recall of a brute-force audit
+passes, and per query while all of the beam are links.  Only pairs whose cosine in double
+precision reaches the threshold are links.  A task sends the number of links of each node and
+a spanning forest of them, so its output grows with its nodes, not with the links.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows with a null id, link with nothing and are components of their own; vectors of different
@@ -51,8 +53,8 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("node")
     unit = _unit(part["vector"])
     nodes = part["node"].to_numpy(np.int64)
-    graph = Graph(unit, _level(nodes))
-    return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "graph": [pickle.dumps((nodes, unit, graph), protocol=5)]})
+    held = (nodes, part["n"].to_numpy(np.int64), unit, Graph(unit, _level(nodes)))
+    return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "graph": [pickle.dumps(held, protocol=5)]})
 
 
 def find_links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL):
@@ -88,31 +90,67 @@ def _widened(linked, rows, beam):
     return np.concatenate(got_q), np.concatenate(got_n)
 
 
-def link_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b, of a written table (node, vector) of distinct vectors."""
-    many = nodes.count()
-    shards = max(SHARDS, -(-many // SHARD_NODES))
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (a, b) between n members a spanning forest needs."""
+    root = list(range(n))
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            keep[k] = True
+    return keep
+
+
+def _between(left, right, threshold: float):
+    """Members of two shards (or of one) that are linked, found from either side."""
+    (_, _, x, g), (_, _, y, h) = left, right
+    q, n = find_links(h, y, x, threshold)
+    if left is right:
+        found = np.unique(np.concatenate([q, n]) * len(y) + np.concatenate([n, q]))
+        found = found[found // len(y) != found % len(y)]
+    else:
+        n2, q2 = find_links(g, x, y, threshold)
+        found = np.unique(np.concatenate([q * len(y) + n, q2 * len(y) + n2]))
+    return found // len(y), found % len(y)
+
+
+def shard_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, others) of a written table (node, vector, n) of distinct vectors.
+
+    With b: a link of a spanning forest of some pair of shards.  Without: the number of rows
+    that node ``a`` links to in some shard.
+    """
+    shards = max(SHARDS, -(-nodes.count() // SHARD_NODES))
     placed = nodes.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("node", F.lit("shard")), F.lit(shards)))
-    kind = dict(nodes.dtypes)["node"]
     graphs = staged(placed.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard long, graph binary"))
-    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    queries = placed.withColumn("block", F.col("shard")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        ids, unit, graph = pickle.loads(left["graph"].iloc[0])
-        own = right["node"].to_numpy(np.int64)
-        q, n = find_links(graph, unit, _unit(right["vector"]), threshold)
-        a, b = own[q], ids[n]
-        other = a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other]}).drop_duplicates()
-
-    keys = ["dim", "shard", "block"]
-    found = copies.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, f"a {kind}, b {kind}")
-    pairs = staged(found.distinct())
+    other = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("other")
+    copies = graphs.select("dim", "shard", "graph", other)
+    copies = copies.select("dim", "shard", "graph", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"))
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        held = {int(s): g for s, g in zip(part["shard"], part["graph"])}
+        low, high = int(part["low"].iloc[0]), int(part["high"].iloc[0])
+        if low not in held or high not in held:  # the other shard has no vectors of this length
+            return pd.DataFrame({"a": [], "b": [], "others": []})
+        left = pickle.loads(held[low])
+        right = left if low == high else pickle.loads(held[high])
+        i, j = _between(left, right, threshold)
+        out = []
+        for own, rows, far, cols in ((left, i, right, j), (right, j, left, i))[: 1 if left is right else 2]:
+            others = np.bincount(rows, weights=far[1][cols], minlength=len(own[0])).astype(np.int64)
+            some = others > 0
+            out.append(pd.DataFrame({"a": own[0][some], "b": None, "others": others[some]}))
+        keep = _forest(i, j if left is right else j + len(left[0]), len(left[0]) + len(right[0]))
+        out.append(pd.DataFrame({"a": left[0][i[keep]], "b": right[0][j[keep]], "others": None}))
+        return pd.concat(out, ignore_index=True).astype("Int64")
+
+    found = staged(copies.groupBy("dim", "low", "high").applyInPandas(search, "a long, b long, others long"))
     discard(graphs)
-    return pairs
+    return found
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -123,10 +161,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     src = src.withColumn("vector", F.when(valid, F.col("vector")))
     classes = src.where("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     classes = staged(classes)
-    pairs = link_pairs(classes.select("node", "vector"), threshold)
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.groupBy("node").agg(F.sum("n").alias("n"))
-    linked = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    found = shard_links(classes, threshold)
+    linked = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    pairs = found.where("b IS NOT NULL").select("a", "b")
     # rows of one vector, and vectors of one id, belong together without a search
     same = src.where("vector is not null").join(classes.select("vector", "node"), "vector").select(F.col("id").alias("a"), F.col("node").alias("b"))
     joined = connected_components(pairs.unionAll(same.where("a != b").distinct())).toDF("id", "component")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
+
 ORDER = 4  # characters of 16 bits in one 64-bit n-gram
 SAMPLE_CHARS = 3_000_000  # expected characters learned from per language, the bound of the model's size
 CALIBRATION_CHARS = 1_000_000
@@ -171,7 +173,7 @@ def classify(model: Model, texts: list[str | None]) -> pd.DataFrame:
     at, size = 0, 0
     for stop in range(1, len(texts) + 1):
         size += len(texts[stop - 1] or "")
-        if size > 1 << 20 or stop == len(texts):  # about a million characters at a time
+        if size > 1 << 19 or stop == len(texts):  # about half a million characters at a time
             part = [t or "" for t in texts[at:stop]]
             entropy, n, letters = entropies(model, part)
             best = entropy.argmin(axis=1)
@@ -278,7 +280,9 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", out: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return classify(shared.value, list(texts))
+        got = classify(shared.value, list(texts))
+        release()
+        return got
 
     predicted = F.pandas_udf(predict, "struct<lang_pred: string, score: double, entropy: double, rejected: boolean>")
     return docs.withColumn(out, predicted(F.col(text_col).cast("string")))

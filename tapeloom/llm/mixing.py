@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .memory import release
 
 WEIGHTS = (1.0, 2.0, 3.0)
 LIMIT = 3  # a document is repeated so often at most
@@ -31,7 +32,10 @@ def _measured(texts: pd.Series) -> pd.DataFrame:
     letters = [len(x.translate(None, _NO_LETTER)) for x in raw]
     quality = [0.05 + 0.95 * (a / b) if b else 0.05 for a, b in zip(letters, dense)]
     # bytes.split() parts at exactly the six white-space bytes
-    return pd.DataFrame({"size": [len(x.split()) for x in raw], "quality": quality})
+    size = [len(x.split()) for x in raw]
+    del raw
+    release()
+    return pd.DataFrame({"size": size, "quality": quality})
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more) -> DataFrame:

@@ -22,23 +22,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .memory import release
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 700_000  # words kept with their ids in each Python worker
+CACHE_WORDS = 200_000  # words kept with their ids in each Python worker, some 40 MB
 ROWS_A_SALT = 20_000
 
 _loaded: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file, one without its normalizer, and the worker's known words as little-endian ids."""
+    """The tokenizer of a file, its normalizer, and the worker's known words as little-endian ids."""
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        plain = Tokenizer.from_file(path)
-        plain.normalizer = None
-        _loaded[path] = (Tokenizer.from_file(path), plain, {"": b""})
+        tok = Tokenizer.from_file(path)
+        _loaded[path] = (tok, tok.normalizer, {"": b""})
     return _loaded[path]
 
 
@@ -53,7 +53,7 @@ def _core(word: str):
 
 def _word_ids(words: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of single words; each is encoded once and remembered."""
-    tok, plain, known = _tokenizer(path)
+    tok, normalizer, known = _tokenizer(path)
     if len(known) > CACHE_WORDS:
         known.clear()
         known[""] = b""
@@ -64,10 +64,11 @@ def _word_ids(words: list[str], path: str) -> list[bytes]:
     misses = [(i, *_core(words[i])) for i, g in enumerate(got) if g is None]
     letters = list({core for _, core, mark in misses if mark is not None and core not in known})
     others = list({core for _, core, mark in misses if mark is None})
-    for encoder, new in ((plain, letters), (tok, others)):
+    for needed, new in ((None, letters), (normalizer, others)):  # lower-case letters are in normal form
+        tok.normalizer = needed
         for k in range(0, len(new), 5_000):
             part = new[k : k + 5_000]
-            known.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in encoder.encode_batch(part, add_special_tokens=False)]))
+            known.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part, add_special_tokens=False)]))
     for i, core, mark in misses:
         got[i] = known[core] + known[mark] if mark else known[core]
     return got
@@ -116,11 +117,12 @@ def pieces(
                     [part.column("id").take(pa.array(doc)), pa.array(n.astype(np.int32)), *map(pa.array, (at, length, crc))],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
+        release()
 
     return src.mapInArrow(cut, f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long")
 
 
-def _slices(batch: pa.RecordBatch, room: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, room: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``room`` bytes of text, at least one row each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     at = 0

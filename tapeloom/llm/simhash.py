@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .components import connected_components
+from .memory import release
 
 BITS = 64
 HASH_SEED = 42
@@ -42,6 +43,7 @@ def _print_column(text_col: str, words: int):
     @F.pandas_udf("long")
     def fp(batch: pd.Series) -> pd.Series:
         got = np.fromiter((fingerprint(t, words) for t in batch), np.uint64, len(batch))
+        release()
         return pd.Series(got.view(np.int64))
 
     return fp(F.col(text_col).cast("string"))

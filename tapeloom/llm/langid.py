@@ -30,6 +30,7 @@ CALIBRATION_CHARS = 1_000_000
 UNDETERMINED = "und"
 FALSE_REJECTIONS = 0.001  # share of the calibration texts beyond the limit before its margin
 MARGIN = 1.5
+FOREIGN = 2.0  # and the entropy is at least so many times the language's mean
 OTHER_LETTER = 0xFFFF
 GAP = 32
 _ALPHABET = 1 << 16
@@ -181,7 +182,10 @@ def classify(model: Model, texts: list[str | None]) -> pd.DataFrame:
             # confidence of at most 64 characters' evidence: neighbours in a text are not independent
             score = 1 / np.exp(-(entropy - low[:, None]) * np.minimum(n, 64)[:, None]).sum(axis=1)
             ok = letters > 0
-            beyond = np.zeros(len(part), bool) if model.mean is None else _excess(model, low, best, n) > model.limit
+            if model.mean is None:
+                beyond = np.zeros(len(part), bool)
+            else:
+                beyond = (_excess(model, low, best, n) > model.limit) & (low > FOREIGN * model.mean[best])
             made.iloc[at:stop, 0] = np.where(ok, np.array(model.languages, object)[best], UNDETERMINED)
             made.iloc[at:stop, 1] = np.where(ok, score, 0.0)
             made.iloc[at:stop, 2] = np.where(ok, low, 0.0)
@@ -196,7 +200,7 @@ def _excess(model, low, best, n):
 
 
 def calibrate(model: Model, sample: pd.DataFrame) -> Model:
-    """Sets the rejection limit from (language, entropy, n) of labelled texts not learned from."""
+    """Sets the rejection limit from (language, entropy, n) of texts not learned from, by their best language."""
     k = len(model.languages)
     model.mean, model.spread = np.zeros(k), np.ones((k, 2))
     excess = [np.zeros(0)]
@@ -261,12 +265,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         m = shared.value
         for b in batches:
             e, n, letters = entropies(m, list(b["text"]))
-            known = {x: i for i, x in enumerate(m.languages)}
-            own = b["language"].map(known)
-            ok = own.notna().to_numpy() & (letters > 0)
-            at = own.fillna(0).astype(int).to_numpy()
-            yield pd.DataFrame({"language": b["language"], "entropy": e[np.arange(len(b)), at], "n": n})[ok]
+            names = np.array(m.languages, object)[e.argmin(axis=1)]
+            yield pd.DataFrame({"language": names, "entropy": e.min(axis=1), "n": n})[letters > 0]
 
+    # the best language counts, as it does for a text to be judged: a wrong label says nothing about the spread
     rest = sampled.where((F.col("at") >= SAMPLE_CHARS) & (F.col("at") < SAMPLE_CHARS + CALIBRATION_CHARS)).select("language", "text")
     got = rest.mapInPandas(measure, "language string, entropy double, n long").toPandas()
     if got.empty:  # few rows: all of them were learned from

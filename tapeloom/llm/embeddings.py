@@ -30,8 +30,12 @@ THRESHOLD = 0.9
 SHARDS = 8  # at least; more from this many nodes a shard on
 SHARD_NODES = 50_000
 BEAM = 32
-AUDIT = 256  # audited queries of each task
+AUDIT = 256  # audited queries of each task, and as many planted ones
 RECALL = 0.98
+WIDEST = 512  # beams; beyond, exact products cost less than a search
+CROWDED = 64  # links of a query from which on they are counted by exact products
+SLICE = 4096  # queries searched at a time
+CELLS = 1 << 22  # of a block of exact products
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -57,37 +61,87 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "graph": [pickle.dumps(held, protocol=5)]})
 
 
-def find_links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL):
-    """(query, node) of the pairs found with cosine of ``threshold`` or more; beams widen as audits ask."""
-    slack = threshold - 1e-4  # for single precision; the verification decides
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and of y are linked; products next to the threshold are decided as those of the search."""
+    cosine = x @ y.T
+    out = cosine >= threshold
+    i, j = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+    out[i, j] = np.einsum("pd,pd->p", x[i], y[j]) >= threshold
+    return out
+
+
+def _exact(unit: np.ndarray, queries: np.ndarray, rows: np.ndarray, threshold: float):
+    """(rows, their links to all of ``unit`` as a table) in blocks of bounded size, without a node's link to itself."""
+    for part in np.array_split(rows, -(-len(rows) * len(unit) // CELLS)) if len(rows) else ():
+        table = _linked(queries[part], unit, threshold)
+        if queries is unit:
+            table[np.arange(len(part)), part] = False
+        yield part, table
 
-    def linked(rows, width):
-        """The verified links of some queries, and which of them have a beam full of candidates."""
-        ids, sims = graph.search(queries[rows], min(width, len(unit)))
-        near = (ids >= 0) & (sims >= slack)
+
+def _searched(graph: Graph, unit: np.ndarray, queries: np.ndarray, rows: np.ndarray, threshold: float, beam: int):
+    """(query, node) links of the queries that have few, and which queries have a full beam or many."""
+    own, got_q, got_n, crowded = queries is unit, [], [], [rows[:0]]
+    for part in np.array_split(rows, max(1, -(-len(rows) // SLICE))):
+        ids, sims = graph.search(queries[part], min(beam, len(unit)))
+        near = (ids >= 0) & (sims >= threshold - 1e-4)  # for single precision; the verification decides
         r, c = np.nonzero(near)
-        q, n = rows[r], ids[r, c]
+        q, n = part[r], ids[r, c].astype(np.int64)
         ok = np.einsum("pd,pd->p", queries[q], unit[n]) >= threshold
-        return q[ok], n[ok], rows[near.all(axis=1)] if width < len(unit) else rows[:0]
-
+        if own:
+            ok &= q != n
+        many = near.all(axis=1) | (np.bincount(r[ok], minlength=len(part)) >= CROWDED)
+        ok &= ~many[r]
+        got_q.append(q[ok])
+        got_n.append(n[ok])
+        crowded.append(part[many])
+    return np.concatenate(got_q), np.concatenate(got_n), np.concatenate(crowded)
+
+
+def _planted(unit: np.ndarray, audit: int, threshold: float) -> np.ndarray:
+    """Near copies of some nodes, little above the threshold from them."""
+    of = unit[np.unique(np.linspace(0, len(unit) - 1, min(audit, len(unit))).astype(np.int64))]
+    aside = np.random.default_rng(0).normal(size=of.shape)
+    aside -= np.einsum("nd,nd->n", aside, of)[:, None] * of
+    aside /= np.maximum(np.sqrt(np.einsum("nd,nd->n", aside, aside)), 1e-300)[:, None]
+    cosine = threshold + 0.1 * (1 - threshold)
+    out = cosine * of + np.sqrt(max(0.0, 1 - cosine * cosine)) * aside
+    return out / np.sqrt(np.einsum("nd,nd->n", out, out))[:, None]
+
+
+def _missed(graph, unit, queries, sample, threshold, beam) -> float:
+    """Mean share of links missed by the audited queries that have links and are not searched exactly."""
+    q, _, crowded = _searched(graph, unit, queries, sample, threshold, beam)
+    truth, found = np.zeros(len(queries)), np.bincount(q, minlength=len(queries))
+    for part, table in _exact(unit, queries, np.setdiff1d(sample, crowded), threshold):
+        truth[part] = table.sum(axis=1)
+    some = truth > 0
+    return float((1 - found[some] / truth[some]).mean()) if some.any() else 0.0
+
+
+def _search(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audit: int, recall: float):
+    """As ``_searched`` for all queries, with a beam that passes its audits; beyond ``WIDEST`` every query is crowded.
+
+    Audited are queries, by their links to other nodes, and planted near copies of nodes, as
+    the sampled queries may have no link.
+    """
+    every = np.arange(len(queries))
     sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
-    truth = sum(int((queries[s] @ unit.T >= threshold).sum()) for s in np.array_split(sample, max(1, len(sample) // 64)))
-    while beam < len(unit) and truth:
-        if len(_widened(linked, sample, beam)[0]) >= recall * truth:
-            break
+    planted = _planted(unit, audit, threshold)
+    audits = ((queries, sample), (planted, np.arange(len(planted))))
+    while beam < len(unit) and beam <= WIDEST:
+        if all(_missed(graph, unit, x, rows, threshold, beam) <= 1 - recall for x, rows in audits):
+            return _searched(graph, unit, queries, every, threshold, beam)
         beam *= 2
-    return _widened(linked, np.arange(len(queries)), beam)
-
-
-def _widened(linked, rows, beam):
-    got_q, got_n = [], []
-    while len(rows):
-        q, n, full = linked(rows, beam)
-        done = ~np.isin(q, full)
-        got_q.append(q[done])
-        got_n.append(n[done])
-        rows, beam = full, beam * 2
-    return np.concatenate(got_q), np.concatenate(got_n)
+    return every[:0], every[:0], every
+
+
+def find_links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL):
+    """(query, node) of the pairs found with cosine of ``threshold`` or more; a node of ``queries`` itself is its own."""
+    q, n, crowded = _search(graph, unit, queries, threshold, beam, audit, recall)
+    tables = [(part[t[0]], t[1]) for part, table in _exact(unit, queries, crowded, threshold) for t in [np.nonzero(table)]]
+    itself = np.arange(len(unit) if queries is unit else 0)
+    return np.concatenate([q, itself, *(t[0] for t in tables)]), np.concatenate([n, itself, *(t[1] for t in tables)])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -76,3 +76,63 @@ def test_beam_widens_over_a_dense_group():
     graph = embeddings.Graph(x, embeddings._level(np.arange(300)))
     q, n = embeddings.find_links(graph, x, x, 0.9, beam=8)
     assert len(set(zip(q.tolist(), n.tolist()))) >= 0.99 * 300 * 300
+
+
+class Blind:
+    """A graph whose searches find the query's own node at most, as long as the beam is narrow."""
+
+    def __init__(self, unit):
+        self.unit = unit
+
+    def search(self, x, beam):
+        sims = (x @ self.unit.T).astype(np.float32)
+        ids = np.argsort(-sims, axis=1)[:, :beam].astype(np.int32)
+        sims = np.take_along_axis(sims, ids, 1)
+        return np.where(sims > 1 - 1e-6, ids, -1), np.where(sims > 1 - 1e-6, sims, -np.inf)
+
+
+def turned(rng, x, cosine):
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=-1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=-1, keepdims=True)
+
+
+def units(rng, n, dim=32):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_audit_does_not_count_self_matches():
+    rng = np.random.default_rng(8)
+    x = units(rng, 600)
+    x[300:304] = turned(rng, x[:4], 0.95)
+    q, n = embeddings.find_links(Blind(x), x, x, 0.9)
+    assert {(a, a + 300) for a in range(4)} <= set(zip(q.tolist(), n.tolist()))
+
+
+def test_audit_where_no_sampled_query_has_a_link():
+    rng = np.random.default_rng(9)
+    x, y = units(rng, 600), units(rng, 600)
+    sampled = np.unique(np.linspace(0, 599, embeddings.AUDIT).astype(np.int64))
+    one = np.setdiff1d(np.arange(600), sampled)[5]
+    y[one] = turned(rng, x[10], 0.95)
+    q, n = embeddings.find_links(Blind(x), x, y, 0.9)
+    assert (one, 10) in set(zip(q.tolist(), n.tolist()))
+
+
+def test_audit_is_not_carried_by_a_crowded_group():
+    rng = np.random.default_rng(10)
+    x = units(rng, 900)
+    x[600:] = turned(rng, np.repeat(x[:1], 300, axis=0), 0.999)
+    x[300:310] = turned(rng, x[1:11], 0.95)
+
+    class Crowd(Blind):
+        def search(self, q, beam):
+            ids, sims = super().search(q, beam)
+            hot = np.flatnonzero(q @ self.unit[0] > 0.99)
+            many = min(beam, 300)
+            ids[hot, :many], sims[hot, :many] = np.arange(600, 600 + many), 0.998
+            return ids, sims
+
+    q, n = embeddings.find_links(Crowd(x), x, x, 0.9)
+    assert {(a, a + 299) for a in range(1, 11)} <= set(zip(q.tolist(), n.tolist()))

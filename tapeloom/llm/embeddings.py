@@ -2,10 +2,11 @@
 
 Equal vectors are one node with a count.  Nodes are spread over shards of bounded size by
 hash; each shard becomes a graph, and each pair of shards is one task, in which the vectors of
-either query the other's graph.  Beams widen per task until the recall of a brute-force audit
-passes, and per query while all of the beam are links.  Only pairs whose cosine in double
-precision reaches the threshold are links.  A task sends the number of links of each node and
-a spanning forest of them, so its output grows with its nodes, not with the links.
+either query the other's graph.  Beams widen per task until the recall of brute-force audits
+passes; a query whose beam is full of links, or that has many, is compared with every node
+instead.  Only pairs whose cosine in double precision reaches the threshold are links.  A task
+holds and sends the number of links of each node and a spanning forest of them, so that its
+memory and its output grow with its nodes, not with the links.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows with a null id, link with nothing and are components of their own; vectors of different
@@ -144,32 +145,81 @@ def find_links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: f
     return np.concatenate([q, itself, *(t[0] for t in tables)]), np.concatenate([n, itself, *(t[1] for t in tables)])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links (a, b) between n members a spanning forest needs."""
-    root = list(range(n))
-    keep = np.zeros(len(a), bool)
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[x] = y
-            keep[k] = True
-    return keep
+class _Forest:
+    """Spanning links of the components of n members."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.a, self.b = [], []
+
+    def add(self, one: int, others: np.ndarray):
+        """Links of one member to others."""
+        own = self.label[one]
+        new = others[self.label[others] != own]
+        if len(new):
+            labels, first = np.unique(self.label[new], return_index=True)
+            self.a += [one] * len(first)
+            self.b += new[first].tolist()
+            merged = np.zeros(len(self.label), bool)
+            merged[labels] = True
+            self.label[merged[self.label]] = own
+
+    def add_pairs(self, a: np.ndarray, b: np.ndarray):
+        root = self.label.tolist()
+        for at in range(0, len(a), 1 << 16):
+            for one, other in zip(a[at : at + (1 << 16)].tolist(), b[at : at + (1 << 16)].tolist()):
+                x, y = one, other
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x != y:
+                    root[x] = y
+                    self.a.append(one)
+                    self.b.append(other)
+        label = np.array(root)
+        while (label != label[label]).any():
+            label = label[label]
+        self.label = label
 
 
 def _between(left, right, threshold: float):
-    """Members of two shards (or of one) that are linked, found from either side."""
-    (_, _, x, g), (_, _, y, h) = left, right
-    q, n = find_links(h, y, x, threshold)
-    if left is right:
-        found = np.unique(np.concatenate([q, n]) * len(y) + np.concatenate([n, q]))
-        found = found[found // len(y) != found % len(y)]
+    """Rows linked to each node of two shards (or of one) by the other, and a spanning forest as (member, member).
+
+    Members are the nodes of the left, then those of the right shard.  Pairs are held only
+    between nodes that both have few links; a crowded node's links are counted from a block
+    of exact products, for itself and for the nodes with few, and not kept.
+    """
+    same = left is right
+    (_, weight_x, x, g), (_, weight_y, y, h) = left, right
+    shift = 0 if same else len(x)
+    q, n, crowded_x = _search(h, y, x, threshold, BEAM, AUDIT, RECALL)
+    others_x = np.zeros(len(x), np.int64)
+    if same:
+        others_y, crowded_y = others_x, crowded_x
+        keys = np.concatenate([q * len(y) + n, n * len(y) + q])
     else:
-        n2, q2 = find_links(g, x, y, threshold)
-        found = np.unique(np.concatenate([q * len(y) + n, q2 * len(y) + n2]))
-    return found // len(y), found % len(y)
+        others_y = np.zeros(len(y), np.int64)
+        n2, q2, crowded_y = _search(g, x, y, threshold, BEAM, AUDIT, RECALL)
+        keys = np.concatenate([q * len(y) + n, q2 * len(y) + n2])
+    few_x, few_y = np.ones(len(x), bool), np.ones(len(y), bool)
+    few_x[crowded_x], few_y[crowded_y] = False, False
+    keys = keys[few_x[keys // len(y)] & few_y[keys % len(y)]]
+    keys = np.unique(keys)
+    i, j = keys // len(y), keys % len(y)
+    forest = _Forest(shift + len(y))
+    forest.add_pairs(i, j + shift)
+    others_x += np.bincount(i, weight_y[j], minlength=len(x)).astype(np.int64)
+    if not same:
+        others_y += np.bincount(j, weight_x[i], minlength=len(y)).astype(np.int64)
+    sides = ((crowded_x, x, weight_x, others_x, 0, few_y, y, weight_y, others_y, shift), (crowded_y, y, weight_y, others_y, shift, few_x, x, weight_x, others_x, 0))
+    for rows, own, weight, others, at, few, far, far_weight, far_others, far_at in sides[: 1 if same else 2]:
+        for part, table in _exact(far, own, rows, threshold):
+            others[part] += np.where(table, far_weight, 0).sum(axis=1)
+            far_others[few] += np.where(table, weight[part][:, None], 0).sum(axis=0)[few]
+            for one, linked in zip(part.tolist(), table):
+                forest.add(one + at, np.flatnonzero(linked) + far_at)
+    return others_x, others_y, np.array(forest.a, np.int64), np.array(forest.b, np.int64)
 
 
 def shard_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,14 +242,13 @@ def shard_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             return pd.DataFrame({"a": [], "b": [], "others": []})
         left = pickle.loads(held[low])
         right = left if low == high else pickle.loads(held[high])
-        i, j = _between(left, right, threshold)
+        others_x, others_y, a, b = _between(left, right, threshold)
         out = []
-        for own, rows, far, cols in ((left, i, right, j), (right, j, left, i))[: 1 if left is right else 2]:
-            others = np.bincount(rows, weights=far[1][cols], minlength=len(own[0])).astype(np.int64)
+        for own, others in ((left, others_x), (right, others_y))[: 1 if left is right else 2]:
             some = others > 0
             out.append(pd.DataFrame({"a": own[0][some], "b": None, "others": others[some]}))
-        keep = _forest(i, j if left is right else j + len(left[0]), len(left[0]) + len(right[0]))
-        out.append(pd.DataFrame({"a": left[0][i[keep]], "b": right[0][j[keep]], "others": None}))
+        members = left[0] if left is right else np.concatenate([left[0], right[0]])
+        out.append(pd.DataFrame({"a": members[a], "b": members[b], "others": None}))
         return pd.concat(out, ignore_index=True).astype("Int64")
 
     found = staged(copies.groupBy("dim", "low", "high").applyInPandas(search, "a long, b long, others long"))

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -136,3 +138,34 @@ def test_audit_is_not_carried_by_a_crowded_group():
 
     q, n = embeddings.find_links(Crowd(x), x, x, 0.9)
     assert {(a, a + 299) for a in range(1, 11)} <= set(zip(q.tolist(), n.tolist()))
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_crowded_group_is_counted_without_its_pairs(apart):
+    rng = np.random.default_rng(11)
+    x = units(rng, 5000)
+    x[:4000] = turned(rng, np.repeat(x[:1], 4000, axis=0), 0.99)
+    x[4000:4100] = turned(rng, x[4100:4200], 0.95)
+    weight = rng.integers(1, 4, len(x))
+    sides = [np.arange(0, 5000, 2), np.arange(1, 5000, 2)] if apart else [np.arange(5000)]
+    left, right = [(rows, weight[rows], x[rows], embeddings.Graph(x[rows], embeddings._level(rows))) for rows in (sides * 2)[:2]]
+    tracemalloc.start()
+    others_x, others_y, a, b = embeddings._between(left, right if apart else left, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # the pairs alone, from both sides, are more
+    truth = x @ x.T >= 0.9
+    np.fill_diagonal(truth, False)
+    if apart:
+        truth[::2, ::2] = truth[1::2, 1::2] = False
+        assert (others_x == (truth @ weight)[::2]).all() and (others_y == (truth @ weight)[1::2]).all()
+    else:
+        assert (others_x == truth @ weight).all()
+    members = np.concatenate(sides)
+    assert truth[members[a], members[b]].all()
+    label = np.arange(5000)
+    for one, other in zip(members[a], members[b]):
+        assert label[one] != label[other]
+        label[label == label[one]] = label[other]
+    one, other = np.nonzero(truth[:, :])
+    assert (label[one] == label[other]).all()

@@ -11,7 +11,8 @@ dates (year-month-day, or day, month and year with dots or slashes, of the years
 IPv4 addresses, telephone numbers (7 to 15 digits with an international prefix, which stays, or
 an area code in brackets), social security numbers (3-2-4, none of the unused ranges), e-mail
 addresses (the local part; the domain stays) and access key ids (AKIA and 16 characters).
-What fails its validation stays as it is.
+What fails its validation stays as it is; a run of digit groups that is no card is searched for
+cards that begin and end at its groups.
 
 Defined cases: a null text stays null with zero counts, an empty one empty; repeated rows give
 repeated rows; other columns are not read.
@@ -24,19 +25,31 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 FIRST_YEAR, LAST_YEAR = 1800, 2199
+CARD_DIGITS = (16, 15, 19, 18, 17, 14, 13)  # in the order in which they are tried
 CYCLE_DAYS = (189, 773)  # 146,097 days in 400 years, as a product for the two halves
 
+# Values that a telephone number or a run of digit groups doesn't go on into.
+_OTHER = (
+    r" (?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9A-Za-z])"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
+)
+_CARD = r" (?:[0-9]{13,19}(?![0-9A-Za-z])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z]|[ -][0-9]))"
+_GROUP = rf"(?!{_OTHER}|{_CARD})".replace("{", "{{").replace("}", "}}") + "{0}?[0-9]{{2,4}}"
+# one to three more groups; no blank after a dot or a hyphen, where another number begins
+_BLANK, _MARK = _GROUP.format(" "), _GROUP.format("[.-]")
+_TAIL = f"(?:{_BLANK}){{3}}|(?:{_BLANK}){{2}}(?:{_MARK})?|{_BLANK}(?:{_MARK}){{0,2}}|(?:{_MARK}){{1,3}}"
+
 # The kinds and their patterns, in the order in which they are tried at a place.
 KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
+    ("phone", rf"(?<![0-9A-Za-z])\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{1,4}}\)?{_GROUP.format('[ .-]')}(?:{_TAIL})(?![0-9A-Za-z])"),
     ("phone", r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
     ("ipv4", r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9A-Za-z])"),
     ("date", r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"),
     ("date", r"(?<![0-9A-Za-z./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("key", r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    ("card", rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]+(?:(?!{_OTHER})[ -][0-9]+)*(?![0-9A-Za-z])"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
 
@@ -105,7 +118,36 @@ def _card(x, key):
 
     digits = _digits(x)
     body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    return F.when(_luhn(digits) == 0, F.transform(F.array(body), lambda b: _refilled(x, whole(b)))[0])
+    return F.transform(F.array(body), lambda b: _refilled(x, whole(b)))[0]
+
+
+def _is_card(x):
+    digits = _digits(x)
+    return F.length(digits).between(13, 19) & (_luhn(digits) == 0)
+
+
+def _cards(x, key):
+    """(text, n) of a run of digit groups: the run if it is a card, or else the cards among its groups from left to right.
+
+    Of the cards that begin at a group those of ``CARD_DIGITS`` count first, in that order.
+    """
+    groups = F.regexp_extract_all(x, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+    def span(i, n):
+        return F.array_join(F.slice(groups, i, n), "")
+
+    def step(s, i):
+        some = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1))
+        ok = F.filter(F.transform(some, lambda n: F.struct(F.array_position(F.array(*map(F.lit, CARD_DIGITS)), F.length(_digits(span(i, n)))).alias("rank"), n.alias("n"))), lambda c: (c["rank"] > 0) & _is_card(span(i, c["n"])))
+        best = F.array_min(ok)
+        taken = lambda c: F.struct(F.concat(s["text"], _card(span(i, c["n"]), key)).alias("text"), (s["n"] + 1).alias("n"), (i + c["n"]).alias("next"))
+        kept = F.struct(F.concat(s["text"], F.element_at(groups, i)).alias("text"), s["n"].alias("n"), (i + 1).alias("next"))
+        found = F.transform(F.array(best), lambda c: F.when(c.isNotNull(), taken(c)).otherwise(kept))[0]
+        return F.when(i < s["next"], s).otherwise(found)
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("next"))
+    parts = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
+    return F.when(_is_card(x), F.struct(_card(x, key).alias("text"), F.lit(1).alias("n"))).otherwise(F.struct(parts["text"].alias("text"), parts["n"].alias("n")))
 
 
 def _date(x, key):
@@ -193,17 +235,25 @@ def _key(x, key):
     return F.concat(F.substring(x, F.lit(1), F.lit(4)), _permuted_letters(F.substring(x, F.lit(5), F.lit(16)), key, "key"))
 
 
-_WRITERS = {"email": _email, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "key": _key, "card": _card}
+_WRITERS = {"email": _email, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "key": _key}
 
 
 def pseudonym(value, key: str):
-    """(kind, old, new) of one found value; new is null where the value fails its validation."""
-    kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
+    """(kind, old, new, n) of one found value; new is null and n 0 where the value fails its validation."""
+    none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"))
+    kind, made = F.lit(None).cast("string"), none
     for name, pattern in reversed(KINDS):
         is_it = value.rlike(f"^(?:{pattern})$")
         kind = F.when(is_it, F.lit(name)).otherwise(kind)
-        new = F.when(is_it, _WRITERS[name](value, key)).otherwise(new)
-    return F.struct(kind.alias("kind"), value.alias("old"), new.alias("new"))
+        if name == "card":
+            new = _cards(value, key)
+        else:
+            text = _WRITERS[name](value, key)
+            new = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), t.isNotNull().cast("int").alias("n")))[0]
+        made = F.when(is_it, new).otherwise(made)
+    return F.transform(
+        F.array(made), lambda m: F.struct(kind.alias("kind"), value.alias("old"), F.when(m["n"] > 0, m["text"]).alias("new"), m["n"].alias("n"))
+    )[0]
 
 
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,8 +265,8 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     kinds = list(dict.fromkeys(k for k, _ in KINDS))
 
     def count(*only):
-        test = lambda v: v["new"].isNotNull() & (v["kind"].isin(*only))
-        return F.coalesce(F.size(F.filter("found", test)), F.lit(0)).cast("long")
+        own = F.filter("found", lambda v: v["kind"].isin(*only))
+        return F.coalesce(F.aggregate(own, F.lit(0), lambda n, v: n + v["n"]), F.lit(0)).cast("long")
 
     return found.select(
         "id",

@@ -149,3 +149,22 @@ def test_different_values_stay_different_and_valid(spark, kind, values):
 def test_native_plan(make_docs):
     plan = pii.pseudonymised(make_docs([(1, "x")]), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+CARD = "4111111111111111"
+BESIDE = [
+    ("+1 (826) 555-4081 190.137.223.9", ["+1 (826) 555-4081", "190.137.223.9"]), ("+49 30 1234 5678 190.137.223.9", ["+49 30 1234 5678", "190.137.223.9"]),
+    ("+1 (826) 555-4081 42 items", ["+1 (826) 555-4081"]), ("+49 30 1234 5678 1999-02-28", ["+49 30 1234 5678", "1999-02-28"]),
+    ("+49 30 1234 5678 4111 1111 1111 1111", ["+49 30 1234 5678", "4111 1111 1111 1111"]), ("4111 1111 1111 1111 12/26", ["4111 1111 1111 1111"]),
+    (f"{CARD} 123", [CARD]), (f"no. 12 {CARD}", [CARD]), (f"1234 {CARD} 12", [CARD]), (f"{CARD} 4041-8949 7460-8795", [CARD, "4041-8949 7460-8795"]),
+    ("1235 4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), (f"{CARD} 123-45-6789", [CARD, "123-45-6789"]), (f"{CARD} 10.1.2.3", [CARD, "10.1.2.3"]),
+]
+
+
+def test_values_side_by_side(make_docs):
+    got = {r.id: r for r in pii.pseudonymised(make_docs([(i, f"a {t} b") for i, (t, _) in enumerate(BESIDE)]), KEY).collect()}
+    for i, (text, values) in enumerate(BESIDE):
+        want = text
+        for v in values:
+            want = want.replace(v, brute(v))
+        assert (got[i].text, got[i].n_values) == (f"a {want} b", len(values)), text

@@ -27,6 +27,8 @@ from .memory import release
 ORDER = 4  # characters of 16 bits in one 64-bit n-gram
 SAMPLE_CHARS = 3_000_000  # expected characters learned from per language, the bound of the model's size
 CALIBRATION_CHARS = 1_000_000
+LEARNED = 0.75  # share of a language's rows to learn from; the others are for calibration
+LEAST_TEXTS = 30  # for calibration of a language by itself
 UNDETERMINED = "und"
 FALSE_REJECTIONS = 0.001  # share of the calibration texts beyond the limit before its margin
 MARGIN = 1.5
@@ -200,21 +202,26 @@ def _excess(model, low, best, n):
 
 
 def calibrate(model: Model, sample: pd.DataFrame) -> Model:
-    """Sets the rejection limit from (language, entropy, n) of texts not learned from, by their best language."""
+    """Sets the rejection limit from (language, entropy, n) of texts not learned from, by their best language.
+
+    Languages with fewer than ``LEAST_TEXTS`` get the mean and spread of all texts.
+    """
     k = len(model.languages)
     model.mean, model.spread = np.zeros(k), np.ones((k, 2))
     excess = [np.zeros(0)]
     for i, lang in enumerate(model.languages):
         s = sample[sample["language"] == lang]
-        if len(s) < 2:
+        pool = s if len(s) >= LEAST_TEXTS else sample
+        if len(pool) < 2:
             continue
-        n, e = s["n"].to_numpy(np.float64), s["entropy"].to_numpy(np.float64)
+        n, e = pool["n"].to_numpy(np.float64), pool["entropy"].to_numpy(np.float64)
         middle = np.average(e, weights=n)
         square = (e - middle) ** 2
         by_char = np.average(square * n, weights=1 / (1 + n / n.mean()))  # short texts show the variance per character
         between = np.average(square, weights=n)
         model.mean[i] = middle
         model.spread[i] = max(between, 1e-6), max(by_char, 1e-6)
+        n, e = s["n"].to_numpy(np.float64), s["entropy"].to_numpy(np.float64)
         excess.append((e - middle) / np.sqrt(model.spread[i, 0] + model.spread[i, 1] / n))
     every = np.concatenate(excess)
     model.limit = max(4.0, float(np.quantile(every, 1 - FALSE_REJECTIONS))) * MARGIN if len(every) else np.inf
@@ -230,8 +237,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """The calibrated model of the labelled rows that are not held out.
 
     Character totals cover all rows.  N-grams come from a sample by id hash of about
-    ``SAMPLE_CHARS`` characters a language, the limit from a disjoint one; both are bounds
-    that do not grow with the table, so the counted n-grams fit the driver.
+    ``SAMPLE_CHARS`` characters a language, the limit from a disjoint one, a fixed share of
+    each language however small; both are bounds that do not grow with the table, so the
+    counted n-grams fit the driver.
     """
     spark = docs.sparkSession
     src = docs.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
@@ -239,8 +247,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     total = src.groupBy("language").agg(F.sum(F.length("text")).alias("chars"))
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # one row per label, and the model that the driver holds has every label too
-    sampled = src.join(F.broadcast(total), "language").withColumn("at", draw * F.greatest("chars", F.lit(1)))
-    fitted = sampled.where(F.col("at") < SAMPLE_CHARS).select("language", "text")
+    sampled = src.join(F.broadcast(total), "language").withColumn("draw", draw).withColumn("many", F.greatest("chars", F.lit(1)))
+    fitted = sampled.where((F.col("draw") < LEARNED) & (F.col("draw") * F.col("many") < SAMPLE_CHARS)).select("language", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -269,7 +277,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             yield pd.DataFrame({"language": names, "entropy": e.min(axis=1), "n": n})[letters > 0]
 
     # the best language counts, as it does for a text to be judged: a wrong label says nothing about the spread
-    rest = sampled.where((F.col("at") >= SAMPLE_CHARS) & (F.col("at") < SAMPLE_CHARS + CALIBRATION_CHARS)).select("language", "text")
+    rest = sampled.where((F.col("draw") >= LEARNED) & ((F.col("draw") - LEARNED) * F.col("many") < CALIBRATION_CHARS)).select("language", "text")
     got = rest.mapInPandas(measure, "language string, entropy double, n long").toPandas()
     if got.empty:  # few rows: all of them were learned from
         got = fitted.mapInPandas(measure, "language string, entropy double, n long").toPandas()

@@ -114,3 +114,14 @@ def test_rejected_rows_go(make_docs, labelled):
 def test_nothing_to_learn_from(make_docs):
     assert langid.languages(make_docs([])).count() == 0
     assert [r.lang_pred for r in langid.languages(make_docs([(1, "abc", None)])).collect()] == ["und"]
+
+
+def test_small_languages_are_calibrated(make_docs, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, text_in(rng, "aa" if i < 400 else "bb", 40), "aa" if i < 400 else "bb") for i in range(460)]
+    rows += [(900 + i, text_in(rng, "cc", 40), "cc") for i in range(12)]
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 25_000)  # only the first language has more
+    model = langid.learn(make_docs(rows))
+    assert model.languages == ["aa", "bb", "cc"] and model.mean.min() > 0.3 and (model.spread < 1).any(axis=1).all()
+    assert langid.classify(model, ["xqxq wvwv " * 20])["rejected"].all()
+    assert not langid.classify(model, [t for _, t, _ in rows])["rejected"].any()

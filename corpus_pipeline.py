@@ -24,7 +24,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """One document of each group of linked fingerprints, by op9's definition: three-word shingles, 3 of 64 bits.
+
+    It is the definition that the registered query has.  Near copies of a lower similarity,
+    mostly short ones, can stay.
+    """
     return simhash.drop_near_duplicates(docs)
 
 

@@ -49,7 +49,7 @@ KINDS = (
     ("date", r"(?<![0-9A-Za-z./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("key", r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    ("card", rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]+(?:(?!{_OTHER})[ -][0-9]+)*(?![0-9A-Za-z])"),
+    ("card", rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![0-9A-Za-z])(?:(?!{_OTHER})[ -][0-9]++(?![0-9A-Za-z]))*+"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
 
@@ -131,8 +131,12 @@ def _cards(x, key):
 
     Of the cards that begin at a group those of ``CARD_DIGITS`` count first, in that order.
     """
-    groups = F.regexp_extract_all(x, F.lit("[ -]?[0-9]+"), F.lit(0))
+    every = F.regexp_extract_all(x, F.lit("[ -]?[0-9]+"), F.lit(0))
+    found = F.transform(F.array(every), lambda groups: _cards_of(groups, key))[0]
+    return F.when(_is_card(x), F.struct(_card(x, key).alias("text"), F.lit(1).alias("n"))).otherwise(found)
 
+
+def _cards_of(groups, key):
     def span(i, n):
         return F.array_join(F.slice(groups, i, n), "")
 
@@ -147,7 +151,7 @@ def _cards(x, key):
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("next"))
     parts = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
-    return F.when(_is_card(x), F.struct(_card(x, key).alias("text"), F.lit(1).alias("n"))).otherwise(F.struct(parts["text"].alias("text"), parts["n"].alias("n")))
+    return F.struct(parts["text"].alias("text"), parts["n"].alias("n"))
 
 
 def _date(x, key):

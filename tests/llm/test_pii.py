@@ -168,3 +168,9 @@ def test_values_side_by_side(make_docs):
         for v in values:
             want = want.replace(v, brute(v))
         assert (got[i].text, got[i].n_values) == (f"a {want} b", len(values)), text
+
+
+def test_long_runs_of_numbers(make_docs):
+    text = " ".join(str(i % 1000) for i in range(3000))
+    got = pii.pseudonymised(make_docs([(1, f"{text} {CARD}")]), KEY).collect()[0]
+    assert len(got.text) == len(text) + 17 and got.text.endswith(" " + brute(CARD))

@@ -32,7 +32,3 @@ def path_bars(spark):
         )
 
     return make
-
-
-def column(df, name, symbol="A", order="date"):
-    return [r[name] for r in df.where(df.symbol == symbol).orderBy(order).collect()]

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import column
+from rows import column
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features as fx

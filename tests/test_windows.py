@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import column
+from rows import column
 from pyspark.sql import functions as F
 
 from tapeloom.functions.quantiles import exact_quantiles, running_before

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, lines, media, mixing, packing, pii, repeats, simhash
+from . import centroids, embeddings, langid, licenses, lines, media, merkle, mixing, packing, pii, repeats, simhash
 
 
 def tokenizer_path() -> str:
@@ -166,6 +166,88 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(_documents(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    got = merkle.manifest(_documents(spark, folder))
+    refolded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("steps"))
+    return got.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), refolded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op12_sql() -> str:
+    mark = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    row = lambda text: f"sha256({' || '.join(map(mark, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    # the checksum bit by bit: a byte is mixed in, then eight shifts
+    bits = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) + 256 AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x - 256) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"""
+    # the last step inverts all bits, so an even checksum is an odd remainder before it
+    tree = lambda name, first: f"""{name} AS (
+  {first}
+  UNION ALL
+  SELECT g, lv + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY g, lv, pos // 3, n),
+{name}_sides AS (
+  SELECT a.g, a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM {name} a JOIN {name} b ON a.g = b.g AND a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.g, a.lv, a.pos)"""
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, {row("text")} AS leaf,
+         CASE WHEN {bits} % 2 = 1 THEN {row("replace(text, chr(10), '')")} ELSE {row("text")} END AS given
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{tree("low", "SELECT g, 0 AS lv, pos, leaf AS h, n FROM placed")},
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{tree("high", "SELECT '' AS g, 0 AS lv, pos, h, n FROM subroots")},
+climb AS (
+  SELECT doc_id, g, leaf, given, 0 AS lv, pos, given AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.g, c.leaf, c.given, c.lv + 1, c.pos // 3, sha256(s.before || c.h || s.after), c.proof || s.before || s.after
+  FROM climb c JOIN low_sides s ON s.g = c.g AND s.lv = c.lv AND s.pos = c.pos),
+up AS (
+  SELECT c.doc_id, c.g, c.leaf, c.given, r.h AS subroot, 0 AS lv, r.pos, c.h, c.proof
+  FROM climb c JOIN low t ON t.g = c.g AND t.lv = c.lv AND t.pos = c.pos AND t.n = 1 JOIN subroots r ON r.g = c.g
+  UNION ALL
+  SELECT c.doc_id, c.g, c.leaf, c.given, c.subroot, c.lv + 1, c.pos // 3, sha256(s.before || c.h || s.after), c.proof || s.before || s.after
+  FROM up c JOIN high_sides s ON s.lv = c.lv AND s.pos = c.pos)
+SELECT c.doc_id, c.leaf, c.subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+FROM up c JOIN high t ON t.lv = c.lv AND t.pos = c.pos AND t.n = 1
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    got = centroids.cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return got.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT row_id, vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.row_id, v.vec_id, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+    FROM v CROSS JOIN c{i} c) x
+  GROUP BY row_id, vec_id, q)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(range(64)) AS j, unnest(q) AS x FROM a{i}) y GROUP BY c, j),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c)""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), q) - 1 AS c, q FROM v
+  QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -177,6 +259,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL, "op7_license_scan": _op7_sql()}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op6_source_mixing": OP6_SQL,
+    "op7_license_scan": _op7_sql(),
+    "op12_merkle_manifest": _op12_sql(),
+    "op13_centroid_clustering": _op13_sql(),
+}

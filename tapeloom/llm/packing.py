@@ -17,82 +17,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
 from .memory import release
+from .tokens import slices, tokenized
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 200_000  # words kept with their ids in each Python worker, some 40 MB
 ROWS_A_SALT = 20_000
 
-_loaded: dict[str, tuple] = {}
-
-
-def _tokenizer(path: str):
-    """The tokenizer of a file, its normalizer, and the worker's known words as little-endian ids."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        _loaded[path] = (tok, tok.normalizer, {"": b""})
-    return _loaded[path]
-
-
-def _core(word: str):
-    """A word of Latin-1 letters in lower case and the one punctuation mark after it, or (word, None)."""
-    mark = word[-1] if word[-1] in ".,;:!?" else ""
-    core = word[:-1] if mark else word
-    if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-        return core.lower(), mark
-    return word, None
-
-
-def _word_ids(words: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of single words; each is encoded once and remembered."""
-    tok, normalizer, known = _tokenizer(path)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-        known[""] = b""
-    for mark in ".,;:!?":
-        if mark not in known:
-            known[mark] = np.array(tok.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
-    got = list(map(known.get, words))
-    misses = [(i, *_core(words[i])) for i, g in enumerate(got) if g is None]
-    letters = list({core for _, core, mark in misses if mark is not None and core not in known})
-    others = list({core for _, core, mark in misses if mark is None})
-    for needed, new in ((None, letters), (normalizer, others)):  # lower-case letters are in normal form
-        tok.normalizer = needed
-        for k in range(0, len(new), 5_000):
-            part = new[k : k + 5_000]
-            known.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part, add_special_tokens=False)]))
-    for i, core, mark in misses:
-        got[i] = known[core] + known[mark] if mark else known[core]
-    return got
-
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts one after the other, and where each text's ids begin and end.
+    """The ids of all texts one after the other, and where each text's ids begin and end."""
+    got = tokenized(texts, path)
+    return got.ids, got.bounds
 
-    This kind of tokenizer ignores case, parts words at white space, which has no ids of its
-    own, and parts letters from punctuation.  So a text's ids are those of its words in order,
-    and the distinct words of a batch are all that has to be encoded.
-    """
-    words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
-    coded = words.flatten().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    each = _word_ids(coded.dictionary.to_pylist(), path)
-    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-    pool = np.frombuffer(b"".join(each), "<u4")
-    begin = np.cumsum(size) - size
-    many = size[code]
-    end = np.concatenate([[0], np.cumsum(many)])
-    where = np.repeat(begin[code] - end[:-1], many) + np.arange(end[-1])
-    bounds = words.offsets.to_numpy().astype(np.int64)
-    return pool[where], end[bounds - bounds[0]]
+
+def closed(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` after each text."""
+    texts = len(bounds) - 1
+    out = np.full(len(ids) + texts, end_id, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(texts), np.diff(bounds))] = ids
+    return out, bounds + np.arange(texts + 1)
 
 
 def pieces(
@@ -100,21 +48,21 @@ def pieces(
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the closed token sequence in pieces of ``capacity``."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    close = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in _slices(whole):
-                ids, bounds = token_ids(part.column("text"), tokenizer)
-                rows = []
-                for doc in range(part.num_rows):
-                    own = np.concatenate([ids[bounds[doc] : bounds[doc + 1]], close])
-                    for n, at in enumerate(range(0, len(own), capacity)):
-                        x = own[at : at + capacity]
-                        rows.append((doc, n, at, len(x), zlib.crc32(x.tobytes())))
-                doc, n, at, length, crc = (np.array(c, np.int64) for c in zip(*rows))
+            for part in slices(whole):
+                ids, bounds = closed(*token_ids(part.column("text"), tokenizer), end_id)
+                size = np.diff(bounds)
+                many = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), many)
+                n = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                at = n * capacity
+                length = np.minimum(size[doc] - at, capacity)
+                raw, begin = memoryview(ids).cast("B"), bounds[doc] + at
+                crc = [zlib.crc32(raw[b:e]) for b, e in zip((begin * 4).tolist(), ((begin + length) * 4).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(doc)), pa.array(n.astype(np.int32)), *map(pa.array, (at, length, crc))],
+                    [part.column("id").take(pa.array(doc)), pa.array(n.astype(np.int32)), *map(pa.array, (at, length, np.array(crc, np.int64)))],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
         release()
@@ -122,17 +70,6 @@ def pieces(
     return src.mapInArrow(cut, f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long")
 
 
-def _slices(batch: pa.RecordBatch, room: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``room`` bytes of text, at least one row each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = size[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(size, before + room, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def bin_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(number of bins, pieces of each length in a bin) that use up all the counts.
 
@@ -204,14 +141,15 @@ def _places(patterns, capacity):
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces (id, piece, length, ...).
+    """Adds sequence_id and offset to a written table of pieces (id, piece, length, ..., dealt).
 
     Ranks inside a length are local to a salt and start at the salt's prefix sum, so a length
-    that a third of all pieces share is not ranked in one task.
+    that a third of all pieces share is not ranked in one task.  ``dealt`` is any number of the
+    row's own, so that equal rows have different salts; it is dropped.
     """
     total = cut.count()
     salts = max(1, total // ROWS_A_SALT)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", "dealt"), F.lit(salts)))
     by_salt = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_salt = by_salt.select("length", "salt", before.alias("before"))
@@ -231,9 +169,10 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     local = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("local", F.row_number().over(local) - 1).join(by_salt, ["length", "salt"])
     placed = ranked.withColumn("at", place("length", F.col("before") + F.col("local")))
-    return placed.select(*cut.columns, "at.sequence_id", "at.offset")
+    return placed.select(*[c for c in cut.columns if c != "dealt"], "at.sequence_id", "at.offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return assign(staged(pieces(docs, tokenizer, id_col, text_col, capacity, end_id)), capacity)
+    cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
+    return assign(staged(cut.withColumn("dealt", F.monotonically_increasing_id())), capacity)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, embeddings, langid, licenses, lines, media, merkle, mixing, packing, pii, repeats, simhash
+from . import centroids, embeddings, langid, licenses, lines, media, merkle, mixing, ordered, packing, pii, repeats, simhash
 
 
 def tokenizer_path() -> str:
@@ -166,6 +166,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(_documents(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
+def op11_ordered_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return ordered.pack(_documents(spark, folder), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     got = merkle.manifest(_documents(spark, folder))
     refolded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("steps"))
@@ -259,6 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
+    "op11_ordered_packing": op11_ordered_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_centroid_clustering": op13_centroid_clustering,
 }

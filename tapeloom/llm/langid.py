@@ -1,14 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of letters and word gaps per language, learned from labelled rows.  Spark counts
-the n-grams; the model is a sorted array of n-gram hashes per order with the log probability
-of every language beside it, and a sorted array of contexts with the back-off weights.  A
+the n-grams; the model is a sorted array of n-gram hashes per order with the log probabilities
+of the languages that have them, and a sorted array of contexts with the back-off weights.  A
 text gets the language of the lowest cross-entropy per character, and is rejected when that
 is above what texts of the language and length have.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and is rejected;
 so is everything if no row is labelled; ties go to the smaller language; rows with a null id
-are never learned from; repeated rows count each; other columns are not read.
+are never learned from; a language with one row that can be learned from is learned from it;
+of more than ``MOST_LANGUAGES`` labels those with the most characters are learned; repeated
+rows count each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,17 +18,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .memory import release
+from .tokens import parts, runs
 
 ORDER = 4  # characters of 16 bits in one 64-bit n-gram
-SAMPLE_CHARS = 3_000_000  # expected characters learned from per language, the bound of the model's size
+SAMPLE_CHARS = 3_000_000  # expected characters learned from per language
 CALIBRATION_CHARS = 1_000_000
+SAMPLE_TOTAL = 100_000_000  # of all languages together, which share it evenly; both bound the model's size
+MOST_LANGUAGES = 1_000  # those with the most characters are learned
+CELLS = 1 << 21  # (character, language) pairs measured at a time
 LEARNED = 0.75  # share of a language's rows to learn from; the others are for calibration
 LEAST_TEXTS = 30  # for calibration of a language by itself
 UNDETERMINED = "und"
@@ -78,13 +87,41 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class Sparse(NamedTuple):
+    """Values of (key, language) pairs: keys sorted, those of one key side by side."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    def entries(self, wanted: np.ndarray):
+        """(place in ``wanted``, language, value) of all pairs with these keys."""
+        if not len(self.keys):
+            return self.start[:0], self.language[:0], self.value[:0]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == wanted)
+        begin = self.start[at[hit]]
+        size = self.start[at[hit] + 1] - begin
+        rows = runs(begin, size)
+        return np.repeat(hit, size), self.language[rows], self.value[rows]
+
+
+def _sparse(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+    """From (keys, values) of each language in turn."""
+    keys = np.concatenate([k for k, _ in parts])
+    language = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    distinct, many = np.unique(keys, return_counts=True)
+    value = np.concatenate([v for _, v in parts]).astype(np.float32)
+    return Sparse(distinct, np.concatenate([[0], np.cumsum(many)]), language[order], value[order])
+
+
 @dataclass
 class Model:
     languages: list[str]
-    grams: list[np.ndarray]  # by order from 1: sorted n-grams, their values are exact keys up to four characters
-    chances: list[np.ndarray]  # (n-gram, language): log probability of the last character
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]  # (context, language): log weight of the lower order
+    chances: list[Sparse]  # by order from 1: n-gram, language, log probability of the last character
+    weights: list[Sparse]  # context, language, log weight of the lower order
     mean: np.ndarray | None = None  # by language, of calibration texts
     spread: np.ndarray | None = None
     limit: float = np.inf
@@ -113,58 +150,36 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             levels.append((g, chance, heads, weight))
             lower = (g, chance)
         seen.append(levels)
-    model = Model(languages, [], [], [], [])
-    for n in range(1, ORDER + 1):
-        grams = np.unique(np.concatenate([s[n - 1][0] for s in seen]))
-        heads = np.unique(np.concatenate([s[n - 1][2] for s in seen]))
-        weight = np.zeros((len(heads), len(languages)), np.float32)
-        for i, s in enumerate(seen):
-            weight[np.searchsorted(heads, s[n - 1][2]), i] = np.log(s[n - 1][3])
-        model.contexts.append(heads)
-        model.weights.append(weight)
-        if n == 1:
-            base = np.full((len(grams), len(languages)), -np.log(_ALPHABET), np.float32)
-            chance = base + weight[0]
-        else:
-            chance = model.chances[-1][np.searchsorted(model.grams[-1], grams & np.uint64((1 << 16 * (n - 1)) - 1))]
-            chance = chance + weight[np.searchsorted(heads, grams >> sixteen)]
-        for i, s in enumerate(seen):
-            chance[np.searchsorted(grams, s[n - 1][0]), i] = np.log(s[n - 1][1])
-        model.grams.append(grams)
-        model.chances.append(chance)
-    return model
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray):
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    chances = [_sparse([(s[n][0], np.log(s[n][1])) for s in seen]) for n in range(ORDER)]
+    weights = [_sparse([(s[n][2], np.log(s[n][3])) for s in seen]) for n in range(ORDER)]
+    return Model(languages, chances, weights)
 
 
 def log_chances(model: Model, grams: np.ndarray) -> np.ndarray:
-    """(position, language): log probability of each n-gram's last character."""
-    out = np.zeros((len(grams), len(model.languages)), np.float32)
-    rest = np.arange(len(grams))
-    for n in range(ORDER, 0, -1):
-        part = grams[rest] & np.uint64((1 << 16 * n) - 1)
-        at, hit = _find(model.grams[n - 1], part)
-        out[rest[hit]] += model.chances[n - 1][at[hit]]
-        rest, part = rest[~hit], part[~hit]
-        if not len(rest):
-            return out
-        at, hit = _find(model.contexts[n - 1], part >> np.uint64(16) if n > 1 else np.zeros_like(part))
-        out[rest[hit]] += model.weights[n - 1][at[hit]]
-    out[rest] -= np.float32(np.log(_ALPHABET))
+    """(n-gram, language): log probability of each n-gram's last character."""
+    out = np.full((len(grams), len(model.languages)), -np.log(_ALPHABET), np.float32)
+    for n in range(1, ORDER + 1):
+        part = grams & np.uint64((1 << 16 * n) - 1)
+        row, language, weight = model.weights[n - 1].entries(part >> np.uint64(16) if n > 1 else np.zeros_like(part))
+        out[row, language] += weight
+        row, language, chance = model.chances[n - 1].entries(part)
+        out[row, language] = chance
     return out
 
 
 def entropies(model: Model, texts: list[str]):
     """Cross-entropy per character by text and language, characters and letters of each text."""
     codes, doc, own = _folded(texts)
-    chance = log_chances(model, _grams(codes)[own])
-    doc = doc[own]
+    grams, doc = _grams(codes)[own], doc[own]
+    sums = np.zeros((len(texts), len(model.languages)))
+    block = max(256, CELLS // max(1, len(model.languages)))
+    for at in range(0, len(grams), block):
+        different, which = np.unique(grams[at : at + block], return_inverse=True)
+        part = doc[at : at + block]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        sums[part[first]] += np.add.reduceat(log_chances(model, different)[which], first, axis=0, dtype=np.float64)
     n = np.bincount(doc, minlength=len(texts))
     letters = np.bincount(doc, codes[own] != GAP, minlength=len(texts))
-    sums = np.stack([np.bincount(doc, chance[:, i], minlength=len(texts)) for i in range(len(model.languages))], axis=1)
     return -sums / np.maximum(n, 1)[:, None], n, letters
 
 
@@ -238,17 +253,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     Character totals cover all rows.  N-grams come from a sample by id hash of about
     ``SAMPLE_CHARS`` characters a language, the limit from a disjoint one, a fixed share of
-    each language however small; both are bounds that do not grow with the table, so the
-    counted n-grams fit the driver.
+    each language however small; these and ``SAMPLE_TOTAL`` are bounds that do not grow with
+    the table, so the counted n-grams fit the driver.
     """
     spark = docs.sparkSession
     src = docs.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     src = src.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("language"), F.col(text_col).cast("string").alias("text"))
-    total = src.groupBy("language").agg(F.sum(F.length("text")).alias("chars"))
+    src = src.where(F.col("text").rlike(r"\p{L}"))
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    # one row per label, and the model that the driver holds has every label too
-    sampled = src.join(F.broadcast(total), "language").withColumn("draw", draw).withColumn("many", F.greatest("chars", F.lit(1)))
-    fitted = sampled.where((F.col("draw") < LEARNED) & (F.col("draw") * F.col("many") < SAMPLE_CHARS)).select("language", "text")
+    drawn = src.withColumn("draw", draw)
+    total = drawn.groupBy("language").agg(F.sum(F.length("text")).alias("many"), F.min("draw").alias("low"))
+    # one row per label, written, so that Spark knows its size and sends it to the texts
+    total = staged(total.orderBy(F.col("many").desc(), "language").limit(MOST_LANGUAGES))
+    share = SAMPLE_TOTAL // max(1, total.count())
+    sampled = drawn.join(total, "language")
+    # the smallest draw of a language is always learned from, also where none is in the learners' share
+    learner = (F.col("draw") < LEARNED) | (F.col("draw") == F.col("low"))
+    within = lambda first, chars: (F.col("draw") - first) * F.col("many") < min(chars, share)
+    fitted = sampled.where(learner & within(F.col("low"), SAMPLE_CHARS)).select("language", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -265,7 +287,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         order = np.argsort(grams)
         counts[lang] = (grams[order], t["number"].to_numpy(np.int64)[order])
     if not counts:
-        return Model([], [], [], [], [])
+        return Model([], [], [])
     model = fit(counts)
     shared = spark.sparkContext.broadcast(model)
 
@@ -277,7 +299,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             yield pd.DataFrame({"language": names, "entropy": e.min(axis=1), "n": n})[letters > 0]
 
     # the best language counts, as it does for a text to be judged: a wrong label says nothing about the spread
-    rest = sampled.where((F.col("draw") >= LEARNED) & ((F.col("draw") - LEARNED) * F.col("many") < CALIBRATION_CHARS)).select("language", "text")
+    rest = sampled.where((F.col("draw") >= LEARNED) & ~learner & within(F.lit(LEARNED), CALIBRATION_CHARS)).select("language", "text")
     got = rest.mapInPandas(measure, "language string, entropy double, n long").toPandas()
     if got.empty:  # few rows: all of them were learned from
         got = fitted.mapInPandas(measure, "language string, entropy double, n long").toPandas()
@@ -285,16 +307,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return calibrate(model, got)
 
 
+_PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
+
+
 def identified(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """All columns and the struct ``out``: lang_pred, score, entropy, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        got = classify(shared.value, list(texts))
+    def predict(texts: pa.Array) -> pa.Array:
+        made = []
+        for part in parts(texts, 1 << 20):
+            got = classify(shared.value, part.to_pylist())
+            made.append(pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in _PREDICTED], fields=list(_PREDICTED)))
         release()
-        return got
+        return pa.concat_arrays(made) if made else pa.array([], _PREDICTED)
 
-    predicted = F.pandas_udf(predict, "struct<lang_pred: string, score: double, entropy: double, rejected: boolean>")
+    predicted = F.arrow_udf(predict, "struct<lang_pred: string, score: double, entropy: double, rejected: boolean>")
     return docs.withColumn(out, predicted(F.col(text_col).cast("string")))
 
 

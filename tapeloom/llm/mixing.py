@@ -11,7 +11,7 @@ share their key and are taken together; no rows, no result; other columns are no
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,23 +26,22 @@ _SPACE = bytes([9, 10, 11, 12, 13, 32])
 _NO_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
 
 
-def _measured(texts: pd.Series) -> pd.DataFrame:
-    raw = [(t or "").encode() for t in texts]
-    dense = [len(x.translate(None, _SPACE)) for x in raw]
-    letters = [len(x.translate(None, _NO_LETTER)) for x in raw]
-    quality = [0.05 + 0.95 * (a / b) if b else 0.05 for a, b in zip(letters, dense)]
-    # bytes.split() parts at exactly the six white-space bytes
-    size = [len(x.split()) for x in raw]
-    del raw
+def _measured(texts: pa.Array) -> pa.Array:
+    size, quality = [], []
+    for text in texts.cast(pa.binary()):
+        x = text.as_py() or b""
+        dense, letters = len(x.translate(None, _SPACE)), len(x.translate(None, _NO_LETTER))
+        quality.append(0.05 + 0.95 * (letters / dense) if dense else 0.05)
+        size.append(len(x.split()))  # bytes.split() parts at exactly the six white-space bytes
     release()
-    return pd.DataFrame({"size": size, "quality": quality})
+    return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(quality, pa.float64())], ["size", "quality"])
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more) -> DataFrame:
     """(id, source, size, key, *more): words, and the exponential key by the share of letters."""
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     unit = (F.conv(F.substring(F.md5(ident), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    measure = F.pandas_udf(_measured, "struct<size: long, quality: double>")
+    measure = F.arrow_udf(_measured, "struct<size: long, quality: double>")
     src = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), measure(F.col(text_col).cast("string")).alias("m"), unit.alias("u"), *more
     )

@@ -8,7 +8,7 @@ one fingerprint; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +21,10 @@ BITS = 64
 HASH_SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: str | bytes | None, words: int = 3) -> int:
+    """64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64.  Bytes are UTF-8."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    parts = raw.lower().split()
     if not parts:
         return 0
     joined = b" ".join(parts)
@@ -40,11 +41,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def _print_column(text_col: str, words: int):
-    @F.pandas_udf("long")
-    def fp(batch: pd.Series) -> pd.Series:
-        got = np.fromiter((fingerprint(t, words) for t in batch), np.uint64, len(batch))
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        got = np.fromiter((fingerprint(t.as_py(), words) for t in texts.cast(pa.binary())), np.uint64, len(texts))
         release()
-        return pd.Series(got.view(np.int64))
+        return pa.array(got.view(np.int64))
 
     return fp(F.col(text_col).cast("string"))
 

@@ -130,12 +130,20 @@ def tokenized(texts: pa.Array, path: str) -> Tokens:
     return Tokens(pool[runs(begin[word], many)], end, word, distinct, bounds - bounds[0])
 
 
-def slices(batch: pa.RecordBatch, room: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``room`` bytes of text, at least one row each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+def parts(texts: pa.Array, room: int = 3 << 20) -> Iterator[pa.Array]:
+    """Slices of texts of about ``room`` bytes, at least one text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         before = size[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(size, before + room, side="right")))
-        yield batch.slice(at, stop - at)
+        yield texts.slice(at, stop - at)
         at = stop
+
+
+def slices(batch: pa.RecordBatch, room: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``room`` bytes of text, at least one row each."""
+    at = 0
+    for part in parts(batch.column("text"), room):
+        yield batch.slice(at, len(part))
+        at += len(part)

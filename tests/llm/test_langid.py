@@ -125,3 +125,28 @@ def test_small_languages_are_calibrated(make_docs, monkeypatch):
     assert model.languages == ["aa", "bb", "cc"] and model.mean.min() > 0.3 and (model.spread < 1).any(axis=1).all()
     assert langid.classify(model, ["xqxq wvwv " * 20])["rejected"].all()
     assert not langid.classify(model, [t for _, t, _ in rows])["rejected"].any()
+
+
+@pytest.mark.parametrize("first", [0, 1000, 2000, 3000, 4000, 5000])
+def test_language_of_one_or_two_rows_is_learned(make_docs, first):
+    rng = random.Random(first)
+    rows = [(first + i, text_in(rng, "aa", 30), "en") for i in range(200)]
+    small = [i for i in range(first + 300, first + 400) if zlib.crc32(str(i).encode()) % 5][:2]
+    rows += [(i, text_in(rng, "bb", 30), "de") for i in small]
+    assert langid.learn(make_docs(rows)).languages == ["de", "en"]
+    assert langid.learn(make_docs(rows[:-1])).languages == ["de", "en"]
+    long = [(first + i, text_in(rng, "aa", 30), "en") for i in range(20)] + [(small[0], text_in(rng, "cc", 400_000), "fr"), (small[1], "?!", "xx")]
+    assert langid.learn(make_docs(long)).languages == ["en", "fr"]
+
+
+def test_many_labels(make_docs, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, text_in(rng, "aa", 20), "en") for i in range(60)] + [(100 + i, text_in(rng, "bb", 5), f"l{i % 700}") for i in range(1400)]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 400)
+    monkeypatch.setattr(langid, "CELLS", 1 << 12)
+    model = langid.learn(make_docs(rows))
+    assert len(model.languages) == 400 and "en" in model.languages
+    entries = sum(len(x.value) for x in (*model.chances, *model.weights))
+    assert entries < 0.2 * sum(len(x.keys) for x in (*model.chances, *model.weights)) * 400
+    got = langid.languages(make_docs([*rows[:3], (9000, text_in(rng, "aa", 20))])).collect()
+    assert {r.lang_pred for r in got} == {"en"}

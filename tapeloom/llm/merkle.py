@@ -131,7 +131,8 @@ def manifest(
     ``steps`` are the siblings (before, after) of the leaf's ancestors up to the root, and
     ``tampered`` is null where tampering changes nothing.
     """
-    tables = _tables(_placed(leaves(docs, id_col, group_col, fields, text_col), ["id", "hash"]))
+    hashed = staged(leaves(docs, id_col, group_col, fields, text_col))  # the range sort reads it twice
+    tables = _tables(_placed(hashed, ["id", "hash"]))
     subroots = tables[-1].select(F.lit(0).alias("g"), F.col("g").alias("group"), "hash")
     sources = _tables(_placed(subroots, ["group"]))
     root = sources[-1].select("hash").first()

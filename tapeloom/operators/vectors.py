@@ -190,32 +190,30 @@ def to_ml(df, vec, out="features"):
 
 
 def cluster_choice(df, vec, ks, seed=42, max_iter=100):
-    """K-means and mixture per k with their silhouette.
+    """K-means and a diagonal mixture, which starts from its clusters, per k with their silhouette and rounds.
 
-    K-means runs on all components.  A mixture estimates a full covariance per cluster, which
-    is singular on few rows, so it runs on as many leading components as the rows support.
+    Both run on all rows and all components.
     """
-    from pyspark.ml.clustering import GaussianMixture, KMeans
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import PCA
+
+    from . import mixtures as mx
 
     spark = df.sparkSession
-    d = staged(to_ml(df, vec).select("features", F.size(vec).alias("n")))
-    rows, width = d.agg(F.count(F.lit(1)), F.max("n")).first()
-    leading = max(2, min(width, rows // (5 * max(ks))))
-    less = d if leading == width else staged(
-        PCA(k=leading, inputCol="features", outputCol="lead").fit(d).transform(d).select(F.col("lead").alias("features"))
-    )
+    d = staged(to_ml(df, vec).select("features", F.transform(vec, lambda x: x.cast("double")).alias("vec")))
     out = []
+
+    def judged(name, k, got, rounds):
+        sil = ClusteringEvaluator().evaluate(got) if got.select("prediction").distinct().limit(2).count() > 1 else 0.0
+        out.append((name, k, float(sil), rounds))
+
     for k in ks:
-        for name, data, algo in (
-            ("kmeans", d, KMeans(k=k, seed=seed, maxIter=max_iter)),
-            ("gmm", less, GaussianMixture(k=k, seed=seed, maxIter=max_iter)),
-        ):
-            got = algo.fit(data).transform(data)
-            sil = ClusteringEvaluator().evaluate(got) if got.select("prediction").distinct().limit(2).count() > 1 else 0.0
-            out.append((name, k, float(sil)))
-    return spark.createDataFrame(out, "algorithm string, k int, silhouette double")
+        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(d)
+        got = staged(model.transform(d))
+        judged("kmeans", k, got, model.summary.numIter)
+        fitted, trace = mx.fit(d, "vec", mx.from_groups(got, "vec", "prediction", k), max_iter)
+        judged("gmm", k, mx.assign(d, "vec", fitted), len(trace))
+    return spark.createDataFrame(out, "algorithm string, k int, silhouette double, rounds int")
 
 
 def centroids(df, cluster, vec):

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.windows import safe_corr
+from ..operators import boosting as bo
+from ..operators import features as fx
 from ..operators import labels as lb
+from ..operators import mixtures as mx
 from ..operators import models as md
 from ..operators import predicates as pr
 from ..operators import stats as st
@@ -263,26 +266,85 @@ def v13(spark, sf):
 
 MF = list(HYBRID)
 
+# every model feature of the matrix: all of its numeric columns besides the bars and what looks forward
+MODEL_FEATURES = (
+    "macd_line macd_signal macd_hist roc_5 roc_10 roc_20 roc_60 pct_of_20d_high pct_of_60d_high pct_of_252d_high pct_of_20d_low pct_of_60d_low "
+    "pct_of_252d_low ad_line is_nr4 is_nr7 hv_ratio_10_60 consec_up consec_down close_over_sma_10 close_over_sma_20 close_over_sma_50 "
+    "close_over_sma_200 sma20_slope_5d sma50_slope_5d bb_position_20 bb_squeeze_20 vol_mult_5 vol_mult_10 vol_mult_30 vol_mult_60 obv_slope_20d "
+    "atr_pct_14 range_expansion_5d rsi_2 rsi_5 rsi_14 gap_pct body_range_ratio is_inside_bar days_since_last_20pct rs_sector_20d rs_spy_20d "
+    "close_over_sma_20_peer_z"
+).split()
+ROUNDS, DEPTH = 100, 6
+TRAIN_UNTIL = "1999-12-31"
+_fitted: dict = {}
 
-def train_sets(t):
-    d = staged(rule_frame(t).where("is_winner IS NOT NULL").select("symbol", "date", "is_winner", *MF))
-    cut = F.lit("1999-12-31").cast("date")
+
+def model_frame(t):
+    """The feature matrix with the label, every day of every symbol that has one."""
+    d = fx.build_features(t.bars(), t.market(), t.peers())
+    d = lb.forward_winner(d, 30, 2.0, "close_adj").where("is_winner IS NOT NULL")
+    return staged(d.select("symbol", "date", "is_winner", *MODEL_FEATURES))
+
+
+def train_sets(d):
+    cut = F.lit(TRAIN_UNTIL).cast("date")
     return d.where(F.col("date") <= cut), d.where(F.col("date") > cut)
 
 
+def boosted(t, train):
+    """The ensemble of the training days; queries of one session on one folder share it."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _fitted:
+        _fitted[key] = bo.fit(train, MODEL_FEATURES, "is_winner", ROUNDS, DEPTH)
+    return _fitted[key]
+
+
 @query("v1_boosted_model_scores")
 def v1(spark, sf):
-    train, hold = train_sets(Tables(spark, sf, share=True))
-    model = md.fit_gbt(md.assemble(train, MF, "is_winner"), 20, 4)
-    return emit(md.score(model, md.assemble(hold, MF, "is_winner", False)), "symbol", "date", "score", "label")
+    t = Tables(spark, sf, share=True)
+    train, hold = train_sets(model_frame(t))
+    d = bo.explained(hold, boosted(t, train), "symbol", "date", "is_winner")
+    return emit(d, "symbol", "date", "is_winner", "score")
+
+
+@query(
+    "v1_scored_days",
+    E(
+        "symbol d:date b:is_winner n_bad_scores",
+        f"SELECT symbol, date, is_winner, 0 AS n_bad_scores FROM winners WHERE is_winner IS NOT NULL AND date > DATE '{TRAIN_UNTIL}'",
+    ),
+)
+def v1k(spark, sf):
+    """Every labelled day after the training days has one score, a probability."""
+    t = Tables(spark, sf, share=True)
+    train, hold = train_sets(model_frame(t))
+    d = bo.explained(hold, boosted(t, train), "symbol", "date", "is_winner")
+    fine = F.coalesce((F.col("score") >= 0) & (F.col("score") <= 1), F.lit(False))
+    return emit(d.withColumn("n_bad_scores", F.when(fine, 0).otherwise(1)), "symbol", "date", "is_winner", "n_bad_scores")
 
 
 @query("v2_feature_attribution")
 def v2(spark, sf):
-    train, hold = train_sets(Tables(spark, sf, share=True))
-    model = md.fit_gbt(md.assemble(train, MF, "is_winner"), 20, 4)
-    scored = md.score(model, md.assemble(hold, MF, "is_winner", False))
-    return emit(md.importances(spark, model, MF, len(MF)).join(md.direction(scored, MF), "feature"))
+    t = Tables(spark, sf, share=True)
+    train, hold = train_sets(model_frame(t))
+    return emit(bo.attribution(hold, boosted(t, train)))
+
+
+@query(
+    "v2_contribution_sums",
+    E(
+        "symbol d:date n_features b:adds_up",
+        f"SELECT symbol, date, {len(MODEL_FEATURES)} AS n_features, true AS adds_up FROM winners WHERE is_winner IS NOT NULL AND date > DATE '{TRAIN_UNTIL}'",
+    ),
+)
+def v2s(spark, sf):
+    """Per row: bias and contributions of all features add up to the margin."""
+    t = Tables(spark, sf, share=True)
+    train, hold = train_sets(model_frame(t))
+    d = bo.explained(hold, boosted(t, train), "symbol", "date")
+    total = F.aggregate("contributions", F.col("bias"), lambda a, x: a + x)
+    d = d.withColumns({"n_features": F.size("contributions"), "adds_up": F.abs(total - F.col("margin")) < 1e-9})
+    return emit(d, "symbol", "date", "n_features", "adds_up")
 
 
 @query(
@@ -301,3 +363,36 @@ def v2b(spark, sf):
 @query("v3_cluster_choice")
 def v3(spark, sf):
     return emit(vx.cluster_choice(staged(vecs(Tables(spark, sf, share=True))), "vec", (5, 8, 12, 20)))
+
+
+STEP_CLUSTERS = 5
+_LOG_SHARE = "ln(m.n / t.n) - 0.5 * list_sum(list_transform(list_zip(x.v, m.mu, m.var), lambda z: ln(2 * pi() * z[3]) + (z[1] - z[2]) * (z[1] - z[2]) / z[3]))"
+
+
+def _moments_sql(source, share):
+    """Weight, mean and variance of every (cluster, component) of rows (c, v) with a share."""
+    return (
+        f"SELECT c, j, sum({share}) AS n, sum({share} * y) / sum({share}) AS mu, "
+        f"greatest(sum({share} * y * y) / sum({share}) - (sum({share} * y) / sum({share})) * (sum({share} * y) / sum({share})), 0) + 1e-6 AS var "
+        f"FROM (SELECT c, {share}, unnest(range(len(v))) AS j, unnest(v) AS y FROM {source}) u GROUP BY c, j"
+    )
+
+
+@query(
+    "v3_mixture_step",
+    E(
+        "i:cluster i:component f:weight f:mean f:variance",
+        "WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label % 5 AS c, 1.0 AS r FROM embeddings), t AS (SELECT count(*) AS n FROM x), "
+        f"a AS ({_moments_sql('x', 'r')}), "
+        "m AS (SELECT c, any_value(n) AS n, list(mu ORDER BY j) AS mu, list(var ORDER BY j) AS var FROM a GROUP BY c), "
+        f"l AS (SELECT x.vec_id, x.v, m.c, {_LOG_SHARE} AS lp FROM x, m, t), "
+        "e AS (SELECT v, c, exp(lp - max(lp) OVER w) / sum(exp(lp - top)) OVER w AS r FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS top FROM l) q WINDOW w AS (PARTITION BY vec_id)) "
+        f"SELECT b.c AS cluster, b.j AS component, b.n / t.n AS weight, b.mu AS mean, b.var AS variance FROM ({_moments_sql('e', 'r')}) b, t",
+    ),
+)
+def v3s(spark, sf):
+    """One round of the mixture from the clusters of the labels."""
+    d = staged(vecs(Tables(spark, sf, share=True)).withColumn("start", F.pmod("label", F.lit(STEP_CLUSTERS))))
+    m, _ = mx.step(d, "vec", mx.from_groups(d, "vec", "start", STEP_CLUSTERS))
+    rows = [(c, j, float(w), float(a), float(b)) for c, w in enumerate(m.weights) for j, (a, b) in enumerate(zip(m.means[c], m.variances[c]))]
+    return emit(spark.createDataFrame(rows, "cluster long, component long, weight double, mean double, variance double"))

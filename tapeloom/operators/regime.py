@@ -6,6 +6,8 @@ the bar table is; the bar table is aggregated to days first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions.windows import full, ratio
 from ..session import staged
 from .predicates import first_match
 from .stats import rolling_corr
+from .boosting import filled
 
 
 def _w():
@@ -286,6 +289,42 @@ def point_in_time_sets(days, labelled, buffer_days=30, warmup=None, least=30):
     )
 
 
+def refit_schedule(sets, growth=0.25, least=30):
+    """One row per model: model_id, first_day (from which it may be used), train_set_size, train_end_date.
+
+    ``sets`` are the sets of ``point_in_time_sets``, which only grow.  A model is fitted when its set
+    has ``least`` rows and again whenever the set passes the next power of 1 + ``growth`` of that;
+    with a growth of 0, whenever a label is new.
+    """
+    n = F.col("train_set_size")
+    level = F.floor(F.ln(n / F.lit(float(least))) / math.log1p(growth)) if growth else n - least
+    first = F.min_by(F.struct(F.col("date").alias("first_day"), "train_set_size", "train_end_date"), "date")
+    d = sets.where(n >= least).withColumn("model_id", level.cast("long")).groupBy("model_id").agg(first.alias("m"))
+    return d.select("model_id", "m.*")
+
+
+def walk_forward_scores(days, features, label="regime_label_rule", buffer_days=30, growth=0.25, least=30, trees=200, depth=4):
+    """(schedule, scores): every day scored by the newest model of the schedule whose first day it has reached.
+
+    A model is fitted on the labelled days at least ``buffer_days`` before its first day, so no day
+    is scored by a model that saw a younger label.  The schedule grows with the logarithm of the days.
+    """
+    days = staged(days.select("date", label, *features))
+    labelled = days.where(F.col(label) != "unlabeled")
+    schedule = staged(refit_schedule(point_in_time_sets(days.select("date"), labelled.select("date"), buffer_days, least=least), growth, least))
+    plan = schedule.orderBy("first_day").collect()
+    scores = None
+    for row, after in zip(plan, [*plan[1:], None]):
+        train = labelled.where(F.col("date") <= F.lit(row["train_end_date"])).select(label, *features)
+        own = days.where((F.col("date") >= F.lit(row["first_day"])) & (F.lit(True) if after is None else F.col("date") < F.lit(after["first_day"])))
+        _, out = fit_and_score(train, own.select("date", *features), features, label, trees, depth)
+        out = out.select("date", "regime_label", "regime_confidence").withColumns(
+            {"model_id": F.lit(row["model_id"]), "train_set_size": F.lit(row["train_set_size"]), "train_end_date": F.lit(row["train_end_date"])}
+        )
+        scores = out if scores is None else scores.unionByName(out)
+    return schedule, scores
+
+
 def refit_by_fold(days, fold_table, features, label="regime_label_rule", trees=200, depth=4):
     """One model per fold, fitted on its labelled training days: (models, scores of its validation days).
 
@@ -306,12 +345,16 @@ def refit_by_fold(days, fold_table, features, label="regime_label_rule", trees=2
 
 
 def fit_and_score(train, score, features, label="regime_label_rule", trees=200, depth=4):
-    """Multi-class forest with inverse-frequency weights; label, confidence and class shares per day."""
+    """Multi-class forest with inverse-frequency weights; label, confidence and class shares per day.
+
+    A missing feature counts as smaller than every other, so every day has a score.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    train, score = train.na.drop(subset=list(features)), score.na.drop(subset=list(features))
+    keep = [c for c in score.columns if c not in features]
+    train, score = filled(train, features, label), filled(score, features, *keep)
     train = train.join(class_weights(train, label).select(label, "class_weight"), label)
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(train)
     vec = VectorAssembler(inputCols=list(features), outputCol="features")
@@ -327,5 +370,4 @@ def fit_and_score(train, score, features, label="regime_label_rule", trees=200,
             **{f"p_{n}": F.get("p", F.lit(i)) for i, n in enumerate(index.labels)},
         }
     )
-    keep = [c for c in score.columns if c not in features]
     return model, out.select(*keep, "regime_label", "regime_confidence", *[f"p_{n}" for n in index.labels])

@@ -193,8 +193,8 @@ def round_significant(x, digits=4):
     return F.when(x == 0, x).otherwise(F.round(x * scale, 0) / scale)
 
 
-def canonical_rules(paths):
-    """(path, feature, op, threshold) rows -> distinct rules with the tightest bounds.
+def path_conditions(paths):
+    """(path, feature, op, threshold) rows -> (path, conditions) with the tightest bounds.
 
     A path is one root-to-leaf walk, so the collected list is bounded by the tree depth.
     """
@@ -203,9 +203,13 @@ def canonical_rules(paths):
     )
     tight = tight.withColumn("threshold", F.when(F.col("op") == ">=", F.col("_hi")).otherwise(F.col("_lo")))
     conds = F.array_sort(F.collect_list(F.struct("feature", "op", "threshold")))
+    return tight.groupBy("path").agg(conds.alias("conditions"))
+
+
+def canonical_rules(paths):
+    """(path, feature, op, threshold) rows -> distinct rules with the tightest bounds."""
     return (
-        tight.groupBy("path")
-        .agg(conds.alias("conditions"))
+        path_conditions(paths)
         .groupBy("conditions")
         .agg(F.count(F.lit(1)).alias("n_paths"))
         .withColumn("n_conditions", F.size("conditions").cast("long"))

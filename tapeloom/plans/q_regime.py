@@ -357,14 +357,30 @@ def g12(spark, sf):
     return rg.agreement(a, b)
 
 
-REG_FEATS = C_COLS
+REG_FEATS = [*C_COLS, *E_COLS, *X_COLS]  # every column of the panel
 LABELLED = "regime_label_rule <> 'unlabeled'"
 
 
 @query("g13_classifier_scores")
 def g13(spark, sf):
     d = staged(labels_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
-    return emit(rg.refit_by_fold(d, rg.folds(d.where(LABELLED)), REG_FEATS, trees=20)[1])
+    return emit(rg.refit_by_fold(d, rg.folds(d.where(LABELLED)), REG_FEATS)[1])
+
+
+@query(
+    "g13_scored_days",
+    E(
+        "i:fold d:date n_scores b:is_share",
+        "SELECT f.fold, r.date, 1 AS n_scores, true AS is_share FROM folds f JOIN rlabels r ON r.date BETWEEN f.val_start AND f.val_end",
+    ),
+)
+def g13k(spark, sf):
+    """Every day of a fold's validation range has one score of that fold's model."""
+    d = staged(labels_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
+    got = rg.refit_by_fold(d, rg.folds(d.where(LABELLED)), REG_FEATS)[1]
+    n = F.count(F.lit(1)).alias("n_scores")
+    share = F.bool_and(F.col("regime_confidence").between(0, 1)).alias("is_share")
+    return emit(got.groupBy(F.col("fold").cast("long").alias("fold"), "date").agg(n, share))
 
 
 @query(
@@ -380,6 +396,44 @@ def g14(spark, sf):
     return emit(rg.point_in_time_sets(d.select("date"), lab.select("date"), 30), "date", "train_set_size", "train_end_date", "is_refit")
 
 
+_SETS = (
+    "SELECT r.date, count(l.date) AS n, max(l.date) AS last FROM rpanel r LEFT JOIN labelled l ON l.date <= r.date - 30 GROUP BY r.date HAVING count(l.date) >= 30"
+)
+_MODELS = f"SELECT model_id, min(date) AS first_day, arg_min(n, date) AS n, arg_min(last, date) AS last FROM (SELECT *, CAST(floor(ln(n / 30.0) / ln(1.25)) AS BIGINT) AS model_id FROM ({_SETS})) GROUP BY model_id"
+
+
+@query(
+    "g14_refit_schedule",
+    E("i:model_id d:first_day train_set_size d:train_end_date", f"SELECT model_id, first_day, n AS train_set_size, last AS train_end_date FROM ({_MODELS})"),
+)
+def g14r(spark, sf):
+    """When a model is fitted anew: the training set has grown by a quarter."""
+    d = labels_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule")
+    return emit(rg.refit_schedule(rg.point_in_time_sets(d.select("date"), d.where(LABELLED).select("date"), 30)))
+
+
+@query("g14_walk_forward_scores")
+def g14s(spark, sf):
+    d = labels_of(Tables(spark, sf, share=True))
+    return emit(rg.walk_forward_scores(d, REG_FEATS)[1])
+
+
+@query(
+    "g14_models_of_days",
+    E(
+        "d:date i:model_id train_set_size d:train_end_date n_scores b:is_share",
+        f"SELECT s.date, m.model_id, m.n AS train_set_size, m.last AS train_end_date, 1 AS n_scores, true AS is_share FROM ({_SETS}) s "
+        f"ASOF JOIN ({_MODELS}) m ON s.date >= m.first_day",
+    ),
+)
+def g14m(spark, sf):
+    """Every day has one score, by the newest model that saw no label of the 30 days before it."""
+    got = rg.walk_forward_scores(labels_of(Tables(spark, sf, share=True)), REG_FEATS)[1]
+    n = F.count(F.lit(1)).alias("n_scores")
+    share = F.bool_and(F.col("regime_confidence").between(0, 1)).alias("is_share")
+    return emit(got.groupBy("date", "model_id", "train_set_size", "train_end_date").agg(n, share))
+
+
 @query(
     "g15_fold_acceptance",
     E(
@@ -403,7 +457,7 @@ def g15(spark, sf):
 def g16(spark, sf):
     """Mean importance over the models of all folds, each fitted on its own training days."""
     d = staged(labelled_of(Tables(spark, sf, share=True)).select("date", "regime_label_rule", *REG_FEATS))
-    models, _ = rg.refit_by_fold(d, rg.folds(d), REG_FEATS, trees=20)
+    models, _ = rg.refit_by_fold(d, rg.folds(d), REG_FEATS)
     each = reduce(lambda a, b: a.unionByName(b), [md.importances(spark, m, REG_FEATS, len(REG_FEATS)) for m in models])
     mean = each.groupBy("feature").agg(F.avg("importance").alias("importance"))
     return mean.orderBy(F.desc("importance"), "feature").limit(5)

@@ -123,7 +123,6 @@ def u10(spark, sf):
     return emit(ru.firings(d, RULES), "symbol", "date", "rule_key")
 
 
-MINED_FEATURES = ["close_over_sma_20", "atr_pct_14", "roc_20", "rsi_14", "vol_mult_30", "pct_of_60d_high", "pct_of_60d_low"]
 GRID_FEATURES = ("close_over_sma_20", "roc_20", "rsi_14", "vol_mult_30", "pct_of_60d_high")
 # ten cut points per feature; every pair of features and of cuts is a rule: 2,000 in all
 GRID_CUTS = {
@@ -176,25 +175,6 @@ def u4t(spark, sf):
 # --- model paths and canonical rules ---------------------------------------------------
 
 
-@query("u1_tree_paths")
-def u1(spark, sf):
-    from ..operators import models
-
-    d = rule_frame(Tables(spark, sf))
-    return models.tree_paths(d.where(F.col("is_winner").isNotNull()), MINED_FEATURES, "is_winner", 20)
-
-
-@query("u1_mined_rule_evaluation")
-def u1e(spark, sf):
-    """From trees to evaluated rules: fit on the training days, read the rules out, measure them on the rest."""
-    from ..operators import models
-
-    d = staged(rule_frame(Tables(spark, sf)).where("is_winner IS NOT NULL").select("symbol", "date", "is_winner", *MINED_FEATURES))
-    cut = F.lit(TRAIN_END).cast("date")
-    mined = models.mined_rules(d.where(F.col("date") <= cut), MINED_FEATURES, "is_winner", 20)
-    return emit(ru.evaluate(d.where(F.col("date") > cut), mined), "rule_key", "coverage_n", "n_hit", "coverage_pct", "precision", "lift")
-
-
 @query(
     "u2_round_significant",
     E(

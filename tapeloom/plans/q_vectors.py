@@ -9,6 +9,7 @@ from ..operators import labels as lb
 from ..operators import mixtures as mx
 from ..operators import models as md
 from ..operators import predicates as pr
+from ..operators import rules as ru
 from ..operators import stats as st
 from ..operators import vectors as vx
 from ..session import staged
@@ -347,6 +348,41 @@ def v2s(spark, sf):
     return emit(d, "symbol", "date", "n_features", "adds_up")
 
 
+# --- rules read out of the trees ---------------------------------------------------------
+
+
+@query("u1_tree_paths")
+def u1(spark, sf):
+    t = Tables(spark, sf, share=True)
+    found = ru.canonical_rules(bo.paths(spark, boosted(t, train_sets(model_frame(t))[0])))
+    return found.select(md.rule_text().alias("rule"), "n_paths", "n_conditions")
+
+
+@query("u1_mined_rule_evaluation")
+def u1e(spark, sf):
+    """From trees to evaluated rules: fit on the training days, read the rules out, measure them on the rest."""
+    t = Tables(spark, sf, share=True)
+    train, hold = train_sets(model_frame(t))
+    mined = bo.mined_rules(spark, boosted(t, train))
+    d = ru.evaluate(bo.filled(hold, MODEL_FEATURES, "is_winner"), mined)
+    return emit(d, "rule_key", "coverage_n", "n_hit", "coverage_pct", "precision", "lift")
+
+
+@query(
+    "u1_leaf_agreement",
+    f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_leaves_apart FROM winners WHERE is_winner IS NOT NULL AND date > DATE '{TRAIN_UNTIL}'",
+)
+def u1l(spark, sf):
+    """On the later days every leaf's rule fires as often as rows end on the leaf, in every tree."""
+    t = Tables(spark, sf, share=True)
+    train, hold = train_sets(model_frame(t))
+    model = boosted(t, train)
+    fired = ru.evaluate(bo.filled(hold, model.features, "is_winner"), bo.leaf_rules(spark, model)).select(F.col("rule_key").alias("path"), "coverage_n")
+    both = bo.leaf_rows(hold, model).join(fired, "path", "full_outer")
+    apart = both.agg(F.count_if(~F.col("n_rows").eqNullSafe(F.col("coverage_n"))).alias("n_leaves_apart"), (F.sum("n_rows") / len(model.root)).alias("n"))
+    return apart.select(F.col("n").cast("long").alias("n_rows"), "n_leaves_apart")
+
+
 @query(
     "v2_direction_rule",
     E(

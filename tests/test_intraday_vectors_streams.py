@@ -12,6 +12,7 @@ from tapeloom.operators import vectors as vx
 from tapeloom.session import stage_path
 from tapeloom.sources import readers as rd
 from tapeloom.streaming import keyed as ks
+from tapeloom.streaming import stateful as sx
 
 T0 = datetime(2024, 1, 1)
 
@@ -154,3 +155,66 @@ def test_neighbours_far_from_the_origin_and_many_queries_in_a_cell(spark):
             assert [m[1] for m in mine] == best.tolist()
             assert np.allclose([m[2] for m in mine], d[best], rtol=1e-9, atol=0)
             assert i >= 20 or mine[0][2] == 0.0
+
+
+def _marker(spark, df, time_col):
+    late = "CAST('2100-01-01' AS {})"
+    return spark.range(1).select(*[F.expr(late.format(k) if c == time_col else f"CAST(NULL AS {k})").alias(c) for c, k in df.dtypes])
+
+
+def test_cooldown_stream_to_the_last_day(spark):
+    rng = random.Random(6)
+    rows = sorted({(rng.choice("AB"), date(2024, 1, 1) + timedelta(days=rng.randint(0, 200)), rng.choice("rq")) for _ in range(300)}, key=lambda r: r[1])
+    schema = "symbol string, date date, rule_key string"
+    path = stage_path(spark, "fired")
+    for i in range(0, len(rows), 60):
+        spark.createDataFrame(rows[i : i + 60], schema).coalesce(1).write.mode("append").parquet(path)
+    whole = spark.createDataFrame(rows, schema)
+    s = sx.drain(spark, lambda: sx.cooldown(ks.file_stream(spark, path, whole.schema, 1), 30), path, _marker(spark, whole, "date"), "cool")
+    got = [tuple(r) for r in s.select("symbol", "rule_key", "date").collect()]
+    assert sorted(got) == sorted(tuple(r) for r in ru.cooldown(whole, 30).select("symbol", "rule_key", "date").collect())
+
+
+def test_notional_stream_gives_every_fill(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "b", "c"]), i, T0 + timedelta(minutes=i * 17, seconds=rng.randint(0, 59)), float(rng.randint(1, 99))) for i in range(600)]
+    rows += [("gap", 1000, T0, 5.0), ("gap", 1001, T0 + timedelta(days=3), 7.0), ("gap", 1002, T0 + timedelta(days=3), 7.0), ("gap", 1003, T0 + timedelta(days=6, seconds=1), 1.0)]
+    rows.sort(key=lambda r: r[2])
+    schema = "account string, fill_id long, ts timestamp_ntz, notional double"
+    path = stage_path(spark, "fills")
+    for i in range(0, len(rows), 151):
+        spark.createDataFrame(rows[i : i + 151], schema).coalesce(1).write.mode("append").parquet(path)
+    whole = spark.createDataFrame(rows, schema)
+    make = lambda: sx.rolling_notional(ks.file_stream(spark, path, whole.schema, 1), "account", "notional", 3)
+    got = sx.drain(spark, make, path, _marker(spark, whole, "ts"), "notional").collect()
+    assert len(got) == len(rows)
+    want = {r["fill_id"]: r["volume_30d"] for r in it.rolling_notional(whole, "account", "notional", 3, 60).collect()}
+    assert {r["fill_id"]: r["volume_30d"] for r in got} == pytest.approx(want)
+
+
+def test_bars_stream_corrects_and_repeats(spark):
+    rng = random.Random(2)
+    rows = [(f"s{i % 3}", T0 + timedelta(minutes=i), i, float(rng.randint(1, 50))) for i in range(200)]
+    late = [rows.pop(k) for k in (150, 120)]  # an hour old, within the delay
+    schema = "symbol string, ts timestamp_ntz, event_id long, price double"
+    source, target, cursor = (stage_path(spark, n) for n in ("ticks", "bars", "cursor"))
+
+    def check(ticks):
+        want = {}
+        for sym, ts, n, price in sorted(ticks, key=lambda r: (r[1], r[2])):
+            slot = ts.replace(minute=0)
+            o, h, low, _, v = want.get((sym, slot), (price, price, price, price, 0))
+            want[sym, slot] = (o, max(h, price), min(low, price), price, v + 1)
+        got = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in sx.current_bars(spark, target).collect()}
+        assert got == want
+
+    seen = []
+    for part in (rows[:100], rows[100:], late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        sx.upsert_bars(ks.file_stream(spark, source, spark.createDataFrame(part, schema).schema), 60, target, cursor)
+        seen += part
+        check(seen)
+    sx.upsert_bars(ks.file_stream(spark, source, spark.createDataFrame(late, schema).schema), 60, target, cursor)
+    first = spark.read.parquet(f"{target}/batch=0")
+    spark.createDataFrame(first.collect(), first.schema).write.mode("overwrite").parquet(f"{target}/batch=0")  # as a repeated batch does
+    check(seen)

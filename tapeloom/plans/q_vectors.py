@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import safe_corr
 from ..operators import boosting as bo
+from ..operators import exits as ex
 from ..operators import features as fx
 from ..operators import labels as lb
 from ..operators import mixtures as mx
@@ -11,11 +12,12 @@ from ..operators import models as md
 from ..operators import predicates as pr
 from ..operators import rules as ru
 from ..operators import stats as st
+from ..operators import trades as tr
 from ..operators import vectors as vx
 from ..session import staged
 from .common import E, Tables, emit
 from .q_regime import _CONCEPTS, concepts_of
-from .q_rules import rule_frame
+from .q_rules import LIVE, rule_frame
 from .registry import add_cte, query
 
 
@@ -348,6 +350,46 @@ def v2s(spark, sf):
     return emit(d, "symbol", "date", "n_features", "adds_up")
 
 
+# --- exit models of variants ----------------------------------------------------------------
+
+EXIT_MODELS = (
+    ex.Variant("g15_f20", 15.0, 20, 20, 66.0, 60, 60),
+    ex.Variant("g30_f20", 30.0, 20, 20, 66.0, 30, 60),
+    ex.Variant("g15_f40", 15.0, 20, 40, 50.0, 20, 40),
+)
+EXIT_ROUNDS = 40
+
+
+def model_exits(t):
+    bars = ["open", "close_adj"]
+    d = staged(fx.build_features(t.bars(), t.market(), t.peers()).select("symbol", "date", *bars, *MODEL_FEATURES))
+    rank = F.create_map(*[x for i, r in enumerate(LIVE) for x in (F.lit(r.key), F.lit(1.0 / (i + 1)))])
+    entries = ru.firings(rule_frame(t), LIVE).select("symbol", "date", rank[F.col("rule_key")].alias("signal_strength"))
+    return ex.model_exits(d, entries, MODEL_FEATURES, EXIT_MODELS, TRAIN_UNTIL, rounds=EXIT_ROUNDS)
+
+
+@query("u19_exit_models")
+def u19m(spark, sf):
+    """The variants compared with each one's own exit model."""
+    d = tr.compare_exits(model_exits(Tables(spark, sf, share=True)))
+    cols = "mean_gain_pct median_gain_pct p25_gain_pct p75_gain_pct worst_gain_pct".split()
+    return emit(d, *d.columns, coarse=tuple(cols))
+
+
+@query(
+    "u19_model_entries",
+    E(
+        "variant symbol d:entry_date f:entry_price f:signal_strength b:is_later",
+        "SELECT variant, symbol, date AS entry_date, open AS entry_price, signal_strength, true AS is_later FROM entry_fills, "
+        f"(VALUES {', '.join(f'({chr(39)}{v.name}{chr(39)})' for v in EXIT_MODELS)}) v(variant) WHERE date > DATE '{TRAIN_UNTIL}'",
+    ),
+)
+def u19e(spark, sf):
+    """Every entry after the training days has one exit, later than its entry, under every variant's model."""
+    d = model_exits(Tables(spark, sf, share=True)).withColumn("is_later", F.col("exit_date") > F.col("entry_date"))
+    return emit(d, "variant", "symbol", "entry_date", "entry_price", "signal_strength", "is_later")
+
+
 # --- rules read out of the trees ---------------------------------------------------------
 
 

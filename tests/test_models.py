@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tapeloom.operators import boosting as bo
+from tapeloom.operators import exits as ex
 from tapeloom.operators import mixtures as mx
 from tapeloom.operators import regime as rg
 from tapeloom.operators import rules as ru
@@ -174,3 +175,34 @@ def test_walk_forward_models_grow_and_see_no_young_label(spark):
         assert m.train_set_size == sum(x <= m.first_day - timedelta(days=30) for x in labels) == r.train_set_size
     every = rg.refit_schedule(rg.point_in_time_sets(d.select("date"), d.where("regime_label_rule <> 'unlabeled'").select("date"), 30), growth=0)
     assert every.count() == len({sum(x <= day - timedelta(days=30) for x in labels) for day in want})
+
+
+def test_exit_model_is_fitted_on_earlier_days_and_flags_later_ones(spark):
+    rng = random.Random(11)
+    rows, start = [], date(2021, 1, 1)
+    for s in range(6):
+        price, mood = 100.0, 0.0
+        for i in range(400):
+            if i % 50 == 0:
+                mood = rng.choice([0.03, -0.03])
+            price *= 1 + mood + rng.gauss(0, 0.01)
+            rows.append((f"s{s}", start + timedelta(days=i), price, price, float(50 - i % 50), rng.random()))
+    d = staged(spark.createDataFrame(rows, "symbol string, date date, open double, close_adj double, left double, noise double"))
+    v = ex.Variant("v", 10.0, 10, 10, 50.0, 30, 40)
+    scores = staged(ex.exit_scores(d, ["left", "noise"], v, "2021-09-01", rounds=10, depth=3))
+    cut = date(2021, 9, 1)
+    got = scores.collect()
+    want = {(r.symbol, r.date) for r in ex.labelled(d, v).collect() if r.date > cut}
+    assert {(r.symbol, r.date) for r in got} == want and len(got) == len(want)
+    bars = staged(ex.flagged_bars(d, scores, 0.1))
+    flagged = {(r.symbol, r.date) for r in bars.where("would_exit").collect()}
+    assert bars.count() == len(rows) and flagged <= want and 0.1 * len(want) <= len(flagged) < 0.5 * len(want)
+    assert min(r.exit_score for r in got if (r.symbol, r.date) in flagged) >= max(r.exit_score for r in got if (r.symbol, r.date) not in flagged)
+    # nothing after the day is learned from: other closes there leave the model's scores of unchanged rows alone
+    other = d.withColumn("left", F.when((F.col("date") > F.lit(cut)) & (F.col("symbol") == "s0"), 0.0).otherwise(F.col("left")))
+    again = {(r.symbol, r.date): r.exit_score for r in ex.exit_scores(other, ["left", "noise"], v, "2021-09-01", rounds=10, depth=3).collect()}
+    assert all(again[r.symbol, r.date] == r.exit_score for r in got if r.symbol != "s0")
+    entries = d.where("date >= DATE '2021-08-20'").select("symbol", "date", F.lit(1.0).alias("signal_strength"))
+    out = ex.model_exits(d, entries, ["left", "noise"], [v, ex.Variant("w", 5.0, 10, 10, 50.0, 5, 40)], "2021-09-01", 0.1, 10, 3).collect()
+    assert {r.variant for r in out} == {"v", "w"} and all(r.entry_date > cut and r.exit_date > r.entry_date for r in out)
+    assert {r.exit_reason for r in out} >= {"exit_signal"}

@@ -106,5 +106,5 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "source_mix", "best_fit_packing"]
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
     assert all(m is not None for m in (langid, lines, mixing, packing, simhash))

@@ -16,7 +16,6 @@ windows; ids may be null or repeated; no rows, no rows; other columns are not re
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, staged
 
+TAG_SEED = 42
 LENGTH = 200
 GRAM = 32
 LARGEST_GROUP = 5_000  # classes of one anchor that a task sorts; of more, Spark groups every window
@@ -144,7 +144,7 @@ def _anchor_rows(src: DataFrame, length: int) -> DataFrame:
             for part in _slices(whole, "text"):
                 texts = _texts(part)
                 doc, place, anchor, kind, left, right = anchors(texts, length)
-                tag = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
+                tag = np.fromiter((xxhash.xxh64_intdigest(t, TAG_SEED) for t in texts), np.uint64, len(texts)).view(np.int64)
                 cols = [part.column("id").take(pa.array(doc)), pa.array(tag[doc]), pa.array(place.astype(np.int32)), pa.array(anchor), pa.array(kind)]
                 cols += [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "tag", "place", "anchor", "kind", "lead", "tail"])
@@ -230,15 +230,20 @@ def _window_groups(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(again, ["anchor", "lead", "mark"]).select("anchor", "kind", "lead", (F.lit(length) - F.col("lead")).alias("tail"))
 
 
+def _tag():
+    """As in the tasks: Spark's 64-bit hash of one column is XXH64 of its bytes with this seed."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, largest_group: int = LARGEST_GROUP
 ) -> DataFrame:
     """(id, tag, spans): the byte ranges [begin, end) of each text that repeats cover, unsorted and overlapping.
 
-    ``tag`` is the CRC-32 of the text; it tells rows with one id apart.
+    ``tag`` is a 64-bit hash of the text; it tells rows with one id, as null ids, apart.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.select("id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tag"))
+    src = src.select("id", "text", _tag().alias("tag"))
     every = staged(_anchor_rows(src.select("id", "text"), length))
     again = staged(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     near = staged(every.join(again, "anchor", "left_semi"))
@@ -280,7 +285,7 @@ def without_repeats(
     """(id, n_bytes, runs, kept): the removed runs of every text, and the bytes that remain."""
     spans = repeated_spans(docs, id_col, text_col, length, largest_group).withColumnsRenamed({"id": "rid", "tag": "rtag"})
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.withColumn("tag", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    src = src.withColumn("tag", _tag())
     joined = src.join(spans, _same_doc(src, spans), "left").select("id", "text", "spans")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -88,3 +89,18 @@ def test_equal_windows_have_equal_anchors():
     assert inner <= at[0] and inner <= at[2]
     covered = sum(int(a + b) - 100 + 1 for a, b in zip(lead, tail))
     assert covered == sum(len(t) - 99 for t in texts)  # each window belongs to one anchor
+
+
+def test_rows_without_id_are_told_apart(make_docs):
+    rng = random.Random(7)
+    seen = {}
+    while True:  # two beginnings of one CRC-32, which texts that go on alike keep
+        one = "".join(rng.choice("abcdefgh") for _ in range(12))
+        other = seen.setdefault(zlib.crc32(one.encode()), one)
+        if other[-1] != one[-1]:
+            break
+    tail = "".join(rng.choice("klmnop ") for _ in range(300))
+    rows = [(None, one + tail), (None, other + tail), (1, "zz " + one + tail)]
+    assert zlib.crc32(rows[0][1].encode()) == zlib.crc32(rows[1][1].encode())
+    got = [(r.id, bytes(r.kept).decode()) for r in repeats.without_repeats(make_docs(rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, ""), (None, other), (1, "zz ")], key=repr)

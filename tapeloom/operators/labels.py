@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import DAILY, ratio
+from ..session import staged
+from .stats import positions
 
 
 def forward_winner(df, lookahead=30, threshold=0.20, price_col="close", out="is_winner"):
@@ -235,17 +236,15 @@ def exit_labels(df, gain_pct=15.0, lookback=20, forward=20, giveback_pct=66.0):
 def sector_rank(df, sectors, horizon=30, top=0.9):
     """1.0 for the top decile of forward return inside (date, sector); ties go by symbol.
 
-    A (date, sector) group is bounded by the universe, one row per symbol and day.
+    Places inside a group come from range-sorted parts, so a sector of any size is split.
     """
     df = df.join(sectors.select("symbol", F.col("sector").alias("_sec")), "symbol", "left")
     df = df.withColumn("_f", ratio(DAILY.lead("close_adj", horizon), "close_adj") - 1.0)
-    w = Window.partitionBy("date", "_sec")
-    df = df.withColumns(
-        {
-            "_rank": F.row_number().over(w.orderBy(F.col("_f").asc_nulls_last(), "symbol")),
-            "_n": F.count(F.lit(1)).over(w),
-        }
-    )
-    pos = F.when(F.col("_n") > 1, (F.col("_rank") - 1) / (F.col("_n") - 1))
-    ok = F.col("_sec").isNotNull() & F.col("_f").isNotNull()
-    return df.withColumn("sector_rank", F.when(ok, (pos >= top).cast("double"))).drop("_f", "_rank", "_n", "_sec")
+    # a symbol outside every sector, or without a day, has no rank
+    known = F.col("_sec").isNotNull() & F.col("date").isNotNull()
+    df = staged(df)
+    placed = positions(df.where(known), ["date", "_sec"], [F.col("_f").asc_nulls_last(), "symbol"], "_rank")
+    pos = F.when(F.col("n_group") > 1, (F.col("_rank") - 1) / (F.col("n_group") - 1))
+    ranked = placed.withColumn("sector_rank", F.when(F.col("_f").isNotNull(), (pos >= top).cast("double")))
+    rest = df.where(~known).withColumn("sector_rank", F.lit(None).cast("double"))
+    return ranked.drop("_f", "_rank", "n_group", "_sec").unionByName(rest.drop("_f", "_sec"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles, running_before
 from ..functions.windows import ratio
 from ..session import staged
+from .chains import keep_clear
 from .predicates import OPS, check_op, range_label
 
 
@@ -305,19 +306,12 @@ def feature_stability(ranked, top=20):
 def cooldown(fired, days, keys=("symbol", "rule_key")):
     """Keep a firing only when more than ``days`` calendar days follow the last kept one.
 
-    The rule reads its own output, so it is a fold over each key's distinct dates, which
-    the calendar bounds.
+    A firing without a date is dropped, and firings of one key and day are one.
     """
-    dates = F.array_sort(F.collect_set("date"))
-    none = F.array().cast("array<date>")
-
-    def step(kept, d):
-        far = (F.size(kept) == 0) | (F.datediff(d, F.get(kept, F.size(kept) - 1)) > days)
-        return F.when(far, F.concat(kept, F.array(d))).otherwise(kept)
-
-    return fired.groupBy(*keys).agg(dates.alias("_d")).select(
-        *keys, F.explode(F.aggregate("_d", none, step)).alias("date")
-    )
+    day = F.unix_date("date").alias("_day")
+    d = fired.where(F.col("date").isNotNull()).select(*keys, day).distinct().withColumn("_end", F.col("_day") + days)
+    kept = keep_clear(d, keys, "_day", "_end")
+    return kept.select(*keys, F.date_from_unix_date(F.col("_day").cast("int")).alias("date"))
 
 
 def trade_economics(fired, endpoint="forward_endpoint_pct", hold=20):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import DAILY, ratio, row_of
 from ..session import staged
+from .chains import keep_clear
 from .joins import interval_join, next_row_after
 
 
@@ -36,17 +37,23 @@ def momentum_trades(labelled, horizon):
 def equity_curve(trades, by, day, order, pnl, start):
     """Running equity, previous equity and drawdown after each realised trade.
 
-    Prefix sums and maxima are taken inside a day, then across the day totals, which the
-    calendar bounds; no task orders a whole strategy.
+    A range sort deals the trades out by group, day and order.  Sums and maxima run inside a
+    task's range and start at those of the ranges before, one small row per group and range,
+    so that no task orders a whole strategy or day.
     """
     by = list(by)
-    wd = Window.partitionBy(*by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = staged(trades.withColumn("_in", F.sum(pnl).over(wd)).withColumn("_mx", F.max("_in").over(wd)))
-    days = d.groupBy(*by, day).agg(F.sum(pnl).alias("_p"), F.max("_in").alias("_m"))
-    wb = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_b", F.coalesce(F.sum("_p").over(wb), F.lit(0.0)))
-    days = days.withColumn("_pk", F.coalesce(F.max(F.col("_b") + F.col("_m")).over(wb), F.lit(0.0)))
-    d = d.join(days.select(*by, day, "_b", "_pk"), [*by, day])
+    # a null amount counts as nothing, as in a running sum
+    d = trades.repartitionByRange(*by, day, *order).withColumn("_range", F.spark_partition_id())
+    w = Window.partitionBy(*by, "_range").orderBy(day, *order).rowsBetween(Window.unboundedPreceding, 0)
+    d = staged(d.withColumn("_in", F.coalesce(F.sum(pnl).over(w), F.lit(0.0))).withColumn("_mx", F.max("_in").over(w)))
+    parts = d.groupBy(*by, "_range").agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("_p"), F.max("_in").alias("_m"))
+    wb = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_b", F.coalesce(F.sum("_p").over(wb), F.lit(0.0)))
+    parts = parts.withColumn("_pk", F.coalesce(F.max(F.col("_b") + F.col("_m")).over(wb), F.lit(0.0)))
+    same = F.col("d._range") == F.col("p._range")
+    for k in by:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}"))
+    d = d.alias("d").join(parts.alias("p"), same).select("d.*", "p._b", "p._pk")
     equity = F.lit(float(start)) + F.col("_b") + F.col("_in")
     peak = F.lit(float(start)) + F.greatest(F.lit(0.0), F.col("_pk"), F.col("_b") + F.col("_mx"))
     prev = equity - F.col(pnl)
@@ -58,13 +65,15 @@ def equity_curve(trades, by, day, order, pnl, start):
     )
 
 
-def curve_stats(curve, by):
+def curve_stats(curve, by, **more):
+    """Count, Sharpe and drawdown per group; ``more`` names further aggregates of the same pass."""
     sd = F.stddev_pop("event_return")
     sharpe = F.when(sd > 0, F.avg("event_return") / F.greatest(sd, F.lit(1e-9)) * math.sqrt(252.0)).otherwise(0.0)
     return curve.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trades"),
         sharpe.alias("sharpe"),
         F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"),
+        *[v.alias(k) for k, v in more.items()],
     )
 
 
@@ -96,21 +105,29 @@ def barrier_exits(bars, entries, exits=None, slippage=0.001):
     """Stop, target or time exit for every entry, each on its own.
 
     ``entries``: (symbol, date, rule_key, label).  The fill is the next row's open; the
-    stop is read before the target on the same row.  A symbol's bars, which the calendar
-    bounds, are one sorted array, and only its entries slice forward rows out of it.
+    stop is read before the target on the same row.  An exit depends on symbol, date and
+    label only, so it is found once for each and joined back to the rules.  A symbol's bars,
+    which the calendar bounds, are one sorted array, out of which the days asked for slice
+    their forward rows.
     """
-    exits = exits or LABEL_EXITS
+    asked_for = staged(entries.select("symbol", "date", "rule_key", "label"))
+    found = _exits_of(bars, asked_for.select("symbol", "date", "label").distinct(), exits or LABEL_EXITS, slippage)
+    out = asked_for.join(found, ["symbol", "date", "label"]).withColumnRenamed("date", "signal_date")
+    return out.select("symbol", "signal_date", "rule_key", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason")
+
+
+def _exits_of(bars, entries, exits, slippage):
+    """(symbol, date, label) with fill and exit; ``entries`` holds each once."""
     longest = max(t for _, _, t in exits.values())
     days = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "open", "low", "high", "close_adj"))).alias("bs"))
     days = days.withColumn("dates", F.transform("bs", lambda b: b["date"]))
-    asked = entries.groupBy("symbol").agg(F.collect_list(F.struct("date", "rule_key", "label")).alias("es"))
+    asked = entries.groupBy("symbol").agg(F.collect_list(F.struct("date", "label")).alias("es"))
     placed = F.transform("es", lambda x: F.struct(x.alias("x"), F.array_position("dates", x["date"]).cast("int").alias("i")))
     placed = F.filter(placed, lambda p: (p["i"] > 0) & (p["i"] < F.size("bs")))
     paths = F.transform(
         placed,
         lambda p: F.struct(
             p["x"]["date"].alias("date"),
-            p["x"]["rule_key"].alias("rule_key"),
             p["x"]["label"].alias("label"),
             F.get("bs", p["i"]).alias("_fill_row"),
             F.slice("bs", p["i"] + 2, longest).alias("_ahead"),
@@ -149,8 +166,8 @@ def barrier_exits(bars, entries, exits=None, slippage=0.001):
     exit_date = F.when(reason != "end_of_period", F.get("_ahead", (at - 1).cast("int"))["date"]).otherwise(F.col("_last.date"))
     return d.select(
         "symbol",
-        F.col("date").alias("signal_date"),
-        "rule_key",
+        "date",
+        "label",
         "entry_date",
         "entry_price",
         exit_date.alias("exit_date"),
@@ -238,8 +255,7 @@ def compare_exits(pairs, by="variant"):
 def non_overlapping(bars, breakout=60, horizon=120, target=0.50, friction_pct=0.35):
     """Per symbol: enter at the first breakout after the last exit, leave at target or horizon.
 
-    Each breakout row first gets its own exit row; choosing rows is then a fold over the
-    symbol's breakouts, which its bars bound.
+    Each breakout row first gets its own exit row; which rows stay is found by pointer doubling.
     """
     high = DAILY.roll_prior(F.max, "close", breakout)
     d = bars.select("symbol", "date", "close", F.coalesce(F.col("close") > high, F.lit(False)).alias("up"))
@@ -252,24 +268,20 @@ def non_overlapping(bars, breakout=60, horizon=120, target=0.50, friction_pct=0.
     at = F.when(F.col("_h") > 0, F.col("_h")).otherwise(F.col("_n"))
     reason = F.when(F.col("_h") > 0, "tp").when(F.col("_n") >= horizon, "horizon").otherwise("data_end")
     end = F.get("_f", (at - 1).cast("int"))
-    cand = F.struct(
-        "i",
-        (F.col("i") + at).alias("x"),
-        F.col("date").alias("entry_date"),
-        F.coalesce(end["date"], F.col("date")).alias("exit_date"),
-        F.col("close").alias("entry_price"),
-        F.coalesce(end["close"], F.col("close")).alias("exit_price"),
-        at.alias("hold_days"),
-        reason.alias("exit_reason"),
+    found = staged(
+        d.select(
+            "symbol",
+            F.col("i").cast("long").alias("i"),
+            (F.col("i") + at).alias("x"),
+            F.col("date").alias("entry_date"),
+            F.coalesce(end["date"], F.col("date")).alias("exit_date"),
+            F.col("close").alias("entry_price"),
+            F.coalesce(end["close"], F.col("close")).alias("exit_price"),
+            at.alias("hold_days"),
+            reason.alias("exit_reason"),
+        )
     )
-    lists = d.select("symbol", cand.alias("c")).groupBy("symbol").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    kind = dict(lists.dtypes)["cs"]
-
-    def step(kept, c):
-        free = (F.size(kept) == 0) | (c["i"] > F.get(kept, F.size(kept) - 1)["x"])
-        return F.when(free, F.concat(kept, F.array(c))).otherwise(kept)
-
-    t = lists.select("symbol", F.inline(F.aggregate("cs", F.array().cast(kind), step)))
+    t = found.join(keep_clear(found, ["symbol"], "i", "x"), ["symbol", "i"], "left_semi")
     gross = (ratio("exit_price", "entry_price") - 1.0) * 100.0
     return t.select(
         "symbol", "entry_date", "exit_date", "entry_price", "exit_price",

@@ -339,8 +339,8 @@ def x9(spark, sf):
 def x10(spark, sf):
     d = staged(tr.flat_friction(barrier_trades(Tables(spark, sf, share=True))))
     c = tr.equity_curve(d, ["rule_key"], "exit_date", ["symbol", "signal_date"], "net_pnl_usd", START * 100)
-    end = c.groupBy("rule_key").agg((F.lit(START * 100) + F.sum("net_pnl_usd")).alias("final_equity"))
-    return emit(tr.curve_stats(c, ["rule_key"]).join(end, "rule_key"), "rule_key", "n_trades", "sharpe", "max_drawdown", "final_equity")
+    end = F.lit(START * 100) + F.sum("net_pnl_usd")
+    return emit(tr.curve_stats(c, ["rule_key"], final_equity=end), "rule_key", "n_trades", "sharpe", "max_drawdown", "final_equity")
 
 
 add_cte(

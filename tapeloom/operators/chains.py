@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,33 +20,33 @@ def keep_clear(rows, keys, pos, reach):
     Joins are on (keys, pos), one row each, so a hot key spreads like any other.
     """
     keys = list(keys)
-    d = rows.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(reach).cast("long").alias("_r"))
-    up = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    d = staged(rows.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(reach).cast("long").alias("_r")))
+    # a number for every key, so that the rounds move four numbers a row
+    names = staged(d.select(*keys).distinct().withColumn("_k", F.monotonically_increasing_id()))
+    same = reduce(lambda a, k: a & F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")), keys, F.lit(True))
+    d = d.alias("d").join(names.alias("n"), same).select("n._k", "d._p", "d._r")
+    up = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_root", F.coalesce(F.col("_p") > F.max("_r").over(up), F.lit(True)))
     # each row stands at its place and asks at its reach; downwards, the last place above a reach is the next row
     place = F.struct(F.col("_p").alias("at"), (F.col("_p") * 2 + F.col("_root").cast("long")).alias("code"))
     ask = F.struct(F.col("_r").alias("at"), F.lit(None).cast("long").alias("code"))
-    both = d.select(*keys, "_p", "_root", F.inline(F.array(place, ask)))
-    down = Window.partitionBy(*keys).orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    both = d.select("_k", "_p", "_root", F.inline(F.array(place, ask)))
+    down = Window.partitionBy("_k").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("_next", F.min("code").over(down)).where(F.col("code").isNull())
     # a root is kept without being reached
     hop = F.when(F.col("_next") % 2 == 0, F.floor(F.col("_next") / 2))
-    t = staged(both.select(*keys, "_p", hop.cast("long").alias("_to"), F.col("_root").alias("_kept")))
-
-    def on(a, b):
-        same = F.col(f"a.{a}") == F.col(f"b.{b}")
-        for k in keys:
-            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        return same
-
-    own = [F.col(f"a.{k}") for k in keys]
-    # only rows that still point somewhere are read as targets; the rest of a chain ends by itself
-    while not t.where(F.col("_kept") & F.col("_to").isNotNull()).isEmpty():
-        step = t.where("_to is not null").select(*keys, "_p", "_to")
-        far = t.alias("a").join(step.alias("b"), on("_to", "_p"), "left").select(*own, "a._p", F.col("b._to").alias("_to"), "a._kept")
-        hit = t.where(F.col("_kept") & F.col("_to").isNotNull()).select(*keys, F.col("_to").alias("_p")).distinct().withColumn("_hit", F.lit(True))
-        new = far.alias("a").join(hit.alias("b"), on("_p", "_p"), "left")
-        new = staged(new.select(*own, "a._p", "a._to", (F.col("a._kept") | F.col("b._hit").isNotNull()).alias("_kept")))
+    t = staged(both.select("_k", "_p", hop.cast("long").alias("_to"), F.col("_root").alias("_kept")))
+    while not t.where("_kept and _to is not null").isEmpty():
+        new = staged(_doubled(t))
         discard(t)
         t = new
-    return t.where("_kept").select(*keys, F.col("_p").alias(pos))
+    kept = t.where("_kept").select("_k", F.col("_p").alias(pos))
+    return kept.join(names, "_k").select(*keys, pos)
+
+
+def _doubled(t):
+    """One round: what a kept row points to is kept, and every pointer goes twice as far."""
+    hits = t.where("_kept and _to is not null").select("_k", F.col("_to").alias("_p"), F.lit(True).alias("_hit")).distinct()
+    step = t.where("_to is not null").select("_k", F.col("_p").alias("_to"), F.col("_to").alias("_far"))
+    far = t.join(hits, ["_k", "_p"], "left").join(step, ["_k", "_to"], "left")
+    return far.select("_k", "_p", F.col("_far").alias("_to"), (F.col("_kept") | F.col("_hit").isNotNull()).alias("_kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -84,6 +86,39 @@ def _assign(df, vec, centers, metric, out, dist):
     return df.withColumn("_a", nearest(vec)).withColumns({out: F.col("_a.c"), dist: F.col("_a.d")}).drop("_a")
 
 
+def _probe_cells(who, p, cells, k, metric, block_rows, schema, hint=lambda deal: deal):
+    """The ``k`` nearest points of a cell for each query sent there; both sides are dealt into blocks by their counts.
+
+    ``who``: a written table (_q, _qv, _cell); ``p``: (_p, _pv, _cell); ``cells``: (_cell, _n).
+    Each (query, block) gives back at most ``k`` rows, so no cell is one task.
+    """
+
+    def search(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"_q": left["_q"][:0], "_p": right["_p"][:0], "_d": pd.Series([], dtype="float64")})
+        a, b, ids, names = np.stack(left["_qv"].to_numpy()), np.stack(right["_pv"].to_numpy()), right["_p"].to_numpy(), left["_q"].to_numpy()
+        out = []
+        # queries go through in slices, so the distance block stays small
+        for s in range(0, len(a), 256):
+            row, col, dist = _nearest(a[s : s + 256], b, ids, k, metric)
+            out.append((names[s + row], ids[col], dist))
+        return pd.DataFrame(dict(zip(("_q", "_p", "_d"), map(np.concatenate, zip(*out)))))
+
+    many = who.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block_rows)).cast("long")
+    deal = staged(cells.join(many, "_cell").select("_cell", parts("_n").alias("_pb"), parts("_m").alias("_qb")))
+
+    def dealt(df, key, own, other, mine, theirs):
+        d = df.join(hint(deal), "_cell")
+        d = d.withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)))
+        return d.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+
+    a = dealt(who, "_q", "_qb", "_pb", "_qblock", "_pblock").select("_cell", "_pblock", "_qblock", "_q", "_qv")
+    b = dealt(p, "_p", "_pb", "_qb", "_pblock", "_qblock").select("_cell", "_pblock", "_qblock", "_p", "_pv")
+    keys = ("_cell", "_pblock", "_qblock")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, schema)
+
+
 def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", n_pivots=None, block_rows=20_000):
     """The exact ``k`` nearest points of every query, without comparing every pair.
 
@@ -103,38 +138,18 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     q = queries.select(F.col(query_id).alias("_q"), prep.alias("_qv"))
     p = staged(points.select(F.col(point_id).alias("_p"), prep.alias("_pv")))
     centers = pivots(p, "_pv", n_pivots or min(256, max(16, int(p.count() ** 0.5) // 8)))
+    if not len(centers):  # no points, no neighbours
+        ids = [f"{out} {dict(df.dtypes)[out]}" for df, out in ((queries, query_id), (points, point_id))]
+        return p.sparkSession.createDataFrame([], ", ".join([*ids, "distance double, neighbor_rank long"]))
     p = staged(_assign(p, "_pv", centers, inner, "_cell", "_pd"))
     cells = staged(p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_pd").alias("_near"), F.max("_pd").alias("_far")))
     q = staged(_assign(q, "_qv", centers, inner, "_home", "_qd"))
     types = {n: t for n, t in q.dtypes} | {n: t for n, t in p.dtypes}
     schema = f"_q {types['_q']}, _p {types['_p']}, _d double"
 
-    def search(left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_q": left["_q"][:0], "_p": right["_p"][:0], "_d": pd.Series([], dtype="float64")})
-        a, b, ids, names = np.stack(left["_qv"].to_numpy()), np.stack(right["_pv"].to_numpy()), right["_p"].to_numpy(), left["_q"].to_numpy()
-        out = []
-        # queries go through in slices, so the distance block stays small
-        for s in range(0, len(a), 256):
-            row, col, dist = _nearest(a[s : s + 256], b, ids, k, inner)
-            out.append((names[s + row], ids[col], dist))
-        return pd.DataFrame(dict(zip(("_q", "_p", "_d"), map(np.concatenate, zip(*out)))))
-
     def probe(who):
-        """``who``: a written table (_q, _qv, _cell)."""
-        many = who.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"))
-        parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block_rows)).cast("long")
-        deal = staged(cells.join(many, "_cell").select("_cell", parts("_n").alias("_pb"), parts("_m").alias("_qb")))
-
-        def dealt(df, key, own, other, mine, theirs):
-            d = df.join(F.broadcast(deal), "_cell")  # one row per pivot
-            d = d.withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)))
-            return d.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-
-        a = dealt(who, "_q", "_qb", "_pb", "_qblock", "_pblock").select("_cell", "_pblock", "_qblock", "_q", "_qv")
-        b = dealt(p, "_p", "_pb", "_qb", "_pblock", "_qblock").select("_cell", "_pblock", "_qblock", "_p", "_pv")
-        keys = ("_cell", "_pblock", "_qblock")
-        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, schema)
+        # one row per pivot
+        return _probe_cells(who, p, cells, k, inner, block_rows, schema, F.broadcast)
 
     first = staged(probe(q.select("_q", "_qv", F.col("_home").alias("_cell"))))
     kth = top_per_group(first, ["_q"], ["_d", "_p"], k, "_r").groupBy("_q").agg(
@@ -162,6 +177,100 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     )
 
 
+def _buckets(df, vec, out, directions, shifts, width, probes):
+    """Adds the bucket of each hash table, and up to ``probes`` buckets beside it, as an array of 64-bit codes.
+
+    A code is the table's number and the steps of ``width`` that the vector has gone in each of
+    the table's directions; beside it means one step over the nearest border.
+    """
+    tables, bits = shifts.shape
+
+    @F.pandas_udf("array<long>")
+    def codes(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        x = np.stack(v.to_numpy()).astype("float64")
+        at = (x @ directions.T).reshape(len(x), tables, bits) / width + shifts
+        step = np.floor(at)
+        inside = at - step
+        mix = np.uint64(0x9E3779B97F4A7C15)
+
+        def code(steps):
+            h = np.broadcast_to(np.arange(1, tables + 1, dtype="uint64"), steps.shape[:2]).copy()
+            for b in range(bits):
+                h = (h ^ steps[:, :, b].astype("int64").view("uint64")) * mix
+                h ^= h >> np.uint64(29)
+            return h.view("int64")
+
+        found = [code(step)]
+        gap = np.minimum(inside, 1.0 - inside)
+        order = np.argsort(gap, axis=2)
+        for near in range(min(probes, bits)):
+            b = order[:, :, near : near + 1]
+            move = np.where(np.take_along_axis(inside, b, 2) < 0.5, -1.0, 1.0)
+            moved = step.copy()
+            np.put_along_axis(moved, b, np.take_along_axis(step, b, 2) + move, 2)
+            found.append(code(moved))
+        return pd.Series(list(np.concatenate(found, axis=1)))
+
+    return df.withColumn(out, F.array_distinct(codes(vec)))
+
+
+def approximate_knn(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", target=0.9, audit=256, tables=8, bits=None, seed=7, block_rows=20_000):
+    """(neighbours, recall): the ``k`` nearest points that share a bucket of random-projection hash tables with the query.
+
+    Every table cuts the space by ``bits`` random directions (as many as leave some 1,000 points
+    a bucket where a direction has four steps) into steps four times as wide as
+    the median audited query is far from its k-th neighbour.  ``audit`` queries, by hash order, are also searched
+    exactly; while their recall is below ``target`` the steps are widened by half and the
+    tables doubled, and beyond 64 tables the exact join answers.  ``recall`` is the share of
+    the audited queries' exact neighbours that were found.  A query that no bucket fills has
+    fewer than ``k`` rows.  Buckets of any size are dealt into blocks, none is cut.
+    """
+    inner = "euclidean" if metric == "cosine" else metric
+    prep = unit(F.col(vec)) if metric == "cosine" else F.transform(vec, lambda x: x.cast("double"))
+    q = staged(queries.select(F.col(query_id).alias("_q"), prep.alias("_qv")))
+    p = staged(points.select(F.col(point_id).alias("_p"), prep.alias("_pv")))
+    bits = bits or max(1, math.ceil(math.log(max(1, p.count()) / 1000, 4)))
+    types = dict(q.dtypes) | dict(p.dtypes)
+    schema = f"_q {types['_q']}, _p {types['_p']}, _d double"
+    sample = staged(q.orderBy(F.xxhash64("_q"), "_q").limit(audit))
+    truth = staged(knn_join(sample, p.withColumnRenamed("_pv", "_qv"), k, "_q", "_p", "_qv", inner))
+    true_pairs = truth.select("_q", "_p")
+    n_true = true_pairs.count()
+    far = truth.groupBy("_q").agg(F.max("distance").alias("d")).agg(F.expr("percentile(d, 0.5)")).scalar()
+    dim = q.select(F.size("_qv").alias("n")).limit(1).collect()
+    width = 4.0 * ((truth.select(far.alias("w")).limit(1).collect() or [[0.0]])[0][0] or 1.0)
+
+    def search(who):
+        rng = np.random.default_rng(seed)
+        directions, shifts = rng.normal(size=(tables * bits, dim[0][0])), rng.random((tables, bits))
+        spread = lambda df, v, probes: staged(
+            _buckets(df, v, "_cs", directions, shifts, width, probes).withColumn("_cell", F.explode("_cs")).drop("_cs")
+        )
+        a, b = spread(who, "_qv", bits), spread(p, "_pv", 0)
+        cells = b.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+        found = staged(_probe_cells(a, b, cells, k, inner, block_rows, schema)).dropDuplicates(["_q", "_p"])
+        return staged(top_per_group(found, ["_q"], ["_d", "_p"], k, "neighbor_rank"))
+
+    recall = 1.0
+    top = None
+    while n_true and tables <= 64:
+        got = search(sample)
+        recall = got.join(true_pairs, ["_q", "_p"], "left_semi").count() / n_true
+        if recall >= target:
+            top = search(q)
+            break
+        width, tables = width * 1.5, tables * 2
+    if top is None:
+        exact = knn_join(q, p.withColumnRenamed("_pv", "_qv"), k, "_q", "_p", "_qv", inner)
+        top, recall = exact.withColumnRenamed("distance", "_d"), 1.0
+    d = F.col("_d") * F.col("_d") / 2.0 if metric == "cosine" else F.col("_d")
+    return top.select(
+        F.col("_q").alias(query_id), F.col("_p").alias(point_id), d.alias("distance"), F.col("neighbor_rank").cast("long").alias("neighbor_rank")
+    ), recall
+
+
 def neighbour_deltas(queries, points, pairs, query_id, point_id, vec="vec"):
     """Per component: mean of query minus mean of its neighbours, scaled by the queries' spread."""
     n = pairs.join(points.select(point_id, F.posexplode(vec).alias("component", "x")), point_id)

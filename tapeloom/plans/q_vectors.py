@@ -63,6 +63,14 @@ for _m in ("euclidean", "cosine", "manhattan"):
         return emit(knn(Tables(spark, sf, share=True), metric), "winner_id", "neighbor_id", "distance", "neighbor_rank")
 
 
+@query("v5_nearest_losers_approximate")
+def v5_approximate(spark, sf):
+    """The hash-table form; its rows are those of the exact join but for the audited loss of recall."""
+    w, lo = split(Tables(spark, sf, share=True))
+    near, _ = vx.approximate_knn(w, lo, 5, "winner_id", "neighbor_id")
+    return emit(near, "winner_id", "neighbor_id", "distance", "neighbor_rank")
+
+
 @query("j11_nearest_neighbour_join", E(K_SPEC, "SELECT * FROM nn5"))
 def j11(spark, sf):
     return emit(knn(Tables(spark, sf, share=True), "euclidean"), "winner_id", "neighbor_id", "distance", "neighbor_rank")

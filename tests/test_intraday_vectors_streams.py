@@ -218,3 +218,31 @@ def test_bars_stream_corrects_and_repeats(spark):
     first = spark.read.parquet(f"{target}/batch=0")
     spark.createDataFrame(first.collect(), first.schema).write.mode("overwrite").parquet(f"{target}/batch=0")  # as a repeated batch does
     check(seen)
+
+
+@pytest.mark.parametrize("metric", vx.METRICS)
+def test_approximate_neighbours_reach_their_recall_with_a_hot_bucket(spark, metric):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(12, 16)) * 4
+    pts = np.vstack([middle[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16)), np.ones((450, 16)) + rng.normal(size=(450, 16)) * 1e-3])
+    qs = middle[rng.integers(0, 12, 300)] + rng.normal(size=(300, 16))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pts)], "pid long, vec array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "qid long, vec array<double>")
+    got, stated = vx.approximate_knn(q, p, 5, "qid", "pid", metric=metric, audit=64, block_rows=100)
+    want = {(r["qid"], r["pid"]): r["distance"] for r in vx.knn_join(q, p, 5, "qid", "pid", metric=metric).collect()}
+    got = got.collect()
+    hit = [r for r in got if (r["qid"], r["pid"]) in want]
+    assert stated >= 0.9 and len(hit) / len(want) >= 0.9
+    assert all(abs(r["distance"] - want[r["qid"], r["pid"]]) < 1e-9 for r in hit)
+    assert len({(r["qid"], r["neighbor_rank"]) for r in got}) == len(got)
+
+
+def test_approximate_neighbours_of_empty_tables(spark):
+    some = spark.createDataFrame([(1, [0.0, 1.0])], "id long, vec array<double>")
+    none = some.limit(0)
+    as_q, as_p = (lambda d: d.withColumnRenamed("id", "qid")), (lambda d: d.withColumnRenamed("id", "pid"))
+    for a, b in ((some, none), (none, some)):
+        got, _ = vx.approximate_knn(as_q(a), as_p(b), 3, "qid", "pid")
+        assert got.count() == 0
+    got, recall = vx.approximate_knn(as_q(some), as_p(some), 3, "qid", "pid")
+    assert got.count() == 1 and recall == 1.0

@@ -3,8 +3,9 @@
 A run is ``run`` consecutive lines, or one line of ``long_words`` words or more.  Of every
 window of ``run`` lines the smallest line hash is a fingerprint; two equal runs have the same
 one at the same place, so only around fingerprints that occur again can a run repeat.  There
-the positions are joined, the match is extended to both sides through every window that holds
-the fingerprint, and each run but its first occurrence is deleted.  Overlapping runs merge.
+every run that holds the fingerprint is described by hashes of its lines, places with equal
+descriptions are grouped, and each run but its first occurrence is deleted.  A longer match is
+the union of the runs in it.  Overlapping runs merge.
 
 First is by id (null last), by hash among unequal texts of one id, then by line.  A run that
 overlaps its own first occurrence counts as later.  Blank lines are neither compared nor

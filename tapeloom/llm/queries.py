@@ -124,13 +124,13 @@ def _op7_sql() -> str:
     rows = []
     for rank, (name, text) in enumerate(licenses.TEMPLATES):
         pairs = licenses.bigrams(text)
-        rows.append(f"({rank}, {quoted(name)}, {len(pairs)}, [{', '.join(map(quoted, pairs))}])")
+        rows.append(f"({rank}, {quoted(name)}, {len(pairs)}, {licenses.word_pairs(text)}, [{', '.join(map(quoted, pairs))}])")
     return f"""
-WITH t(rank, license, n, pairs) AS (VALUES {", ".join(rows)}),
+WITH t(rank, license, n, width, pairs) AS (VALUES {", ".join(rows)}),
 p AS (
   SELECT doc_id, 'line' AS kind, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
   UNION ALL
-  SELECT doc_id, 'block', regexp_split_to_array(text, '\n[ \t\r]*\n') FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, 'block', regexp_split_to_array(text, '\n[^A-Za-z0-9]*\n') FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, kind, unnest(parts) AS x, unnest(range(len(parts))) AS unit FROM p),
 w AS (
   SELECT doc_id, kind, unit,
@@ -143,10 +143,31 @@ a AS (
 s AS (
   SELECT a.doc_id, a.kind, a.unit, t.license, t.rank,
          2 * len(list_intersect(t.pairs, a.pairs)) / CAST(t.n + a.a AS DOUBLE) AS dice
-  FROM a JOIN t ON 2 * least(t.n, a.a) >= {licenses.THRESHOLD} * (t.n + a.a))
+  FROM a JOIN t ON 2 * least(t.n, a.a) >= {licenses.THRESHOLD} * (t.n + a.a)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
+  FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT r, doc_id, len(words) - 1 AS total, unnest(range(len(words) - 1)) AS place,
+         unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pair
+  FROM d WHERE len(words) > 1),
+tp AS (SELECT rank, license, n, width, unnest(pairs) AS pair FROM t WHERE rank < {len(licenses.NOTICES)}),
+hit AS (
+  SELECT r, doc_id, total, place, pair, rank, license, n, width FROM b JOIN tp USING (pair)
+  QUALIFY count(DISTINCT pair) OVER (PARTITION BY r, rank) >= n * {licenses.THRESHOLD} / (2 - {licenses.THRESHOLD}) - 1e-9),
+win AS (
+  SELECT x.r, x.doc_id, x.rank, x.license, x.place, least(x.width, x.total - x.place) AS k,
+         2 * count(DISTINCT y.pair) / CAST(x.n + least(x.width, x.total - x.place) AS DOUBLE) AS dice
+  FROM hit x JOIN hit y ON x.r = y.r AND x.rank = y.rank AND y.place BETWEEN x.place AND x.place + x.width - 1
+  GROUP BY x.r, x.doc_id, x.rank, x.license, x.place, x.n, x.width, x.total),
+f AS (SELECT * FROM win WHERE dice >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, place ORDER BY dice DESC, rank) = 1)
 SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, license, dice FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, kind, unit ORDER BY dice DESC, rank) AS k FROM s WHERE dice >= {licenses.THRESHOLD}) q
 WHERE k = 1
+UNION ALL
+SELECT doc_id, 'window', CAST(place AS INTEGER), license, dice FROM f x
+WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.r = x.r AND y.place <= x.place + x.k AND y.place + y.k >= x.place
+                  AND (y.dice > x.dice OR (y.dice = x.dice AND (y.rank < x.rank OR (y.rank = x.rank AND y.place < x.place)))))
 """
 
 

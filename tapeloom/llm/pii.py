@@ -7,10 +7,14 @@ result has the same shape: card numbers keep a valid check digit, dates are real
 addresses keep their byte range, letters stay letters.
 
 Validated kinds: payment cards (13 to 19 digits, blanks or hyphens between, valid Luhn digit),
-dates (year-month-day, or day, month and year with dots or slashes, of the years 1800 to 2199),
-IPv4 addresses, telephone numbers (7 to 15 digits with an international prefix, which stays, or
-an area code in brackets), social security numbers (3-2-4, none of the unused ranges), e-mail
-addresses (the local part; the domain stays) and access key ids (AKIA and 16 characters).
+dates (year-month-day with hyphens, dots or slashes, or day, month and year with dots or slashes, of the years 1800
+to 2199; with slashes also month, day and year where the day is over 12, which stays so),
+IPv4 addresses, IPv6 addresses (eight groups, or at least three and one gap; the gap stays), telephone numbers (7 to 15
+digits with an international prefix of + or 00, which stays, an area code in brackets, or 3-3-4 digits parted
+alike), social security numbers (3-2-4, none of the unused ranges), bank account numbers (IBAN, check digits modulo 97, made
+anew), e-mail addresses (the local part, whose letters beyond ASCII stay; the domain stays) and access keys (AKIA
+and 16 characters, gh?_ and 36, sk- and 20 to 64).  Equal values are those written alike, but for blanks and hyphens inside numbers
+and the case of an IPv6 address.
 What fails its validation stays as it is; a run of digit groups that is no card is searched for
 cards that begin and end at its groups.
 
@@ -27,6 +31,8 @@ ROUNDS = 8
 FIRST_YEAR, LAST_YEAR = 1800, 2199
 CARD_DIGITS = (16, 15, 19, 18, 17, 14, 13)  # in the order in which they are tried
 CYCLE_DAYS = (189, 773)  # 146,097 days in 400 years, as a product for the two halves
+LATE_DAYS = (9, 9833)  # those of them that are later in their month than the 12th
+HEX = "0123456789abcdef"
 
 # Values that a telephone number or a run of digit groups doesn't go on into.
 _OTHER = (
@@ -41,14 +47,21 @@ _TAIL = f"(?:{_BLANK}){{3}}|(?:{_BLANK}){{2}}(?:{_MARK})?|{_BLANK}(?:{_MARK}){{0
 
 # The kinds and their patterns, in the order in which they are tried at a place.
 KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email", r"(?<![A-Za-z0-9._%+À-ɏͰ-ӿ-])[A-Za-z0-9._%+À-ɏͰ-ӿ-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![0-9A-Za-z])"),
     ("phone", rf"(?<![0-9A-Za-z])\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{1,4}}\)?{_GROUP.format('[ .-]')}(?:{_TAIL})(?![0-9A-Za-z])"),
     ("phone", r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
+    ("phone", rf"(?<![0-9A-Za-z])(?![0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-]))00[1-9][0-9]{{0,2}}[ .-]\(?[0-9]{{1,4}}\)?{_GROUP.format('[ .-]')}(?:{_TAIL})(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"),
+    ("ipv6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])"),
     ("ipv4", r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9A-Za-z])"),
     ("date", r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"),
     ("date", r"(?<![0-9A-Za-z./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9A-Za-z])"),
+    ("date", r"(?<![0-9A-Za-z./])[0-9]{4}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}(?![0-9A-Za-z]|[./][0-9])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("key", r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    ("key", r"(?<![0-9A-Za-z_])gh[a-z]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    ("key", r"(?<![0-9A-Za-z_-])sk-[0-9A-Za-z]{20,64}(?![0-9A-Za-z])"),
     ("card", rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![0-9A-Za-z])(?:(?!{_OTHER})[ -][0-9]++(?![0-9A-Za-z]))*+"),
 )
 PATTERN = "|".join(p for _, p in KINDS)
@@ -92,9 +105,9 @@ def _permuted_digits(digits, key: str, kind: str):
     return F.transform(F.array(done), lambda s: F.concat(F.lpad(s["l"].cast("string"), half, F.lit("0")), F.lpad(s["r"].cast("string"), n - half, F.lit("0"))))[0]
 
 
-def _refilled(shape, digits):
-    """The text ``shape`` with its digits replaced in order."""
-    return F.array_join(F.zip_with(F.split(shape, "[0-9]"), F.split(digits, ""), lambda gap, d: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(d, F.lit("")))), "")
+def _refilled(shape, digits, places="[0-9]"):
+    """The text ``shape`` with its digits, or what ``places`` matches, replaced in order."""
+    return F.array_join(F.zip_with(F.split(shape, places), F.split(digits, ""), lambda gap, d: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(d, F.lit("")))), "")
 
 
 def _luhn(digits):
@@ -155,10 +168,13 @@ def _cards_of(groups, key):
 
 
 def _date(x, key):
-    iso = F.substring(x, F.lit(5), F.lit(1)) == "-"
-    year = F.when(iso, _number(x, 1, 4)).otherwise(_number(x, 7, 4))
-    month = F.when(iso, _number(x, 6, 2)).otherwise(_number(x, 4, 2))
-    day = F.when(iso, _number(x, 9, 2)).otherwise(_number(x, 1, 2))
+    """The date in its own order; a month-first one, known by a day over 12, among the dates of that kind."""
+    year_first = x.rlike("^[0-9]{4}")
+    a, b = _number(x, 1, 2), _number(x, 4, 2)
+    month_first = ~year_first & (F.substring(x, F.lit(3), F.lit(1)) == "/") & a.between(1, 12) & (b > 12)
+    year = F.when(year_first, _number(x, 1, 4)).otherwise(_number(x, 7, 4))
+    month = F.when(year_first, _number(x, 6, 2)).when(month_first, a).otherwise(b)
+    day = F.when(year_first, _number(x, 9, 2)).when(month_first, b).otherwise(a)
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     most = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
     valid = year.between(FIRST_YEAR, LAST_YEAR) & month.between(1, 12) & day.between(1, most)
@@ -166,14 +182,58 @@ def _date(x, key):
     number = F.date_diff(F.make_date(year, month, day), origin)
     left, right = CYCLE_DAYS
     state = _feistel(F.floor(number / right), number % right, F.lit(left), F.lit(right), key, "date")
+    plain = F.transform(F.array(state), lambda s: F.date_add(origin, (s["l"] * right + s["r"]).cast("int")))[0]
 
-    def written(s):
-        d = F.date_add(origin, (s["l"] * right + s["r"]).cast("int"))
-        y, m, n = _padded(F.year(d), 4), _padded(F.month(d), 2), _padded(F.day(d), 2)
-        a, b = F.substring(x, F.lit(3), F.lit(1)), F.substring(x, F.lit(6), F.lit(1))
-        return F.when(iso, F.concat(y, F.lit("-"), m, F.lit("-"), n)).otherwise(F.concat(n, a, m, b, y))
+    rows, columns = LATE_DAYS
+    late = number - 12 * (12 * (year - FIRST_YEAR) + month)
+    moved = _feistel(F.floor(late / columns), late % columns, F.lit(rows), F.lit(columns), key, "month-first")
 
-    return F.when(valid, F.transform(F.array(state), written)[0])
+    def late_date(n):
+        # the months' first late days are some 18.44 numbers apart, and never two months off that
+        guess = F.floor(n * 4800 / (rows * columns)).cast("int")
+        begin = lambda m: F.date_diff(F.add_months(origin, m), origin) - 12 * m
+        m = F.array_max(F.filter(F.sequence(F.greatest(F.lit(0), guess - 2), guess + 2), lambda m: begin(m) <= n))
+        return F.transform(F.array(m), lambda m: F.date_add(F.add_months(origin, m), (12 + n - begin(m)).cast("int")))[0]
+
+    shuffled = F.transform(F.array(moved), lambda s: F.transform(F.array(s["l"] * columns + s["r"]), late_date)[0])[0]
+
+    def written(d):
+        y, m, n = _padded(F.year(d), 4), _padded(F.month(d), 2), _padded(F.dayofmonth(d), 2)
+        gap = lambda i: F.substring(x, F.lit(i), F.lit(1))
+        first = F.concat(y, gap(5), m, gap(8), n)
+        return F.when(year_first, first).otherwise(F.concat(F.when(month_first, m).otherwise(n), gap(3), F.when(month_first, n).otherwise(m), gap(6), y))
+
+    return F.when(valid, F.transform(F.array(F.when(month_first, shuffled).otherwise(plain)), written)[0])
+
+
+def _iban(x, key):
+    whole = F.regexp_replace(x, " ", "")
+    head, body = F.substring(whole, F.lit(1), F.lit(2)), F.substring(whole, F.lit(5), F.length(whole))
+
+    def rest(text):
+        """The number modulo 97, letters as 10 to 35."""
+
+        def add(total, c):
+            v = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+            return F.when(v > 9, (total * 100 + v) % 97).otherwise((total * 10 + v) % 97)
+
+        return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+    valid = F.length(whole).between(15, 34) & (rest(F.concat(body, head, F.substring(whole, F.lit(3), F.lit(2)))) == 1)
+    made = _permuted_letters(body, key, "iban")
+    written = lambda b: _refilled(x, F.concat(head, _padded(98 - rest(F.concat(b, head, F.lit("00"))), 2), b), "[0-9A-Z]")
+    return F.when(valid, F.transform(F.array(made), written)[0])
+
+
+def _ipv6(x, key):
+    groups = F.split(x, ":")
+    filled = F.size(F.filter(groups, lambda g: g != ""))
+    whole = (F.size(groups) == 8) & (filled == 8)
+    # one gap: it stands for an empty group inside, for two at an end
+    ends = F.when(F.startswith(x, F.lit("::")), 1).otherwise(0) + F.when(F.endswith(x, F.lit("::")), 1).otherwise(0)
+    gap = x.contains("::") & ~x.rlike("::.*::|:::") & (F.size(groups) - filled == 1 + ends) & filled.between(3, 7)
+    made = _permuted_letters(F.lower(x), key, "ipv6", hexadecimal=True)
+    return F.when(whole | gap, F.when(x.rlike("[A-F]"), F.upper(made)).otherwise(made))
 
 
 def _ipv4(x, key):
@@ -186,9 +246,9 @@ def _ipv4(x, key):
 
 
 def _phone(x, key):
-    prefix = F.regexp_extract(x, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])", 0)
+    prefix = F.regexp_extract(x, r"^(?:\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])|00[0-9]{1,3}(?=[ .-]))", 0)
     rest = F.substring(x, F.length(prefix) + 1, F.length(x))
-    valid = F.length(_digits(x)).between(7, 15)
+    valid = F.length(_digits(x)).between(7, F.when(F.startswith(x, F.lit("00")), 17).otherwise(15))
     return F.when(valid, F.concat(prefix, _refilled(rest, _permuted_digits(_digits(rest), key, "phone"))))
 
 
@@ -205,8 +265,11 @@ def _ssn(x, key):
     return F.when(valid, F.transform(F.array(state), written)[0])
 
 
-def _permuted_letters(x, key: str, kind: str):
-    """Letters stay letters of their case, digits digits, all else stays: each shifted by the other half."""
+def _permuted_letters(x, key: str, kind: str, hexadecimal: bool = False):
+    """Letters stay letters of their case, digits digits, all else stays: each shifted by the other half.
+
+    With ``hexadecimal`` the sixteen digits are one alphabet.
+    """
     half = F.floor(F.length(x) / 2).cast("int")
     start = F.struct(F.substring(x, F.lit(1), half).alias("l"), F.substring(x, half + 1, F.length(x)).alias("r"))
 
@@ -215,6 +278,9 @@ def _permuted_letters(x, key: str, kind: str):
             code = F.ascii(c)
             text = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), j.cast("string"), other)
             by = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+            if hexadecimal:
+                at = F.instr(F.lit(HEX), c) - 1
+                return F.when(at >= 0, F.substring(F.lit(HEX), (F.pmod(at + by, 16) + 1).cast("int"), F.lit(1))).otherwise(c)
             turn = lambda first, n: F.char(first + F.pmod(code - first + by, n))
             return F.when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(48, 57), turn(48, 10)).otherwise(c)
 
@@ -236,17 +302,19 @@ def _email(x, key):
 
 
 def _key(x, key):
-    return F.concat(F.substring(x, F.lit(1), F.lit(4)), _permuted_letters(F.substring(x, F.lit(5), F.lit(16)), key, "key"))
+    head = F.regexp_extract(x, "^(?:AKIA|gh[a-z]_|sk-)", 0)
+    return F.concat(head, _permuted_letters(F.substring(x, F.length(head) + 1, F.length(x)), key, "key"))
 
 
-_WRITERS = {"email": _email, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "key": _key}
+_WRITERS = {"email": _email, "iban": _iban, "phone": _phone, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "key": _key}
 
 
 def pseudonym(value, key: str):
     """(kind, old, new, n) of one found value; new is null and n 0 where the value fails its validation."""
     none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"))
     kind, made = F.lit(None).cast("string"), none
-    for name, pattern in reversed(KINDS):
+    for name in reversed(dict.fromkeys(k for k, _ in KINDS)):
+        pattern = "|".join(p for k, p in KINDS if k == name)
         is_it = value.rlike(f"^(?:{pattern})$")
         kind = F.when(is_it, F.lit(name)).otherwise(kind)
         if name == "card":

@@ -2,51 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import discard, staged
-
 
 def keep_clear(rows, keys, pos, reach):
     """(keys, pos) of the rows kept when a key is read upwards: a row stays if it lies above the reach of the last kept one.
 
-    ``pos`` and ``reach`` (at least ``pos``) are whole numbers and (keys, pos) is unique.  A row
-    above all earlier reaches is kept in any case and starts a chain.  Every row points to the
-    next one that it allows; what a chain reaches is found by doubling the pointers, so there
-    are as many rounds of joins as the longest chain has binary digits, and no list per key.
-    Joins are on (keys, pos), one row each, so a hot key spreads like any other.
+    ``pos`` and ``reach`` (at least ``pos``) are whole numbers; of rows at the same place the
+    first alone can stay.  One sort by (keys, pos) and one pass: a task reads its keys one after
+    the other in Arrow batches and holds no more than the last reach, so no key is a list.
     """
     keys = list(keys)
-    d = staged(rows.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(reach).cast("long").alias("_r")))
-    # a number for every key, so that the rounds move four numbers a row
-    names = staged(d.select(*keys).distinct().withColumn("_k", F.monotonically_increasing_id()))
-    same = reduce(lambda a, k: a & F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")), keys, F.lit(True))
-    d = d.alias("d").join(names.alias("n"), same).select("n._k", "d._p", "d._r")
-    up = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_root", F.coalesce(F.col("_p") > F.max("_r").over(up), F.lit(True)))
-    # each row stands at its place and asks at its reach; downwards, the last place above a reach is the next row
-    place = F.struct(F.col("_p").alias("at"), (F.col("_p") * 2 + F.col("_root").cast("long")).alias("code"))
-    ask = F.struct(F.col("_r").alias("at"), F.lit(None).cast("long").alias("code"))
-    both = d.select("_k", "_p", "_root", F.inline(F.array(place, ask)))
-    down = Window.partitionBy("_k").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("_next", F.min("code").over(down)).where(F.col("code").isNull())
-    # a root is kept without being reached
-    hop = F.when(F.col("_next") % 2 == 0, F.floor(F.col("_next") / 2))
-    t = staged(both.select("_k", "_p", hop.cast("long").alias("_to"), F.col("_root").alias("_kept")))
-    while not t.where("_kept and _to is not null").isEmpty():
-        new = staged(_doubled(t))
-        discard(t)
-        t = new
-    kept = t.where("_kept").select("_k", F.col("_p").alias(pos))
-    return kept.join(names, "_k").select(*keys, pos)
-
-
-def _doubled(t):
-    """One round: what a kept row points to is kept, and every pointer goes twice as far."""
-    hits = t.where("_kept and _to is not null").select("_k", F.col("_to").alias("_p"), F.lit(True).alias("_hit")).distinct()
-    step = t.where("_to is not null").select("_k", F.col("_p").alias("_to"), F.col("_to").alias("_far"))
-    far = t.join(hits, ["_k", "_p"], "left").join(step, ["_k", "_to"], "left")
-    return far.select("_k", "_p", F.col("_far").alias("_to"), (F.col("_kept") | F.col("_hit").isNotNull()).alias("_kept"))
+    names = [f"k{i}" for i in range(len(keys))]
+    d = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(pos).cast("long").alias("_p"), F.col(reach).cast("long").alias("_r"))
+    first = F.row_number().over(Window.partitionBy(*names).orderBy("_p", "_r")) == 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for batch in batches:
+            kept = []
+            for new, p, r in zip(*[batch.column(c).to_pylist() for c in ("_first", "_p", "_r")]):
+                kept.append(new or p > end)
+                if kept[-1]:
+                    end = r
+            yield batch.select([*names, "_p"]).filter(pa.array(kept, pa.bool_()))
+
+    kinds = dict(d.dtypes)
+    schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "_p long"])
+    return d.withColumn("_first", first).mapInArrow(scan, schema).toDF(*keys, pos)

@@ -34,6 +34,15 @@ def test_chains_equal_a_loop_with_a_hot_key(spark, spread):
     assert got.count() == len(loop(rows))
 
 
+def test_chains_are_one_sort_without_joins(spark, capsys):
+    d = spark.createDataFrame([("a", 1, 2), ("a", 1, 3), ("a", 3, 3)], "k string, p long, r long")
+    got = keep_clear(d, ["k"], "p", "r")
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert sorted(r["p"] for r in got.collect()) == [1, 3]
+
+
 def test_no_rows_no_chains(spark):
     assert keep_clear(spark.createDataFrame([], "k string, p long, r long"), ["k"], "p", "r").count() == 0
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -297,28 +300,44 @@ def hurst_lags(most=100, steps=15):
 
 
 def hurst(bars, s: Series, lags=None):
-    """Rescaled-range exponent of the whole series: slope of ln(mean R/S) on ln(lag)."""
+    """Rescaled-range exponent of the whole series: slope of ln(mean R/S) on ln(lag).
+
+    A key's closes, which the calendar bounds, are one sorted array, cut into segments of each
+    lag in turn, so no row is repeated for the lags.  Keys too short for any lag are absent.
+    """
     lags = lags or hurst_lags()
-    d = bars.withColumns(
-        {
-            "_i": F.row_number().over(s.w) - 1,
-            "_n": F.count(F.lit(1)).over(Window.partitionBy(*s.keys)),
-        }
-    )
-    d = d.select(*s.keys, "_i", "_n", "close", F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"))
-    d = d.where((F.col("_n") >= 2 * F.col("lag")) & (F.col("_i") < F.floor(F.col("_n") / F.col("lag")) * F.col("lag")))
-    d = d.withColumn("_seg", F.floor(F.col("_i") / F.col("lag")))
-    seg = Window.partitionBy(*s.keys, "lag", "_seg")
-    d = d.withColumn("_dev", F.col("close") - F.avg("close").over(seg))
-    run = seg.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_cum", F.sum("_dev").over(run))
-    sd = F.stddev_pop("close")
-    one = d.groupBy(*s.keys, "lag", "_seg").agg(
-        F.when(F.max("close") > F.min("close"), (F.max("_cum") - F.min("_cum")) / sd).alias("rs")
-    )
-    per = one.groupBy(*s.keys, "lag").agg(F.avg("rs").alias("rs")).where(F.col("rs").isNotNull())
-    slope = F.regr_slope(F.ln("rs"), F.ln("lag"))
-    return per.groupBy(*s.keys).agg(F.when(F.count("rs") >= 3, slope).otherwise(0.5).alias("hurst"))
+
+    def exponent(series: pd.Series) -> pd.Series:
+        return pd.Series([_exponent(np.asarray(x, np.float64), lags) for x in series], dtype=object)
+
+    row = F.struct(*s.order, F.col("close").cast("double").alias("close"))
+    d = bars.groupBy(*s.keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    d = d.select(*s.keys, F.transform("_rows", lambda r: r["close"]).alias("_x"))
+    return d.withColumn("hurst", F.pandas_udf(exponent, "double")("_x")).drop("_x").where(F.col("hurst").isNotNull())
+
+
+def _exponent(x: np.ndarray, lags) -> float | None:
+    """A missing value adds nothing to its segment; None if no lag has a segment with two different values."""
+    found = []
+    for lag in lags:
+        n = len(x) // lag
+        if n < 2:
+            continue
+        seg = x[: n * lag].reshape(n, lag)
+        there = ~np.isnan(seg)
+        seg = seg[np.where(there, seg, -np.inf).max(1) > np.where(there, seg, np.inf).min(1)]
+        if not len(seg):
+            continue
+        dev = seg - np.nanmean(seg, axis=1, keepdims=True)
+        run = np.where(np.maximum.accumulate(~np.isnan(dev), axis=1), np.nancumsum(dev, axis=1), np.nan)
+        spread = np.nanmax(run, axis=1) - np.nanmin(run, axis=1)
+        found.append((math.log(lag), math.log((spread / np.nanstd(seg, axis=1)).mean())))
+    if not found:
+        return None
+    if len(found) < 3:
+        return 0.5
+    lag, rs = np.array(found).T
+    return float(((lag - lag.mean()) * (rs - rs.mean())).sum() / ((lag - lag.mean()) ** 2).sum())
 
 
 def half_life(bars, s: Series):

@@ -68,7 +68,7 @@ FEATS = fx.SCAN_FEATURES
 
 
 def scan_frame(t):
-    return fx.scan_features(t.bars(), 2.0).where(F.col("winner").isNotNull())
+    return fx.scan_features(t.series(), 2.0).where(F.col("winner").isNotNull())
 
 
 add_cte("scan_ok", "SELECT * FROM scan WHERE winner IS NOT NULL")

@@ -41,29 +41,101 @@ def _distances(a, b, metric):
     return out
 
 
-def _nearest(a, b, ids, k, metric):
-    """(row of a, row of b, distance) of the ``k`` nearest, ties by id.
+def _pair_distances(a, b, row, col, metric):
+    """Distances of the given pairs of rows, from direct differences, a slice at a time."""
+    out = np.empty(len(row))
+    for s in range(0, len(row), 1 << 16):
+        d = b[col[s : s + (1 << 16)]] - a[row[s : s + (1 << 16)]]
+        out[s : s + (1 << 16)] = np.abs(d).sum(axis=1) if metric == "manhattan" else np.sqrt(np.einsum("nd,nd->n", d, d))
+    return out
+
+
+def _best(row, col, dist, ids, k):
+    """The ``k`` nearest of each row's pairs, ties by id."""
+    order = np.lexsort((ids[col], dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], dist[keep]
+
+
+STEP_DIMS = 128  # up to so many components a sum of steps fits 16 bits with room to tell near from far
+TILE = 1 << 17  # pairs whose sums of steps stay in a core's cache
 
-    Euclidean candidates come from the centred Gram form, kept as far as its rounding could
-    matter; what is returned is measured by direct differences.
+
+def _near_by_steps(a, b, k, bound):
+    """(row of a, row of b, distance): pairs among which each row's ``k`` nearest by Manhattan distance within ``bound`` are.
+
+    Components become whole steps of one width; those beyond the borders that hold nearly all of
+    them count as on the border, which only brings vectors closer.  So a sum of steps is no more
+    than the distance in steps and one for each component, whatever the data, and only pairs that
+    this doesn't rule out are measured.  A row without a bound takes the k-th of its first tile.
+    """
+    dim = a.shape[1]
+    kind = np.int16 if dim <= STEP_DIMS else np.int32
+    most = np.iinfo(kind).max
+    low, high = np.quantile(b, [0.001, 0.999], axis=0)
+    step = (high - low).sum() / (most - 3 * dim)
+    step = step if step > 0 else 1.0
+    steps = lambda x: np.ascontiguousarray(np.rint((np.clip(x, low, high) - low) / step).astype(kind).T)
+    x, y = steps(a), steps(b)
+    bound, found = bound.copy(), []
+    width = min(len(b), 4096)
+    height = max(1, TILE // width)
+    for r in range(0, len(a), height):
+        for c in range(0, len(b), width):
+            u, v = x[:, r : r + height], y[:, c : c + width]
+            total, part = np.zeros((u.shape[1], v.shape[1]), kind), np.empty((u.shape[1], v.shape[1]), kind)
+            for j in range(dim):
+                np.subtract(v[j][None, :], u[j][:, None], out=part)
+                np.abs(part, out=part)
+                np.add(total, part, out=total)
+            free = np.flatnonzero(np.isinf(bound[r : r + height]))
+            if len(free) and v.shape[1] >= k:
+                some = np.argpartition(total[free], k - 1, axis=1)[:, :k]
+                near = _pair_distances(a[r:], b[c:], np.repeat(free, k), some.reshape(-1), "manhattan")
+                bound[r + free] = near.reshape(-1, k).max(axis=1)
+            limit = np.minimum(np.floor(bound[r : r + height] / step * (1 + 1e-9)) + dim + 1, most).astype(kind)
+            row, col = np.nonzero(total <= limit[:, None])
+            if len(row):
+                found.append((row + r, col + c, _pair_distances(a[r:], b[c:], row, col, "manhattan")))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _nearest(a, b, ids, k, metric, bound=None):
+    """(row of a, row of b, distance) of the ``k`` nearest, ties by id; pairs beyond a row's ``bound`` may be left out.
+
+    Candidates come from a form that is cheap to compute, kept as far as its rounding could
+    matter: the centred Gram form, or sums of whole steps for Manhattan distance.  What is
+    returned is measured by direct differences.  Vectors that are not finite are measured with all.
     """
-    if metric != "manhattan":
-        centre = b.mean(axis=0)
-        x, y = a - centre, b - centre
-        xx, yy = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", y, y)
-        rough = xx[:, None] + yy[None, :] - 2.0 * (x @ y.T)
+    bound = np.full(len(a), np.inf) if bound is None else bound
+    if metric == "manhattan":
+        fine_a, fine_b = (np.flatnonzero(np.isfinite(x).all(axis=1)) for x in (a, b))
+        odd_a, odd_b = (np.flatnonzero(~np.isfinite(x).all(axis=1)) for x in (a, b))
+        pairs = []
+        if len(fine_a) and len(fine_b):
+            row, col, dist = _near_by_steps(a[fine_a], b[fine_b], k, bound[fine_a])
+            pairs.append((fine_a[row], fine_b[col], dist))
+        for rows, cols in ((odd_a, np.arange(len(b))), (fine_a[np.isinf(bound[fine_a])], odd_b)):
+            for i in rows:
+                pairs.append((np.full(len(cols), i), cols, _pair_distances(a, b, np.full(len(cols), i), cols, metric)))
+        if not pairs:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return _best(*map(np.concatenate, zip(*pairs)), ids, k)
+    centre = b.mean(axis=0)
+    x, y = a - centre, b - centre
+    xx, yy = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", y, y)
+    rough = xx[:, None] + yy[None, :] - 2.0 * (x @ y.T)
+    room = 1e-12 * (xx + yy.max()) * np.sqrt(a.shape[1])
+    reach = bound * bound * (1 + 1e-9) + 2.0 * room
+    free = np.flatnonzero(np.isinf(bound))
+    if len(free):
         m = min(k, len(b))
-        room = 1e-12 * (xx + yy.max()) * np.sqrt(a.shape[1])
-        reach = np.partition(rough, m - 1, axis=1)[:, m - 1] + 2.0 * room
-    rows, cols, dist = [], [], []
-    for i, row in enumerate(a):
-        near = np.arange(len(b)) if metric == "manhattan" else np.flatnonzero(rough[i] <= reach[i])
-        d = _distances(b[near], row[None, :], metric)[:, 0]
-        best = np.lexsort((ids[near], d))[:k]
-        rows.append(np.full(len(best), i))
-        cols.append(near[best])
-        dist.append(d[best])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+        reach[free] = np.partition(rough[free], m - 1, axis=1)[:, m - 1] + 2.0 * room[free]
+    row, col = np.nonzero(rough <= reach[:, None])
+    return _best(row, col, _pair_distances(a, b, row, col, metric), ids, k)
 
 
 def pivots(points, vec, n):
@@ -86,39 +158,76 @@ def _assign(df, vec, centers, metric, out, dist):
     return df.withColumn("_a", nearest(vec)).withColumns({out: F.col("_a.c"), dist: F.col("_a.d")}).drop("_a")
 
 
+PAIRS = 100_000_000  # of a task, some seconds
+
+
 def _probe_cells(who, p, cells, k, metric, block_rows, schema, hint=lambda deal: deal):
     """The ``k`` nearest points of a cell for each query sent there; both sides are dealt into blocks by their counts.
 
-    ``who``: a written table (_q, _qv, _cell); ``p``: (_p, _pv, _cell); ``cells``: (_cell, _n).
-    Each (query, block) gives back at most ``k`` rows, so no cell is one task.
+    ``who``: a written table (_q, _qv, _cell), and if it is known (_t, _visit): how far the k-th
+    neighbour is at most, and the parts of the cell that may hold something closer; ``p``: (_p,
+    _pv, _cell), then also _part; ``cells``: (_cell, _n).  Each (query, block) gives back at most
+    ``k`` rows for each part, so no cell is one task, and there are as many tasks as the pairs ask for.
     """
+    known = [c for c in ("_t", "_visit") if c in who.columns]
 
     def search(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"_q": left["_q"][:0], "_p": right["_p"][:0], "_d": pd.Series([], dtype="float64")})
-        a, b, ids, names = np.stack(left["_qv"].to_numpy()), np.stack(right["_pv"].to_numpy()), right["_p"].to_numpy(), left["_q"].to_numpy()
-        out = []
-        # queries go through in slices, so the distance block stays small
-        for s in range(0, len(a), 256):
-            row, col, dist = _nearest(a[s : s + 256], b, ids, k, metric)
-            out.append((names[s + row], ids[col], dist))
+        a, b = (np.stack(v.to_numpy()).astype("float64") for v in (left["_qv"], right["_pv"]))
+        ids, names = right["_p"].to_numpy(), left["_q"].to_numpy()
+        if known:
+            bound, part = left["_t"].to_numpy(), right["_part"].to_numpy()
+            visit = left["_visit"].to_numpy()
+            goes, who_goes = np.concatenate(visit), np.repeat(np.arange(len(a)), [len(v) for v in visit])
+            turns = [(who_goes[goes == c], np.flatnonzero(part == c)) for c in np.unique(part)]
+        else:
+            bound, turns = np.full(len(a), np.inf), [(np.arange(len(a)), np.arange(len(b)))]
+        out = [(names[:0], ids[:0], np.empty(0))]
+        for mine, theirs in turns:
+            points, point_ids = b[theirs], ids[theirs]
+            # queries go through in slices, so the distance block stays small
+            for s in range(0, len(mine), 256):
+                some = mine[s : s + 256]
+                row, col, dist = _nearest(a[some], points, point_ids, k, metric, bound[some])
+                out.append((names[some[row]], point_ids[col], dist))
         return pd.DataFrame(dict(zip(("_q", "_p", "_d"), map(np.concatenate, zip(*out)))))
 
     many = who.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"))
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block_rows)).cast("long")
-    deal = staged(cells.join(many, "_cell").select("_cell", parts("_n").alias("_pb"), parts("_m").alias("_qb")))
+    met = cells.join(many, "_cell")
+    deal = staged(met.select("_cell", parts("_n").alias("_pb"), parts("_m").alias("_qb"), (F.col("_n") * F.col("_m")).alias("_pairs")))
+    pairs = deal.agg(F.sum(F.col("_pairs").cast("double"))).collect()[0][0] or 0.0
+    # by bytes these tasks would be few: what they cost is pairs
+    tasks = max(who.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS))
 
     def dealt(df, key, own, other, mine, theirs):
         d = df.join(hint(deal), "_cell")
         d = d.withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)))
         return d.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
 
-    a = dealt(who, "_q", "_qb", "_pb", "_qblock", "_pblock").select("_cell", "_pblock", "_qblock", "_q", "_qv")
-    b = dealt(p, "_p", "_pb", "_qb", "_pblock", "_qblock").select("_cell", "_pblock", "_qblock", "_p", "_pv")
     keys = ("_cell", "_pblock", "_qblock")
+    a = dealt(who, "_q", "_qb", "_pb", "_qblock", "_pblock").select(*keys, "_q", "_qv", *known).repartition(tasks, *keys)
+    b = dealt(p, "_p", "_pb", "_qb", "_pblock", "_qblock").select(*keys, "_p", "_pv", *(["_part"] if known else [])).repartition(tasks, *keys)
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, schema)
 
 
+def _packs(sizes, room):
+    """Number of the pack of each cell: small cells share one of about ``room`` points."""
+    out, pack, held = [], 0, 0
+    for n in sizes:
+        if held and held + n > room:
+            pack, held = pack + 1, 0
+        out.append(pack)
+        held += n
+    return out
+
+
+def _own_type(df, vec):
+    """The vectors with the components of their type if they are floating point, else as doubles."""
+    return F.col(vec) if dict(df.dtypes)[vec] in ("array<float>", "array<double>") else F.transform(vec, lambda x: x.cast("double"))
+
+
 def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidean", n_pivots=None, block_rows=20_000):
     """The exact ``k`` nearest points of every query, without comparing every pair.
 
@@ -127,16 +236,18 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     points nor one that most queries visit is one task; a side is repeated only for the blocks
     of the other.  A query first searches its own cell; the k-th distance found there bounds
     the answer, and by the triangle inequality only cells whose ring [near, far] can hold
-    something closer are searched next.  Each (query, block) gives back at most ``k`` rows.
-    Ties go to the smaller point id.
+    something closer are searched next, for what is within the bound.  Small cells share a
+    block there, in which a query goes to its own ones, so it travels once for each block.
+    Where nothing can be ruled out (random vectors), that is every pair, in tasks of a fixed
+    number of pairs.  Ties go to the smaller point id.
 
     Cosine distance is half the squared Euclidean distance of unit vectors, so it is
     searched as Euclidean and converted.
     """
     inner = "euclidean" if metric == "cosine" else metric
-    prep = unit(F.col(vec)) if metric == "cosine" else F.transform(vec, lambda x: x.cast("double"))
-    q = queries.select(F.col(query_id).alias("_q"), prep.alias("_qv"))
-    p = staged(points.select(F.col(point_id).alias("_p"), prep.alias("_pv")))
+    prep = lambda df: unit(F.col(vec)) if metric == "cosine" else _own_type(df, vec)
+    q = queries.select(F.col(query_id).alias("_q"), prep(queries).alias("_qv"))
+    p = staged(points.select(F.col(point_id).alias("_p"), prep(points).alias("_pv")))
     centers = pivots(p, "_pv", n_pivots or min(256, max(16, int(p.count() ** 0.5) // 8)))
     if not len(centers):  # no points, no neighbours
         ids = [f"{out} {dict(df.dtypes)[out]}" for df, out in ((queries, query_id), (points, point_id))]
@@ -146,30 +257,34 @@ def knn_join(queries, points, k, query_id, point_id, vec="vec", metric="euclidea
     q = staged(_assign(q, "_qv", centers, inner, "_home", "_qd"))
     types = {n: t for n, t in q.dtypes} | {n: t for n, t in p.dtypes}
     schema = f"_q {types['_q']}, _p {types['_p']}, _d double"
-
-    def probe(who):
-        # one row per pivot
-        return _probe_cells(who, p, cells, k, inner, block_rows, schema, F.broadcast)
-
-    first = staged(probe(q.select("_q", "_qv", F.col("_home").alias("_cell"))))
+    # one row per pivot
+    first = staged(_probe_cells(q.select("_q", "_qv", F.col("_home").alias("_cell")), p, cells, k, inner, block_rows, schema, F.broadcast))
     kth = top_per_group(first, ["_q"], ["_d", "_p"], k, "_r").groupBy("_q").agg(
         F.max(F.when(F.col("_r") == k, F.col("_d"))).alias("_tau")
     )
+    rings = sorted(cells.collect())  # one row per pivot
+    held, near, far = (np.array([r[c] for r in rings]) for c in ("_cell", "_near", "_far"))
+    packs = dict(zip(held.tolist(), _packs([r["_n"] for r in rings], block_rows)))
 
-    @F.pandas_udf("array<double>")
-    def to_centers(v: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def visits(v: pd.Series, home: pd.Series, bound: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series(list(_distances(np.stack(v.to_numpy()).astype("float64"), centers, inner)))
-
-    rings = cells.agg(F.collect_list(F.struct("_cell", "_near", "_far")).alias("r")).scalar()  # one entry per pivot
-    more = q.join(kth, "_q", "left").withColumns({"_dc": to_centers("_qv"), "_cells": rings})
-    more = more.select("_q", "_qv", "_home", "_dc", F.coalesce("_tau", F.lit(float("inf"))).alias("_t"), F.explode("_cells").alias("_c"))
-    away = F.col("_dc")[F.col("_c._cell")]
-    gap = F.greatest(away - F.col("_c._far"), F.col("_c._near") - away)
-    # distances are exact to rounding, which is relative to their size
-    more = more.where((F.col("_c._cell") != F.col("_home")) & (gap <= F.col("_t") + 1e-9 * (away + F.col("_c._far"))))
-    rest = probe(staged(more.select("_q", "_qv", F.col("_c._cell").alias("_cell"))))
+        away = _distances(np.stack(v.to_numpy()).astype("float64"), centers[held], inner)
+        gap = np.maximum(away - far, near - away)
+        # distances are exact to rounding, which is relative to their size
+        goes = ~(gap > bound.to_numpy()[:, None] + 1e-9 * (away + far))
+        goes &= held != home.to_numpy()[:, None]
+        return pd.Series([held[g].astype("int32") for g in goes])
+
+    pack_of = F.create_map(*[F.lit(x) for pair in packs.items() for x in pair])
+    more = q.join(kth, "_q", "left").withColumn("_t", F.coalesce(F.nanvl("_tau", F.lit(float("inf"))), F.lit(float("inf"))))
+    more = more.withColumn("_cells", visits("_qv", "_home", "_t"))
+    more = more.withColumn("_pack", F.explode(F.array_distinct(F.transform("_cells", lambda c: pack_of[c]))))
+    more = staged(more.select("_q", "_qv", F.col("_pack").alias("_cell"), "_t", F.filter("_cells", lambda c: pack_of[c] == F.col("_pack")).alias("_visit")))
+    packed = p.select("_p", "_pv", F.col("_cell").alias("_part"), pack_of[F.col("_cell")].alias("_cell"))
+    sizes = packed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    rest = _probe_cells(more, packed, sizes, k, inner, block_rows, schema, F.broadcast)
     top = top_per_group(first.unionByName(rest), ["_q"], ["_d", "_p"], k, "neighbor_rank")
     d = F.col("_d") * F.col("_d") / 2.0 if metric == "cosine" else F.col("_d")
     return top.select(

@@ -246,3 +246,42 @@ def test_approximate_neighbours_of_empty_tables(spark):
         assert got.count() == 0
     got, recall = vx.approximate_knn(as_q(some), as_p(some), 3, "qid", "pid")
     assert got.count() == 1 and recall == 1.0
+
+
+def test_search_tasks_follow_the_pairs(spark, monkeypatch):
+    # 30 cells of a few kB: by bytes they would be one task
+    monkeypatch.setattr(vx, "PAIRS", 5_000, raising=False)
+    rows = [(i, [float(i), 1.0], i % 30) for i in range(1200)]
+    who = spark.createDataFrame(rows, "_q long, _qv array<double>, _cell int")
+    p = spark.createDataFrame(rows, "_p long, _pv array<double>, _cell int")
+    cells = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    found = vx._probe_cells(who, p, cells, 1, "manhattan", 20_000, "_q long, _p long, _d double")
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 1200 and all(r["_q"] == r["_p"] for r in got)
+    assert len({r["task"] for r in got}) >= 10
+
+
+@pytest.mark.parametrize("metric", vx.METRICS[:2])
+def test_bounded_search_loses_no_neighbour(metric):
+    rng = np.random.default_rng(12)
+    for dim, n, k in ((1, 50, 3), (6, 5000, 5), (200, 300, 4), (3, 2, 5)):
+        b = rng.normal(size=(n, dim)).round(rng.integers(1, 4))
+        b[rng.integers(0, n, 5)] *= 1e6  # far beyond the others
+        a = np.vstack([rng.normal(size=(20, dim)), b[:2]])
+        ids = rng.permutation(n)
+        full = vx._distances(b, a, metric).T
+        best = [np.lexsort((ids, d))[:k] for d in full]
+        kth = np.array([d[x].max() for d, x in zip(full, best)])
+        for bound in (None, kth, np.where(np.arange(len(a)) % 2, kth, np.inf)):
+            row, col, dist = vx._nearest(a, b, ids, k, metric, *([] if bound is None else [bound]))
+            for i, x in enumerate(best):
+                assert ids[col[row == i]].tolist() == ids[x].tolist()
+                assert np.allclose(dist[row == i], full[i][x])
+
+
+def test_vectors_that_are_not_finite_hide_no_neighbour():
+    b = np.vstack([np.arange(12.0).reshape(6, 2), [[np.nan, 1.0], [np.inf, 0.0]]])
+    a = np.array([[0.0, 1.0], [np.nan, 0.0], [9.0, 9.0]])
+    row, col, dist = vx._nearest(a, b, np.arange(8), 7, "manhattan")
+    assert col[row == 0].tolist() == [0, 1, 2, 3, 4, 5, 7] and col[row == 2].tolist()[:2] == [4, 5]
+    assert np.isnan(dist[row == 1]).all()

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -77,13 +78,14 @@ def fired_keys(rules, columns):
     if not table.features:
         return F.array().cast("array<string>")
 
-    def keys(*features: pd.Series) -> pd.Series:
-        values = [f.to_numpy(np.float64) for f in features]
-        row, rule = table.pairs(values)
-        cuts = np.searchsorted(row, np.arange(1, len(values[0])))
-        return pd.Series([list(k) for k in np.split(table.keys[rule], cuts)][: len(values[0])], dtype=object)
+    names = pa.array(table.keys, pa.string())
 
-    return F.pandas_udf(keys, "array<string>")(*table.columns())
+    def keys(*features: pa.Array) -> pa.Array:
+        row, rule = table.pairs([f.to_numpy(zero_copy_only=False) for f in features])
+        offsets = np.searchsorted(row, np.arange(len(features[0]) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(rule, pa.int64())))
+
+    return F.arrow_udf(keys, "array<string>")(*table.columns())
 
 
 def firings(df, rules, keep=("symbol", "date")):

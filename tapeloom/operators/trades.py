@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import DAILY, ratio, row_of
 from ..session import staged
+from ..sources.tables import PART_ROWS
 from .chains import keep_clear
 from .joins import interval_join, next_row_after
 
@@ -101,79 +106,119 @@ LABEL_EXITS = {
 }
 
 
-def barrier_exits(bars, entries, exits=None, slippage=0.001):
+def barrier_exits(bars, entries, exits=None, slippage=0.001, keep=()):
     """Stop, target or time exit for every entry, each on its own.
 
     ``entries``: (symbol, date, rule_key, label).  The fill is the next row's open; the
-    stop is read before the target on the same row.  An exit depends on symbol, date and
-    label only, so it is found once for each and joined back to the rules.  A symbol's bars,
-    which the calendar bounds, are one sorted array, out of which the days asked for slice
-    their forward rows.
-    """
-    asked_for = staged(entries.select("symbol", "date", "rule_key", "label"))
-    found = _exits_of(bars, asked_for.select("symbol", "date", "label").distinct(), exits or LABEL_EXITS, slippage)
-    out = asked_for.join(found, ["symbol", "date", "label"]).withColumnRenamed("date", "signal_date")
-    return out.select("symbol", "signal_date", "rule_key", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason")
-
+    stop is read before the target on the same row.  ``keep`` names columns of the bars that
+    come along from the entry's own row.
 
-def _exits_of(bars, entries, exits, slippage):
-    """(symbol, date, label) with fill and exit; ``entries`` holds each once."""
+    Bars and entries are one stream, sorted by symbol and backwards by date, with an entry
+    behind the bar of its date; a task reads it in Arrow batches and holds the bars that an
+    exit can still reach, so neither a symbol's bars nor its entries are ever one list.  An exit
+    depends on symbol, date and label only, so a batch finds it once for each.
+    """
+    exits = exits or LABEL_EXITS
+    prices, keep = ["open", "low", "high", "close_adj"], list(keep)
+    left = bars.select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in prices], *[F.col(c).alias(f"keep_{c}") for c in keep])
+    right = entries.select("symbol", "date", "rule_key", "label").dropna(subset=["symbol", "date", "label"])
+    both = left.where(F.col("symbol").isNotNull()).unionByName(right, allowMissingColumns=True)
+    both = both.withColumn("is_entry", F.col("label").isNotNull())
+    parts = max(bars.sparkSession.sparkContext.defaultParallelism, math.ceil(bars.count() / PART_ROWS))
+    back = [F.col(c).desc() for c in prices]  # rows of one date are in the order of their prices
+    both = both.repartition(parts, "symbol").sortWithinPartitions("symbol", F.col("date").desc(), "is_entry", *back)
+    kinds = dict(both.dtypes)
+    schema = {
+        "symbol": kinds["symbol"], "signal_date": kinds["date"], "rule_key": kinds["rule_key"], "entry_date": kinds["date"], "entry_price": "double",
+        "exit_date": kinds["date"], "exit_price": "double", "exit_reason": "string", **{c: kinds[f"keep_{c}"] for c in keep},
+    }
+    return both.mapInArrow(lambda batches: _exits(batches, exits, slippage, keep), ", ".join(f"`{n}` {t}" for n, t in schema.items()))
+
+
+REASONS = pa.array(["end_of_period", "stop", "target", "time"])
+
+
+def _exits(batches: Iterator[pa.RecordBatch], exits, slippage, keep) -> Iterator[pa.RecordBatch]:
+    """The exits of a sorted stream of bars and entries; see ``barrier_exits``."""
     longest = max(t for _, _, t in exits.values())
-    days = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "open", "low", "high", "close_adj"))).alias("bs"))
-    days = days.withColumn("dates", F.transform("bs", lambda b: b["date"]))
-    asked = entries.groupBy("symbol").agg(F.collect_list(F.struct("date", "label")).alias("es"))
-    placed = F.transform("es", lambda x: F.struct(x.alias("x"), F.array_position("dates", x["date"]).cast("int").alias("i")))
-    placed = F.filter(placed, lambda p: (p["i"] > 0) & (p["i"] < F.size("bs")))
-    paths = F.transform(
-        placed,
-        lambda p: F.struct(
-            p["x"]["date"].alias("date"),
-            p["x"]["label"].alias("label"),
-            F.get("bs", p["i"]).alias("_fill_row"),
-            F.slice("bs", p["i"] + 2, longest).alias("_ahead"),
-        ),
-    )
-    d = asked.join(days, "symbol").select("symbol", F.element_at("bs", -1).alias("_last"), F.inline(paths))
-    d = d.withColumns({"_fill": F.col("_fill_row.open"), "entry_date": F.col("_fill_row.date")}).where("_fill > 0")
-    pick = {k: F.create_map(*[x for n, v in exits.items() for x in (F.lit(n), F.lit(v[i]))]) for i, k in enumerate("tsd")}
-    lab = F.col("label")
-    d = d.withColumns(
-        {
-            "entry_price": F.col("_fill") * (1 + slippage),
-            "_t": F.try_element_at(pick["t"], lab),
-            "_s": F.try_element_at(pick["s"], lab),
-            "_d": F.try_element_at(pick["d"], lab),
-        }
-    )
-    d = d.withColumns({"_tp": F.col("entry_price") * (1 + F.col("_t")), "_sl": F.col("entry_price") * (1 - F.col("_s"))})
-    d = d.withColumns(
-        {
-            "_is": F.array_position(F.transform(F.slice("_ahead", F.lit(1), F.col("_d")), lambda x: x["low"] <= F.col("_sl")), F.lit(True)),
-            "_it": F.array_position(F.transform(F.slice("_ahead", F.lit(1), F.col("_d")), lambda x: x["high"] >= F.col("_tp")), F.lit(True)),
-        }
-    )
-    stop = (F.col("_is") > 0) & ((F.col("_it") == 0) | (F.col("_is") <= F.col("_it")))
-    target = ~stop & (F.col("_it") > 0)
-    timed = ~stop & ~target & (F.size("_ahead") >= F.col("_d"))
-    reason = F.when(stop, "stop").when(target, "target").when(timed, "time").otherwise("end_of_period")
-    at = F.when(stop, F.col("_is")).when(target, F.col("_it")).otherwise(F.col("_d"))
-    gross = (
-        F.when(stop, F.col("_sl"))
-        .when(target, F.col("_tp"))
-        .when(timed, F.get("_ahead", F.col("_d") - 1)["close_adj"])
-        .otherwise(F.col("_last.close_adj"))
-    )
-    exit_date = F.when(reason != "end_of_period", F.get("_ahead", (at - 1).cast("int"))["date"]).otherwise(F.col("_last.date"))
-    return d.select(
-        "symbol",
-        "date",
-        "label",
-        "entry_date",
-        "entry_price",
-        exit_date.alias("exit_date"),
-        (gross * (1 - slippage)).alias("exit_price"),
-        reason.alias("exit_reason"),
-    )
+    names = pa.array(list(exits))
+    # a label without an exit has no barrier and no day
+    targets, stops, days = (np.array([*[v[i] for v in exits.values()], missing]) for i, missing in ((0, np.nan), (1, np.nan), (2, 0)))
+    held, final = None, None  # the latest bars, and the last one in time of their symbol
+    for batch in batches:
+        batch = pa.Table.from_batches([batch])
+        bars = batch.filter(pc.invert(batch["is_entry"]))
+        bars = (bars if held is None else pa.concat_tables([held, bars])).combine_chunks()
+        entries = batch.filter(batch["is_entry"])
+        if not bars.num_rows:  # entries of symbols that have none
+            continue
+        symbol = bars["symbol"].combine_chunks()
+        new = np.append(True, pc.not_equal(symbol[1:], symbol[:-1]).to_numpy(zero_copy_only=False))
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))  # a symbol's last bar in time
+        ends = bars.select(["date", "close_adj"])
+        if held is not None:  # the first symbol's may be gone from what is held
+            ends = pa.concat_tables([final, ends.slice(1)])
+        if entries.num_rows:
+            yield from _exits_of(bars, ends, begin, entries, batch["is_entry"], names, targets, stops, days, longest, slippage, keep)
+        at = begin[-1]
+        final = ends.slice(at, 1)
+        held = bars.slice(max(at, len(new) - longest - 2))
+
+
+def _exits_of(bars, ends, begin, entries, is_entry, names, targets, stops, days, longest, slippage, keep) -> Iterator[pa.RecordBatch]:
+    """The exits of a batch's entries, whose bars and those after them in time are ``bars``, backwards."""
+    is_entry = is_entry.to_numpy()
+    own = np.cumsum(~is_entry)[is_entry] + len(begin) - np.count_nonzero(~is_entry) - 1  # the bar before an entry in the stream
+    on = (own >= 0) & (own > begin[np.maximum(own, 0)])  # the last bar in time has no next one
+    at = pa.array(np.maximum(own, 0))
+    for c in ("symbol", "date"):
+        on &= pc.fill_null(pc.equal(entries[c], bars[c].take(at)), False).to_numpy()
+    entries, own = entries.filter(pa.array(on)), own[on]
+    label = pc.fill_null(pc.index_in(entries["label"], value_set=names), len(names)).to_numpy().astype(np.int64)
+    case, which = np.unique(own * (len(names) + 1) + label, return_inverse=True)  # an exit for each day and label
+    j, label = case // (len(names) + 1), case % (len(names) + 1)
+
+    def ordered(c):
+        """Not-a-number is above all numbers; nothing compares with a null."""
+        x = bars[c].to_numpy()
+        return np.where(bars[c].is_null().to_numpy(), np.nan, np.where(np.isnan(x), np.inf, x))
+
+    low, high = ordered("low"), ordered("high")
+    # a fill that is null or not above zero is none
+    some = ordered("open")[j - 1] > 0
+    price = bars["open"].to_numpy()[j - 1] * (1 + slippage)
+    tp, sl, d = price * (1 + targets[label]), price * (1 - stops[label]), days[label]
+    known = label < len(names)
+    above = lambda x: np.where(np.isnan(x), np.inf, x)
+    tp_at, sl_at = above(tp), above(sl)
+    ahead = np.minimum(j - 1 - begin[j], longest)
+    reach = np.where(some, np.minimum(d, ahead), 0)
+    reason, row = np.zeros(len(j), np.int64), begin[j]
+    active = np.flatnonzero(reach > 0)
+    for k in range(1, longest + 1):
+        active = active[reach[active] >= k]
+        if not len(active):
+            break
+        day = j[active] - 1 - k
+        stop, hit = low[day] <= sl_at[active], high[day] >= tp_at[active]
+        out = stop | hit
+        reason[active[out]] = np.where(stop[out], 1, 2)
+        row[active[out]] = day[out]
+        active = active[~out]
+    timed = (reason == 0) & known & (ahead >= d)
+    reason[timed], row[timed] = 3, j[timed] - 1 - d[timed]
+    last = (reason == 0)[which]
+    gross = pc.if_else(pa.array(last), ends["close_adj"].take(pa.array(begin[j][which])), bars["close_adj"].take(pa.array(row[which])))
+    barrier = np.where(reason == 1, sl, tp)[which]
+    gross = pc.if_else(pa.array(np.isin(reason, (1, 2))[which]), pa.array(barrier), gross)
+    exit_date = pc.if_else(pa.array(last), ends["date"].take(pa.array(begin[j][which])), bars["date"].take(pa.array(row[which])))
+    mine, fill = pa.array(j[which]), pa.array(j[which] - 1)
+    columns = [
+        entries["symbol"], entries["date"], entries["rule_key"], bars["date"].take(fill), pa.array(price[which]),
+        exit_date, pc.multiply(gross, 1 - slippage), REASONS.take(pa.array(reason[which])), *[bars[f"keep_{c}"].take(mine) for c in keep],
+    ]
+    out = pa.table(columns, names=["symbol", "signal_date", "rule_key", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason", *keep])
+    yield from out.filter(pa.array(some[which])).combine_chunks().to_batches()
 
 
 def exit_flags(scored, score, share):

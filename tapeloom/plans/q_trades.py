@@ -96,15 +96,15 @@ add_cte(
 def best_signals(t):
     """Strongest rule per (symbol, date); here the rule order stands for its lift."""
     rank = F.create_map(*[x for i, r in enumerate(LIVE) for x in (F.lit(r.key), F.lit(i))])
-    label = F.create_map(*[x for r in LIVE for x in (F.lit(r.key), F.lit(r.source))])
     f = ru.firings(rule_frame(t), LIVE)
-    w = Window.partitionBy("symbol", "date").orderBy(rank[F.col("rule_key")].desc(), "rule_key")
-    f = f.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return f.withColumn("label", label[F.col("rule_key")])
+    # every rule has a rank of its own, and the frame is dealt by symbol already
+    f = f.groupBy("symbol", "date").agg(F.max(rank[F.col("rule_key")]).alias("_r"))
+    key, label = (F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("_r") + 1) for xs in zip(*[(r.key, r.source) for r in LIVE]))
+    return f.select("symbol", "date", key.alias("rule_key"), label.alias("label"))
 
 
-def barrier_trades(t):
-    return tr.barrier_exits(t.bars(), best_signals(t))
+def barrier_trades(t, bars=None, keep=()):
+    return tr.barrier_exits(t.bars() if bars is None else bars, best_signals(t), keep=keep)
 
 
 B_SPEC = "symbol d:signal_date rule_key d:entry_date f:entry_price d:exit_date g:exit_price exit_reason"
@@ -312,8 +312,8 @@ add_cte(
 @query("x8_atr_friction", E(FR_SPEC, "SELECT * FROM atrfric"))
 def x8(spark, sf):
     t = Tables(spark, sf, share=True)
-    atr = fx.atr_pct(t.bars()).select("symbol", F.col("date").alias("signal_date"), F.col("atr_pct_14").alias("entry_atr"))
-    return emit(tr.atr_friction(barrier_trades(t).join(atr, ["symbol", "signal_date"]), "entry_atr"), *FR_COLS)
+    bars = fx.atr_pct(t.series()).withColumnRenamed("atr_pct_14", "entry_atr")
+    return emit(tr.atr_friction(barrier_trades(t, bars, ["entry_atr"]), "entry_atr"), *FR_COLS)
 
 
 @query(
@@ -337,7 +337,8 @@ def x9(spark, sf):
     ),
 )
 def x10(spark, sf):
-    d = staged(tr.flat_friction(barrier_trades(Tables(spark, sf, share=True))))
+    d = tr.flat_friction(barrier_trades(Tables(spark, sf, share=True)))
+    d = staged(d.select("rule_key", "symbol", "signal_date", "exit_date", "net_pnl_usd"))  # what the curve reads
     c = tr.equity_curve(d, ["rule_key"], "exit_date", ["symbol", "signal_date"], "net_pnl_usd", START * 100)
     end = F.lit(START * 100) + F.sum("net_pnl_usd")
     return emit(tr.curve_stats(c, ["rule_key"], final_equity=end), "rule_key", "n_trades", "sharpe", "max_drawdown", "final_equity")

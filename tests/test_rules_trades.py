@@ -11,6 +11,8 @@ from tapeloom.operators import signals as sg
 from tapeloom.operators import trades as tr
 from tapeloom.operators.predicates import condition
 from tapeloom.operators.rules import Rule
+from tapeloom.plans.q_trades import best_signals
+from tapeloom.sources.tables import Tables
 
 D0 = date(2024, 1, 1)
 
@@ -191,3 +193,67 @@ def test_spoiled_signals_are_named(spark):
     s = spark.createDataFrame(rows, "signal_id string, symbol string, signal_date string, signal_type string, signal_strength double")
     assert sorted(r["invalid_reason"] or "" for r in sg.validate(s).collect()) == ["", "", "date", "strength", "type"]
     assert [r["signal_id"] for r in sg.duplicate_ids(s).collect()] == ["i1"]
+
+
+def plain_exit(bars, i, label, slippage):
+    """The exit of an entry on row ``i`` of one symbol's bars (date, open, low, high, close_adj), read forwards."""
+    target, stop, days = tr.LABEL_EXITS.get(label, (None, None, None))
+    fill = bars[i + 1][1]
+    if fill is None or not fill > 0:
+        return None
+    price = fill * (1 + slippage)
+    found = (bars[-1][0], bars[-1][4], "end_of_period")
+    ahead = bars[i + 2 :]
+    if days is not None:
+        for d, _, low, high, _ in ahead[:days]:
+            if low is not None and low <= price * (1 - stop):
+                found = (d, price * (1 - stop), "stop")
+                break
+            if high is not None and high >= price * (1 + target):
+                found = (d, price * (1 + target), "target")
+                break
+        else:
+            if len(ahead) >= days:
+                found = (ahead[days - 1][0], ahead[days - 1][4], "time")
+    return bars[i + 1][0], price, found[0], None if found[1] is None else found[1] * (1 - slippage), found[2], i
+
+
+def test_exits_of_a_stream_equal_a_loop_over_each_symbol(spark):
+    rng = random.Random(4)
+    rows, asked, want = [], [], {}
+    for symbol, n in (("A", 150), ("B", 1), ("C", 2), ("D", 90)):
+        bars = []
+        for i in range(n):
+            p = 100 + rng.gauss(0, 1 if i < 80 else 9)
+            bar = [p, p - rng.random(), p + rng.random(), p]
+            bars.append((date(2024, 1, 1) + timedelta(days=2 * i), *[None if rng.random() < 0.03 else x for x in bar]))
+        rows += [(symbol, *b, i) for i, b in enumerate(bars)]
+        for i, b in enumerate(bars):
+            for label in rng.sample([*tr.LABEL_EXITS, "other"], rng.randint(0, 3)):
+                for rule in ("r1", "r2"):
+                    asked.append((symbol, b[0], rule, label))
+                    if i + 1 < n and (out := plain_exit(bars, i, label, 0.001)):
+                        want[symbol, b[0], rule, label] = out
+        asked.append((symbol, date(2024, 1, 2), "r1", "L1"))  # a day without a bar
+    asked += [("A", None, "r1", "L1"), (None, rows[0][1], "r1", "L1"), ("A", rows[0][1], "r1", None), ("E", rows[0][1], "r1", "L1")]
+    rng.shuffle(rows)
+    rows.append((None, *rows[0][1:]))
+    kind = "symbol string, date date, open double, low double, high double, close_adj double, i int"
+    entries = spark.createDataFrame([(s, d, f"{r} {label}", label) for s, d, r, label in asked], "symbol string, date date, rule_key string, label string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = tr.barrier_exits(spark.createDataFrame(rows, kind), entries, keep=["i"])
+        got = {(r["symbol"], r["signal_date"], *r["rule_key"].split(" ")): tuple(r[3:]) for r in d.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want and {w[4] for w in want.values()} == {"stop", "target", "time", "end_of_period"}
+    plan = d._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Join" not in plan  # no symbol is one list, no entry is joined
+
+
+def test_best_signals_sort_no_firings(spark):
+    d = best_signals(Tables(spark, "/root/testdata/sf0.001"))
+    assert "rule_key" in d.columns and "row_number" not in d._jdf.queryExecution().toString()
+    per_day = d.groupBy("symbol", "date").count()
+    assert per_day.where("count > 1").count() == 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 KNOWN_WORDS = 200_000  # kept in each Python worker, some 20 MB; the half that is used least goes when there are more
-JOINED = 5_000  # words encoded in one call
+JOINED = 500  # words encoded in one call, which stay in a core's cache
 MARKS = ".,;:!?"
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PLAIN = f"^[{_LETTERS}]+[.,;:!?]?$"
@@ -52,28 +52,33 @@ class Words:
         self.uses = np.empty(0, np.int64)
         self._add(pa.array(["", *MARKS]))
 
-    def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each has."""
         if not plain:
             self.tok.normalizer = self.normalizer
-            got = [np.array(e.ids, "<u4") for e in self.tok.encode_batch(words, add_special_tokens=False)]
+            got = [np.array(e.ids, "<u4") for e in self.tok.encode_batch(words.to_pylist(), add_special_tokens=False)]
             return np.concatenate(got), np.array([len(g) for g in got], np.int64)
         self.tok.normalizer = None  # lower-case letters are in normal form
-        e = self.tok.encode(" ".join(words), add_special_tokens=False)
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+        e = self.tok.encode(line[0].as_py(), add_special_tokens=False)
         return np.array(e.ids, "<u4"), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
 
-    def _add(self, words: pa.Array):
+    def _add(self, words: pa.Array) -> np.ndarray:
+        """The rows that the words get."""
         plain = pc.match_substring_regex(words, _LOWER)
+        rows = np.empty(len(words), np.int64)
+        rows[np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")] = len(self.words) + np.arange(len(words))
         for part, kind in ((words.filter(plain), True), (words.filter(pc.invert(plain)), False)):
             ids, sizes = [self.pool], [self.size]
             for at in range(0, len(part), JOINED):
-                i, s = self._encoded(part.slice(at, JOINED).to_pylist(), kind)
+                i, s = self._encoded(part.slice(at, JOINED), kind)
                 ids.append(i)
                 sizes.append(s)
             self.words = pa.concat_arrays([self.words, part])
             self.pool, self.size = np.concatenate(ids), np.concatenate(sizes)
         self.uses = np.concatenate([self.uses, np.zeros(len(self.words) - len(self.uses), np.int64)])
         self.begin = np.cumsum(self.size) - self.size
+        return rows
 
     def _trim(self):
         """Keep the half used most, by counts that halve each time."""
@@ -89,11 +94,10 @@ class Words:
         """The row of each of the distinct words, which occur so often."""
         if len(self.words) > KNOWN_WORDS:
             self._trim()
-        at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            self._add(words.filter(at.is_null()))
-            at = pc.index_in(words, value_set=self.words)
-        at = at.to_numpy(zero_copy_only=False)
+        found = pc.index_in(words, value_set=self.words)
+        at = np.array(pc.fill_null(found, 0), np.int64)
+        if found.null_count:
+            at[found.is_null().to_numpy(zero_copy_only=False)] = self._add(words.filter(found.is_null()))
         self.uses[at] += times
         return at
 

@@ -3,10 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tapeloom.llm import ordered, queries
+from tapeloom.llm import ordered, queries, tokens
 from tapeloom.llm.queries import tokenizer_path
 
 
@@ -122,3 +123,14 @@ def test_query_and_empty_table(spark, make_docs, tok):
     got = queries.op11_ordered_packing(spark, folder).withColumnRenamed("doc_id", "id").collect()
     lost = check(tok, rows, got, 4096)
     assert lost < 0.05 * sum(r.length for r in got)
+
+
+def test_known_words_are_searched_once(tok, monkeypatch):
+    known, searched, index_in = tokens.Words(tokenizer_path()), [], tokens.pc.index_in
+    monkeypatch.setattr(tokens.pc, "index_in", lambda *a, **k: (searched.append(a), index_in(*a, **k))[1])
+    for words in (["tea", "Öl", "x1", "stone", "naïve", "9"], ["stone", "É!", "of", "tea", "zzqx"], ["of"]):
+        rows = known.rows(pa.array(words), np.ones(len(words), np.int64))
+        assert known.words.take(pa.array(rows)).to_pylist() == words
+        for word, row in zip(words, rows):
+            assert known.pool[known.begin[row] :][: known.size[row]].tolist() == tok.encode(word, add_special_tokens=False).ids
+    assert len(searched) == 3  # the search builds a table of all known words each time

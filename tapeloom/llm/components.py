@@ -14,15 +14,18 @@ from ..session import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b) with a > b rehung on the least neighbour of each node."""
+    """Edges (a, b) with a > b rehung on the least neighbour of each node.
+
+    The joins are sorted merges: packed files and exploded sides are larger in memory than Spark sizes them.
+    """
     if large:
         sides = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         sides = sides.select("e.a", "e.b")
         least = sides.groupBy("a").agg(F.min("b").alias("m"))
-        hung = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        hung = sides.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        hung = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.toDF("a", "b"))
+        hung = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.toDF("a", "b"))
     return hung.where("a > b").distinct()
 
 

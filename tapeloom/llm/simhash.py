@@ -103,7 +103,8 @@ def links(prints: DataFrame, radius: int = 3, parts: int = 4) -> DataFrame:
     flips = [0] + [1 << j for j in range(width)] * (2 * radius // parts)
     probe = prints.select("fp", starts).select("s.ring", F.col("fp").alias("a"), "s.key", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
     probe = probe.select("ring", "a", F.col("key").bitwiseXOR(F.col("flip").cast("long")).alias("key"))
-    met = probe.join(index, ["ring", "key"]).where("a > b")
+    # the tables are exploded here, and Spark sizes them as before that: they would be sent whole to the driver
+    met = probe.join(index.hint("merge"), ["ring", "key"]).where("a > b")
     a, b = F.col("a"), F.col("b")
     met = met.where(_ring_ok(a, b, radius, parts)).where(F.bit_count(a.bitwiseXOR(b)) <= radius)
     return met.select("a", "b").distinct()
@@ -113,9 +114,9 @@ def _components(prints: DataFrame, radius: int, parts: int) -> DataFrame:
     """(fp, component, root): component is the smallest id of the linked fingerprints, root one of them."""
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("first")))
     joined = connected_components(links(classes.select("fp"), radius, parts)).toDF("fp", "root")
-    named = classes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes.join(joined.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    return named.join(least, "root").select("fp", "component", "root")
+    return named.join(least.hint("merge"), "root").select("fp", "component", "root")
 
 
 def near_duplicates(
@@ -126,7 +127,7 @@ def near_duplicates(
     Where a group has null ids only, its component is null.
     """
     prints = staged(fingerprints(docs, id_col, text_col, words))
-    return prints.join(_components(prints, radius, parts), "fp").select("id", "fp", "component")
+    return prints.join(_components(prints, radius, parts).hint("merge"), "fp").select("id", "fp", "component")
 
 
 def drop_near_duplicates(
@@ -139,7 +140,7 @@ def drop_near_duplicates(
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     tagged = staged(docs.select(F.col(id_col).alias("id"), _print_column(text_col, words).alias("fp"), row))
     prints = tagged.select("id", "fp")
-    named = prints.distinct().join(_components(prints, radius, parts), "fp")
+    named = prints.distinct().join(_components(prints, radius, parts).hint("merge"), "fp")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("fp").alias("fp"))
     best = named.groupBy("root").agg(F.min(order).alias("best")).select("best.id", "best.fp")
     rows = tagged.join(best, tagged["id"].eqNullSafe(best["id"]) & (tagged["fp"] == best["fp"]), "left_semi")

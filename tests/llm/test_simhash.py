@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from tapeloom.llm import simhash
+from tapeloom.llm import components, simhash
 from tapeloom.llm.components import connected_components
 
 
@@ -79,6 +79,16 @@ def test_links_find_every_close_pair(spark):
     assert got == want and want
 
 
+def test_no_exploded_side_is_broadcast(spark, capsys):
+    prints = spark.range(2).toDF("fp")
+    simhash.links(prints).explain()
+    edges = spark.range(2).selectExpr("id + 1 AS a", "id AS b")
+    for large in (True, False):
+        components._star(edges, large).explain()
+    plans = capsys.readouterr().out
+    assert "Broadcast" not in plans and plans.count("SortMergeJoin") == 3
+
+
 def test_one_document_of_each_group_stays(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     kept = simhash.drop_near_duplicates(docs)

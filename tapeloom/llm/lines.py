@@ -80,13 +80,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     shaped = src.select("id", F.xxhash64("text").alias("tag"), _shapes(_lines(F.col("text")), long_words).alias("s"))
     shaped = staged(shaped.where(F.size("s") > 0).dropDuplicates(["id", "tag"]))
-    # tables of their own, so that a fingerprint or run of very many places is a skewed join that Spark splits
+    # tables of their own, so that a fingerprint or run of very many places is a skewed join that Spark splits;
+    # never sent whole: a packed file is several times as large in memory
     prints = staged(fingerprints(shaped, run))
-    near = staged(_runs(shaped, run).join(prints, "print", "left_semi").withColumn("lines", F.size("ats")).drop("print"))
+    near = staged(_runs(shaped, run).join(prints.hint("merge"), "print", "left_semi").withColumn("lines", F.size("ats")).drop("print"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "tag", F.get("ats", 0).alias("at"))
     first = near.groupBy("lines", "h", "g").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n"))
     first = staged(first.where("n > 1").drop("n"))
-    later = staged(near.join(first, ["lines", "h", "g"]).where(place > F.col("origin")).select("id", "tag", "ats"))
+    later = staged(near.join(first.hint("merge"), ["lines", "h", "g"]).where(place > F.col("origin")).select("id", "tag", "ats"))
     discard(shaped, prints, near, first)
     return later
 

@@ -7,6 +7,7 @@ import pytest
 from tapeloom.functions.windows import DAILY
 from tapeloom.operators import features as fx
 from tapeloom.operators import stats as st
+from tapeloom.sources.tables import Tables
 from tapeloom.streaming import stateful as sx
 
 
@@ -129,3 +130,17 @@ def test_wide_rows_are_not_dealt_by_date(spark, path_bars, no_small_tables, caps
     market = bars.groupBy("date").agg({"close": "avg"}).withColumnRenamed("avg(close)", "close")
     fx.build_features(bars, market, groups).explain()
     assert capsys.readouterr().out.count("BroadcastHashJoin") == 2
+
+
+def test_generated_code_stays_small_enough_to_be_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        Tables(spark, "/nowhere")
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "5000")
+        Tables(spark, "/nowhere")
+        assert spark.conf.get(key) == "5000"  # the session's own limit stays
+    finally:
+        spark.conf.set(key, before)

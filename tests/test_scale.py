@@ -1,12 +1,17 @@
 """What keeps time, disk and shuffles in proportion: timers of streams, plans without copies of the rows."""
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom.functions.windows import DAILY
 from tapeloom.operators import features as fx
 from tapeloom.operators import stats as st
+from tapeloom.plans.common import rounded
 from tapeloom.sources.tables import Tables
 from tapeloom.streaming import stateful as sx
 
@@ -144,3 +149,19 @@ def test_generated_code_stays_small_enough_to_be_compiled(spark):
         assert spark.conf.get(key) == "5000"  # the session's own limit stays
     finally:
         spark.conf.set(key, before)
+
+
+def test_rounded_equals_round_bit_for_bit(spark, capsys):
+    rng = random.Random(7)
+    odd = [None, 0.0, -0.0, 0.5e-6, -0.5e-6, 1.5e-6, 2.675, 1.005, -1e-9, 1e-320, 1e300, 2.0**52 + 0.5, 2.0**34, float("nan"), float("inf"), -float("inf")]
+    odd += [k + 0.5 for k in range(-5, 5)] + [(k + 0.5) / 1e6 for k in range(-200, 200)] + [(k + 0.5) / 100 for k in range(-200, 200)]
+    odd += [math.nextafter((k + 0.5) / 1e6, side) for k in range(200) for side in (-1, 1)]
+    odd += [rng.choice((-1, 1)) * rng.random() * 10.0 ** rng.randint(-8, 12) for _ in range(5000)]
+    df = spark.createDataFrame([(x,) for x in odd], "x double")
+    for places in (2, 6):
+        got = df.select(rounded(F.col("x"), places).alias("a"), F.round("x", places).alias("b"))
+        apart = got.where(~F.col("a").eqNullSafe(F.col("b")) | (F.col("a").cast("string") != F.col("b").cast("string")))
+        assert apart.count() == 0
+    # a plain value never comes to the decimal
+    df.select(rounded(F.col("x"), 6)).explain()
+    assert "CASE WHEN" in capsys.readouterr().out
